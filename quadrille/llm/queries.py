@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, url_filters
+from . import html_extract, language_id, secrets, url_filters
 from .common import shared_dir, tables
 
 
@@ -16,6 +16,18 @@ def _session(spark: SparkSession) -> None:
     shared_dir(spark)
 
 
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return language_id.identify(docs, language_id.train(language_id.sample_labelled(docs)))
+
+
+def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (pages,) = tables(sf_dir, spark, "pages")
+    return html_extract.extract_text(pages)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     (docs,) = tables(sf_dir, spark, "documents")
@@ -29,6 +41,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_crf": op1_language_crf,
+    "op4_html_tree": op4_html_tree,
     "op5_secret_scan": op5_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
