@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, secrets, url_filters
+from . import html_extract, language_id, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
 
 
@@ -34,6 +34,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return token_files.read_token_table(token_files.write_token_table(docs))
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return packing.pack_documents(docs)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     pages, labels = tables(sf_dir, spark, "pages", "labels")
@@ -44,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op4_html_tree": op4_html_tree,
     "op5_secret_scan": op5_secret_scan,
+    "op7_token_files": op7_token_files,
+    "op9_best_fit": op9_best_fit,
     "op10_url_filter": op10_url_filter,
 }
 
