@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, packing, secrets, token_files, url_filters
+from . import decontamination, fingerprints, html_extract, language_id, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
 
 
@@ -22,6 +22,12 @@ def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(language_id.sample_labelled(docs)))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    docs, items = tables(sf_dir, spark, "documents", "benchmark")
+    return decontamination.find_leaks(docs, items)
+
+
 def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     (pages,) = tables(sf_dir, spark, "pages")
@@ -40,6 +46,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_table(token_files.write_token_table(docs))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return fingerprints.fingerprint_edits(docs)
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     (docs,) = tables(sf_dir, spark, "documents")
@@ -54,9 +66,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
+    "op2_decontamination": op2_decontamination,
     "op4_html_tree": op4_html_tree,
     "op5_secret_scan": op5_secret_scan,
     "op7_token_files": op7_token_files,
+    "op8_fingerprints": op8_fingerprints,
     "op9_best_fit": op9_best_fit,
     "op10_url_filter": op10_url_filter,
 }
