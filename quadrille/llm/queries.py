@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_extract, language_id, packing, secrets, token_files, url_filters
+from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
 
 
@@ -40,6 +40,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return jaccard_join.near_duplicates(docs)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     (docs,) = tables(sf_dir, spark, "documents")
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_html_tree": op4_html_tree,
     "op5_secret_scan": op5_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit": op9_best_fit,
