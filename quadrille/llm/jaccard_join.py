@@ -384,8 +384,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the least doc_id (of repeated rows of it, one). Rows without shingles stay."""
-    got = near_duplicates(docs)
-    keep = got.filter("n_shingles = 0 OR doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """One row of each component, that of the least doc_id, and all rows without shingles; columns stay as they are.
+
+    Rows that agree in id and text count once. Of components without any id the least text hash stays.
+    """
+    rows, labels = link_components(docs)
+    placed = rows.filter("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("_key"))
+    keep = first.union(rows.filter("n = 0").select("key")).distinct()
+    kept = docs.withColumn("_key", _key()).join(keep, "_key", "left_semi")
+    if not rows.groupBy("key").count().filter("count > 1").isEmpty():
+        kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"])
+    return kept.select(docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, packing, secrets, token_files, url_filters
+from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
 
 
@@ -28,6 +28,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(docs, items)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _session(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return lm_scoring.score_texts(docs)
+
+
 def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     (pages,) = tables(sf_dir, spark, "pages")
@@ -73,6 +79,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_decontamination": op2_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_html_tree": op4_html_tree,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,

@@ -101,8 +101,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumnRenamed("id", id_col)
 
 
-def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED]", rules=RULES) -> DataFrame:
-    """The same rows and columns with every secret in the text replaced by mark; overlapping spans count as one."""
+def redact_secrets(df: DataFrame, text_col: str = "text", count_col: str | None = None, mark: str = "[REDACTED]", rules=RULES) -> DataFrame:
+    """The same rows and columns with every secret in the text replaced by mark; overlapping spans count as one.
+
+    count_col, if given, is set to the new number of characters where a text changes.
+    """
     scanner = Scanner(rules)
 
     def run(frames):
@@ -116,6 +119,8 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[REDACTED
                             parts += [texts[i][at:a], mark]
                         at = max(at, b)
                     texts[i] = "".join([*parts, texts[i][at:]])
+                    if count_col:
+                        f.iloc[i, f.columns.get_loc(count_col)] = len(texts[i])
             f[text_col] = texts
             yield f
 
