@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm import decontamination, jaccard_join, language_id, packing, secrets
 from quadrille.llm.common import stored
+from quadrille.session import ship
 
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those of which no language holds most letters."""
+    ship(spark)
     return language_id.keep_identified(docs, language_id.train(language_id.sample_labelled(docs)))
 
 
@@ -51,6 +53,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents; what each returns is written and read again."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

@@ -8,14 +8,16 @@ disagreement uses up differences. A one-deletion segment also has the signatures
 element; if none agrees, two differences are used up, so it weighs double. A cost model picks, for each band, the mean
 segment size and the share of one-deletion segments with the fewest rows and expected false meetings.
 
-Frequent shingles (from a bounded sample of ``HINT_DOCS`` texts) are only a hint about cost: a segment made of them alone
-weighs nothing for its set and is emitted as a side entry. Entries that were weighed meet all entries of their signature,
-side entries meet no other side entries; so any hint gives the same result. A set that runs out of segments is short and emits
-everything. Only two short sets can then miss each other, so signatures of short sets, and signatures that too many
-sets share, join sets to clusters. A cluster is resolved exactly: all members against some pivots, then those outside
-the largest part against all members, in blocks, keeping a spanning forest of the links found.
-
-Candidates are verified on whole sets. Sets of documents with equal shingles are one node from the start, so copies
+Frequent shingles are only a hint about cost: a segment made of them alone weighs nothing for its set and is emitted as a
+side entry. Entries that were weighed meet all entries of their signature, side entries meet no other side entries; so
+any hint gives the same result. The hint is counted over all texts, in the part of the hash order that signatures
+come from, and its length is bounded by ``HINT_MAX``, most frequent first. A set that runs out of segments is short and
+emits everything. Only two short sets can then miss each other, so signatures of short sets, and signatures that too
+many sets share, join sets to clusters. A cluster is resolved exactly: all members against some pivots, then those
+outside the largest part against all members, in blocks, keeping a spanning forest of the links found.
+
+Candidates are ruled out by histograms of their hashes, whose distance bounds the sets' difference from below, and
+verified on whole sets. Sets of documents with equal shingles are one node from the start, so copies
 cost nothing. Hashes have 64 bits; links are exact up to their collisions.
 
 Null and empty texts have an empty set and link with nothing. A null id is kept; it never names a component
@@ -37,11 +39,16 @@ from .components import connected_components
 
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
-HINT_DOCS, HINT_COUNT, HINT_MAX = 40_000, 4, 1_000_000
-BUCKET_SHINGLES, DIRECT_PAIRS = 500_000, 512
+#: A shingle is frequent if more sets than this have it. Part of the hash order in which they are counted.
+HINT_COUNT, HINT_MAX, HINT_PART = 10, 1_000_000, 0.7
+BUCKET_SHINGLES, DIRECT_PAIRS = 500_000, 1024
 PIVOTS, CHUNK = 24, 512
-#: Rows that one false meeting of frequent segments is worth.
-MEETING_COST = 20.0
+#: Rows that one false meeting of frequent segments is worth, and the share of shingles the cost model takes as frequent.
+MEETING_COST, HOT_SHARE = 20.0, 0.1
+#: Segments must suffice for sets of which this part is frequent.
+RESERVE = 0.45
+#: Elements for each cell of the histograms that rule out pairs before their sets are read.
+CELL = 6
 SIG_BYTES = 6
 
 
@@ -66,7 +73,7 @@ def allocation(g: int, hot_share: float) -> tuple[int, int]:
     if top <= 64:
         return 1 << 40, 0  # hardly two elements share a segment: one-deletion would have nothing to delete
     best = None
-    for z in (0.8, 1.0, 1.25, 1.6, 2.0, 2.5, 3.0):
+    for z in (0.3, 0.5, 0.8, 1.0, 1.25, 1.6, 2.0, 2.5):
         m = int(top / z)
         for share in (0.0, 0.1, 0.25):
             cost = 0.0
@@ -77,7 +84,8 @@ def allocation(g: int, hot_share: float) -> tuple[int, int]:
                 d = int(share * m)
                 double = (1 - p0 - hot) + (1 - p0 - p1) * (1 - hot_share)
                 plain = 1 - p0 - hot
-                if d * double + (m - d) * plain < 1.15 * need + 8:
+                cold, once = 1 - math.exp(-mean * (1 - RESERVE)), p1 * (1 - RESERVE)
+                if (m + d) * cold - d * once < 1.1 * need + 4:
                     cost += 1e9
                     continue
                 used_d = min(d, need / max(double, 1e-9))
@@ -88,18 +96,24 @@ def allocation(g: int, hot_share: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def signatures(s: np.ndarray, hot: np.ndarray, shares: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, kinds) of a set of sorted hashes; kind 0 was weighed, 1 is a side entry, 2 is of a short set."""
+def ranks(s: np.ndarray) -> np.ndarray:
+    """Place of each hash in the order that all sets take their segments in."""
+    return mix64(s ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, kinds) of a set of hashes; kind 0 was weighed, 1 is a side entry, 2 is of a short set."""
     n = len(s)
     g = band(n)
+    u = np.sort(ranks(s))
+    warm = _member(u >> np.uint64(24), frequent)
     sigs, kinds = [], []
     for family in (g, g + 1) if largest_partner(n) > 4**g else (g,):
-        m, d = allocation(family, shares.get(family, 0.0))
+        m, d = allocation(family, HOT_SHARE)
         partner = min(largest_partner(n), 4**family)
         need = differences(n, max(n, partner)) + 1
-        seg = mix64(s ^ np.uint64(0x5851F42D4C957F2D * (family + 1) & (2**64 - 1))) % np.uint64(m)
-        order = np.argsort(seg, kind="stable")
-        seg, h, warm = seg[order], mix64(s[order] + np.uint64(family)), hot[order]
+        seg = u >> np.uint64(24) if m >> 32 else (u >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+        h = mix64(u + np.uint64(family))
         begin = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         size = np.diff(np.concatenate([begin, [n]]))
         which = seg[begin]
@@ -148,27 +162,27 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", _key().alias("key"), "text").mapInPandas(run, f"doc_id {kind}, key long, n long, node long")
 
 
-def _frequent(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, dict[int, float]]:
-    """Sorted hashes of shingles that several texts of the sample have, and their share in each band."""
-    limit = min(1.0, HINT_DOCS / max(1, n_docs))
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(limit * (1 << 20)) + 1)
-    parts = 64
+def _frequent(docs: DataFrame, shingles: int) -> np.ndarray:
+    """Sorted upper 40 bits of the ranks of frequent shingles; equal texts of a batch count once."""
+    parts, limit = max(256, shingles // 1_000_000 + 1), np.uint64(int(HINT_PART * 2**64))
+    bounds = np.array([int(HINT_PART * 2**40) * k // parts for k in range(parts)], np.uint64)
+    low = np.uint64(2**32 - 1)  # a part is narrower than 32 bits, so these tell its ranks apart
 
     def spread(frames):
         for f in frames:
-            sets = [s for _, s in shingle_sets(f["text"].drop_duplicates())]
-            h = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-            cut = np.searchsorted(h, (np.arange(1, parts) * ((1 << 64) // parts)).astype(np.uint64))
-            yield pd.DataFrame({"p": range(parts), "h": [x.tobytes() for x in np.split(h, cut)]})
+            got = [u[u < limit] >> np.uint64(24) for u in (ranks(s) for _, s in shingle_sets(f["text"].drop_duplicates()))]
+            u = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+            cut = np.searchsorted(u, bounds[1:])
+            yield pd.DataFrame({"p": range(parts), "u": [x.tobytes() for x in np.split((u & low).astype(np.uint32), cut)]})
 
     def count(key, f):
-        h, c = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in f["h"]]), return_counts=True)
-        keep = c >= HINT_COUNT
-        return pd.DataFrame({"h": [h[keep][np.argsort(-c[keep], kind="stable")][: HINT_MAX // parts].tobytes()]})
+        u = np.frombuffer(b"".join(f["u"]), np.uint32).astype(np.uint64)
+        u, c = np.unique(bounds[key[0]] + ((u - bounds[key[0]]) & low), return_counts=True)
+        keep = c > HINT_COUNT
+        return pd.DataFrame({"u": [u[keep][np.argsort(-c[keep], kind="stable")][: HINT_MAX // parts].tobytes()]})
 
-    rows = sample.mapInPandas(spread, "p int, h binary").groupBy("p").applyInPandas(count, "h binary").collect()
-    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["h"], np.uint64) for r in rows)]))
-    return hot, {}
+    rows = docs.select("text").mapInPandas(spread, "p int, u binary").groupBy("p").applyInPandas(count, "u binary").collect()
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["u"], np.uint64) for r in rows)]))
 
 
 def _member(s: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -178,20 +192,7 @@ def _member(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == s
 
 
-def _hot_shares(docs: DataFrame, hot) -> dict[int, float]:
-    """Share of frequent shingles by band, rounded; from the same sample."""
-
-    def run(frames):
-        for f in frames:
-            rows = [(band(len(s)), len(s), int(_member(s, hot.value).sum())) for _, s in shingle_sets(f["text"]) if len(s)]
-            yield pd.DataFrame(rows, columns=["g", "n", "k"])
-
-    sample = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < (1 << 20) // 64)
-    got = sample.mapInPandas(run, "g int, n long, k long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()
-    return {r["g"]: round(min(0.5, r["k"] / r["n"]), 1) for r in got}
-
-
-def _entries(docs: DataFrame, hot, shares: dict[int, float], buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     """bucket and packed entries (signature, node, kind), one row for each bucket and batch."""
 
     def run(frames):
@@ -203,7 +204,7 @@ def _entries(docs: DataFrame, hot, shares: dict[int, float], buckets: int) -> Da
                 if not len(s) or v in seen:
                     continue
                 seen.add(v)
-                a, k = signatures(s, _member(s, hot.value), shares)
+                a, k = signatures(s, frequent.value)
                 sig.append(a)
                 kind.append(k)
                 node.append(np.full(len(a), v, np.int64))
@@ -283,6 +284,28 @@ def _linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
+def cells(s: np.ndarray) -> np.ndarray:
+    """Number of elements in equal parts of the hash range, a power of two of them, about CELL each."""
+    k = max(4, (len(s) // CELL).bit_length())
+    return np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint16)
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> bool:
+    """False only if the histograms prove that the sets differ too much."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) > len(y):
+        x = x[0::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[0::2] + y[1::2]
+    return int(np.abs(x - y).sum()) <= differences(int(x.sum()), int(y.sum()))
+
+
+def _possible(frames):
+    for f in frames:
+        ok = [_near(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) for x, y in zip(f["ka"], f["kb"], strict=True)]
+        yield f.loc[ok, ["a", "b"]]
+
+
 def _verify(frames):
     for f in frames:
         ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(f["sa"], f["sb"], strict=True)]
@@ -315,7 +338,6 @@ def _block_links(f: pd.DataFrame) -> pd.DataFrame:
 def _against(members: DataFrame, refs: DataFrame) -> DataFrame:
     """Links of every cluster's members with its references, by blocks of bounded size. Columns: cid, node, s, size."""
     chunks = (F.col("size") / CHUNK).cast("int") + 1
-    m = members.withColumn("c", F.pmod(F.xxhash64("node"), chunks)).withColumn("blocks", F.lit(0))
     n_refs = refs.groupBy("cid").agg(F.count(F.lit(1)).alias("refs"))
     m = members.join(n_refs, "cid").withColumn("c", F.pmod(F.xxhash64("node"), chunks)).withColumn("r", F.explode(F.sequence(F.lit(0), (F.col("refs") / CHUNK).cast("int"))))
     q = refs.join(n_refs, "cid").withColumn("r", F.pmod(F.xxhash64("node", F.lit(1)), (F.col("refs") / CHUNK).cast("int") + 1)).withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("size") / CHUNK).cast("int"))))
@@ -348,13 +370,11 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n, node of every document; node, label of every node that has links)."""
     docs = docs.select("doc_id", "text")
     rows = stored(document_sets(docs), "sets")
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).first()
+    total = rows.agg(F.sum("n").alias("n")).first()
     spark = docs.sparkSession
-    table, _ = _frequent(docs, total["docs"])
-    hot = spark.sparkContext.broadcast(table)
-    shares = _hot_shares(docs, hot)
+    frequent = spark.sparkContext.broadcast(_frequent(docs, total["n"] or 0))
     buckets = max(8, (total["n"] or 0) // BUCKET_SHINGLES + 1)
-    found = stored(_entries(docs, hot, shares, buckets).groupBy("bucket").applyInPandas(_meet, "a long, b long, kind int"), "meetings")
+    found = stored(_entries(docs, frequent, buckets).groupBy("bucket").applyInPandas(_meet, "a long, b long, kind int"), "meetings")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     clusters = found.filter("kind = 1").select("a", "b")
     nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
@@ -362,12 +382,19 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def load(frames):
         for f in frames:
-            keep = [(v, s.tobytes()) for v, (_, s) in zip(f["node"], shingle_sets(f["text"]), strict=True) if set_node(s) == v]
-            yield pd.DataFrame(keep, columns=["node", "s"])
+            keep = [(v, s.tobytes(), cells(s).tobytes()) for v, (_, s) in zip(f["node"], shingle_sets(f["text"]), strict=True) if set_node(s) == v]
+            yield pd.DataFrame(keep, columns=["node", "s", "k"])
 
     texts = docs.select(_key().alias("key"), "text").join(wanted, "key").select("node", "text")
-    sets = stored(texts.mapInPandas(load, "node long, s binary").dropDuplicates(["node"]), "candidates")
-    checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    sets = stored(texts.mapInPandas(load, "node long, s binary, k binary").dropDuplicates(["node"]), "candidates")
+
+    def with_both(pairs: DataFrame, c: str) -> DataFrame:
+        a, b = (sets.select(F.col("node").alias(v), F.col(c).alias(f"{c}{v}")) for v in "ab")
+        return pairs.join(a, "a").join(b, "b")
+
+    pairs = stored(with_both(pairs, "k").mapInPandas(_possible, "a long, b long"), "pairs")
+    checked = with_both(pairs, "s")
+    sets = sets.drop("k")
     links = checked.mapInPandas(_verify, "a long, b long")
     if not clusters.isEmpty():
         links = links.union(_resolve_clusters(clusters, sets))

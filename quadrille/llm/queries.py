@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
 
 
 def _session(spark: SparkSession) -> None:
     """Arrow batches that hold a few MB of text, and the shared folder."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     shared_dir(spark)
 
