@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed at once (a longer single text is a piece of its own).
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True

@@ -41,7 +41,9 @@ from .components import connected_components
 PERCENT = 75
 #: A shingle is frequent if more sets than this have it. Part of the hash order in which they are counted.
 HINT_COUNT, HINT_MAX, HINT_PART = 10, 1_000_000, 0.7
-BUCKET_SHINGLES, DIRECT_PAIRS = 500_000, 1024
+BUCKET_SHINGLES, DIRECT_PAIRS = 2_000_000, 1024
+#: Up to so many candidate sets (16 bytes each) are found among the texts by broadcast, more by shuffle.
+BROADCAST_SETS = 1_000_000
 PIVOTS, CHUNK = 24, 512
 #: Rows that one false meeting of frequent segments is worth, and the share of shingles the cost model takes as frequent.
 MEETING_COST, HOT_SHARE = 20.0, 0.1
@@ -217,10 +219,14 @@ def _entries(docs: DataFrame, frequent, buckets: int) -> DataFrame:
             low = sig[order].view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES]
             at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             end = np.concatenate([at[1:], [len(bucket)]])
-            rows = [(int(bucket[a]), low[a:b].tobytes(), node[a:b].tobytes(), kind[a:b].tobytes()) for a, b in zip(at, end, strict=True)]
-            yield pd.DataFrame(rows, columns=["bucket", "sig", "node", "kind"])
+            new = np.concatenate([[True], (node[1:] != node[:-1]) | (bucket[1:] != bucket[:-1])])
+            begin = np.flatnonzero(new)
+            count = np.diff(np.concatenate([begin, [len(node)]])).astype(np.uint32)
+            lo, hi = np.searchsorted(begin, at), np.searchsorted(begin, end)
+            rows = [(int(bucket[a]), low[a:b].tobytes(), node[begin[c:d]].tobytes(), count[c:d].tobytes(), kind[a:b].tobytes()) for a, b, c, d in zip(at, end, lo, hi, strict=True)]
+            yield pd.DataFrame(rows, columns=["bucket", "sig", "node", "count", "kind"])
 
-    return docs.select("text").mapInPandas(run, "bucket int, sig binary, node binary, kind binary")
+    return docs.select("text").mapInPandas(run, "bucket int, sig binary, node binary, count binary, kind binary")
 
 
 class Forest:
@@ -253,7 +259,7 @@ def _meet(f: pd.DataFrame) -> pd.DataFrame:
     raw = np.zeros((sum(map(len, f["sig"])) // SIG_BYTES, 8), np.uint8)
     raw[:, :SIG_BYTES] = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(-1, SIG_BYTES)
     sig = raw.view(np.uint64)[:, 0]
-    node = np.frombuffer(b"".join(f["node"]), np.int64)
+    node = np.repeat(np.frombuffer(b"".join(f["node"]), np.int64), np.frombuffer(b"".join(f["count"]), np.uint32))
     kind = np.frombuffer(b"".join(f["kind"]), np.uint8)
     order = np.argsort(sig, kind="stable")
     sig, node, kind = sig[order], node[order], kind[order]
@@ -378,7 +384,9 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     clusters = found.filter("kind = 1").select("a", "b")
     nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    wanted = rows.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key"))
+    wanted = stored(rows.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "wanted")
+    if wanted.count() <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
 
     def load(frames):
         for f in frames:

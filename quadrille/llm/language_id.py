@@ -28,7 +28,7 @@ PER_LANGUAGE, WINDOW, MAX_LANGUAGES = 250, 2500, 256
 HASH_BITS, MAX_N, LEXICON_MIN = 17, 4, 4
 SEQUENCE, ROUNDS, BLOCK = 40, 30, 48
 UNKNOWN = "und"
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 600_000
 _M = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 _BOW, _EOW = 0x110000, 0x110001
 
@@ -69,7 +69,7 @@ class Words:
         edge = np.flatnonzero(flag[1:] != flag[:-1])
         s, e = edge[0::2], edge[1::2]
         low = lower[cp]
-        up, down = _powers(1 << max(22, int(len(cp) + 1).bit_length()))
+        up, down = _powers(1 << max(20, int(len(cp) + 1).bit_length()))
         c = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _M[0] * up[: len(cp)], out=c[1:])
         h = mix64((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64) * _M[1])

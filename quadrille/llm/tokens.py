@@ -16,9 +16,12 @@ import unicodedata
 
 import numpy as np
 
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 END_ID = 2
 _CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same cut for texts of Latin-1 without control characters, where the classes can be spelled out.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t\\n "
+_CUT_LATIN = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 _CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\xa0]")
 
 
@@ -94,27 +97,28 @@ class Encoder:
         self.ids[used : used + len(flat)] = flat
         self.start = np.concatenate([self.start, used + np.cumsum(sizes)])
 
-    def _whole(self, text: str) -> bool:
-        """Whether the library itself has to cut this text."""
+    def _cutter(self, text: str):
+        """What cuts this text; None if the library itself has to."""
         if self.cut is None or any(a in text for a in self.added) or _CONTROL.search(text):
-            return True
+            return None
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return not all(map(_stable, set(text)))
-        return False
+            return self.cut if all(map(_stable, set(text))) else None
+        return _CUT_LATIN
 
     def encode(self, texts, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, with the end id behind each; where each begins and the last ends)."""
         texts = ["" if t is None or t != t else t for t in texts]
-        whole = [i for i, t in enumerate(texts) if self._whole(t)]
+        cutters = [self._cutter(t) for t in texts]
+        whole = [i for i, cut in enumerate(cutters) if cut is None]
         own = dict(zip(whole, (e.ids for e in self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False)), strict=True)) if whole else {}
         get, numbers, counts = self.pieces.__getitem__, [], []
         for i, t in enumerate(texts):
             if i in own:
                 counts.append(0)
                 continue
-            found = self.cut(t)
+            found = cutters[i](t)
             counts.append(len(found))
             numbers += map(get, found)
         if self.pieces.waiting:
