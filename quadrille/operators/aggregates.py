@@ -44,9 +44,16 @@ def _bin(col, edges: list[float]):
     """
     n, lo, hi = len(edges) - 1, edges[0], edges[-1]
     array = F.array(*map(F.lit, edges))
-    guess = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((col - lo) / ((hi - lo) / n)).cast("int")))
-    guess = F.when((guess < n - 1) & (col >= F.get(array, guess + 1)), guess + 1).when(col < F.get(array, guess), guess - 1).otherwise(guess)
-    return F.when((col >= lo) & (col <= hi), guess)
+
+    def let(value, f):  # names a value, so that its expression is not repeated in the plan
+        return F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def place(v):
+        guess = F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((v - lo) / ((hi - lo) / n)).cast("int")))
+        right = lambda g: F.when((g < n - 1) & (v >= F.get(array, g + 1)), g + 1).when(v < F.get(array, g), g - 1).otherwise(g)
+        return F.when((v >= lo) & (v <= hi), let(guess, right))
+
+    return let(col, place)
 
 
 def histogram(df: DataFrame, var: str, edges: list[float], *by: str) -> DataFrame:

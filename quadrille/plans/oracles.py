@@ -230,7 +230,7 @@ SELECT window_id, crisis_names, crisis_types FROM n JOIN ty USING (window_id)"""
         "return_hist": _with(p, f"""k AS (SELECT abs(ret) AS v FROM panel WHERE abs(ret) < (SELECT quantile_cont(abs(ret), 0.999) FROM panel)), sp AS (SELECT min(v) AS lo, max(v) AS hi, quantile_cont(v, 0.5) AS theta FROM k)
 SELECT CAST(least(79, coalesce(floor((v - lo) / nullif((hi - lo) / 80, 0)), 0)) AS INT) AS bin, {_r("theta")}, count(*) AS count FROM k, sp GROUP BY 1, theta"""),
         "index_equal_weight": _with(p, """d AS (SELECT "date", avg(ret) AS r FROM panel GROUP BY 1), g AS (SELECT "date", exp(sum(ln(1 + coalesce(r, 0.0))) OVER (ORDER BY "date")) AS g FROM d), lv AS (SELECT "date", sum(CAST(round(rev * 100) AS BIGINT)) / 100.0 AS l FROM brandrev GROUP BY 1)
-SELECT "date", round(g / first_value(g) OVER (ORDER BY "date"), 6) + 0.0 AS equal_weight, round(CAST(l AS DOUBLE) / first_value(CAST(l AS DOUBLE)) OVER (ORDER BY "date"), 6) + 0.0 AS index_level FROM g JOIN lv USING ("date")"""),
+SELECT "date", round(ln(g / first_value(g) OVER (ORDER BY "date")), 6) + 0.0 AS equal_weight, round(ln(CAST(l AS DOUBLE) / first_value(CAST(l AS DOUBLE)) OVER (ORDER BY "date")), 6) + 0.0 AS index_level FROM g JOIN lv USING ("date")"""),
         "regime_table": _with(s, "SELECT window_id, min(win_start) AS win_start, min(regime) AS regime FROM stats GROUP BY 1"),
         "crisis_runs": _with(s, """r AS (SELECT window_id, min(win_start) AS ws, min(regime) AS regime FROM stats GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY window_id) AS k FROM r), c AS (SELECT *, k - row_number() OVER (ORDER BY window_id) AS run FROM i WHERE regime = 'crisis')
 SELECT min(window_id) AS first_window, max(window_id) AS last_window, min(ws) AS start, max(ws) AS "end", count(*) AS n FROM c GROUP BY run"""),

@@ -10,21 +10,22 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import pooled_weight
 from ..operators import aggregates, exogenous, graphs, labels, nulls, pairs, sweep, windows
-from ..session import prepare
+from ..session import prepare, stored
 from ..sources import tables, testdata
 
 WIDTH, STEP, N_MIN, N_MIN_LOW, Q = 60, 21, 10, 3, 0.5
 
 
 class Panel:
-    """The inputs of the queries, each built when first used."""
+    """The inputs of the queries, each built when first used; with keep, window rows and the pair table are written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, width: int = WIDTH, n_min: int = N_MIN, q: float = Q):
+    def __init__(self, spark: SparkSession, sf_dir: str, width: int = WIDTH, n_min: int = N_MIN, q: float = Q, keep: bool = True):
         self.spark, self.sf_dir, self.width, self.n_min, self.q = prepare(spark), sf_dir, width, n_min, q
+        self.kept = stored if keep else lambda df, name: df
 
     @cached_property
     def returns(self) -> DataFrame:
-        return testdata.returns(self.spark, self.sf_dir)
+        return self.kept(testdata.returns(self.spark, self.sf_dir), "returns")
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -44,7 +45,7 @@ class Panel:
 
     @cached_property
     def rows(self) -> DataFrame:
-        return windows.window_panel(self.returns, self.eligibility, self.calendar, self.width, STEP)
+        return self.kept(windows.window_panel(self.returns, self.eligibility, self.calendar, self.width, STEP), "rows")
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -52,7 +53,7 @@ class Panel:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return pairs.pair_window_stats(self.rows, self.windows, self.width, self.n_min, self.q, self.labels)
+        return self.kept(pairs.pair_window_stats(self.rows, self.windows, self.width, self.n_min, self.q, self.labels), "pairs")
 
     @cached_property
     def vix(self) -> DataFrame:
@@ -68,7 +69,7 @@ class Panel:
 
     @cached_property
     def halves(self) -> DataFrame:
-        return sweep.split_half_weights(self.rows, self.width, self.n_min, self.q)
+        return self.kept(sweep.split_half_weights(self.rows, self.width, self.n_min, self.q), "halves")
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -96,7 +97,7 @@ def _networks(p: Panel) -> DataFrame:
 
 
 def _config(p: Panel) -> DataFrame:
-    return graphs.config_excess(p.stats, n_rewire=10, episodes=p.episodes)
+    return p.kept(graphs.config_excess(p.stats, n_rewire=10, episodes=p.episodes), "excess")
 
 
 def _reliability(p: Panel) -> DataFrame:
@@ -104,8 +105,8 @@ def _reliability(p: Panel) -> DataFrame:
 
 
 def _gate(p: Panel) -> DataFrame:
-    real = graphs.qap_hierarchy(p.stats, n_perm=19, max_windows=4, min_nodes=5)
-    null = graphs.qap_hierarchy(nulls.null_gate_stats(p.stats, p.rows, 4, 60, p.n_min), n_perm=19, max_windows=4, min_nodes=5)
+    real = p.kept(graphs.qap_hierarchy(p.stats, n_perm=19, max_windows=4, min_nodes=5), "qap")
+    null = p.kept(graphs.qap_hierarchy(nulls.null_gate_stats(p.stats, p.rows, 4, 60, p.n_min), n_perm=19, max_windows=4, min_nodes=5), "qap-null")
     return graphs.gate_summary(real, null, _reliability(p), 500)
 
 
@@ -119,7 +120,7 @@ def _jaccard(p: Panel) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # panel and windows
-    "panel_returns": _on(lambda p: p.returns),
+    "panel_returns": _on(lambda p: p.returns, keep=False),
     "trading_calendar": _on(lambda p: p.calendar),
     "membership_spells": _on(lambda p: p.membership),
     "members_overlapping": _on(lambda p: tables.overlapping_members(p.membership, "1996-01-01", "1996-06-30").select("permno").distinct()),
@@ -131,11 +132,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eligible_over_time": _on(lambda p: aggregates.eligible_over_time(p.eligibility, p.labels)),
     "identifiers_distinct": _on(lambda p: tables.identifiers(p.sectors.withColumn("ticker", F.concat(F.lit("B"), F.col("permno").cast("string"))), p.membership)),
     "first_windows": _on(lambda p: windows.first_windows(p.eligibility, 3)),
-    "window_panel": _on(lambda p: p.rows),
+    "window_panel": _on(lambda p: p.rows, keep=False),
     # pairs
     "leg_thresholds": _on(lambda p: pairs.thresholds(p.rows)),
     "leg_regimes": _on(lambda p: pairs.with_regimes(p.rows).select("window_id", "permno", "date", "x")),
-    "pair_window_stats": _on(lambda p: p.stats),
+    "pair_window_stats": _on(lambda p: p.stats, keep=False),
     "pair_window_stats_q75": _on(lambda p: p.stats, n_min=N_MIN_LOW, q=0.75),
     "pair_window_stats_w120": _on(lambda p: p.stats, width=120),
     "pair_skeleton": _on(lambda p: p.stats.select("window_id", "permno_a", "permno_b")),
@@ -161,7 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "absret_month_box": _on(lambda p: aggregates.absolute_return_boxes(p.returns, "month")),
     "absret_quarter_box": _on(lambda p: aggregates.absolute_return_boxes(p.returns, "quarter")),
     "return_hist": _on(lambda p: aggregates.return_histogram(p.returns)),
-    "index_equal_weight": _on(lambda p: aggregates.equal_weight_index(p.returns, testdata.index_levels(p.spark, p.sf_dir)).withColumns({c: F.round(c, 6) for c in ("equal_weight", "index_level")})),
+    "index_equal_weight": _on(lambda p: aggregates.equal_weight_index(p.returns, testdata.index_levels(p.spark, p.sf_dir)).withColumns({c: F.round(F.ln(c), 6) for c in ("equal_weight", "index_level")})),
     "regime_table": _on(lambda p: aggregates.regime_table(p.stats)),
     "crisis_runs": _on(lambda p: aggregates.crisis_runs(aggregates.regime_table(p.stats))),
     "scatter_quota": _on(lambda p: aggregates.scatter_quota(p.stats, 300), **_LOW),

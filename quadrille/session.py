@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -45,3 +46,15 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table that is read more than once to the folder of spark.checkpoint.dir and reads it back.
+
+    The folder is shared by driver and executors; only where it is unset (as in tests) one is chosen here.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/quadrille-checkpoints"
+    path = f"{root.rstrip('/')}/quadrille/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
