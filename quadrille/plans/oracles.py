@@ -125,8 +125,8 @@ lega AS (SELECT leg.* FROM leg JOIN odd USING (window_id, t) WHERE odd = 0), leg
 ca AS ({_cells("lega")}), cb AS ({_cells("legb")}), sa AS ({_scores("ca", "skel", 2)}), sb AS ({_scores("cb", "skel", 2)}),
 half AS (SELECT *, 'a' AS half FROM sa WHERE valid UNION ALL SELECT *, 'b' AS half FROM sb WHERE valid),
 hw AS (SELECT h.window_id, h.permno_a, h.permno_b, h.half, h.s_odd AS w_s_odd, h.E00 AS w_e00, {_POOL.replace("E", "h.E").replace("N0", "h.N0").replace("N1", "h.N1")} AS w_pooled,
-  count(*) OVER (PARTITION BY h.window_id, h.permno_a, h.permno_b) AS both FROM half h SEMI JOIN ok USING (window_id, permno_a, permno_b) SEMI JOIN enough USING (window_id)),
-hc AS (SELECT *, count(*) OVER (PARTITION BY window_id) AS k FROM hw WHERE both = 2),
+  count(*) OVER (PARTITION BY h.window_id, h.permno_a, h.permno_b) AS nb FROM half h SEMI JOIN ok USING (window_id, permno_a, permno_b) SEMI JOIN enough USING (window_id)),
+hc AS (SELECT *, count(*) OVER (PARTITION BY window_id) AS k FROM hw WHERE nb = 2),
 halves AS (SELECT window_id, permno_a, permno_b, half, w_s_odd, w_e00, w_pooled FROM hc WHERE k >= 6)"""
 
 
