@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, token_files, url_filters
 from .common import shared_dir, tables
+from .oracles import ORACLE_SQL
 
 
 def _session(spark: SparkSession) -> None:
@@ -75,7 +77,8 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     _session(spark)
     pages, labels = tables(sf_dir, spark, "pages", "labels")
-    return url_filters.judge_urls(pages, url_filters.page_outcomes(pages, labels))
+    judged = url_filters.judge_urls(pages, url_filters.page_outcomes(pages, labels))
+    return judged.withColumn("lower_bad", F.round("lower_bad", 9) + F.lit(0.0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
