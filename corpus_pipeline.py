@@ -17,7 +17,7 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those of which no language holds most letters."""
+    """Drops texts without letters and those in which no language does better than an even split."""
     ship(spark)
     return language_id.keep_identified(docs, language_id.train(language_id.sample_labelled(docs)))
 

@@ -315,13 +315,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return narrow.mapInPandas(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(df: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of which some language holds at least min_score of the letters; all columns stay as they are."""
+def keep_identified(df: DataFrame, model: Model, min_score: float | None = None, text_col: str = "text") -> DataFrame:
+    """The rows with an identified language; all columns stay as they are.
+
+    A row goes if it has no letter, or if its best language does no better than an even split between all languages
+    (or than min_score, if given). Short texts and texts in two languages are no reason to go.
+    """
+    least = min_score if min_score is not None else 1.05 / max(1, len(model.labels)) if len(model.labels) > 1 else 0.0
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         for f in frames:
             names, scores = shared.value.predict(f[text_col].tolist())
-            yield f[(np.array(names) != UNKNOWN) & (scores >= min_score)]
+            yield f[(np.array(names) != UNKNOWN) & (scores >= least)]
 
     return df.mapInPandas(run, df.schema)

@@ -130,6 +130,9 @@ def test_language_of_texts(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[901]["score"] == 0
     assert got[902]["lang_pred"] == "aa" and 0.7 < got[902]["score"] < 0.9
     assert {r["doc_id"] for r in language_id.keep_identified(df, model).collect()} == {k for k, *_ in rows} | {902}
+    short = spark.createDataFrame([(1, "abc."), (2, "abcd bcde vwxy wxyz"), (3, "?!")], "doc_id long, text string")
+    assert {r["doc_id"] for r in language_id.keep_identified(short, model).collect()} >= {1}
+    assert 3 not in {r["doc_id"] for r in language_id.keep_identified(short, model).collect()}
     empty = language_id.train(language_id.sample_labelled(df.limit(0)))
     assert {r["lang_pred"] for r in language_id.identify(df, empty).collect()} == {"und"}
 
