@@ -44,7 +44,7 @@ HINT_COUNT, HINT_MAX, HINT_PART = 10, 1_000_000, 0.7
 BUCKET_SHINGLES, DIRECT_PAIRS = 2_000_000, 1024
 #: Up to so many candidate sets (16 bytes each) are found among the texts by broadcast, more by shuffle.
 BROADCAST_SETS = 1_000_000
-PIVOTS, CHUNK = 24, 512
+PIVOTS, CHUNK, CHUNK_BYTES = 24, 512, 8_000_000
 #: Rows that one false meeting of frequent segments is worth, and the share of shingles the cost model takes as frequent.
 MEETING_COST, HOT_SHARE = 20.0, 0.1
 #: Segments must suffice for sets of which this part is frequent.
@@ -341,35 +341,44 @@ def _block_links(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest.edges, columns=["a", "b"]).astype("int64")
 
 
-def _against(members: DataFrame, refs: DataFrame) -> DataFrame:
-    """Links of every cluster's members with its references, by blocks of bounded size. Columns: cid, node, s, size."""
-    chunks = (F.col("size") / CHUNK).cast("int") + 1
-    n_refs = refs.groupBy("cid").agg(F.count(F.lit(1)).alias("refs"))
-    m = members.join(n_refs, "cid").withColumn("c", F.pmod(F.xxhash64("node"), chunks)).withColumn("r", F.explode(F.sequence(F.lit(0), (F.col("refs") / CHUNK).cast("int"))))
-    q = refs.join(n_refs, "cid").withColumn("r", F.pmod(F.xxhash64("node", F.lit(1)), (F.col("refs") / CHUNK).cast("int") + 1)).withColumn("c", F.explode(F.sequence(F.lit(0), (F.col("size") / CHUNK).cast("int"))))
-    cols = ["cid", F.col("c").cast("int").alias("c"), F.col("r").cast("int").alias("r"), "node", "s"]
+def _against(members: DataFrame, refs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of every cluster's members with its references, by blocks that are bounded in sets and in bytes.
+
+    members: cid, node, parts (blocks that the cluster's members are dealt to); refs: cid, node. Everything by cluster is
+    done on these narrow rows; sets are joined by node at the end, so a large cluster's sets never meet in one task.
+    """
+    deal = lambda parts, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    q = refs.join(members.select("cid", "node", "parts"), ["cid", "node"])
+    counts = q.groupBy("cid").agg(F.count(F.lit(1)).alias("refs"), F.max("parts").alias("p"))
+    # references are dealt to as many blocks as their share of the cluster needs
+    size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
+    blocks = counts.join(size, "cid").select("cid", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("refs") / F.col("size"))).cast("int").alias("blocks"))
+    m = members.join(blocks, "cid").withColumn("c", deal("parts", 0)).withColumn("r", every("blocks"))
+    q = q.join(blocks, "cid").withColumn("r", deal("blocks", 1)).withColumn("c", every("parts"))
+    cols = ["cid", "c", "r", "node"]
     both = m.select(*cols, F.lit(0).alias("role")).unionByName(q.select(*cols, F.lit(1).alias("role")))
 
     def run(key, f):
         return _block_links(f) if f["role"].nunique() == 2 else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
-    return both.groupBy("cid", "c", "r").applyInPandas(run, "a long, b long")
+    return both.join(sets.select("node", "s"), "node").groupBy("cid", "c", "r").applyInPandas(run, "a long, b long")
 
 
 def _resolve_clusters(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect whatever is connected inside each cluster."""
-    label = connected_components(edges)
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = label.join(sizes, "label").select(F.col("label").alias("cid"), "node", "size").join(sets, "node").select("cid", "node", "s", "size")
+    label = connected_components(edges).join(sets.select("node", F.length("s").alias("bytes")), "node")
+    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
+    members = label.drop("bytes").join(sizes, "label").select(F.col("label").alias("cid"), "node", "size", parts.alias("parts"))
     members = stored(members, "members")
     chance = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    first = stored(_against(members, members.filter(chance * F.col("size") < PIVOTS)), "links")
+    first = stored(_against(members, members.filter(chance * F.col("size") < PIVOTS).select("cid", "node"), sets), "links")
     part = connected_components(first)
-    placed = members.select("cid", "node", "size").join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = members.select("cid", "node").join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
     main = placed.groupBy("cid", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     rest = placed.join(main, "cid").filter("label != main").select("cid", "node")
-    second = _against(members, members.join(rest, ["cid", "node"]))
-    return first.union(second)
+    return first.union(_against(members, rest, sets))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
