@@ -201,3 +201,31 @@ def violation_rates(stats: DataFrame) -> DataFrame:
     """Rates by regime, crisis first, then calm, then others."""
     order = F.when(F.col("regime") == "crisis", 0).when(F.col("regime") == "calm", 1).otherwise(2)
     return rates(valid_pairs(stats), "regime").orderBy(order, "regime")
+
+
+def range_histogram(df: DataFrame, var: str, bins: int, *by: str) -> DataFrame:
+    """Counts in equal-width bins over the range of all values, bins with rows only; the last bin is closed."""
+    v = df.filter(F.col(var).isNotNull()).select(*by, F.col(var).alias("v"))
+    span = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    b = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))).cast("int")
+    return v.crossJoin(F.broadcast(span)).groupBy(*by, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("count")).withColumn("var", F.lit(var))
+
+
+def score_distributions(stats: DataFrame, bins: int = 50) -> DataFrame:
+    """Histograms of the three scores by regime over their own ranges."""
+    ok = valid_pairs(stats)
+    return range_histogram(ok, "s_odd", bins, "regime").unionByName(range_histogram(ok, "delta", bins, "regime")).unionByName(range_histogram(ok, "ctx", bins, "regime"))
+
+
+def summed_histogram(hist: DataFrame, var: str) -> DataFrame:
+    """A score's fixed-edge histogram over all regimes."""
+    return hist.filter(F.col("var") == var).groupBy("bin_left", "bin_right").agg(F.sum("count").alias("count"))
+
+
+def coupling_amount(stats: DataFrame, bound: float = 2.0) -> DataFrame:
+    """Mean share of a window's possible pairs at or above the absolute bound, by regime."""
+    ok = valid_pairs(stats)
+    ends = ok.select("window_id", F.explode(F.array("permno_a", "permno_b")).alias("p")).groupBy("window_id").agg(F.countDistinct("p").alias("n"))
+    hits = ok.groupBy("window_id", "regime").agg(F.count_if(F.col("s_odd") >= bound).alias("m"))
+    share = F.coalesce(F.try_divide(2.0 * F.col("m"), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return hits.join(ends, "window_id").groupBy("regime").agg(F.avg(share).alias("edge_density"), F.count(F.lit(1)).alias("n_windows"))

@@ -219,6 +219,9 @@ SELECT window_id, crisis_names, crisis_types FROM n JOIN ty USING (window_id)"""
         "violation_rates": _with(low, f"SELECT regime, count(*) AS n_pairs, round({_NAIVE}, 9) + 0.0 AS naive_rate, round({_CBD}, 9) + 0.0 AS cbd_rate FROM ok GROUP BY 1"),
         "stat_hist": _with(low, f"{_hist()} SELECT var, regime, {_r('bin_left', 'bin_right')}, count FROM hist"),
         "stat_density": _with(low, f"{_hist()} SELECT var, regime, round((bin_left + bin_right) / 2, 9) + 0.0 AS center, round(count / nullif(sum(count) OVER (PARTITION BY var, regime) * (bin_right - bin_left), 0), 9) + 0.0 AS density FROM hist"),
+        "ctx_overlay": _with(low, f"{_hist()} SELECT {_r('bin_left', 'bin_right')}, CAST(sum(count) AS BIGINT) AS count FROM hist WHERE var = 'ctx' GROUP BY hist.bin_left, hist.bin_right"),
+        "score_distributions": _with(low, " UNION ALL ".join(f"SELECT '{v}' AS var, regime, CAST(least(49, coalesce(floor(({v} - lo) / nullif(hi - lo, 0) * 50), 0)) AS INT) AS bin, round(lo, 9) + 0.0 AS lo, round(hi, 9) + 0.0 AS hi, count(*) AS count FROM ok, (SELECT min({v}) AS lo, max({v}) AS hi FROM ok) WHERE {v} IS NOT NULL GROUP BY 2, 3, 4, 5" for v in ("s_odd", "delta", "ctx"))),
+        "coupling_amount": _with(low, "e AS (SELECT window_id, count(DISTINCT p) AS n FROM (SELECT window_id, permno_a AS p FROM ok UNION ALL SELECT window_id, permno_b FROM ok) GROUP BY 1), m AS (SELECT window_id, regime, count(*) FILTER (WHERE s_odd >= 1.5) AS m FROM ok GROUP BY 1, 2) SELECT regime, round(avg(coalesce(2.0 * m / nullif(n * (n - 1), 0), 0.0)), 9) + 0.0 AS edge_density, count(*) AS n_windows FROM m JOIN e USING (window_id) GROUP BY 1"),
         "cell_summary": _with(low, f"SELECT regime, count(*) AS n_valid, {', '.join(f'round(avg(N{c}), 9) + 0.0 AS N{c}' for c in CELLS)} FROM ok GROUP BY 1"),
         "cell_count_boxes": _with(low, "cc AS (" + " UNION ALL ".join(f"SELECT regime, '{c}' AS cell, CAST(N{c} AS DOUBLE) AS k FROM ok" for c in CELLS) + "), " + _box("cc", "k", "regime, cell")),
         "sector_rates": _with(low, f"{_SECT.format(p=chr(39) + 'within:' + chr(39))} SELECT regime, pair_sector, count(*) AS n_pairs, round({_NAIVE}, 9) + 0.0 AS naive_rate, round({_CBD}, 9) + 0.0 AS cbd_rate FROM ps GROUP BY 1, 2"),

@@ -153,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "violation_rates": _on(lambda p: aggregates.violation_rates(p.stats), **_LOW),
     "stat_hist": _on(lambda p: aggregates.stat_histograms(p.stats), **_LOW),
     "stat_density": _on(lambda p: aggregates.density(aggregates.stat_histograms(p.stats), "regime"), **_LOW),
+    "ctx_overlay": _on(lambda p: aggregates.summed_histogram(aggregates.stat_histograms(p.stats), "ctx"), **_LOW),
+    "score_distributions": _on(lambda p: aggregates.score_distributions(p.stats), **_LOW),
+    "coupling_amount": _on(lambda p: aggregates.coupling_amount(p.stats, 1.5), **_LOW),
     "cell_summary": _on(lambda p: aggregates.cell_summary(p.stats), **_LOW),
     "cell_count_boxes": _on(lambda p: aggregates.cell_count_boxes(p.stats), **_LOW),
     "sector_rates": _on(lambda p: aggregates.sector_rates(p.stats, p.sectors), **_LOW),
@@ -198,6 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edge_jaccard": _on(_jaccard),
     "network_metrics": _on(_networks),
     "metrics_by_regime": _on(lambda p: graphs.metrics_by_regime(_networks(p))),
+    "metrics_over_time": _on(lambda p: _networks(p).orderBy("graph", "win_start")),
     "metrics_by_type": _on(lambda p: graphs.metrics_by_type(_networks(p))),
     "config_excess": _on(_config),
     "window_inference": _on(lambda p: graphs.window_inference(_config(p), n_perm=2000)),
