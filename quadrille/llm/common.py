@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed at once (a longer single text is a piece of its own).
 PIECE_BYTES = 1_000_000
@@ -152,6 +154,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tune(spark: SparkSession) -> None:
+    """Called where a query or stage begins: the package on the executors, and Arrow batches of bounded rows and bytes."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    shared_dir(spark)
+
+
 def tables(sf_dir: str, spark: SparkSession, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 

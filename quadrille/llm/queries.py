@@ -7,75 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, token_files, url_filters
-from .common import shared_dir, tables
+from .common import tables, tune
 from .oracles import ORACLE_SQL
 
 
-def _session(spark: SparkSession) -> None:
-    """Arrow batches that hold a few MB of text, and the shared folder."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    shared_dir(spark)
-
-
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return language_id.identify(docs, language_id.train(language_id.sample_labelled(docs)))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     docs, items = tables(sf_dir, spark, "documents", "benchmark")
     return decontamination.find_leaks(docs, items)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return lm_scoring.score_texts(docs)
 
 
 def op4_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (pages,) = tables(sf_dir, spark, "pages")
     return html_extract.extract_text(pages)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return secrets.scan_secrets(docs)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return jaccard_join.near_duplicates(docs)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return token_files.read_token_table(token_files.write_token_table(docs))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return fingerprints.fingerprint_edits(docs)
 
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
     return packing.pack_documents(docs)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _session(spark)
+    tune(spark)
     pages, labels = tables(sf_dir, spark, "pages", "labels")
     judged = url_filters.judge_urls(pages, url_filters.page_outcomes(pages, labels))
     return judged.withColumn("lower_bad", F.round("lower_bad", 9) + F.lit(0.0))
