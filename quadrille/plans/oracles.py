@@ -239,6 +239,7 @@ SELECT "date", round(ln(g / first_value(g) OVER (ORDER BY "date")), 6) + 0.0 AS
 SELECT min(window_id) AS first_window, max(window_id) AS last_window, min(ws) AS start, max(ws) AS "end", count(*) AS n FROM c GROUP BY run"""),
         "scatter_quota": _with(low, f"q AS (SELECT greatest(1, CAST(floor(300.0 / count(DISTINCT window_id)) AS BIGINT)) AS quota FROM ok), r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY {_HASH}, permno_a, permno_b) AS k FROM ok) SELECT window_id, permno_a, permno_b, {_r('s_odd', 'delta', 'ctx')}, regime FROM r, q WHERE k <= quota"),
         "sample_pairs": _with(low, f"SELECT window_id, permno_a, permno_b, {_r('s_odd')} FROM (SELECT * FROM ok ORDER BY {_HASH}, window_id, permno_a, permno_b LIMIT 200)"),
+        "group_sample": _with(low, f"SELECT regime, window_id, permno_a, permno_b, {_r('ctx')} FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5(concat_ws('|', regime, CAST(window_id AS VARCHAR), CAST(permno_a AS VARCHAR), CAST(permno_b AS VARCHAR), '0')), window_id, permno_a, permno_b) AS k FROM ok) WHERE k <= 40"),
         "pooled_weights": _with(s, f"SELECT window_id, permno_a, permno_b, round({_POOL}, 9) + 0.0 AS w_pooled FROM ok"),
         "threshold_sweep": _sweep(),
         "split_half_weights": _with(s, f"{_HALVES.strip()} SELECT window_id, permno_a, permno_b, half, {_r('w_s_odd', 'w_e00', 'w_pooled')} FROM halves"),

@@ -170,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crisis_runs": _on(lambda p: aggregates.crisis_runs(aggregates.regime_table(p.stats))),
     "scatter_quota": _on(lambda p: aggregates.scatter_quota(p.stats, 300), **_LOW),
     "sample_pairs": _on(lambda p: aggregates.sample_pairs(p.stats, 200).select("window_id", "permno_a", "permno_b", "s_odd"), **_LOW),
+    "group_sample": _on(lambda p: aggregates.group_sample(pairs.valid_pairs(p.stats), 40, ["regime"]).select("regime", "window_id", "permno_a", "permno_b", "ctx"), **_LOW),
     "pooled_weights": _on(lambda p: pairs.valid_pairs(p.stats).select("window_id", "permno_a", "permno_b", pooled_weight([F.col(f"E{c}") for c in aggregates.CELLS], [F.col(f"N{c}") for c in aggregates.CELLS]).alias("w_pooled"))),
     # sweep and reliability
     "threshold_sweep": _on(lambda p: sweep.threshold_sweep(p.rows, p.labels)),
@@ -186,6 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "placebo": _on(lambda p: nulls.permutation_placebo(p.stats, p.rows, n_perm=2)),
     "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows, n_perm=50)),
     "small_sample_null": _on(lambda p: nulls.small_sample_null(p.spark, [5, 10, 20, 50, 100])),
+    "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n, 2000)) for n in (3, 5, 10)], "n_min int, floor double")),
     "matched_floor": _on(lambda p: nulls.matched_floor(pairs.valid_pairs(p.stats), ["regime"]), **_LOW),
     "sweep_null_rates": _on(lambda p: nulls.sweep_null_rates(sweep.sweep_pairs(p.rows, p.width, (0.9,), 3).withColumn("regime", F.lit("calm")), p.rows, (0.9,), 3, 300)),
     "null_gate_stats": _on(lambda p: nulls.null_gate_stats(p.stats, p.rows)),
