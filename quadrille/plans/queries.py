@@ -25,11 +25,12 @@ class Panel:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return self.kept(testdata.returns(self.spark, self.sf_dir), "returns")
+        """Written once: calendar, spells, windows and rows all derive from it, and each would scan the facts again."""
+        return stored(testdata.returns(self.spark, self.sf_dir), "returns")
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return windows.trading_calendar(self.returns)
+        return stored(windows.trading_calendar(self.returns), "calendar")
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -120,7 +121,7 @@ def _jaccard(p: Panel) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # panel and windows
-    "panel_returns": _on(lambda p: p.returns, keep=False),
+    "panel_returns": _on(lambda p: testdata.returns(p.spark, p.sf_dir)),
     "trading_calendar": _on(lambda p: p.calendar),
     "membership_spells": _on(lambda p: p.membership),
     "members_overlapping": _on(lambda p: tables.overlapping_members(p.membership, "1996-01-01", "1996-06-30").select("permno").distinct()),
