@@ -367,7 +367,9 @@ def _against(members: DataFrame, refs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _resolve_clusters(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that connect whatever is connected inside each cluster."""
-    label = connected_components(edges).join(sets.select("node", F.length("s").alias("bytes")), "node")
+    label = connected_components(edges)
+    sets = stored(sets.select("node", "s").join(label.select("node"), "node"), "cluster-sets")  # those of clusters alone
+    label = label.join(sets.select("node", F.length("s").alias("bytes")), "node")
     sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     parts = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
     members = label.drop("bytes").join(sizes, "label").select(F.col("label").alias("cid"), "node", "size", parts.alias("parts"))
