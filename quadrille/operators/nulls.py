@@ -192,13 +192,15 @@ def sweep_null_rates(swept: DataFrame, rows: DataFrame, quantiles, relaxed_n_min
     return out
 
 
-def null_gate_stats(stats: DataFrame, rows: DataFrame, n_windows: int = 6, n_nodes: int = 60, n_min: int = 10, q: float = 0.5, seed: int = 0) -> DataFrame:
-    """The classical null on the first windows and, in each, the first members that valid pairs have."""
+def null_gate_stats(stats: DataFrame, rows: DataFrame, n_windows: int | None = 6, n_nodes: int | None = 60, n_min: int = 10, q: float = 0.5, seed: int = 0) -> DataFrame:
+    """The classical null on the first windows and, in each, the first members that valid pairs have (None: all)."""
     from pyspark.sql import Window
 
     from .windows import first_windows
 
-    ok = first_windows(valid_pairs(stats), n_windows)
+    ok = valid_pairs(stats) if n_windows is None else first_windows(valid_pairs(stats), n_windows)
+    if n_nodes is None:
+        return classical_null(ok, rows, n_min, seed=seed, q=q)
     nodes = ok.select("window_id", F.col("permno_a").alias("p")).union(ok.select("window_id", "permno_b")).distinct()
     nodes = nodes.withColumn("r", F.row_number().over(Window.partitionBy("window_id").orderBy("p"))).filter(F.col("r") <= n_nodes)
     for k in "ab":

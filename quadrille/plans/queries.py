@@ -105,10 +105,15 @@ def _reliability(p: Panel) -> DataFrame:
     return sweep.split_half_reliability(p.halves, p.windows)
 
 
+def _qap(stats: DataFrame) -> DataFrame:
+    """Every window that has members enough, with the permutations of the reference."""
+    return graphs.qap_hierarchy(stats, max_windows=None, min_nodes=5)
+
+
 def _gate(p: Panel) -> DataFrame:
-    real = p.kept(graphs.qap_hierarchy(p.stats, n_perm=19, max_windows=4, min_nodes=5), "qap")
-    null = p.kept(graphs.qap_hierarchy(nulls.null_gate_stats(p.stats, p.rows, 4, 60, p.n_min), n_perm=19, max_windows=4, min_nodes=5), "qap-null")
-    return graphs.gate_summary(real, null, _reliability(p), 500)
+    real = p.kept(_qap(p.stats), "qap")
+    null = p.kept(_qap(nulls.null_gate_stats(p.stats, p.rows, None, None, p.n_min)), "qap-null")
+    return graphs.gate_summary(real, null, _reliability(p))
 
 
 def _labels(**kw) -> Callable[[Panel], DataFrame]:
@@ -209,8 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "config_excess": _on(_config),
     "window_inference": _on(lambda p: graphs.window_inference(_config(p), n_perm=2000)),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
-    "qap_permutation": _on(lambda p: graphs.qap_hierarchy(p.stats, n_perm=49, max_windows=4, min_nodes=5)),
-    "tier_summary": _on(lambda p: graphs.tier_summary(graphs.qap_hierarchy(p.stats, n_perm=9, max_windows=4, min_nodes=5))),
+    "qap_permutation": _on(lambda p: _qap(p.stats)),
+    "tier_summary": _on(lambda p: graphs.tier_summary(_qap(p.stats))),
     "gate_summary": _on(_gate),
     "topology_reliability": _on(lambda p: graphs.topology_reliability(p.halves)),
     "reliability_checkpoint": _on(lambda p: graphs.reliability_checkpoint(graphs.topology_reliability(p.halves), _reliability(p))),
