@@ -182,12 +182,15 @@ def matched_floor(pairs: DataFrame, by: list[str], cap: int = 5000, seed: int =
 
 
 def sweep_null_rates(swept: DataFrame, rows: DataFrame, quantiles, relaxed_n_min: int = 3, cap: int = 3000, seed: int = 0) -> DataFrame:
-    """Rate of ctx > 0 of the classical null at each relaxed quantile and regime, from a sample of its valid pairs."""
+    """Rate of ctx > 0 of the classical null at each relaxed quantile and regime, from a sample of its valid pairs.
+
+    A group whose simulated pairs are all invalid has a row with 0 of them and no rate.
+    """
     out = None
     for q in quantiles:
         chosen = group_sample(swept.filter((F.col("theta_q") == float(q)) & F.col("valid")), cap, ["regime"], PAIR_KEYS, seed)
-        null = classical_null(chosen, rows, relaxed_n_min, seed=seed, q=float(q)).filter("valid")
-        r = null.groupBy("regime").agg(F.avg(F.when(F.col("ctx") > 0, 1.0).otherwise(0.0)).alias("cbd_rate_null_relaxed"), F.count(F.lit(1)).alias("n_valid_null_relaxed")).withColumn("theta_q", F.lit(float(q)))
+        null = classical_null(chosen, rows, relaxed_n_min, seed=seed, q=float(q))
+        r = null.groupBy("regime").agg(F.avg(F.when(F.col("valid"), F.when(F.col("ctx") > 0, 1.0).otherwise(0.0))).alias("cbd_rate_null_relaxed"), F.count_if("valid").alias("n_valid_null_relaxed")).withColumn("theta_q", F.lit(float(q)))
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -116,6 +116,11 @@ def _gate(p: Panel) -> DataFrame:
     return graphs.gate_summary(real, null, _reliability(p))
 
 
+def _sweep_null(p: Panel) -> DataFrame:
+    swept = sweep.sweep_pairs(p.rows, p.width, sweep.RELAXED_QUANTILES, N_MIN_LOW).join(F.broadcast(p.labels), "window_id")
+    return nulls.sweep_null_rates(swept, p.rows, sweep.RELAXED_QUANTILES, N_MIN_LOW)
+
+
 def _labels(**kw) -> Callable[[Panel], DataFrame]:
     return lambda p: labels.label_by_volatility(p.windows, p.vix, **kw)
 
@@ -195,7 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "small_sample_null": _on(lambda p: nulls.small_sample_null(p.spark, [5, 10, 20, 50, 100])),
     "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n, 2000)) for n in (3, 5, 10)], "n_min int, floor double")),
     "matched_floor": _on(lambda p: nulls.matched_floor(pairs.valid_pairs(p.stats), ["regime"]), **_LOW),
-    "sweep_null_rates": _on(lambda p: nulls.sweep_null_rates(sweep.sweep_pairs(p.rows, p.width, (0.9,), 3).withColumn("regime", F.lit("calm")), p.rows, (0.9,), 3, 300)),
+    "sweep_null_rates": _on(_sweep_null),
     "null_gate_stats": _on(lambda p: nulls.null_gate_stats(p.stats, p.rows)),
     # graphs
     "edge_weights": _on(lambda p: p.weights),

@@ -21,3 +21,21 @@ def test_qap_queries_take_every_window(spark, panel):
     tiers = queries.QUERIES["tier_summary"](spark, SF).first()
     assert abs(tiers["r_e00_s_odd_mean"] - got["r_e00_s_odd"].mean()) < 1e-6
     assert queries.QUERIES["gate_summary"](spark, SF).first()["n_gate_windows"] == len(windows)
+
+
+def test_sweep_null_takes_every_quantile_and_regime(spark, panel, monkeypatch):
+    from quadrille.operators import nulls, sweep
+
+    swept = sweep.sweep_pairs(panel.rows, panel.width, sweep.RELAXED_QUANTILES, queries.N_MIN_LOW).join(panel.labels, "window_id").filter("valid")
+    want = {(r["theta_q"], r["regime"]) for r in swept.select("theta_q", "regime").distinct().collect()}
+    got = queries.QUERIES["sweep_null_rates"](spark, SF).collect()
+    assert ("crisis" in {g for _, g in want}) and {(r["theta_q"], r["regime"]) for r in got} == want
+    seen = {}
+
+    def spy(s, rows, quantiles, n_min, cap=3000, seed=0):
+        seen.update(quantiles=quantiles, cap=cap, regimes={r["regime"] for r in s.select("regime").distinct().collect()})
+        return rows
+
+    monkeypatch.setattr(nulls, "sweep_null_rates", spy)
+    queries.QUERIES["sweep_null_rates"](spark, SF)
+    assert seen == {"quantiles": (0.90, 0.95), "cap": 3000, "regimes": {"calm", "crisis"}}
