@@ -7,6 +7,11 @@ MinHash (the least hash in each of a number of bins); an equal bin makes an item
 single hit of many likely ones. Every candidate is then verified on the shingle sets of the whole text and item: it
 counts if the text holds ``CONTAINMENT`` of the item's distinct shingles or more.
 
+A sketch can miss an item of few shingles, as each may share its bin with a smaller hash of the window. So items of up to
+``DIRECT`` shingles are found by the shingles themselves: one that is contained misses a quarter of its n shingles at
+most, so any n // 4 + 1 of them include one that the text has, and all shingles of a text are looked up. Nothing is
+missed there. Classes above have bins enough for the rest.
+
 Items are the query set. They are read in blocks of bounded size, each of which is sent to all tasks and searched
 against all rows. Null and empty items match nothing; an item of one to four words has its whole sequence as
 its only shingle, so it matches only texts that equal it, and likewise for short texts. Repeated items and rows are
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import encode, mix64, pieces, shingle_hashes, shingle_sets, word_hashes
 
 CONTAINMENT = 0.75
-LEAST_BINS, LEAST_CLASS, FILTER_BITS = 64, 16, 22
+DIRECT, FILTER_BITS = 16, 22
 BLOCK_BYTES = 16_000_000
 
 
@@ -38,24 +43,45 @@ class Index:
         classes: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
             if len(s):
-                size = LEAST_CLASS
+                size = DIRECT
                 while size < len(s):
                     size *= 2
                 classes.setdefault(size, []).append(k)
+        self.direct = self._direct(classes.pop(DIRECT, []))
         self.classes = []
         for size, items in sorted(classes.items()):
-            bins = max(LEAST_BINS, size)
-            keys, owner = [], []
+            bins = self._bins(size)
+            keys = []
             for k in items:
                 mins = self._mins(self.sets[k], np.zeros(len(self.sets[k]), np.int64), 1, bins)
-                got = self._keys(mins, bins)
-                keys.append(got)
-                owner += [k] * len(got)
-            keys = np.concatenate(keys)
-            order = np.argsort(keys, kind="stable")
-            sieve = np.zeros(1 << FILTER_BITS, bool)
-            sieve[keys >> np.uint64(64 - FILTER_BITS)] = True
-            self.classes.append((size, bins, keys[order], np.array(owner)[order], sieve))
+                keys.append(self._keys(mins, bins))
+            self.classes.append((size, bins, *self._table(keys, items)))
+
+    def _direct(self, items: list[int]):
+        """Table of n // 4 + 1 shingles of each item of n, those that fewest of these items have."""
+        if not items:
+            return None
+        seen, count = np.unique(np.concatenate([self.sets[k] for k in items]), return_counts=True)
+        keys = []
+        for k in items:
+            s = self.sets[k]
+            keys.append(s[np.argsort(count[np.searchsorted(seen, s)], kind="stable")[: len(s) // 4 + 1]])
+        return self._table(keys, items)
+
+    @staticmethod
+    def _table(keys: list[np.ndarray], items: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys, the item of each, and a sieve of their highest bits."""
+        owner = np.repeat(items, [len(x) for x in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        sieve = np.zeros(1 << FILTER_BITS, bool)
+        sieve[keys >> np.uint64(64 - FILTER_BITS)] = True
+        return keys[order], owner[order], sieve
+
+    @staticmethod
+    def _bins(size: int) -> int:
+        """Two bins for each shingle of a window of a small class; half a bin in the largest, whose items have many."""
+        return max(size, min(4 * size, 256))
 
     @staticmethod
     def _mins(h: np.ndarray, group: np.ndarray, groups: int, bins: int) -> np.ndarray:
@@ -68,6 +94,14 @@ class Index:
     def _keys(mins: np.ndarray, bins: int) -> np.ndarray:
         return mix64(mins[mins != np.iinfo(np.uint64).max] + np.uint64(bins))
 
+    @staticmethod
+    def _hits(k: np.ndarray, keys: np.ndarray, owner: np.ndarray, sieve: np.ndarray):
+        """(place in k, items that have this key) of every key that the table has."""
+        hit = np.flatnonzero(sieve[k >> np.uint64(64 - FILTER_BITS)])
+        lo, hi = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
+        for j in np.flatnonzero(hi > lo).tolist():
+            yield hit[j], owner[lo[j] : hi[j]].tolist()
+
     def search(self, texts) -> list[tuple[int, int, int]]:
         """(text, item, number of the item's shingles that the text has) of every match."""
         out = []
@@ -77,7 +111,10 @@ class Index:
             text_of = np.repeat(np.arange(len(run)), counts)
             place = np.arange(len(h)) - first[text_of]
             found: set[tuple[int, int]] = set()
-            for size, bins, keys, owner, sieve in self.classes:
+            if self.direct is not None:
+                for j, items in self._hits(h, *self.direct):
+                    found.update((int(text_of[j]), o) for o in items)
+            for size, bins, *table in self.classes:
                 blocks = -(-counts // size)
                 begin = np.concatenate([[0], np.cumsum(blocks)])
                 if not begin[-1]:
@@ -87,12 +124,9 @@ class Index:
                 joined = np.minimum(mins, np.concatenate([mins[1:], mins[-1:]]))
                 joined[last] = mins[last]
                 window, _ = np.nonzero(joined != np.iinfo(np.uint64).max)
-                k = self._keys(joined, bins)
-                hit = np.flatnonzero(sieve[k >> np.uint64(64 - FILTER_BITS)])
-                lo, hi = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
-                for j in np.flatnonzero(hi > lo).tolist():
-                    t = int(np.searchsorted(begin, window[hit[j]], "right")) - 1
-                    found |= {(t, int(o)) for o in owner[lo[j] : hi[j]]}
+                for j, items in self._hits(self._keys(joined, bins), *table):
+                    t = int(np.searchsorted(begin, window[j], "right")) - 1
+                    found.update((t, o) for o in items)
             sets: dict[int, np.ndarray] = {}
             for t, item in sorted(found):
                 if t not in sets:
