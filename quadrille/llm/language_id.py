@@ -11,6 +11,10 @@ Training reads a bounded sample (``PER_LANGUAGE`` texts a language, ``WINDOW`` c
 of a longer one) of the rows with a language outside the held-out fold. Prediction reads whole texts, and nothing but
 texts. Null texts and texts without a letter get ``und`` and score 0, as does everything if there is nothing
 to learn from. Ties go to the language that sorts first.
+
+A score says which language is best, not whether any fits: among K languages it is 1/K or more for every text. Whether a
+text is in a learned language at all is judged by its n-grams of ``MAX_N`` characters: ``evidence`` is the share of letters
+in words of which ``WORD_SEEN`` or more were seen in one language's training texts. It does not depend on K.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from .common import fold, mix64
 PER_LANGUAGE, WINDOW, MAX_LANGUAGES = 250, 2500, 256
 HASH_BITS, MAX_N, LEXICON_MIN = 17, 4, 4
 SEQUENCE, ROUNDS, BLOCK = 40, 30, 48
+WORD_SEEN, LEAST_EVIDENCE = 0.75, 0.5
+SHORT_LETTERS, SHORT_EVIDENCE = 40, 1 / 3
 UNKNOWN = "und"
 PIECE_CHARS = 600_000
 _M = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
@@ -100,6 +106,19 @@ class Words:
                 acc = acc[:-1] * _M[3] + v[n - 1 :]
             yield n, (mix64(acc + np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
+    def long_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """(64-bit hash, distinct word) of all n-grams of MAX_N inside a word with its marks; a shorter word is its own."""
+        n = np.diff(self.at)
+        owner = np.repeat(np.arange(len(n)), np.maximum(n - MAX_N + 1, 1))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(n)))[owner]
+        place = self.at[:-1][owner] + rank
+        h = np.zeros(len(owner), np.uint64)
+        for k in range(MAX_N):
+            inside = place + k < self.at[1:][owner]
+            c = self.chars[np.minimum(place + k, len(self.chars) - 1)] + np.uint64(1)
+            h = h * _M[3] + np.where(inside, c, np.uint64(0)) * _M[2]
+        return mix64(h), owner
+
     def gram_sum(self, table: np.ndarray) -> np.ndarray:
         """Sum of the table's rows over all n-grams inside each distinct word."""
         out = np.zeros((len(self.hashes), table.shape[1]))
@@ -180,6 +199,36 @@ class Model:
         self.trans = np.zeros((K, K))
         self.lexicon = np.zeros(0, np.uint64)
         self.words = np.zeros((1, K))
+        self.seen = np.zeros(0, np.uint64)
+        self.seen_in = np.zeros((1, K), bool)
+
+    def learn_seen(self, w: Words, label: np.ndarray) -> None:
+        """Notes the languages in whose texts each long n-gram occurs."""
+        h, owner = w.long_grams()
+        self.seen, at = np.unique(h, return_inverse=True)
+        self.seen_in = np.zeros((len(self.seen) + 1, len(self.labels)), bool)
+        for k in range(len(self.labels)):
+            has = np.bincount(w.word[label == k], minlength=len(w.hashes)) > 0
+            self.seen_in[at[has[owner]], k] = True
+
+    def seen_share(self, w: Words) -> np.ndarray:
+        """For each distinct word the share of its long n-grams that the language with most of them has."""
+        h, owner = w.long_grams()
+        at = np.searchsorted(self.seen, h)
+        ok = at < len(self.seen)
+        ok[ok] = self.seen[at[ok]] == h[ok]
+        rows = self.seen_in[np.where(ok, at, len(self.seen))]
+        most = np.zeros(len(w.hashes))
+        for k in range(rows.shape[1]):
+            most = np.maximum(most, np.bincount(owner, rows[:, k], len(w.hashes)))
+        return most / np.maximum(np.bincount(owner, minlength=len(w.hashes)), 1)
+
+    def is_learned(self, w: Words) -> np.ndarray:
+        """Whether each text is in languages of the training. Short texts need a smaller share, of n-grams in place of words."""
+        share = self.seen_share(w)[w.word]
+        letters, known, grams = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[w.first]) for x in (w.size, w.size * (share >= WORD_SEEN), w.size * share))
+        enough = np.where(letters < SHORT_LETTERS, grams >= SHORT_EVIDENCE * letters - 1e-6, known >= LEAST_EVIDENCE * letters - 1e-6)
+        return (letters > 0) & enough
 
     def _known(self, hashes: np.ndarray) -> np.ndarray:
         """Row of each word in the lexicon; the last row, which stays zero, for others."""
@@ -192,7 +241,11 @@ class Model:
         return w.gram_sum(self.grams) + self.words[self._known(w.hashes)]
 
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list, evidence: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Name and score of each text's language; with evidence, whether the text is in learned languages."""
+        names, scores, learned = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         at = 0
         for run in _runs(texts):
             w = Words(run)
@@ -208,8 +261,10 @@ class Model:
             share = total[np.arange(len(run)), best] / np.maximum(total.sum(axis=1), 1e-12)
             names += [self.labels[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
             scores[at : at + len(run)] = np.where(counts > 0, np.clip(share, 0, 1), 0)
+            if evidence:
+                learned[at : at + len(run)] = self.is_learned(w)
             at += len(run)
-        return names, scores
+        return names, scores, learned
 
 
 def _runs(texts: list):
@@ -234,6 +289,7 @@ def train(sample: list[tuple[str, str]], seed: int = 1) -> Model:
     w = Words([t for _, t in sample])
     code = {lang: k for k, lang in enumerate(labels)}
     label = np.repeat([code[lang] for lang, _ in sample], np.diff(w.first))
+    model.learn_seen(w, label)
     # segments of one text each; a third of the sequences joins short segments of different texts
     rng = np.random.default_rng(seed)
     cuts = np.unique(np.concatenate([w.first, np.flatnonzero(rng.random(len(label)) < 2 / SEQUENCE)]))
@@ -318,15 +374,16 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(df: DataFrame, model: Model, min_score: float | None = None, text_col: str = "text") -> DataFrame:
     """The rows with an identified language; all columns stay as they are.
 
-    A row goes if it has no letter, or if its best language does no better than an even split between all languages
-    (or than min_score, if given). Short texts and texts in two languages are no reason to go.
+    A row goes if it has no letter, or if under half of its letters are in words like those of the training texts (see
+    evidence above; a text of fewer than SHORT_LETTERS letters goes if under a third of its n-grams are known), or if its best
+    language does no better than min_score, if given. Being in two languages is no reason to go.
     """
-    least = min_score if min_score is not None else 1.05 / max(1, len(model.labels)) if len(model.labels) > 1 else 0.0
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):
         for f in frames:
-            names, scores = shared.value.predict(f[text_col].tolist())
-            yield f[(np.array(names) != UNKNOWN) & (scores >= least)]
+            names, scores, learned = shared.value.judge(f[text_col].tolist(), evidence=True)
+            keep = (np.array(names) != UNKNOWN) & learned
+            yield f[keep if min_score is None else keep & (scores >= min_score)]
 
     return df.mapInPandas(run, df.schema)

@@ -1,6 +1,6 @@
 import random
 
-from quadrille.llm import decontamination
+from quadrille.llm import decontamination, language_id
 from tests.llm.helpers import shingles
 
 
@@ -27,3 +27,17 @@ def test_short_items_in_long_texts_are_all_found():
         want |= {(t, i, len(need[i] & s)) for i in set().union(*(by.get(x, set()) for x in s)) if len(need[i] & s) >= 0.75 * len(need[i])}
     got = decontamination.Index(list(range(len(items))), items).search(texts)
     assert set(got) == want and len(got) == len(want) > 600
+
+
+def test_texts_of_unlearned_languages_go(spark):
+    """Whatever the number of languages, texts in another one and letter noise go; short and mixed ones stay."""
+    rng = random.Random(7)
+    stems = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(60)] for k in range(7)}
+    say = lambda k, n: " ".join(rng.choice(stems[k]) + rng.choice(stems[k])[:2] for _ in range(n))
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n))
+    for languages in (1, 2, 6):
+        model = language_id.train([(f"l{k}", say(k, 80)) for k in range(languages) for _ in range(60)])
+        good = [say(k, n) for k in range(languages) for n in (1, 2, 30, 400)] + [" ".join(say(k, 40) for k in range(languages))]
+        bad = [say(6, n) for n in (2, 30, 400)] + [noise(n) for n in (2, 30, 400)] + ["слово и дело " * n for n in (1, 40)] + ["", "12 ?!"]
+        df = spark.createDataFrame([*((k, t) for k, t in enumerate(good)), *((-1 - k, t) for k, t in enumerate(bad))], "doc_id long, text string")
+        assert {r["doc_id"] for r in language_id.keep_identified(df, model).collect()} == set(range(len(good)))
