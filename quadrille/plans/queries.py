@@ -98,7 +98,7 @@ def _networks(p: Panel) -> DataFrame:
 
 
 def _config(p: Panel) -> DataFrame:
-    return p.kept(graphs.config_excess(p.stats, n_rewire=10, episodes=p.episodes), "excess")
+    return p.kept(graphs.config_excess(p.stats, episodes=p.episodes), "excess")
 
 
 def _reliability(p: Panel) -> DataFrame:
@@ -179,7 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_equal_weight": _on(lambda p: aggregates.equal_weight_index(p.returns, testdata.index_levels(p.spark, p.sf_dir)).withColumns({c: F.round(F.ln(c), 6) for c in ("equal_weight", "index_level")})),
     "regime_table": _on(lambda p: aggregates.regime_table(p.stats)),
     "crisis_runs": _on(lambda p: aggregates.crisis_runs(aggregates.regime_table(p.stats))),
-    "scatter_quota": _on(lambda p: aggregates.scatter_quota(p.stats, 300), **_LOW),
+    "scatter_quota": _on(lambda p: aggregates.scatter_quota(p.stats), **_LOW),
     "sample_pairs": _on(lambda p: aggregates.sample_pairs(p.stats, 200).select("window_id", "permno_a", "permno_b", "s_odd"), **_LOW),
     "group_sample": _on(lambda p: aggregates.group_sample(pairs.valid_pairs(p.stats), 40, ["regime"]).select("regime", "window_id", "permno_a", "permno_b", "ctx"), **_LOW),
     "pooled_weights": _on(lambda p: pairs.valid_pairs(p.stats).select("window_id", "permno_a", "permno_b", pooled_weight([F.col(f"E{c}") for c in aggregates.CELLS], [F.col(f"N{c}") for c in aggregates.CELLS]).alias("w_pooled"))),
@@ -196,9 +196,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classical_null": _on(lambda p: nulls.classical_null(p.stats, p.rows)),
     "classical_null_hist": _on(lambda p: aggregates.histogram(nulls.classical_null(p.stats, p.rows).filter("valid"), "ctx", aggregates.edges_of(aggregates.BINS["ctx"]))),
     "placebo": _on(lambda p: nulls.permutation_placebo(p.stats, p.rows, n_perm=2)),
-    "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows, n_perm=50)),
+    "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows)),
     "small_sample_null": _on(lambda p: nulls.small_sample_null(p.spark, [5, 10, 20, 50, 100])),
-    "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n, 2000)) for n in (3, 5, 10)], "n_min int, floor double")),
+    "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n)) for n in (3, 5, 10)], "n_min int, floor double")),
     "matched_floor": _on(lambda p: nulls.matched_floor(pairs.valid_pairs(p.stats), ["regime"]), **_LOW),
     "sweep_null_rates": _on(_sweep_null),
     "null_gate_stats": _on(lambda p: nulls.null_gate_stats(p.stats, p.rows)),
@@ -217,7 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metrics_over_time": _on(lambda p: _networks(p).orderBy("graph", "win_start")),
     "metrics_by_type": _on(lambda p: graphs.metrics_by_type(_networks(p))),
     "config_excess": _on(_config),
-    "window_inference": _on(lambda p: graphs.window_inference(_config(p), n_perm=2000)),
+    "window_inference": _on(lambda p: graphs.window_inference(_config(p))),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
     "qap_permutation": _on(lambda p: _qap(p.stats)),
     "tier_summary": _on(lambda p: graphs.tier_summary(_qap(p.stats))),

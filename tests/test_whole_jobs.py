@@ -39,3 +39,20 @@ def test_sweep_null_takes_every_quantile_and_regime(spark, panel, monkeypatch):
     monkeypatch.setattr(nulls, "sweep_null_rates", spy)
     queries.QUERIES["sweep_null_rates"](spark, SF)
     assert seen == {"quantiles": (0.90, 0.95), "cap": 3000, "regimes": {"calm", "crisis"}}
+
+
+def test_sampling_queries_use_the_operators_defaults(spark, panel, monkeypatch):
+    from quadrille.operators import nulls
+
+    low = queries.Panel(spark, SF, n_min=queries.N_MIN_LOW)
+    valid = low.stats.filter("valid").count()
+    assert queries.QUERIES["scatter_quota"](spark, SF).count() == min(valid, 20_000) > 300
+    floors = {r["n_min"]: r["floor"] for r in queries.QUERIES["finite_n_floor"](spark, SF).collect()}
+    assert floors == {n: round(nulls.finite_n_floor(n), 9) for n in (3, 5, 10)}
+    seen = []
+    monkeypatch.setattr(nulls, "max_stat_null", lambda stats, rows, n_perm=200: seen.append(n_perm) or rows)
+    monkeypatch.setattr(queries.graphs, "config_excess", lambda stats, n_rewire=20, episodes=None: seen.append(n_rewire) or stats)
+    monkeypatch.setattr(queries.graphs, "window_inference", lambda excess, n_perm=20_000: seen.append(n_perm) or excess)
+    for name in ("max_stat_null", "config_excess", "window_inference"):
+        queries.QUERIES[name](spark, SF)
+    assert seen == [200, 20, 20, 20_000]
