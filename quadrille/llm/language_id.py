@@ -8,7 +8,8 @@ expectation, its score that language's share. Long texts are cut into blocks who
 multiplied first, so the marginals are exact at any length and the cost is linear.
 
 Training reads a bounded sample (``PER_LANGUAGE`` texts a language, ``WINDOW`` characters at most from a hashed place
-of a longer one) of the rows with a language outside the held-out fold. Prediction reads whole texts, and nothing but
+of a longer one) of the rows with a language outside the held-out fold. Only the ``MAX_LANGUAGES`` values of lang with
+most rows are learned: a rarer one is never predicted, its texts get the nearest learned language, and the pipeline may drop them. Prediction reads whole texts, and nothing but
 texts. Null texts and texts without a letter get ``und`` and score 0, as does everything if there is nothing
 to learn from. Ties go to the language that sorts first.
 
