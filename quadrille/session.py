@@ -31,30 +31,65 @@ def local(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
-_shipped: set[str] = set()
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that their Python can import it anywhere."""
+    """Sends this package to the executors, once for each application, so that their Python can import it anywhere.
+
+    The driver serves the archive over the network for as long as it runs; the folder goes when it ends.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp()) / "quadrille.zip"
+    _shipped[app] = tempfile.TemporaryDirectory()
+    path = Path(_shipped[app].name) / "quadrille.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
-    _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context.
+
+    Only where neither is set, as in tests, a folder in the warehouse is taken, which is shared as well.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not path and current.isDefined():
+        path = current.get()
+    if not path:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table that is read more than once to the folder of spark.checkpoint.dir and reads it back.
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The folder is shared by driver and executors; only where it is unset (as in tests) one is chosen here.
+    The table goes with the application, or before that with ``discard``.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/quadrille-checkpoints"
-    path = f"{root.rstrip('/')}/quadrille/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` made, once nothing reads them any more."""
+    for df in tables:
+        where, files = _files(df.sparkSession, df._stored_at)
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
