@@ -6,18 +6,20 @@ so all of this works on bytes, for a whole Arrow batch at once.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import discard, shared_dir, ship, stored
 
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed at once (a longer single text is a piece of its own).
 PIECE_BYTES = 1_000_000
+NULL_ID = -(1 << 63)
+FAN = 32
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -133,27 +135,6 @@ def shingle_sets(texts: Iterable) -> Iterator[tuple[int, np.ndarray]]:
             yield at + k, np.unique(h[first[k] : first[k + 1]])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not path and current.isDefined():
-        path = current.get()
-    if not path:
-        path = "/tmp/quadrille-checkpoints"
-    if not current.isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quadrille/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tune(spark: SparkSession) -> None:
     """Called where a query or stage begins: the package on the executors, and Arrow batches of bounded rows and bytes."""
     ship(spark)
@@ -175,12 +156,51 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def batches(f: Callable, *args):
-    """A function for mapInPandas from one that takes a frame and returns a frame (None: nothing)."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
 
-    def run(frames):
-        for frame in frames:
-            if len(frame) and (out := f(frame, *args)) is not None:
-                yield out
+def texts_of(batch, column: str = "text") -> list:
+    """The texts of an Arrow batch; null is None."""
+    return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
-    return run
+
+def with_columns(batch, keep: list[str], names: list[str], columns: list) -> pa.RecordBatch:
+    """Columns of a batch, as they are, and new ones behind them. Arrow leaves ids, nulls and times unchanged; pandas would not."""
+    kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+    return pa.RecordBatch.from_arrays([*kept, *columns], names=[*keep, *names])
+
+
+def ordered_buckets(df: DataFrame, key: str, tie: Column, rows_per_bucket: int, most: int) -> tuple[int, Column]:
+    """(number of buckets, bucket of a row), ascending in (key, tie); about rows_per_bucket rows each, and not over most buckets.
+
+    key is a whole number, null counts as least; tie is a 64-bit hash that orders rows of the same key. A key with more rows than
+    a bucket should have is dealt to several by tie. The driver sees one number for each bucket.
+    """
+    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    n = min(most, max(1, -(-rows // rows_per_bucket)))
+    x = F.coalesce(F.col(key), F.lit(NULL_ID))
+    cuts: list[int] = []
+    if n > 1:
+        at = F.percentile_approx(x, [k / n for k in range(1, n)], 20 * n)
+        cuts = sorted(df.agg(at.alias("c")).first()["c"] or [])
+    levels = [cuts]
+    while len(levels[0]) > FAN:
+        levels.insert(0, levels[0][FAN - 1 :: FAN])
+
+    def cuts_before(stop) -> Column:
+        """The number of cuts for which stop holds, by descending through levels of FAN cuts each."""
+        out = F.lit(0)
+        for level in levels:
+            here = F.array(*map(F.lit, level)).cast("array<bigint>") if level else F.array().cast("array<bigint>")
+            out = out * FAN + F.size(F.filter(F.slice(here, out * FAN + 1, FAN), stop))
+        return out
+
+    if len(set(cuts)) == len(cuts):
+        return n, cuts_before(lambda c: c < x)
+    below, same = cuts_before(lambda c: c < x), cuts_before(lambda c: c <= x)
+    part = F.shiftrightunsigned(tie.bitwiseXOR(F.lit(NULL_ID)), 33).cast("double") / F.lit(float(1 << 31))
+    return n, below + F.floor(part * (same - below)).cast("int")

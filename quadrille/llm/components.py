@@ -1,15 +1,67 @@
 """Connected components of an edge table by alternating large-star and small-star contraction.
 
-All steps are equi-joins and partially aggregated minima on narrow rows, and every round is written to the shared folder. The
-number of rounds grows with the logarithm of the longest path.
+Every round first contracts the edges that lie in one task, in pieces of bounded size, to stars around their least node; so
+components that are shallow or lie together need one round. The steps between are equi-joins and partially aggregated minima
+on narrow rows, and every round is written to the shared folder. Rounds end when all that is left are stars: every node
+has one edge, and no centre has one of its own. Their number grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
+
+#: Edges that a task contracts at once.
+PIECE_EDGES = 200_000
+
+
+class Forest:
+    """Union-find; keeps the edges that joined two parts. The root of a part is its least node."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, x):
+        up = self.up
+        root = x
+        while up.get(root, root) != root:
+            root = up[root]
+        while up.get(x, x) != root:
+            up[x], x = root, up[x]
+        return root
+
+    def join(self, a, b) -> bool:
+        x, y = self.find(a), self.find(b)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        self.edges.append((a, b))
+        return True
+
+
+def _stars(batches):
+    """Edges u -> v of one task, v being the least node that it connects u to."""
+
+    def star(us, vs):
+        forest = Forest()
+        for u, v in zip(us, vs, strict=True):
+            forest.join(u, v)
+        nodes = list(forest.up)
+        return pa.record_batch({"u": pa.array(nodes, pa.int64()), "v": pa.array(map(forest.find, nodes), pa.int64())})
+
+    us, vs = [], []
+    for batch in batches:
+        us += batch.column(0).to_pylist()
+        vs += batch.column(1).to_pylist()
+        if len(us) >= PIECE_EDGES:
+            yield star(us, vs)
+            us, vs = [], []
+    if us:
+        yield star(us, vs)
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,20 +70,23 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    return stored(edges.mapInArrow(_stars, "u long, v long"), "edges")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label of every node with an edge to another one; label is the least node of its component."""
-    e = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = stored(e, "edges")
-    state = None
+    e = _contracted(edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")))
     while True:
+        roles = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
+        open_nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 OR (up = 1 AND centre = 1)")
+        if open_nodes.isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        e = stored(small.filter("u != v").distinct(), "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        before, e = e, _contracted(small.filter("u != v"))
+        discard(before)
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

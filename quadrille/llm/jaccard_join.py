@@ -6,7 +6,9 @@ segment. A set takes segments in their common order until those that are not emp
 possible partner. Whichever of two similar sets stops first, one of its weighed segments agrees in both, as each
 disagreement uses up differences. A one-deletion segment also has the signatures of its content without one
 element; if none agrees, two differences are used up, so it weighs double. A cost model picks, for each band, the mean
-segment size and the share of one-deletion segments with the fewest rows and expected false meetings.
+segment size and the share of one-deletion segments with the fewest rows and expected false meetings, given the part of all
+shingles that is frequent in this corpus, which is measured. Where little is frequent, exact segments cost fewer rows; where
+half is, large one-deletion segments win, as they seldom hold frequent shingles alone.
 
 Frequent shingles are only a hint about cost: a segment made of them alone weighs nothing for its set and is emitted as a
 side entry. Entries that were weighed meet all entries of their signature, side entries meet no other side entries; so
@@ -21,7 +23,8 @@ verified on whole sets. Sets of documents with equal shingles are one node from
 cost nothing. Hashes have 64 bits; links are exact up to their collisions.
 
 Null and empty texts have an empty set and link with nothing. A null id is kept; it never names a component
-if the component has another id. Repeated rows are copies of each other. Word rules: see ``common``.
+if the component has another id. Repeated rows are copies of each other. Ids and other columns pass through unchanged, whatever
+their names. Word rules: see ``common``.
 """
 
 from __future__ import annotations
@@ -31,11 +34,12 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shingle_sets, stored
-from .components import connected_components
+from .common import discard, fresh, mix64, shingle_sets, stored, texts_of, with_columns
+from .components import Forest, connected_components
 
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
@@ -45,8 +49,12 @@ BUCKET_SHINGLES, DIRECT_PAIRS = 2_000_000, 1024
 #: Up to so many candidate sets (16 bytes each) are found among the texts by broadcast, more by shuffle.
 BROADCAST_SETS = 1_000_000
 PIVOTS, CHUNK, CHUNK_BYTES = 24, 512, 8_000_000
-#: Rows that one false meeting of frequent segments is worth, and the share of shingles the cost model takes as frequent.
-MEETING_COST, HOT_SHARE = 20.0, 0.1
+#: Parts that the narrow rows of a cluster of several chunks are dealt to where they are joined by cluster.
+SALTS = 64
+#: Rows that one false meeting of frequent segments is worth, and the options of the cost model: mean sizes of segments, and
+#: parts of them that are one-deletion segments.
+MEETING_COST = 20.0
+MEAN_SIZES, DELETION_PARTS = (0.3, 0.5, 0.8, 1.0, 1.25, 1.6, 2.0, 2.5, 3.0, 4.0), (0.0, 0.1, 0.25, 0.5, 1.0)
 #: Segments must suffice for sets of which this part is frequent.
 RESERVE = 0.45
 #: Elements for each cell of the histograms that rule out pairs before their sets are read.
@@ -75,9 +83,9 @@ def allocation(g: int, hot_share: float) -> tuple[int, int]:
     if top <= 64:
         return 1 << 40, 0  # hardly two elements share a segment: one-deletion would have nothing to delete
     best = None
-    for z in (0.3, 0.5, 0.8, 1.0, 1.25, 1.6, 2.0, 2.5):
+    for z in MEAN_SIZES:
         m = int(top / z)
-        for share in (0.0, 0.1, 0.25):
+        for share in DELETION_PARTS:
             cost = 0.0
             for n in (top // 4 + 1, top // 2, top):
                 need, mean = differences(n, largest_partner(n)) + 1, n / m
@@ -103,7 +111,7 @@ def ranks(s: np.ndarray) -> np.ndarray:
     return mix64(s ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(s: np.ndarray, frequent: np.ndarray, hot_share: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """(signatures, kinds) of a set of hashes; kind 0 was weighed, 1 is a side entry, 2 is of a short set."""
     n = len(s)
     g = band(n)
@@ -111,7 +119,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndar
     warm = _member(u >> np.uint64(24), frequent)
     sigs, kinds = [], []
     for family in (g, g + 1) if largest_partner(n) > 4**g else (g,):
-        m, d = allocation(family, HOT_SHARE)
+        m, d = allocation(family, hot_share)
         partner = min(largest_partner(n), 4**family)
         need = differences(n, max(n, partner)) + 1
         seg = u >> np.uint64(24) if m >> 32 else (u >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
@@ -149,42 +157,48 @@ def set_node(s: np.ndarray) -> int:
 
 
 def _key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return F.xxhash64("doc_id", "text")
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, key, n and node of every document."""
 
-    def run(frames):
-        for f in frames:
-            got = [(len(s), set_node(s)) for _, s in shingle_sets(f["text"])]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "n": [n for n, _ in got], "node": [v for _, v in got]})
+    def run(batches):
+        for batch in batches:
+            got = [(len(s), set_node(s)) for _, s in shingle_sets(texts_of(batch))]
+            if got:
+                n, node = zip(*got, strict=True)
+                yield with_columns(batch, ["doc_id", "key"], ["n", "node"], [pa.array(n, pa.int64()), pa.array(node, pa.int64())])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _key().alias("key"), "text").mapInPandas(run, f"doc_id {kind}, key long, n long, node long")
+    return docs.select("doc_id", _key().alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, n long, node long")
 
 
-def _frequent(docs: DataFrame, shingles: int) -> np.ndarray:
-    """Sorted upper 40 bits of the ranks of frequent shingles; equal texts of a batch count once."""
+def _frequent(docs: DataFrame, shingles: int) -> tuple[np.ndarray, float]:
+    """Sorted upper 40 bits of the ranks of frequent shingles, and the part of all shingles that they make up.
+
+    Equal texts of a batch count once.
+    """
     parts, limit = max(256, shingles // 1_000_000 + 1), np.uint64(int(HINT_PART * 2**64))
     bounds = np.array([int(HINT_PART * 2**40) * k // parts for k in range(parts)], np.uint64)
     low = np.uint64(2**32 - 1)  # a part is narrower than 32 bits, so these tell its ranks apart
 
-    def spread(frames):
-        for f in frames:
-            got = [u[u < limit] >> np.uint64(24) for u in (ranks(s) for _, s in shingle_sets(f["text"].drop_duplicates()))]
+    def spread(batches):
+        for batch in batches:
+            got = [u[u < limit] >> np.uint64(24) for u in (ranks(s) for _, s in shingle_sets(dict.fromkeys(texts_of(batch))))]
             u = np.sort(np.concatenate(got)) if got else np.zeros(0, np.uint64)
             cut = np.searchsorted(u, bounds[1:])
-            yield pd.DataFrame({"p": range(parts), "u": [x.tobytes() for x in np.split((u & low).astype(np.uint32), cut)]})
+            yield pa.record_batch({"p": pa.array(range(parts), pa.int32()), "u": pa.array([x.tobytes() for x in np.split((u & low).astype(np.uint32), cut)], pa.binary())})
 
     def count(key, f):
         u = np.frombuffer(b"".join(f["u"]), np.uint32).astype(np.uint64)
         u, c = np.unique(bounds[key[0]] + ((u - bounds[key[0]]) & low), return_counts=True)
         keep = c > HINT_COUNT
-        return pd.DataFrame({"u": [u[keep][np.argsort(-c[keep], kind="stable")][: HINT_MAX // parts].tobytes()]})
+        return pd.DataFrame({"u": [u[keep][np.argsort(-c[keep], kind="stable")][: HINT_MAX // parts].tobytes()], "hot": [int(c[keep].sum())], "every": [int(c.sum())]})
 
-    rows = docs.select("text").mapInPandas(spread, "p int, u binary").groupBy("p").applyInPandas(count, "u binary").collect()
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["u"], np.uint64) for r in rows)]))
+    rows = docs.select("text").mapInArrow(spread, "p int, u binary").groupBy("p").applyInPandas(count, "u binary, hot long, every long").collect()
+    table = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["u"], np.uint64) for r in rows)]))
+    return table, sum(r["hot"] for r in rows) / max(1, sum(r["every"] for r in rows))
 
 
 def _member(s: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -194,19 +208,19 @@ def _member(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == s
 
 
-def _entries(docs: DataFrame, frequent, buckets: int) -> DataFrame:
+def _entries(docs: DataFrame, frequent, hot_share: float, buckets: int) -> DataFrame:
     """bucket and packed entries (signature, node, kind), one row for each bucket and batch."""
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for batch in batches:
             sig, node, kind = [], [], []
             seen: set[int] = set()
-            for _, s in shingle_sets(f["text"]):
+            for _, s in shingle_sets(texts_of(batch)):
                 v = set_node(s)
                 if not len(s) or v in seen:
                     continue
                 seen.add(v)
-                a, k = signatures(s, frequent.value)
+                a, k = signatures(s, frequent.value, hot_share)
                 sig.append(a)
                 kind.append(k)
                 node.append(np.full(len(a), v, np.int64))
@@ -224,34 +238,10 @@ def _entries(docs: DataFrame, frequent, buckets: int) -> DataFrame:
             count = np.diff(np.concatenate([begin, [len(node)]])).astype(np.uint32)
             lo, hi = np.searchsorted(begin, at), np.searchsorted(begin, end)
             rows = [(int(bucket[a]), low[a:b].tobytes(), node[begin[c:d]].tobytes(), count[c:d].tobytes(), kind[a:b].tobytes()) for a, b, c, d in zip(at, end, lo, hi, strict=True)]
-            yield pd.DataFrame(rows, columns=["bucket", "sig", "node", "count", "kind"])
-
-    return docs.select("text").mapInPandas(run, "bucket int, sig binary, node binary, count binary, kind binary")
-
-
-class Forest:
-    """Union-find; keeps the edges that joined two parts."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-        self.edges: list[tuple[int, int]] = []
+            kinds = (pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows, strict=True), kinds)), names=["bucket", "sig", "node", "count", "kind"])
 
-    def find(self, x):
-        up = self.up
-        root = x
-        while up.get(root, root) != root:
-            root = up[root]
-        while up.get(x, x) != root:
-            up[x], x = root, up[x]
-        return root
-
-    def join(self, a, b) -> bool:
-        x, y = self.find(a), self.find(b)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        self.edges.append((a, b))
-        return True
+    return docs.select("text").mapInArrow(run, "bucket int, sig binary, node binary, count binary, kind binary")
 
 
 def _meet(f: pd.DataFrame) -> pd.DataFrame:
@@ -341,21 +331,31 @@ def _block_links(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest.edges, columns=["a", "b"]).astype("int64")
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Adds salt to rows with node and size: clusters of several chunks are dealt to SALTS parts."""
+    return rows.withColumn("salt", F.when(F.col("size") > CHUNK, F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS))).otherwise(0).cast("int"))
+
+
+def _all_salts(clusters: DataFrame) -> DataFrame:
+    """One row of every cluster (cid, size, ...) for each of its salts."""
+    last = F.when(F.col("size") > CHUNK, SALTS - 1).otherwise(0)
+    return clusters.withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("size")
+
+
 def _against(members: DataFrame, refs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of every cluster's members with its references, by blocks that are bounded in sets and in bytes.
 
-    members: cid, node, parts (blocks that the cluster's members are dealt to); refs: cid, node. Everything by cluster is
-    done on these narrow rows; sets are joined by node at the end, so a large cluster's sets never meet in one task.
+    members: cid, node, size and parts (blocks that the cluster's members are dealt to); refs: those that are references.
+    Everything by cluster is done on these narrow rows, those of large clusters in parts; sets are joined by node at the end, so a
+    large cluster's sets never meet in one task.
     """
     deal = lambda parts, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    q = refs.join(members.select("cid", "node", "parts"), ["cid", "node"])
-    counts = q.groupBy("cid").agg(F.count(F.lit(1)).alias("refs"), F.max("parts").alias("p"))
     # references are dealt to as many blocks as their share of the cluster needs
-    size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("size"))
-    blocks = counts.join(size, "cid").select("cid", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("refs") / F.col("size"))).cast("int").alias("blocks"))
-    m = members.join(blocks, "cid").withColumn("c", deal("parts", 0)).withColumn("r", every("blocks"))
-    q = q.join(blocks, "cid").withColumn("r", deal("blocks", 1)).withColumn("c", every("parts"))
+    counts = refs.groupBy("cid").agg(F.count(F.lit(1)).alias("refs"), F.max("parts").alias("p"), F.max("size").alias("size"))
+    blocks = _all_salts(counts.select("cid", "size", F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("refs") / F.col("size"))).cast("int").alias("blocks")))
+    m = _salted(members).join(blocks, ["cid", "salt"]).withColumn("c", deal("parts", 0)).withColumn("r", every("blocks"))
+    q = _salted(refs).join(blocks, ["cid", "salt"]).withColumn("r", deal("blocks", 1)).withColumn("c", every("parts"))
     cols = ["cid", "c", "r", "node"]
     both = m.select(*cols, F.lit(0).alias("role")).unionByName(q.select(*cols, F.lit(1).alias("role")))
 
@@ -375,12 +375,13 @@ def _resolve_clusters(edges: DataFrame, sets: DataFrame) -> DataFrame:
     members = label.drop("bytes").join(sizes, "label").select(F.col("label").alias("cid"), "node", "size", parts.alias("parts"))
     members = stored(members, "members")
     chance = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    first = stored(_against(members, members.filter(chance * F.col("size") < PIVOTS).select("cid", "node"), sets), "links")
+    first = stored(_against(members, members.filter(chance * F.col("size") < PIVOTS), sets), "links")
     part = connected_components(first)
-    placed = members.select("cid", "node").join(part, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    main = placed.groupBy("cid", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    rest = placed.join(main, "cid").filter("label != main").select("cid", "node")
-    return first.union(_against(members, rest, sets))
+    placed = stored(members.join(part, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    main = placed.groupBy("cid", "label").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"))
+    main = main.groupBy("cid").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("size").alias("size"))
+    rest = _salted(placed).join(_all_salts(main), ["cid", "salt"]).filter("label != main").select(members.columns)
+    return first.union(_against(members, stored(rest, "rest"), sets))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -389,35 +390,38 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(document_sets(docs), "sets")
     total = rows.agg(F.sum("n").alias("n")).first()
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(docs, total["n"] or 0))
+    table, share = _frequent(docs, total["n"] or 0)
+    frequent = spark.sparkContext.broadcast(table)
     buckets = max(8, (total["n"] or 0) // BUCKET_SHINGLES + 1)
-    found = stored(_entries(docs, frequent, buckets).groupBy("bucket").applyInPandas(_meet, "a long, b long, kind int"), "meetings")
+    entries = _entries(docs, frequent, math.ceil(20 * share) / 20, buckets)
+    found = stored(entries.groupBy("bucket").applyInPandas(_meet, "a long, b long, kind int"), "meetings")
+    frequent.destroy()
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     clusters = found.filter("kind = 1").select("a", "b")
     nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(rows.join(nodes, "node").groupBy("node").agg(F.min("key").alias("key")), "wanted")
-    if wanted.count() <= BROADCAST_SETS:
-        wanted = F.broadcast(wanted)
+    wanted = stored(rows.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node"), "wanted")
 
-    def load(frames):
-        for f in frames:
-            keep = [(v, s.tobytes(), cells(s).tobytes()) for v, (_, s) in zip(f["node"], shingle_sets(f["text"]), strict=True) if set_node(s) == v]
-            yield pd.DataFrame(keep, columns=["node", "s", "k"])
+    def load(batches):
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            keep = [(v, s.tobytes(), cells(s).tobytes()) for v, (_, s) in zip(nodes, shingle_sets(texts_of(batch)), strict=True) if set_node(s) == v]
+            if keep:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, zip(*keep, strict=True), (pa.int64(), pa.binary(), pa.binary()))), names=["node", "s", "k"])
 
-    texts = docs.select(_key().alias("key"), "text").join(wanted, "key").select("node", "text")
-    sets = stored(texts.mapInPandas(load, "node long, s binary, k binary").dropDuplicates(["node"]), "candidates")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
+    texts = docs.select(_key().alias("key"), "text").join(few, "key").select("node", "text")
+    sets = stored(texts.mapInArrow(load, "node long, s binary, k binary").dropDuplicates(["node"]), "candidates")
 
     def with_both(pairs: DataFrame, c: str) -> DataFrame:
         a, b = (sets.select(F.col("node").alias(v), F.col(c).alias(f"{c}{v}")) for v in "ab")
         return pairs.join(a, "a").join(b, "b")
 
-    pairs = stored(with_both(pairs, "k").mapInPandas(_possible, "a long, b long"), "pairs")
-    checked = with_both(pairs, "s")
-    sets = sets.drop("k")
-    links = checked.mapInPandas(_verify, "a long, b long")
-    if not clusters.isEmpty():
-        links = links.union(_resolve_clusters(clusters, sets))
-    return rows, connected_components(links)
+    near = stored(with_both(pairs, "k").mapInPandas(_possible, "a long, b long"), "pairs")
+    checked = stored(with_both(near, "s").mapInPandas(_verify, "a long, b long"), "links")
+    links = checked if clusters.isEmpty() else checked.union(_resolve_clusters(clusters, sets.drop("k")))
+    labels = stored(connected_components(links), "labels")
+    discard(found, wanted, sets, near, checked)
+    return rows, labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -432,13 +436,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the least doc_id, and all rows without shingles; columns stay as they are.
 
-    Rows that agree in id and text count once. Of components without any id the least text hash stays.
+    Rows are told apart by id and text: of rows that agree in both, one stays. Of components without any id, and among rows of the
+    least id, the least hash stays.
     """
     rows, labels = link_components(docs)
     placed = rows.filter("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.key").alias("_key"))
-    keep = first.union(rows.filter("n = 0").select("key")).distinct()
-    kept = docs.withColumn("_key", _key()).join(keep, "_key", "left_semi")
+    first = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    key = fresh(docs, "key")
+    keep = first.select(F.col("m.key").alias(key)).union(rows.filter("n = 0").select("key")).distinct()
+    kept = docs.withColumn(key, _key()).join(keep, key, "left_semi")
     if not rows.groupBy("key").count().filter("count > 1").isEmpty():
-        kept = kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_key", "_text"])
-    return kept.select(docs.columns)
+        kept = kept.dropDuplicates([key])
+    return kept.drop(key)
