@@ -101,6 +101,17 @@ class _Parser:
         return self.members([self.code()])
 
 
+def _backwards(tree):
+    """The tree of the same strings read from their ends."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        return ("rep", _backwards(tree[1]), *tree[2:])
+    parts = [_backwards(x) for x in tree[1:]]
+    return (kind, *(reversed(parts) if kind == "cat" else parts))
+
+
 class _Nfa:
     def __init__(self):
         self.eps: list[list[int]] = []
@@ -147,16 +158,21 @@ class _Nfa:
 
 
 class Dfa:
-    """trans[state * n_classes + classes[byte]]; state 0 is the start; accepting states are first_accept and above."""
+    """trans[state * n_classes + classes[byte]]; state 0 is the start; accepting states are first_accept and above.
 
-    def __init__(self, patterns: list[tuple[str, bool]], anchored: bool):
+    mask[state] tells the patterns that end there, alive[state] those that still can, there or later. Without an anchor a
+    match may begin at any byte; backwards, texts have to be read from their ends.
+    """
+
+    def __init__(self, patterns: list[tuple[str, bool]], anchored: bool, backwards: bool = False):
         nfa = _Nfa()
         root = nfa.node()
         final: dict[int, int] = {}
         for k, (pattern, fold) in enumerate(patterns):
             start = nfa.node()
             nfa.eps[root].append(start)
-            end = nfa.build(_Parser(pattern, fold).parse(), start)
+            tree = _Parser(pattern, fold).parse()
+            end = nfa.build(_backwards(tree) if backwards else tree, start)
             final[end] = final.get(end, 0) | 1 << k
         self._subsets(nfa, root, final, anchored)
         self._minimise()
@@ -222,6 +238,12 @@ class Dfa:
         self.dead = int(number[group[self.dead]]) if self.dead >= 0 else -1
         self.n_states, self.n_classes = self.table.shape
         self.trans = np.ascontiguousarray(self.table.reshape(-1))
+        self.alive = self.mask.copy()
+        while True:
+            more = self.alive | np.bitwise_or.reduce(self.alive[self.table], axis=1)
+            if (more == self.alive).all():
+                break
+            self.alive = more
         self.reset = (self.table == 0).all(axis=0)[self.classes]
         del self.table
 
@@ -229,7 +251,7 @@ class Dfa:
         """One pass over the bytes: (positions just behind which a rule may end, mask of those rules).
 
         The bytes are cut behind reset bytes, which lead every state to the start, into lanes of about
-        the given length; all lanes step together.
+        the given length; all lanes step together, and the last few long ones byte by byte.
         """
         n = len(buf)
         cuts = np.flatnonzero(self.reset[buf]) + 1
@@ -244,6 +266,12 @@ class Dfa:
         state = np.zeros(len(start), np.int32)
         at, what = [], []
         for t, k in enumerate(active):
+            if k <= 4 and len(active) - t > 64:
+                for lane_start, lane_size, s in zip(start[:k].tolist(), size[:k].tolist(), state[:k].tolist(), strict=True):
+                    found = self._step(codes[lane_start + t : lane_start + lane_size].tolist(), s)
+                    at.append(np.array([lane_start + t + j for j, _ in found], np.int64))
+                    what.append(np.array([m for _, m in found], np.int64))
+                break
             s = self.trans[state[:k] * self.n_classes + codes[start[:k] + t]]
             state[:k] = s
             hit = np.flatnonzero(s >= self.first_accept)
@@ -254,29 +282,31 @@ class Dfa:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(at), np.concatenate(what)
 
-    def spans(self, data: bytes) -> list[tuple[int, int]]:
-        """Leftmost longest non-overlapping matches of an anchored automaton."""
-        buf = np.frombuffer(data, np.uint8)
-        goes = self.trans[self.classes[buf]] != self.dead
-        trans, classes, n, dead, last_ok = self._lists()
-        out, free = [], 0
-        for i in np.flatnonzero(goes).tolist():
-            if i < free:
-                continue
-            s, end, j = 0, -1, i
-            while j < len(data):
-                s = trans[s * n + classes[data[j]]]
-                if s == dead:
-                    break
-                j += 1
-                if s >= last_ok:
-                    end = j
-            if end > i:
-                out.append((i, end))
-                free = end
+    def _step(self, codes: list[int], s: int) -> list[tuple[int, int]]:
+        trans, n, mask = self._lists()[:3]
+        first, out = self.first_accept, []
+        for j, c in enumerate(codes, 1):
+            s = trans[s * n + c]
+            if s >= first:
+                out.append((j, mask[s]))
+        return out
+
+    def longest(self, data: bytes, begin: int, wanted: int) -> dict[int, tuple[int, int]]:
+        """From begin on, for every wanted pattern that matches there: (end of its longest match, mask of the state there)."""
+        trans, n, mask, alive, classes = self._lists()
+        s, out, patterns = 0, {}, [k for k in range(wanted.bit_length()) if wanted >> k & 1]
+        for j in range(begin, len(data)):
+            s = trans[s * n + classes[data[j]]]
+            if not alive[s] & wanted:
+                break
+            if s >= self.first_accept:
+                m = mask[s]
+                for k in patterns:
+                    if m >> k & 1:
+                        out[k] = (j + 1, m)
         return out
 
     def _lists(self):
         if "_l" not in self.__dict__:
-            self._l = (self.trans.tolist(), self.classes.tolist(), self.n_classes, self.dead, self.first_accept)
+            self._l = (self.trans.tolist(), self.n_classes, self.mask.tolist(), self.alive.tolist(), self.classes.tolist())
         return self._l

@@ -1,9 +1,11 @@
 """Secret scans: all rules in one combined minimal automaton, one pass over the bytes of every text.
 
-The combined automaton says which rules end where; for the few texts it points at, each such rule's own
-anchored automaton gives leftmost, longest, non-overlapping spans. Three base kinds have fixed meaning
-(see BASE); a match of ``assign`` counts only if its value has 6 or more characters, but a dropped match
-still uses up its characters.
+The pass reads texts from their ends, with the rules turned round, so that every state tells which rules have a match that
+begins at this byte. The spans of those few places come from a second combined automaton, anchored there and read forwards: for
+each rule the leftmost match, the longest one, then the next behind it. It stops where none of the rules that begin there can end
+any more, so bytes are read again only where matches are. Whether a match counts is a mark of that automaton too: a rule may
+name a stricter pattern for it, and a match without the mark is dropped but still uses up its characters (a short value of
+``assign``, say).
 
 Null and empty texts have no spans. Rows keep their number and order within a partition; repeated rows
 are scanned like any other; other columns pass through ``redact_secrets`` untouched.
@@ -12,39 +14,35 @@ are scanned like any other; other columns pass through ``redact_secrets`` untouc
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automata import Dfa
-from .common import pieces
+from .common import pieces, texts_of, with_columns
 
-#: (kind, pattern, letters in either case, least length of a match). The first three are the base kinds, in the
-#: order of their rank. Lengths are checked on the spans: counted in the combined automaton, they would multiply its
-#: states. Hexadecimal runs are the exception, as prose is full of short ones.
-ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
+#: (kind, pattern, pattern of the matches that count, letters in either case). The first three are the base kinds, in the
+#: order of their rank. Lengths are part of what counts: in the pass over all bytes they would multiply the states.
+#: Hexadecimal runs are the exception, as prose is full of short ones.
 RULES = [
-    ("assign", ASSIGN, True, 0),
-    ("access", r"AKIA[A-Z0-9]+", False, 20),
-    ("hex", r"[0-9a-f]{24,}", False, 24),
-    ("github", r"gh[pousr]_[A-Za-z0-9]+", False, 34),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", False, 15),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", False, 40),
-    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", False, 0),
+    ("assign", _KEY + r"[A-Za-z0-9+/_.=-]+", _KEY + r"[A-Za-z0-9+/_.=-]{6,}", True),
+    ("access", r"AKIA[A-Z0-9]+", r"AKIA[A-Z0-9]{16,}", False),
+    ("hex", r"[0-9a-f]{24,}", r"[0-9a-f]{24,}", False),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", r"gh[pousr]_[A-Za-z0-9]{30,}", False),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", r"xox[abprs]-[A-Za-z0-9-]{10,}", False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{6,}", False),
+    ("pem", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", False),
 ]
 BASE = [kind for kind, *_ in RULES[:3]]
-MIN_ASSIGNED = 6
-_ASSIGN = re.compile(ASSIGN.encode(), re.IGNORECASE)
 
 
 class Scanner:
     def __init__(self, rules=RULES):
         self.kinds = [kind for kind, *_ in rules]
-        self.least = [least for *_, least in rules]
-        self.all = Dfa([(p, fold) for _, p, fold, _ in rules], anchored=False)
-        self.each = [Dfa([(p, fold)], anchored=True) for _, p, fold, _ in rules]
+        self.begins = Dfa([(p, fold) for _, p, _, fold in rules], anchored=False, backwards=True)
+        self.ends = Dfa([(p, fold) for _, p, _, fold in rules] + [(c, fold) for _, _, c, fold in rules], anchored=True)
 
     def spans(self, texts) -> list[list[tuple[int, int, int]]]:
         """For every text (start, rank of the kind, end) in code points, in this order."""
@@ -52,24 +50,29 @@ class Scanner:
         for at, run in pieces(texts):
             gap = b"\xff"  # in no UTF-8 text, so it leads every state to the start
             buf = np.frombuffer(gap.join(run), np.uint8)
-            where, mask = self.all.events(buf)
+            where, mask = self.begins.events(np.ascontiguousarray(buf[::-1]))
             if not len(where):
                 continue
-            ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
-            text = np.searchsorted(ends, where, side="left")
-            for d in np.unique(text).tolist():
-                out[at + d] = self._resolve(run[d], int(np.bitwise_or.reduce(mask[text == d])))
+            order = np.argsort(-where)
+            where, mask = len(buf) - where[order], mask[order]
+            size = np.fromiter(map(len, run), np.int64, len(run)) + 1
+            first = np.cumsum(size) - size
+            text = np.searchsorted(first, where, side="right") - 1
+            cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])).tolist()
+            for a, b in zip(cut, [*cut[1:], len(text)], strict=True):
+                d = int(text[a])
+                out[at + d] = self._resolve(run[d], (where[a:b] - first[d]).tolist(), mask[a:b].tolist())
         return out
 
-    def _resolve(self, data: bytes, mask: int) -> list[tuple[int, int, int]]:
-        found = []
-        for k, dfa in enumerate(self.each):
-            if mask >> k & 1:
-                for a, b in dfa.spans(data):
-                    if b - a < self.least[k]:
-                        continue
-                    if self.kinds[k] == "assign" and len(_ASSIGN.fullmatch(data[a:b])[2]) < MIN_ASSIGNED:
-                        continue
+    def _resolve(self, data: bytes, begins: list[int], masks: list[int]) -> list[tuple[int, int, int]]:
+        found, free, n = [], [0] * len(self.kinds), len(self.kinds)
+        for a, mask in zip(begins, masks, strict=True):
+            wanted = sum(1 << k for k in range(n) if mask >> k & 1 and free[k] <= a)
+            if not wanted:
+                continue
+            for k, (b, marks) in self.ends.longest(data, a, wanted).items():
+                free[k] = b
+                if marks >> (n + k) & 1:
                     found.append((a, k, b))
         if found and not data.isascii():
             point = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
@@ -85,19 +88,19 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: the id, counts of the base kinds, base_sha256 and all spans."""
     scanner, kind = Scanner(rules), df.schema[id_col].dataType.simpleString()
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for spans in scanner.spans(f["text"]):
+            for spans in scanner.spans(texts_of(batch)):
                 base = [s for s in spans if s[1] < len(BASE)]
                 count = [sum(s[1] == k for s in base) for k in range(len(BASE))]
                 rows.append((*count, hashlib.sha256(_listed(base, scanner.kinds).encode()).hexdigest(), _listed(spans, scanner.kinds)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "id", f["id"].to_numpy())
-            yield out
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield with_columns(batch, ["id"], ["n_assign", "n_access", "n_hex", "base_sha256", "spans"], list(map(pa.array, zip(*rows, strict=True), kinds)))
 
     narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    out = narrow.mapInPandas(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    out = narrow.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -108,9 +111,9 @@ def redact_secrets(df: DataFrame, text_col: str = "text", count_col: str | None
     """
     scanner = Scanner(rules)
 
-    def run(frames):
-        for f in frames:
-            texts = f[text_col].tolist()
+    def run(batches):
+        for batch in batches:
+            texts, changed = texts_of(batch, text_col), []
             for i, spans in enumerate(scanner.spans(texts)):
                 if spans:
                     parts, at = [], 0
@@ -119,9 +122,16 @@ def redact_secrets(df: DataFrame, text_col: str = "text", count_col: str | None
                             parts += [texts[i][at:a], mark]
                         at = max(at, b)
                     texts[i] = "".join([*parts, texts[i][at:]])
-                    if count_col:
-                        f.iloc[i, f.columns.get_loc(count_col)] = len(texts[i])
-            f[text_col] = texts
-            yield f
-
-    return df.mapInPandas(run, df.schema)
+                    changed.append(i)
+            if changed:
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+                columns[text_col] = pa.array(texts, columns[text_col].type)
+                if count_col:
+                    counts = columns[count_col].to_pylist()
+                    for i in changed:
+                        counts[i] = len(texts[i])
+                    columns[count_col] = pa.array(counts, columns[count_col].type)
+                batch = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield batch
+
+    return df.mapInArrow(run, df.schema)
