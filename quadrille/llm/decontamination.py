@@ -23,14 +23,17 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import encode, mix64, pieces, shingle_hashes, shingle_sets, word_hashes
+from .common import encode, mix64, pieces, shingle_hashes, shingle_sets, texts_of, word_hashes
 
 CONTAINMENT = 0.75
-DIRECT, FILTER_BITS = 16, 22
+DIRECT = 16
+#: The sieve in front of a table of keys has about so many places for each, in these bounds.
+SIEVE, SIEVE_BITS = 16, (10, 26)
 BLOCK_BYTES = 16_000_000
 
 
@@ -74,8 +77,10 @@ class Index:
         owner = np.repeat(items, [len(x) for x in keys])
         keys = np.concatenate(keys)
         order = np.argsort(keys, kind="stable")
-        sieve = np.zeros(1 << FILTER_BITS, bool)
-        sieve[keys >> np.uint64(64 - FILTER_BITS)] = True
+        low, high = SIEVE_BITS
+        bits = min(high, max(low, (SIEVE * len(keys)).bit_length()))
+        sieve = np.zeros(1 << bits, bool)
+        sieve[keys >> np.uint64(64 - bits)] = True
         return keys[order], owner[order], sieve
 
     @staticmethod
@@ -97,7 +102,7 @@ class Index:
     @staticmethod
     def _hits(k: np.ndarray, keys: np.ndarray, owner: np.ndarray, sieve: np.ndarray):
         """(place in k, items that have this key) of every key that the table has."""
-        hit = np.flatnonzero(sieve[k >> np.uint64(64 - FILTER_BITS)])
+        hit = np.flatnonzero(sieve[k >> np.uint64(65 - len(sieve).bit_length())])
         lo, hi = np.searchsorted(keys, k[hit], "left"), np.searchsorted(keys, k[hit], "right")
         for j in np.flatnonzero(hi > lo).tolist():
             yield hit[j], owner[lo[j] : hi[j]].tolist()
@@ -157,18 +162,21 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item, n_shared and containment of every pair of a text and an item it holds."""
     doc_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
     schema = f"doc_id {doc_kind}, item_id {item_kind}, n_item long, n_shared long, containment double"
-    narrow, parts = docs.select("doc_id", "text"), []
+    narrow, parts, item_type = docs.select("doc_id", "text"), [], to_arrow_type(items.schema["item_id"].dataType)
     for index in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(frames, shared=shared):
-            for f in frames:
-                index, doc_ids = shared.value, f["doc_id"].tolist()
-                rows = [(doc_ids[t], index.ids[k], len(index.sets[k]), n, n / len(index.sets[k])) for t, k, n in index.search(f["text"])]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-
-        parts.append(narrow.mapInPandas(run, schema))
+        def run(batches, shared=shared):
+            for batch in batches:
+                index = shared.value
+                if found := index.search(texts_of(batch)):
+                    texts, items, shared_n = (list(x) for x in zip(*found, strict=True))
+                    sizes = [len(index.sets[k]) for k in items]
+                    share = [n / size for n, size in zip(shared_n, sizes, strict=True)]
+                    columns = [batch.column(0).take(pa.array(texts)), pa.array([index.ids[k] for k in items], item_type), pa.array(sizes, pa.int64()), pa.array(shared_n, pa.int64()), pa.array(share)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+
+        parts.append(narrow.mapInArrow(run, schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
@@ -179,11 +187,11 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> D
     for index in item_blocks(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(frames, shared=shared):
-            for f in frames:
-                clean = np.ones(len(f), bool)
-                clean[[t for t, _, _ in shared.value.search(f[text_col])]] = False
-                yield f[clean]
+        def run(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                clean[[t for t, _, _ in shared.value.search(texts_of(batch, text_col))]] = False
+                yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs

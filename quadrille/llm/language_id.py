@@ -4,14 +4,14 @@ Words are runs of letters. Emission weights come from hashed character n-grams o
 those at an end are affixes) and from a lexicon of frequent training words; transition weights between the
 languages of neighbouring words are learned with them, on sequences of which part switch between languages.
 Forward-backward gives every word's marginals; a text's prediction is the language with the most letters in
-expectation, its score that language's share. Long texts are cut into blocks whose transfer matrices are
-multiplied first, so the marginals are exact at any length and the cost is linear.
+expectation, its score that language's share; ``label_words`` gives every word with its own label. Long texts are cut into
+blocks whose transfer matrices are multiplied first, so the marginals are exact at any length and the cost is linear.
 
-Training reads a bounded sample (``PER_LANGUAGE`` texts a language, ``WINDOW`` characters at most from a hashed place
-of a longer one) of the rows with a language outside the held-out fold. Only the ``MAX_LANGUAGES`` values of lang with
-most rows are learned: a rarer one is never predicted, its texts get the nearest learned language, and the pipeline may drop them. Prediction reads whole texts, and nothing but
-texts. Null texts and texts without a letter get ``und`` and score 0, as does everything if there is nothing
-to learn from. Ties go to the language that sorts first.
+Training reads a bounded sample of the rows with a language outside the held-out fold: ``PER_LANGUAGE`` texts a language, fewer
+if they are over ``SAMPLE_TEXTS`` together (but ``LEAST_TEXTS`` of each), and ``WINDOW`` characters at most from a hashed place of a
+longer one. All values of lang are learned. One task fits the model; the driver only passes it on. Prediction reads whole
+texts, and nothing but texts. Null texts and texts without a letter get ``und`` and score 0, as does everything if there is
+nothing to learn from. Ties go to the language that sorts first.
 
 A score says which language is best, not whether any fits: among K languages it is 1/K or more for every text. Whether a
 text is in a learned language at all is judged by its n-grams of ``MAX_N`` characters: ``evidence`` is the share of letters
@@ -21,16 +21,20 @@ in words of which ``WORD_SEEN`` or more were seen in one language's training tex
 from __future__ import annotations
 
 import functools
+import pickle
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, mix64
+from .common import fold, mix64, texts_of, with_columns
 
-PER_LANGUAGE, WINDOW, MAX_LANGUAGES = 250, 2500, 256
+PER_LANGUAGE, WINDOW, SAMPLE_TEXTS, LEAST_TEXTS = 250, 2500, 16_000, 8
+#: N-grams are hashed to so many bits; to fewer with over 32 languages, so that the weights stay as many.
 HASH_BITS, MAX_N, LEXICON_MIN = 17, 4, 4
+#: Words times languages that training holds at once.
+CELLS = 8_000_000
 SEQUENCE, ROUNDS, BLOCK = 40, 30, 48
 WORD_SEEN, LEAST_EVIDENCE = 0.75, 0.5
 SHORT_LETTERS, SHORT_EVIDENCE = 40, 1 / 3
@@ -84,6 +88,7 @@ class Words:
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.first = np.searchsorted(s, begins)
         self.size = (e - s).astype(np.float64)
+        self.begin = s - begins[:-1][np.repeat(np.arange(len(texts)), np.diff(self.first))]
         us, ue = s[index], e[index]
         n = ue - us + 2
         self.at = np.concatenate([[0], np.cumsum(n)])
@@ -96,7 +101,7 @@ class Words:
         chars[inner] = low[src]
         self.chars = chars
 
-    def grams(self):
+    def grams(self, bits: int = HASH_BITS):
         """For every n the hashed n-grams at all places of chars, and how many at the end of a word lack a place."""
         v = (self.chars + np.uint64(1)) * _M[2]
         acc = v
@@ -105,7 +110,7 @@ class Words:
                 if len(v) < n:
                     return
                 acc = acc[:-1] * _M[3] + v[n - 1 :]
-            yield n, (mix64(acc + np.uint64(n)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+            yield n, (mix64(acc + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def long_grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(64-bit hash, distinct word) of all n-grams of MAX_N inside a word with its marks; a shorter word is its own."""
@@ -123,7 +128,7 @@ class Words:
     def gram_sum(self, table: np.ndarray) -> np.ndarray:
         """Sum of the table's rows over all n-grams inside each distinct word."""
         out = np.zeros((len(self.hashes), table.shape[1]))
-        for n, ids in self.grams():
+        for n, ids in self.grams(len(table).bit_length() - 1):
             csum = np.zeros((len(ids) + 1, table.shape[1]))
             np.cumsum(table[ids], axis=0, out=csum[1:])
             lo = np.minimum(self.at[:-1], len(ids))
@@ -136,7 +141,7 @@ class Words:
         out = np.zeros((size, per_word.shape[1]))
         owner = np.repeat(np.arange(len(self.hashes)), np.diff(self.at))
         end = self.at[1:][owner]
-        for n, ids in self.grams():
+        for n, ids in self.grams(size.bit_length() - 1):
             ok = np.flatnonzero(np.arange(len(ids)) + n <= end[: len(ids)])
             for k in range(per_word.shape[1]):
                 out[:, k] += np.bincount(ids[ok], per_word[owner[ok], k], size)
@@ -145,6 +150,14 @@ class Words:
 
 def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Exact label marginals of chains. scores: (words, K) log potentials; first: bounds of the chains."""
+    return forward_backward(scores, first, trans)[0]
+
+
+def forward_backward(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(label marginals of every word, expected number of transitions from each label to each other one), both exact.
+
+    A chain's probability is in proportion to exp of its words' scores and of trans for each pair of neighbours.
+    """
     K = scores.shape[1]
     e = np.exp(scores - scores.max(axis=1, keepdims=True)) + 1e-300
     T = np.exp(trans - trans.max())
@@ -156,15 +169,18 @@ def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.nd
     start = first[:-1][chain] + rank * BLOCK
     size = np.minimum(BLOCK, first[1:][chain] - start)
     order = np.argsort(-size, kind="stable")
-    start, size = start[order], size[order]
+    start, size, leads = start[order], size[order], rank[order] == 0
     if not len(start):
-        return np.zeros((0, K))
+        return np.zeros((0, K)), np.zeros((K, K))
     active = [int(np.searchsorted(-size, -t, side="left")) for t in range(size[0])]
-    # transfer matrix of every block
+    # transfer matrix of every block; a chain's first word has no transition before it
     M = np.broadcast_to(np.eye(K), (len(start), K, K)).copy()
     if blocks.max() > 1:
         for t, k in enumerate(active):
-            M[:k] = (M[:k] @ T) * e[start[:k] + t][:, None, :]
+            step = M[:k] @ T
+            if t == 0:
+                step[leads] = M[leads]
+            M[:k] = step * e[start[:k] + t][:, None, :]
             if t % 8 == 7 or t == len(active) - 1:
                 M[:k] /= M[:k].max(axis=(1, 2), keepdims=True)
     place = np.empty(len(order), np.int64)
@@ -178,25 +194,36 @@ def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.nd
         now = bfirst[1:][blocks > r] - 1 - r
         x = np.einsum("ijk,ik->ij", M[place[now + 1]], b[place[now + 1]])
         b[place[now]] = x / x.sum(axis=1, keepdims=True)
-    out = np.empty((len(scores), K))
+    alpha, beta = np.empty((len(scores), K)), np.empty((len(scores), K))  # beta: with the word's own potential
     for t, k in enumerate(active):
-        a[:k] = (a[:k] @ T) * e[start[:k] + t]
+        x = a[:k] @ T
+        if t == 0:
+            x[leads] = 1.0
+        a[:k] = x * e[start[:k] + t]
         a[:k] /= a[:k].sum(axis=1, keepdims=True)
-        out[start[:k] + t] = a[:k]
+        alpha[start[:k] + t] = a[:k]
+    out = alpha.copy()
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         w = start[:k] + t
         out[w] *= b[:k]
-        b[:k] = (b[:k] * e[w]) @ T.T
+        beta[w] = b[:k] * e[w]
+        b[:k] = beta[w] @ T.T
         b[:k] /= b[:k].sum(axis=1, keepdims=True)
-    return out / out.sum(axis=1, keepdims=True)
+    inner = np.ones(len(scores), bool)
+    inner[first[:-1][length > 0]] = False
+    right = np.flatnonzero(inner)
+    left = alpha[right - 1]
+    z = ((left @ T) * beta[right]).sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True), T * ((left / z).T @ beta[right])
 
 
 class Model:
     def __init__(self, labels: list[str]):
         self.labels = labels
         K = len(labels)
-        self.grams = np.zeros((1 << HASH_BITS, K))
+        self.bits = HASH_BITS - max(0, (K - 1).bit_length() - 5)
+        self.grams = np.zeros((1 << self.bits, K))
         self.trans = np.zeros((K, K))
         self.lexicon = np.zeros(0, np.uint64)
         self.words = np.zeros((1, K))
@@ -244,35 +271,40 @@ class Model:
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         return self.judge(texts)[:2]
 
+    def label(self, texts: list):
+        """For runs of texts: (place of the first, words, marginals of all words)."""
+        at = 0
+        for run in _runs(texts, len(self.labels)):
+            w = Words(run)
+            yield at, w, marginals(self.emissions(w)[w.word], w.first, self.trans) if self.labels else np.zeros((len(w.word), 0))
+            at += len(run)
+
     def judge(self, texts: list, evidence: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Name and score of each text's language; with evidence, whether the text is in learned languages."""
         names, scores, learned = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
-        at = 0
-        for run in _runs(texts):
-            w = Words(run)
+        for at, w, p in self.label(texts):
             counts = np.diff(w.first)
             if not self.labels:
-                names += [UNKNOWN] * len(run)
-                at += len(run)
+                names += [UNKNOWN] * len(counts)
                 continue
-            p = marginals(self.emissions(w)[w.word], w.first, self.trans) * w.size[:, None]
-            csum = np.concatenate([np.zeros((1, len(self.labels))), np.cumsum(p, axis=0)])
+            csum = np.concatenate([np.zeros((1, len(self.labels))), np.cumsum(p * w.size[:, None], axis=0)])
             total = csum[w.first[1:]] - csum[w.first[:-1]]
             best = np.round(total, 9).argmax(axis=1)
-            share = total[np.arange(len(run)), best] / np.maximum(total.sum(axis=1), 1e-12)
+            share = total[np.arange(len(counts)), best] / np.maximum(total.sum(axis=1), 1e-12)
             names += [self.labels[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
-            scores[at : at + len(run)] = np.where(counts > 0, np.clip(share, 0, 1), 0)
+            scores[at : at + len(counts)] = np.where(counts > 0, np.clip(share, 0, 1), 0)
             if evidence:
-                learned[at : at + len(run)] = self.is_learned(w)
-            at += len(run)
+                learned[at : at + len(counts)] = self.is_learned(w)
         return names, scores, learned
 
 
-def _runs(texts: list):
+def _runs(texts: list, languages: int = 4):
+    """Runs of texts; with many languages they are shorter, as every word has a number for each."""
+    limit = min(PIECE_CHARS, max(20_000, 4 * PIECE_CHARS // max(1, languages)))
     run, size = [], 0
     for t in texts:
         n = len(t) if isinstance(t, str) else 0
-        if run and size + n > PIECE_CHARS:
+        if run and size + n > limit:
             yield run
             run, size = [], 0
         run.append(t)
@@ -311,28 +343,29 @@ def train(sample: list[tuple[str, str]], seed: int = 1) -> Model:
     model.lexicon = w.hashes[count >= LEXICON_MIN]
     model.words = np.zeros((len(model.lexicon) + 1, K))
     known = model._known(w.hashes)
-    gold = np.zeros((len(y), K))
-    gold[np.arange(len(y)), y] = 1
+    gold = np.zeros((V, K))
+    np.add.at(gold, (word, y), 1)
     inner = np.ones(len(y), bool)
     inner[first[:-1][np.diff(first) > 0]] = False
     pair = np.zeros((K, K))
     np.add.at(pair, (y[np.flatnonzero(inner) - 1], y[inner]), 1)
+    limit = max(1, CELLS // K)
+    runs = np.unique(np.concatenate([np.searchsorted(first, np.arange(0, first[-1], limit)), [len(first) - 1]]))
     squares = [np.full_like(x, 1.0) for x in (model.grams, model.words, model.trans)]
     for _ in range(ROUNDS):
-        p = marginals(model.emissions(w)[word], first, model.trans)
-        diff = np.zeros((V, K))
-        for k in range(K):
-            diff[:, k] = np.bincount(word, gold[:, k] - p[:, k], V)
+        emissions = model.emissions(w)
+        diff, expected = gold.copy(), np.zeros((K, K))
+        for i, j in zip(runs[:-1], runs[1:], strict=True):
+            of = word[first[i] : first[j]]
+            p, joint = forward_backward(emissions[of], first[i : j + 1] - first[i], model.trans)
+            expected += joint
+            for k in range(K):
+                diff[:, k] -= np.bincount(of, p[:, k], V)
         grad_words = np.zeros_like(model.words)
         for k in range(K):
             grad_words[:, k] = np.bincount(known, diff[:, k], len(model.words))
         grad_words[-1] = 0
-        # expected transitions from the marginals of neighbours under the current transition weights
-        T = np.exp(model.trans - model.trans.max())
-        left, right = p[np.flatnonzero(inner) - 1], p[inner]
-        joint = left[:, :, None] * T[None] * right[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        grads = (w.gram_scatter(diff, 1 << HASH_BITS) - 1e-2 * model.grams, grad_words - 1e-2 * model.words, pair - joint.sum(axis=0))
+        grads = (w.gram_scatter(diff, len(model.grams)) - 1e-2 * model.grams, grad_words - 1e-2 * model.words, pair - expected)
         for x, g, s, rate in zip((model.grams, model.words, model.trans), grads, squares, (0.1, 0.1, 0.1), strict=True):
             s += g * g
             x += rate * g / np.sqrt(s)
@@ -340,22 +373,33 @@ def train(sample: list[tuple[str, str]], seed: int = 1) -> Model:
     return model
 
 
-def sample_labelled(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of the rows with text and language outside the held-out fold: those of least id hash, by language."""
+def sample_labelled(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """lang and text of a bounded sample of the rows with both outside the held-out fold: those of least id hash, by language.
+
+    The driver sees a row count for each language.
+    """
     rows = df.select(df[id_col].cast("string").alias("id"), df[text_col].alias("t"), df[lang_col].cast("string").alias("l")).filter("t IS NOT NULL AND l IS NOT NULL").filter(fold("id", 4) != 2)
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    limit = F.lit(0.0)
-    for r in counts:
-        limit = F.when(F.col("l") == r["l"], min(1.0, (1.3 * per_language + 60) / r["count"])).otherwise(limit)
+    counts = rows.groupBy("l").count().collect()
+    most = max(LEAST_TEXTS, min(per_language, SAMPLE_TEXTS // max(1, len(counts))))
+    limits = [x for r in counts for x in (F.lit(r["l"]), F.lit(min(1.0, (1.3 * most + 60) / r["count"])))]
+    limit = F.create_map(*limits)[F.col("l")] if limits else F.lit(0.0)
     h = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     at = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.length("t") - WINDOW, F.lit(0)) + 1).cast("int") + 1
-    found = rows.withColumn("h", h).filter(F.col("h") < limit).select("l", "h", "id", F.substring("t", at, F.lit(WINDOW)).alias("t")).collect()
-    by: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["l"], r["h"], r["id"] or "", r["t"])):
-        by.setdefault(r["l"], []).append(r["t"])
-    return [(lang, t) for lang, ts in by.items() for t in ts[:per_language]]
+    found = rows.withColumn("h", h).filter(F.col("h") < limit).select("l", "h", "id", F.substring("t", at, F.lit(WINDOW)).alias("t"))
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "id", "t"))
+    return found.withColumn("k", first).filter(F.col("k") <= most).select(F.col("l").alias("lang"), F.col("t").alias("text"), "k")
+
+
+def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> Model:
+    """The model for the labelled rows of a table; one task fits it on the bounded sample."""
+
+    def run(batches):
+        rows = sorted((lang, k, t) for b in batches for lang, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        yield pa.record_batch({"model": pa.array([pickle.dumps(train([(lang, t) for lang, _, t in rows]))], pa.binary())})
+
+    sample = sample_labelled(df, id_col, text_col, lang_col, per_language)
+    got = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else Model([])
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,13 +407,39 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)
     narrow = df.select(df[id_col].alias("id"), (fold(id_col, 4) == 2).alias("held_out"), df[text_col].alias("text"))
 
-    def run(frames):
-        for f in frames:
-            names, scores = shared.value.predict(f["text"].tolist())
-            yield pd.DataFrame({"id": f["id"], "held_out": f["held_out"], "lang_pred": names, "score": scores})
+    def run(batches):
+        for batch in batches:
+            names, scores = shared.value.predict(texts_of(batch))
+            yield with_columns(batch, ["id", "held_out"], ["lang_pred", "score"], [pa.array(names, pa.string()), pa.array(scores)])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return narrow.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, word (from 0), begin, end (code points), lang and p (its marginal) of every word; nothing for texts without words.
+
+    Without languages to learn from, lang is ``und`` and p is 0.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            model = shared.value
+            for at, w, p in model.label(texts_of(batch)):
+                text = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
+                if not len(text):
+                    continue
+                best = p.argmax(axis=1) if model.labels else np.zeros(len(text), np.int64)
+                names = np.array(model.labels or [UNKNOWN], object)[best]
+                top = p[np.arange(len(text)), best] if model.labels else np.zeros(len(text))
+                ends = w.begin + w.size.astype(np.int64)
+                columns = [pa.array(np.arange(len(text)) - w.first[text], pa.int64()), pa.array(w.begin, pa.int64()), pa.array(ends, pa.int64()), pa.array(names, pa.string()), pa.array(top)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + text)), *columns], names=["id", "word", "begin", "end", "lang", "p"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return narrow.mapInPandas(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    narrow = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return narrow.mapInArrow(run, f"id {kind}, word long, begin long, end long, lang string, p double").withColumnRenamed("id", id_col)
 
 
 def keep_identified(df: DataFrame, model: Model, min_score: float | None = None, text_col: str = "text") -> DataFrame:
@@ -381,10 +451,10 @@ def keep_identified(df: DataFrame, model: Model, min_score: float | None = None,
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
-        for f in frames:
-            names, scores, learned = shared.value.judge(f[text_col].tolist(), evidence=True)
+    def run(batches):
+        for batch in batches:
+            names, scores, learned = shared.value.judge(texts_of(batch, text_col), evidence=True)
             keep = (np.array(names) != UNKNOWN) & learned
-            yield f[keep if min_score is None else keep & (scores >= min_score)]
+            yield batch.filter(pa.array(keep if min_score is None else keep & (scores >= min_score)))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)

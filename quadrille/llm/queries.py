@@ -15,7 +15,7 @@ from .oracles import ORACLE_SQL
 def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
-    return language_id.identify(docs, language_id.train(language_id.sample_labelled(docs)))
+    return language_id.identify(docs, language_id.fit(docs))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     pages, labels = tables(sf_dir, spark, "pages", "labels")
     judged = url_filters.judge_urls(pages, url_filters.page_outcomes(pages, labels))
-    return judged.withColumn("lower_bad", F.round("lower_bad", 9) + F.lit(0.0))
+    return judged.drop("lower_bad").withColumn("p_bad", F.round("p_bad", 6) + F.lit(0.0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
