@@ -4,11 +4,12 @@ Documents longer than a sequence are cut into full pieces and one shorter piece,
 sequences by themselves. The others are dealt to partitions of bounded size, and each partition is packed by
 best-fit decreasing. Dual-feasible functions bound its number of bins from below: a partition that reaches its bound
 is certified and only its emptiest bin goes on; one with a gap keeps its full bins and exchanges the
-documents of the others with other partitions' in the next, smaller round, where best-fit decreasing runs again. The
-last round keeps what it makes.
+documents of the others with other partitions' in the next, smaller round, where best-fit decreasing runs again. Rounds end
+when everything is certified, when a single partition is left that has been repacked, or when a round hardly leaves fewer
+documents than the one before; that last round keeps what it makes.
 
 Null and empty texts are documents of the end id alone. Rows are told apart by a number of their own, so repeated
-ids are packed one by one. An empty table gives no rows.
+and null ids are packed one by one; ids pass through unchanged. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, texts_of
 from .tokens import END_ID, encoder, in_runs
 
-CAPACITY, PARTITION_PIECES, ROUNDS = 1024, 16_384, 4
+CAPACITY, PARTITION_PIECES = 1024, 16_384
+#: A round that leaves more than this part of the documents of the one before is the last.
+SHRINK = 0.8
 _PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -75,43 +78,45 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
-    def run(frames):
-        for f in frames:
-            texts, doc_ids, rows = f["text"].tolist(), f["doc_id"].tolist(), []
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch)
             for a, b in in_runs(texts):
                 ids, bounds = encoder(vocabulary).encode(texts[a:b], end)
                 data = memoryview(ids.astype("<u4").tobytes())
+                rows = []
                 for i in range(b - a):
                     s, e = int(bounds[i]), int(bounds[i + 1])
                     first = (e - s) % capacity or capacity
                     cuts = [s, *range(s + first, e + 1, capacity)]
-                    rows += [(doc_ids[a + i], k, p - s, q - p, zlib.crc32(data[4 * p : 4 * q])) for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": object}) if out["doc_id"].isna().any() else out
+                    rows += [(a + i, k, p - s, q - p, zlib.crc32(data[4 * p : 4 * q])) for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                at, *columns = zip(*rows, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select("doc_id", "text").mapInPandas(run, _PIECE.format(id=kind))
+    return df.select("doc_id", "text").mapInArrow(run, _PIECE.format(id=kind))
 
 
 def _packer(turn: int, last: bool, capacity: int):
     """Packs one partition and says which of its bins are final."""
 
     def one(key, f):
-        f = f.iloc[np.lexsort((f["uid"].to_numpy(), -f["length"].to_numpy()))].drop(columns="part")
-        sizes = f["length"].to_numpy(np.int64)
-        where, offset, fill = best_fit_decreasing(sizes, capacity)
+        f = f.sort_by([("length", "descending"), ("uid", "ascending")]).drop_columns("part")
+        where, offset, fill = best_fit_decreasing(sizes := f["length"].to_numpy(), capacity)
         sure = len(fill) <= lower_bound(sizes, capacity)
         final = np.full(len(fill), last or sure) | (fill == capacity)
         if sure and not last:
             emptiest = int(fill.argmin())
             final[emptiest] = fill[emptiest] == capacity
-        f["sequence_id"] = (np.int64(turn + 1) << 56) + (np.int64(key[0]) << 28) + where
-        f["offset"], f["certified"], f["final"] = offset, sure, final[where]
+        sequence = (np.int64(turn + 1) << 56) + (np.int64(key[0].as_py()) << 28) + where
+        for name, column in (("sequence_id", sequence), ("offset", offset), ("certified", np.full(len(f), sure)), ("final", final[where])):
+            f = f.append_column(name, pa.array(column))
         return f
 
     return one
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Adds sequence_id, offset and certified (its partition reached the lower bound) to a table of pieces.
 
     Reads pieces once; everything after that works on narrow rows in the shared folder.
@@ -120,19 +125,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PA
     done = [base.filter(F.col("length") == capacity).select("*", (F.lit(1 << 62) + F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))]
     left = base.filter(F.col("length") < capacity)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
-    for turn in range(rounds):
-        n = left.count()
-        if not n:
-            break
+    turn, before = 0, None
+    while n := left.count():
         parts = max(1, round(n / partition_pieces))
-        last = turn == rounds - 1 or (parts == 1 and turn > 0)
+        last = turn > 0 and (parts == 1 or n > SHRINK * before)
 
         dealt = left.withColumn("part", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(parts)))
-        packed = stored(dealt.groupBy("part").applyInPandas(_packer(turn, last, capacity), f"{fields}, sequence_id long, offset long, certified boolean, final boolean"), f"packed{turn}")
+        packed = stored(dealt.groupBy("part").applyInArrow(_packer(turn, last, capacity), f"{fields}, sequence_id long, offset long, certified boolean, final boolean"), f"packed{turn}")
         done.append(packed.filter("final").drop("final"))
         if last:
             break
         left = packed.filter("NOT final").select(base.columns)
+        turn, before = turn + 1, n
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

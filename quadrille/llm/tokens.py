@@ -16,7 +16,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_500_000
 END_ID = 2
 _CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same cut for texts of Latin-1 without control characters, where the classes can be spelled out.
