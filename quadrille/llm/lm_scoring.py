@@ -1,74 +1,86 @@
 """Language-model scores by deleted interpolation of n-gram maximum-likelihood estimates.
 
-P(w | v) mixes the relative frequencies of the bigram and of the word with a smoothed unigram. The mixture's
-weights depend on the bucket (power of two) of the context's frequency and are learned by expectation-maximisation on
-held-out counts: for the training tokens of one in ``HELD_OUT`` groups of documents, every count is taken without the
-token itself. A text ends in an end token; the first word's context is the start of a text.
-
-Counts are exact and cover all training documents. Documents are dealt to groups by hash. A group sends each of its
-distinct n-grams once, with its count there, to the n-gram's bucket, so that frequent n-grams cost one entry a
-group; the bucket adds up and answers each group with the totals, in the order of the hashes, so answers carry no
-keys. The group then scores its texts by look-up. Nothing grows on the driver: it sees two sums and a histogram of
-bounded size. N-grams are told apart by 46 bits of hash and the bits of the bucket.
+P(w | u v) mixes the relative frequencies of the trigram, the bigram and the word with a smoothed unigram:
+``l3 * f3 + (1 - l3) * (l2 * f2 + (1 - l2) * (l1 * f1 + (1 - l1) * base))``. ``l3`` and ``l2`` depend on the bucket of the context's
+frequency (0 to 4 one by one, then powers of two); a context that was never seen gets no weight. The weights are
+learned by expectation-maximisation on held-out counts: one in ``HELD_OUT`` groups of training documents is deleted, its tokens are
+predicted with the counts of the others alone. Scores then use the counts of all training documents. A text ends in
+an end token; it begins after start marks.
+
+Counts are exact and cover all training documents. Documents are dealt to groups of ``GROUP_CHARS`` by hash. A group sends
+each of its distinct n-grams once, with its count, to the n-gram's bucket, so that frequent n-grams cost one entry a
+group; the bucket adds up and answers each group with the totals in the order of the hashes, so answers carry no
+keys. The group then scores its texts by look-up. With more than 2**``FAN_BITS`` groups, n-grams go up through several levels of
+buckets, each of which adds up so many blocks of groups and looks at so many more bits of the hash, and answers come down the
+same way: what one task holds is of the size of a group at every size of the input. The driver sees a few sums and a
+histogram of bounded size. N-grams are told apart by ``BODY_BITS`` of hash and the bits of the bucket.
 
 Null counts as the empty text, which is an end token. Without training tokens all counts are 0. Repeated rows
-are scored (and counted) one by one. Null ids form a fold of their own (that of the empty string).
+are scored (and counted) one by one. Null ids form a fold of their own (that of the empty string) and stay null.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import encode, fold, mix64, stored, word_hashes
 
-HELD_OUT, ADD, LEVELS, EM_ROUNDS = 10, 0.1, 20, 40
-GROUP_CHARS = 8_000_000
-NULL_ID = -(1 << 63)
+HELD_OUT, ADD, LEVELS, EM_ROUNDS = 10, 0.1, 24, 40
+ORDER = 3
+GROUP_CHARS, FAN_BITS, BODY_BITS = 6_000_000, 10, 38
+#: Held-out tokens that a level's weight is worth before it has seen any.
+PRIOR = 2.0
 _END, _START = np.uint64(0xA5A5_5A5A_0F0F_1234), np.uint64(0x1357_9BDF_0246_8ACE)
 _K = np.uint64(0x9E3779B97F4A7C15)
+_REQUEST = "up long, pre long, blk long, grams binary, counts binary, held binary"
+_ANSWER = "blk long, pre long, totals binary, kept binary, tokens long, distinct long, kept_tokens long"
 
 
 def _packed(docs: DataFrame, groups: int) -> DataFrame:
     """group and a compressed batch of its documents."""
 
-    def run(frames):
+    def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for f in frames:
-            f = f.sort_values("group", kind="stable")
-            group = f["group"].to_numpy()
-            ids = f["doc_id"].astype("Int64").fillna(NULL_ID).to_numpy(np.int64)
-            held, texts = f["held"].to_numpy(bool), [encode(t) for t in f["text"]]
+        for batch in batches:
+            f = pa.Table.from_batches([batch]).sort_by("group")
+            if not len(f):
+                continue
+            group, ids = f["group"].to_numpy(), f["doc_id"].combine_chunks()
+            flags = f["held"].to_numpy().astype(np.uint8) | (ids.is_null().to_numpy(False).astype(np.uint8) << 1)
+            ids, texts = ids.fill_null(0).to_numpy(False), [encode(t) for t in f["text"].to_pylist()]
             at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             rows = []
             for a, b in zip(at, [*at[1:], len(group)], strict=True):
                 size = np.array([len(t) for t in texts[a:b]], np.int64)
-                data = np.array([b - a], np.int64).tobytes() + ids[a:b].tobytes() + size.tobytes() + held[a:b].astype(np.uint8).tobytes() + b"".join(texts[a:b])
-                rows.append((int(group[a]), press.compress(data)))
-            yield pd.DataFrame(rows, columns=["group", "docs"])
+                data = np.array([b - a], np.int64).tobytes() + ids[a:b].tobytes() + size.tobytes() + flags[a:b].tobytes() + b"".join(texts[a:b])
+                rows.append(press.compress(data))
+            yield pa.record_batch({"group": pa.array(group[at], pa.int64()), "docs": pa.array(rows, pa.binary())})
 
-    key = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)).cast("int")
+    key = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return narrow.select("*", key.alias("group"), (fold() == 0).alias("held")).mapInPandas(run, "group int, docs binary")
+    return narrow.select("*", key.alias("group"), (fold() == 0).alias("held")).mapInArrow(run, "group long, docs binary")
 
 
 class Group:
-    """The tokens of a group's documents and their distinct n-grams."""
+    """The tokens of a group's documents and their distinct n-grams, as numbers of total + BODY_BITS bits and two of the order."""
 
-    def __init__(self, blobs):
-        ids, held, texts = [], [], []
+    def __init__(self, blobs, total_bits: int):
+        ids, flags, texts = [], [], []
         for blob in blobs:
             data = zstandard.ZstdDecompressor().decompress(blob)
             n = int(np.frombuffer(data, np.int64, 1)[0])
             ids.append(np.frombuffer(data, np.int64, n, 8))
             size = np.frombuffer(data, np.int64, n, 8 + 8 * n)
-            held.append(np.frombuffer(data, np.uint8, n, 8 + 16 * n).astype(bool))
+            flags.append(np.frombuffer(data, np.uint8, n, 8 + 16 * n))
             ends = 8 + 17 * n + np.cumsum(size)
             texts += [data[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        self.ids, self.held = np.concatenate(ids), np.concatenate(held)
+        flags = np.concatenate(flags)
+        self.ids, self.held, self.no_id = np.concatenate(ids), (flags & 1).astype(bool), (flags & 2).astype(bool)
         words, first = word_hashes(texts)
         n = np.diff(first)
         self.first = np.concatenate([[0], np.cumsum(n + 1)])
@@ -78,163 +90,264 @@ class Group:
         token[inner] = words[: first[-1]]
         token[~inner] = _END
         self.doc = np.repeat(np.arange(len(n)), n + 1)
-        self.before = np.concatenate([[_START], token[:-1]])
-        self.before[self.first[:-1]] = _START
-        three = np.uint64(3)
-        grams = np.concatenate([mix64(token) & ~three, (mix64(self.before * _K + token) & ~three) | np.uint64(1)])
-        # only the bits that travel tell n-grams apart
-        self.grams, index = np.unique(grams, return_inverse=True)
-        self.one, self.two = np.split(index, 2)
-        at_start = np.zeros(len(token), bool)
-        at_start[self.first[:-1]] = True
-        self.context = np.concatenate([[0], self.one[:-1]])
-        self.at_start = at_start
+        place = np.arange(len(token)) - self.first[self.doc]
+        self.at_start = place == 0
+        shift = np.uint64(64 - total_bits - BODY_BITS)
+        grams, h = [np.zeros(1, np.uint64)], token
+        for k in range(1, ORDER + 1):
+            if k > 1:
+                before = np.full(len(token), _START)
+                before[k - 1 :] = token[: len(token) - k + 1]
+                h = mix64(h * _K + np.where(place >= k - 1, before, _START) + np.uint64(k))
+            grams.append(((mix64(h) >> shift) << np.uint64(2)) | np.uint64(k))
+        # number 0 stands for the beginning of a document
+        self.grams, index = np.unique(np.concatenate(grams), return_inverse=True)
+        self.of = np.split(index[1:], ORDER)
 
     def counts(self) -> np.ndarray:
         ok = ~self.held[self.doc]
-        n = len(self.grams)
-        return np.bincount(self.one[ok], minlength=n) + np.bincount(self.two[ok], minlength=n)
-
-
-def _cut(grams: np.ndarray, bits: int) -> np.ndarray:
-    """Bounds of the buckets in sorted n-grams."""
-    return np.searchsorted(grams >> np.uint64(64 - bits), np.arange((1 << bits) + 1)) if bits else np.array([0, len(grams)])
-
+        out = sum(np.bincount(x[ok], minlength=len(self.grams)) for x in self.of)
+        out[0] = (~self.held).sum()
+        return out
 
-def _squeeze(grams: np.ndarray, bits: int) -> np.ndarray:
-    """The bits below those of the bucket, 46 of them and the two of the order."""
-    body = (grams << np.uint64(bits)) >> np.uint64(18)
-    return (body << np.uint64(2)) | (grams & np.uint64(3))
+    def contexts(self, k: int) -> np.ndarray:
+        """Number of the context's n-gram for order k of every token."""
+        out = np.zeros(len(self.doc), np.int64)
+        if k > 1:
+            out[1:] = self.of[k - 2][:-1]
+            out[self.at_start] = 0
+        return out
 
 
 def _bytes(x: np.ndarray, n: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-def _numbers(data: bytes, n: int) -> np.ndarray:
-    raw = np.zeros((len(data) // n, 8), np.uint8)
-    raw[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+def _send(x: np.ndarray) -> bytes:
+    """Non-negative numbers in as few whole bytes each as the largest needs; none if all are 0, but for their number."""
+    top = int(x.max()) if len(x) else 0
+    n = (top.bit_length() + 7) // 8
+    return bytes([n]) + (_bytes(x.astype(np.uint64), n) if n else len(x).to_bytes(8, "little"))
+
+
+def _receive(data: bytes) -> np.ndarray:
+    n = data[0]
+    if not n:
+        return np.zeros(int.from_bytes(data[1:], "little"), np.uint64)
+    raw = np.zeros(((len(data) - 1) // n, 8), np.uint8)
+    raw[:, :n] = np.frombuffer(data, np.uint8, offset=1).reshape(n, -1).T
     return raw.view("<u8")[:, 0]
 
 
-def _send(x: np.ndarray) -> bytes:
-    """Non-negative numbers in as few whole bytes each as the largest needs."""
-    n = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([n]) + _bytes(x.astype(np.uint64), n)
+def level_bits(groups: int) -> list[int]:
+    """Bits of the hash that each level of buckets looks at; at least as many buckets as groups in the end."""
+    total = max(0, groups - 1).bit_length()
+    levels = max(1, -(-total // FAN_BITS))
+    return [total // levels + (k < total % levels) for k in range(levels)]
 
 
-def _receive(data: bytes) -> np.ndarray:
-    return _numbers(data[1:], data[0])
+def _split(block: int, prefix: int, grams: np.ndarray, counts: np.ndarray, held: np.ndarray, width: int, bits: int) -> list[tuple]:
+    """Requests of one node of a level to the buckets of the next."""
+    rest = np.uint64(width - bits)
+    part = grams >> rest
+    body = grams & ((np.uint64(1) << rest) - np.uint64(1))
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    rows = []
+    for a, b in zip(cut, [*cut[1:], len(part)] if len(part) else [], strict=True):
+        rows.append((block >> bits, prefix << bits | int(part[a]), block, _send(np.diff(body[a:b], prepend=np.uint64(0))), _send(counts[a:b]), _send(held[a:b])))
+    return rows
+
+
+class Merged:
+    """What the requests of one bucket add up to."""
+
+    def __init__(self, f: pd.DataFrame):
+        f = f.sort_values("blk")
+        self.blocks = f["blk"].to_numpy(np.int64)
+        grams = [np.cumsum(_receive(x), dtype=np.uint64) for x in f["grams"]]
+        self.cuts = np.cumsum([len(x) for x in grams])[:-1]
+        self.known, self.where = np.unique(np.concatenate(grams), return_inverse=True)
+        self.total, self.held = (np.bincount(self.where, np.concatenate([_receive(x) for x in f[c]]).astype(np.float64), len(self.known)).astype(np.uint64) for c in ("counts", "held"))
+
+    def answers(self, prefix: int, total: np.ndarray, kept: np.ndarray, groups: bool) -> pd.DataFrame:
+        """A row for each block; groups that are not held out need no counts without those that are."""
+        parts = [np.split(x[self.where], self.cuts) for x in (total, kept)]
+        none = _send(np.zeros(0, np.uint64))
+        rows = [(int(b), prefix, _send(t), none if groups and not _is_held_out(b) else _send(k)) for b, t, k in zip(self.blocks, *parts, strict=True)]
+        out = pd.DataFrame(rows, columns=["blk", "pre", "totals", "kept"])
+        return out.assign(tokens=0, distinct=0, kept_tokens=0)
+
+
+def _is_held_out(group):
+    return group % HELD_OUT == 1
+
+
+def _requests(bits: list[int]):
+    def run(key, f):
+        g = Group(f["docs"], sum(bits))
+        counts, group = g.counts(), int(key[0])
+        rows = _split(group, 0, g.grams, counts, counts * int(_is_held_out(group)), sum(bits) + BODY_BITS + 2, bits[0])
+        return pd.DataFrame(rows, columns=["up", "pre", "blk", "grams", "counts", "held"])
+
+    return run
+
+
+def _raise(bits: list[int], level: int):
+    """Adds up at one level and asks the next."""
+    width = sum(bits[level:]) + BODY_BITS + 2
 
+    def run(key, f):
+        m = Merged(f)
+        return pd.DataFrame(_split(int(key[0]), int(key[1]), m.known, m.total, m.held, width, bits[level]), columns=["up", "pre", "blk", "grams", "counts", "held"])
+
+    return run
 
-def _requests(bits: int):
+
+def _top(groups: bool):
     def run(key, f):
-        g = Group(f["docs"])
-        counts, cut, rows = g.counts(), _cut(g.grams, bits), []
-        small = _squeeze(g.grams, bits)
-        for b in range(len(cut) - 1):
-            x = small[cut[b] : cut[b + 1]]
-            if len(x):
-                rows.append((b, int(key[0]), _send(np.diff(x, prepend=np.uint64(0))), _send(counts[cut[b] : cut[b + 1]])))
-        return pd.DataFrame(rows, columns=["bucket", "group", "grams", "counts"])
+        m = Merged(f)
+        kept = m.total - m.held
+        out = m.answers(int(key[1]), m.total, kept, groups)
+        word = (m.known & np.uint64(3)) == 1
+        out.loc[0, ["tokens", "distinct", "kept_tokens"]] = [int(m.total[word].sum()), int((m.total[word] > 0).sum()), int(kept[word].sum())]
+        return out
 
     return run
 
 
-def _answers(key, f):
-    """Totals for every group, in the order of its n-grams, and the bucket's sums over training unigrams."""
-    grams = [np.cumsum(_receive(x), dtype=np.uint64) for x in f["grams"]]
-    each = [_receive(x) for x in f["counts"]]
-    known, where = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(where, np.concatenate(each).astype(np.float64), len(known)).astype(np.uint64)
-    word = (known & np.uint64(3)) == 0
-    answers = [_send(x) for x in np.split(total[where], np.cumsum([len(x) for x in grams])[:-1])]
-    out = pd.DataFrame({"bucket": int(key[0]), "group": f["group"], "totals": answers, "tokens": 0, "distinct": 0})
-    out.loc[out.index[0], ["tokens", "distinct"]] = [int(total[word].sum()), int((total[word] > 0).sum())]
-    return out
+def _lower(groups: bool):
+    """Passes the answers that a bucket got on to those that asked it."""
 
+    def run(key, left, right):
+        m = Merged(left)
+        right = right.sort_values("pre")
+        total, kept = (np.concatenate([_receive(x) for x in right[c]]) for c in ("totals", "kept"))
+        return m.answers(int(key[1]), total, kept, groups)
+
+    return run
 
-def _totals(g: Group, right: pd.DataFrame) -> np.ndarray:
-    parts = [_receive(x) for x in right.sort_values("bucket")["totals"]]
-    total = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+def _counted(g: Group, right: pd.DataFrame, column: str) -> np.ndarray:
+    total = np.concatenate([_receive(x) for x in right.sort_values("pre")[column]])
     if len(total) != len(g.grams):
         raise ValueError("answers do not fit the group's n-grams")
     return total.astype(np.float64)
 
 
-def _components(g: Group, total: np.ndarray, sums: dict, without: int):
-    """(bucket of the context, bigram, word and smoothed estimates) of all tokens, without so many of each token itself."""
-    one, two = total[g.one] - without, total[g.two] - without
-    context = np.where(g.at_start, sums["docs"], total[g.context]) - without
-    n = sums["tokens"] - without
-    level = np.minimum(np.log2(np.maximum(context, 0) + 1).astype(np.int64), LEVELS - 1)
-    p2 = np.where(context > 0, two / np.maximum(context, 1), 0.0)
-    p1 = one / max(n, 1)
-    p0 = (one + ADD) / (n + ADD * (sums["distinct"] + 1))
-    return level, p2, p1, p0
+def _level(count: np.ndarray) -> np.ndarray:
+    """Bucket of a context's frequency: 0 to 4 by themselves, then powers of two."""
+    c = np.maximum(count, 0)
+    return np.minimum(np.where(c <= 4, c, np.log2(np.maximum(c, 1)) + 3).astype(np.int64), LEVELS - 1)
+
 
+def _estimates(g: Group, total: np.ndarray, tokens: float, distinct: float):
+    """The smoothed estimate of every token, and level of context and estimate by order from the highest."""
+    one = total[g.of[0]]
+    base = (one + ADD) / (tokens + ADD * (distinct + 1))
+    out = []
+    for k in range(ORDER, 1, -1):
+        context = total[g.contexts(k)]
+        out.append((_level(context), np.where(context > 0, total[g.of[k - 1]] / np.maximum(context, 1), 0.0)))
+    out.append((np.full(len(one), int(tokens > 0)), one / max(tokens, 1)))
+    return base, out
 
-def _cells(sums: dict):
+
+def _cells(sums: dict, bits: list[int]):
     """Histogram of the held-out tokens' estimates relative to the smoothed one, in cells of bounded number."""
 
     def run(key, left, right):
-        g = Group(left["docs"])
-        level, p2, p1, p0 = (x[~g.held[g.doc]] for x in _components(g, _totals(g, right), sums, 1))
-        r2, r1 = p2 / p0, p1 / p0
-        q2 = np.where(r2 > 0, np.clip(np.log2(np.maximum(r2, 1e-9)) * 4 + 41, 1, 160), 0).astype(np.int64)
-        q1 = np.where(r1 > 0, np.clip(np.log2(np.maximum(r1, 1e-9)) * 8 + 9, 1, 16), 0).astype(np.int64)
-        cell, back = np.unique((level * 200 + q2) * 20 + q1, return_inverse=True)
-        return pd.DataFrame({"cell": cell, "n": np.bincount(back, minlength=len(cell)).astype(float), "r2": np.bincount(back, r2, len(cell)), "r1": np.bincount(back, r1, len(cell))})
+        g = Group(left["docs"], sum(bits))
+        ok = ~g.held[g.doc]
+        base, orders = _estimates(g, _counted(g, right, "kept"), sums["kept_tokens"], sums["distinct"])
+        cell = np.zeros(int(ok.sum()), np.int64)
+        ratios = []
+        for k, (level, p) in enumerate(orders):
+            r = (p / base)[ok]
+            q = np.where(r > 0, np.clip(np.log2(np.maximum(r, 1e-9)) + 5, 1, 31), 0).astype(np.int64)
+            if k < ORDER - 1:
+                cell = cell * LEVELS + level[ok]
+            cell = cell * 32 + q
+            ratios.append(r)
+        cell, back = np.unique(cell, return_inverse=True)
+        out = {"cell": cell, "n": np.bincount(back, minlength=len(cell)).astype(float)}
+        return pd.DataFrame(out | {f"r{k}": np.bincount(back, r, len(cell)) for k, r in enumerate(ratios)})
 
     return run
 
 
-def mixture_weights(cells: pd.DataFrame, rounds: int = EM_ROUNDS) -> np.ndarray:
-    """Weights (bigram, word, smoothed) of every context bucket by expectation-maximisation."""
-    weights = np.full((LEVELS, 3), 1 / 3)
-    weights[0] = (0.0, 0.5, 0.5)
-    level = (cells["cell"] // 4000).to_numpy(np.int64)
+def mixture_weights(cells: pd.DataFrame, rounds: int = EM_ROUNDS) -> list[np.ndarray]:
+    """For every order from the highest, the weight of its estimate against all lower ones, by level of the context.
+
+    Level 0 (never seen) has weight 0. Levels with little held-out data lean on the order's mean weight.
+    """
+    cell = cells["cell"].to_numpy(np.int64)
     n = cells["n"].to_numpy(float)
-    ratio = np.column_stack([cells["r2"] / n, cells["r1"] / n, np.ones(len(n))])
+    levels = []
+    for k in range(ORDER - 1, -1, -1):
+        cell = cell // 32
+        levels.insert(0, cell % LEVELS if k < ORDER - 1 else np.ones(len(cell), np.int64))
+        if k < ORDER - 1:
+            cell = cell // LEVELS
+    ratio = [cells[f"r{k}"].to_numpy(float) / n for k in range(ORDER)] + [np.ones(len(n))]
+    weights = [np.concatenate([[0.0], np.full(LEVELS - 1, 0.5)]) for _ in range(ORDER)]
     for _ in range(rounds):
-        part = weights[level] * ratio
-        part = part / part.sum(axis=1, keepdims=True) * n[:, None]
-        for k in range(3):
-            weights[:, k] = np.bincount(level, part[:, k], LEVELS) + 1e-3
-        weights /= weights.sum(axis=1, keepdims=True)
+        rest, parts = np.ones(len(n)), []
+        for k in range(ORDER):
+            w = weights[k][levels[k]]
+            parts.append(rest * w * ratio[k])
+            rest = rest * (1 - w)
+        parts.append(rest)
+        whole = sum(parts)
+        share = [p / whole * n for p in parts]
+        for k in range(ORDER):
+            took, left = (np.bincount(levels[k], x, LEVELS) for x in (share[k], sum(share[k:])))
+            mean = (took[1:].sum() + 0.5 * PRIOR) / (left[1:].sum() + PRIOR)
+            weights[k] = (took + PRIOR * mean) / (left + PRIOR)
+            weights[k][0] = 0.0
     return weights
 
 
-def _scored(sums: dict, weights: np.ndarray):
+def interpolate(base: np.ndarray, orders: list, weights: list[np.ndarray]) -> np.ndarray:
+    p = base
+    for (level, estimate), w in zip(reversed(orders), reversed(weights), strict=True):
+        p = w[level] * estimate + (1 - w[level]) * p
+    return p
+
+
+def _scored(sums: dict, weights: list[np.ndarray], bits: list[int]):
     def run(key, left, right):
-        g = Group(left["docs"])
-        total = _totals(g, right)
-        level, p2, p1, p0 = _components(g, total, sums, 0)
-        w = weights[level]
-        model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+        g = Group(left["docs"], sum(bits))
+        total = _counted(g, right, "totals")
+        base, orders = _estimates(g, total, sums["tokens"], sums["distinct"])
         n = len(g.ids)
-        out = pd.DataFrame({"doc_id": pd.array(g.ids, "Int64"), "held_out": g.held, "n_tokens": np.diff(g.first), "n_known": np.bincount(g.doc, total[g.one] > 0, n).astype(np.int64), "train_tokens": int(sums["tokens"]), "base_score": np.bincount(g.doc, np.log10(p0), n), "score": np.bincount(g.doc, model, n)})
-        out.loc[out["doc_id"] == NULL_ID, "doc_id"] = pd.NA
-        return out
+        known = np.bincount(g.doc, total[g.of[0]] > 0, n).astype(np.int64)
+        scores = [np.bincount(g.doc, np.log10(p), n) for p in (base, interpolate(base, orders, weights))]
+        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(g.ids.copy(), g.no_id), "held_out": g.held, "n_tokens": np.diff(g.first), "n_known": known, "train_tokens": int(sums["tokens"]), "base_score": scores[0], "score": scores[1]})
 
     return run
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(fold() != 0, 1).otherwise(0)).alias("docs"), F.sum(F.length("text")).alias("chars")).first()
-    chars = (size["chars"] or 0) + size["rows"]
-    per_group = int(min(256e6, GROUP_CHARS * max(1.0, (chars / (1000 * GROUP_CHARS)) ** 0.5)))
-    groups = max(1, -(-chars // per_group))
-    bits = (groups - 1).bit_length()
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    groups = max(HELD_OUT, -(-((size["chars"] or 0) + size["rows"]) // GROUP_CHARS))
+    bits = level_bits(groups)
     packed = _packed(docs, groups)
-    requests = packed.groupBy("group").applyInPandas(_requests(bits), "bucket int, group int, grams binary, counts binary")
-    answers = stored(requests.groupBy("bucket").applyInPandas(_answers, "bucket int, group int, totals binary, tokens long, distinct long"), "answers")
-    found = answers.agg(F.sum("tokens").alias("t"), F.sum("distinct").alias("d")).first()
-    sums = {"tokens": found["t"] or 0, "distinct": found["d"] or 0, "docs": size["docs"] or 0}
-    totals = answers.select("bucket", "group", "totals")
-    held = F.col("group") % HELD_OUT == 1 % groups
-    cells = packed.filter(held).groupBy("group").cogroup(totals.filter(held).groupBy("group")).applyInPandas(_cells(sums), "cell long, n double, r2 double, r1 double")
-    weights = mixture_weights(cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "r2", "r1")]).orderBy("cell").toPandas())
+    asked = [packed.groupBy("group").applyInPandas(_requests(bits), _REQUEST)]
+    for level in range(1, len(bits)):
+        asked[-1] = stored(asked[-1], f"asked{level}")
+        asked.append(asked[-1].groupBy("up", "pre").applyInPandas(_raise(bits, level), _REQUEST))
+    answers = stored(asked[-1].groupBy("up", "pre").applyInPandas(_top(len(bits) == 1), _ANSWER), "answers")
+    found = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "kept_tokens")]).first().asDict()
+    for level in range(len(bits) - 1, 0, -1):
+        # a bucket's answers come from the parts of its own part of the hash range
+        up = answers.withColumn("of", F.shiftright("pre", bits[level]))
+        down = asked[level - 1].groupBy("up", "pre").cogroup(up.groupBy("blk", "of")).applyInPandas(_lower(level == 1), _ANSWER)
+        answers = stored(down, "answers")
+    totals = answers.select("blk", "pre", "totals")
+    held = answers.filter(F.pmod("blk", F.lit(HELD_OUT)) == 1).select("blk", "pre", "kept")
+    cells = packed.filter(F.pmod("group", F.lit(HELD_OUT)) == 1).groupBy("group").cogroup(held.groupBy("blk")).applyInPandas(_cells(found, bits), "cell long, n double, " + ", ".join(f"r{k} double" for k in range(ORDER)))
+    counted = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", *(f"r{k}" for k in range(ORDER)))]).orderBy("cell")
+    weights = mixture_weights(counted.toPandas())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("group").cogroup(totals.groupBy("group")).applyInPandas(_scored(sums, weights), schema)
+    return packed.groupBy("group").cogroup(totals.groupBy("blk")).applyInPandas(_scored(found, weights, bits), schema)
