@@ -1,30 +1,38 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Every block-level element is a node with two states, content or not. Unary potentials come from its tag, words of
-its class, id and role, the length and link share of its text; each edge has a parent-child potential that
+its class, id and role, the length, link share and part of the page of its text; each edge has a parent-child potential that
 depends on the kind of the child. Sum-product messages go up and then down the tree, which gives exact marginals
 in two passes. Weights are trained by gradient ascent of the likelihood on labelled pages; without pages of the
-user's own, ``labelled_pages`` makes some from templates with menus, notices, adverts, forms and comments.
+user's own, ``labelled_pages`` makes some from templates with menus, notices, adverts, forms and comments. A node is content if
+it holds content anywhere below it. One task fits the model; the driver only passes it on.
 
 A block is a run of text between block-level borders. White space inside becomes one space, character references
 are decoded, blocks of content nodes are joined by a blank line. Null and empty pages give an empty text. Markup
-may be cut off or unclosed anywhere. Rows are independent of each other; repeated rows give equal results.
+may be cut off or unclosed anywhere, and takes time in proportion to its length: the open elements of every name are listed, so
+that no end tag looks for its start. Quotes only count behind an equals sign; one that is never closed is part of the tag up to
+the next ``>``. Rows are independent of each other; repeated rows give equal results; ids and urls pass through unchanged.
 """
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import texts_of, with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea select object".split())
+#: If one of these is never closed, the rest of the page belongs to it; other raw elements are then as good as absent.
+ENDLESS = frozenset("script style textarea iframe noscript".split())
 CHROME = frozenset("nav header footer aside form button fieldset menu dialog label legend".split())
 CONTAINER = frozenset("html body div section main article table tbody thead tfoot tr ul ol dl figure details center".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption address caption summary title".split())
@@ -32,11 +40,13 @@ BLOCK = CHROME | CONTAINER | TEXTUAL
 #: A start tag closes these elements, up to the nearest element that holds them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}}
+TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
 HASH = 4096
-ROUNDS, RATE, PAGES = 60, 0.3, 320
-_TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|/[^>]*(?:>|\Z))", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-label)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z]+")
+ROUNDS, RATE, PAGES = 60, 0.3, 400
+_TAG = re.compile(r"<(?:!--(?:-?>|.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|/[^>]*(?:>|\Z))", re.S)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-label)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME = re.compile(r"[A-Z]?[a-z]{2,}")
+_RAW_END = {name: re.compile(f"</{name}(?![^\\s/>])[^>]*>", re.I) for name in RAW}
 
 
 class Node:
@@ -52,7 +62,8 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes, blocks = [Node(-1, "#page", [])], []
     if not isinstance(page, str) or not page:
         return nodes, blocks
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements with their nodes; inline ones have their parent's
+    stack: list[tuple[str, int]] = [("#page", 0)]  # open block-level elements with their nodes
+    places: dict[str, list[int]] = {}  # of the open elements of every name in the stack
     run: list[str] = []
     links, at, n = 0, 0, len(page)
 
@@ -66,9 +77,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 node.blocks += 1
                 blocks.append((stack[-1][1], text))
 
+    def innermost(names) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=0)
+
     def close(k: int):
-        if any(t in BLOCK for t, _ in stack[k:]):
-            end_block()
+        end_block()
+        for name, _ in stack[k:]:
+            places[name].pop()
         del stack[k:]
 
     while at < n:
@@ -85,15 +100,15 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if not name:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
+            if name in BLOCK:
+                k = innermost((name,))
+                if k and k > innermost(HOLDS.get(name, () if name in TABLE else ("td", "th", "caption"))):
                     close(k)
-                    break
-                if stack[k][0] in BLOCK and name not in BLOCK:
-                    break
-            if name == "a":
+                elif name == "p":
+                    end_block()
+            elif name == "a":
                 links = max(0, links - 1)
-            elif name == "br" or name == "p":
+            elif name == "br":
                 run.append(" ")
             continue
         if name in VOID:
@@ -102,33 +117,28 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 end_block()
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
-                e = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
-                at = e.end() if e else n
+            # a slash at the end closes none of them but svg
+            if not (name == "svg" and m[3].endswith("/")):
+                if e := _RAW_END[name].search(page, at):
+                    at = e.end()
+                elif name in ENDLESS:
+                    at = n
             continue
         if name in BLOCK:
             end_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+            if stack[-1][0] == "p":
+                close(len(stack) - 1)
+            if name in CLOSES:
+                k = innermost(CLOSES[name])
+                if k > innermost(HOLDS[name]):
                     close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-            shut, until = CLOSES.get(name, ()), HOLDS.get(name, ())
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in until:
-                    break
-                if stack[k][0] in shut:
-                    close(k)
-                    break
             words = [w.lower() for a in _ATTR.finditer(m[3]) for w in ([a[1]] if a[1].lower() == "hidden" else _NAME.findall(a[2] or a[3] or a[4] or ""))] if m[3] else []
             nodes.append(Node(stack[-1][1], name, words))
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, len(nodes) - 1))
             links = 0
-        else:
-            if name == "a":
-                links += 1
-            stack.append((name, stack[-1][1]))
+        elif name == "a":
+            links += 1
     end_block()
     return nodes, blocks
 
@@ -140,12 +150,14 @@ def _kind(tag: str) -> int:
 def features(nodes: list[Node]) -> list[list[int]]:
     """Hashed features of every node."""
     out = []
+    whole = max(1, sum(v.text for v in nodes))
     for v in nodes:
         names = [f"t={v.tag}", f"k={_kind(v.tag)}"]
-        names += [f"w={w}" for w in v.words[:12]]
+        names += [f"w={w}" for w in dict.fromkeys(v.words)] or ["w=none"]
         names.append(f"n={int(math.log2(1 + v.text))}" if v.text else "n=none")
         if v.text:
             names.append(f"a={min(4, 4 * v.links // v.text)}")
+            names.append(f"s={4 * v.text // whole}")
         if v.parent >= 0:
             names.append(f"p={nodes[v.parent].tag}>{v.tag}")
         out.append([zlib.crc32(x.encode()) % HASH for x in names])
@@ -234,20 +246,13 @@ def labelled_pages(count: int = PAGES, seed: int = 3) -> list[tuple[list[Node],
     pages = []
     for _ in range(count):
         nodes, blocks = parse(_template(r))
-        good, bad = [0] * len(nodes), [0] * len(nodes)
+        for v in nodes:
+            v.gold = 0
         for v, text in blocks:
-            (good if text.startswith("c") else bad)[v] += 1
-        kids_good, kids_bad = good[:], bad[:]
-        for i in range(len(nodes) - 1, 0, -1):
-            kids_good[nodes[i].parent] += kids_good[i]
-            kids_bad[nodes[i].parent] += kids_bad[i]
-        for i, v in enumerate(nodes):
-            if v.tag in ("#page", "html", "body", "head"):
-                v.gold = 0
-            elif good[i] or bad[i]:
-                v.gold = int(good[i] >= bad[i] and good[i] > 0)
-            else:
-                v.gold = int(kids_good[i] > kids_bad[i])
+            if text.startswith("c"):
+                nodes[v].gold = 1
+        for v in reversed(nodes[1:]):
+            nodes[v.parent].gold |= v.gold
         pages.append((nodes, features(nodes)))
     return pages
 
@@ -295,7 +300,27 @@ def _template(r: random.Random) -> str:
         inner = maybe(0.6, lambda: f"<h2>{words('x', 1, 3)}</h2>") + "".join(one() if r.random() < 0.8 else para("x") for _ in range(r.randint(1, 5))) + maybe(0.3, form)
         return box(["comments", "comment-list", "respond", "discussion", "replies", "disqus", "responses"], inner, ("section", "div", "div", "aside"))
 
+    def noise() -> str:
+        """Names that tell nothing: generic ones, or made up."""
+        some = ["wrapper", "container", "row", "col", "inner", "block", "box", "grid", "layout", "section", "main", "page", "site", "wrap", "holder", "region", "flex", "mx", "px", "lg"]
+        return " ".join(r.choice([r.choice(some), words("", 1, 1).strip(",.") + str(r.randint(1, 99))]) for _ in range(r.choice([0, 1, 1, 2, 3, 9])))
+
+    def nest(inner: str, p: float) -> str:
+        while r.random() < p:
+            name = noise()
+            inner = f'<div class="{name}">{inner}</div>' if name else f"<div>{inner}</div>"
+        return inner
+
     def article() -> str:
+        shape = r.random()
+        if shape < 0.15:  # without elements around it, or with breaks for paragraphs
+            title = r.choice([f"<h1>{words('c', 2, 12)}</h1>", f"<h2>{words('c', 2, 12)}</h2>", ""])
+            if r.random() < 0.5:
+                return title + r.choice(["<br>", "<br><br>", "<hr>"]).join(words("c", 8, 90) for _ in range(r.randint(1, 8)))
+            return title + "".join(para("c") for _ in range(r.randint(2, 8)))
+        if shape < 0.32:  # a div for each paragraph
+            body = "".join(f"<div>{words('c', 8, 90)}</div>" for _ in range(r.randint(2, 8)))
+            return nest(f"<h1>{words('c', 2, 12)}</h1>" + body, 0.6)
         parts = [f"<h1>{words('c', 2, 12)}</h1>"] if r.random() < 0.9 else []
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             parts.append(para("c"))
@@ -306,7 +331,9 @@ def _template(r: random.Random) -> str:
             parts.append(maybe(0.03, lambda: f"<pre>{words('c', 3, 20)}</pre>"))
             parts.append(maybe(0.05, advert))
             parts.append(maybe(0.03, lambda: box(["share", "social", "toolbar", "tags", "meta", "byline"], words("x", 1, 8))))
-        inner = "".join(parts)
+        if r.random() < 0.2:  # what readers and others add, inside the article's element
+            parts.append(r.choice([comments, comments, sidebar, form, notice])())
+        inner = nest("".join(parts), 0.25)
         wrap = r.random()
         if wrap < 0.55:
             inner = f"<article>{inner}</article>" if r.random() < 0.7 else box(["post", "story", "entry"], inner, ("article",))
@@ -314,31 +341,40 @@ def _template(r: random.Random) -> str:
             inner = box(["content", "main-content", "post-body", "entry-content", "article-body", "story", "post", "text", "main", "page-content"], inner, ("div", "div", "main", "section"))
         if r.random() < 0.3:
             inner = f"<main>{inner}</main>"
-        return inner
+        return nest(inner, 0.35)
 
     header = lambda: r.choice([f"<header><h2>{words('x', 1, 4)}</h2></header>", f"<header>{words('x', 1, 6)}</header>", box(["header", "masthead", "top", "site-header", "logo"], r.choice([words("x", 1, 6), f"<h2>{words('x', 1, 4)}</h2>", links("x", 3)]))])
     menu = lambda: r.choice([f"<nav>{links('x', r.randint(3, 8))}</nav>", box(["menu", "nav", "navbar", "navigation", "breadcrumb", "topnav"], links("x", r.randint(3, 8)))])
     footer = lambda: r.choice([f"<footer>{words('x', 2, 20)}</footer>", f"<footer><p>{words('x', 2, 20)}</p></footer>", box(["footer", "bottom", "copyright", "legal", "site-footer"], r.choice([words("x", 2, 20), f"<p>{words('x', 2, 20)}</p>", links("x", 4)]))])
     parts = [maybe(0.5, header), maybe(0.8, menu), maybe(0.25, notice), maybe(0.4, advert), maybe(0.2, form), maybe(0.25, sidebar)]
     parts += [article()] + [maybe(0.3, advert), maybe(0.3, sidebar), maybe(0.35, comments), maybe(0.2, form), maybe(0.2, notice), maybe(0.85, footer), maybe(0.1, notice)]
-    body = "".join(parts)
-    if r.random() < 0.4:
-        body = box(["wrapper", "container", "page", "site", "layout"], body, ("div",))
+    body = nest("".join(parts), 0.4)
     if r.random() < 0.15:
         return body
     return f"<!DOCTYPE html><html><head><title>{words('x', 2, 9)}</title><style>p{{}}</style></head><body>{body}" + r.choice(["</body></html>", ""])
 
 
+def fit(spark: SparkSession) -> Model:
+    """The model for generated pages, fitted in one task."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield pa.record_batch({"model": pa.array([pickle.dumps(train(labelled_pages()))], pa.binary())})
+
+    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").first()["model"])
+
+
 def extract_text(df: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
-    shared = df.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(df.sparkSession))
     narrow = df.select(df[id_col].alias("id"), df[url_col].alias("u"), df[html_col].alias("h"))
 
-    def run(frames):
-        for f in frames:
-            texts = [shared.value.extract(h) for h in f["h"]]
-            yield pd.DataFrame({"id": f["id"], "u": f["u"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches):
+        for batch in batches:
+            texts = [shared.value.extract(h) for h in texts_of(batch, "h")]
+            yield with_columns(batch, ["id", "u"], ["text", "n_chars"], [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    out = narrow.mapInPandas(run, f"id {kind}, u string, text string, n_chars long")
+    id_kind, url_kind = (df.schema[c].dataType.simpleString() for c in (id_col, url_col))
+    out = narrow.mapInArrow(run, f"id {id_kind}, u {url_kind}, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_col, "u": url_col})
