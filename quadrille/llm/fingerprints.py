@@ -6,7 +6,8 @@ intersections over unions or over one side estimate likeness and containment bet
 
 Words are runs between white space, in lower case; a text of one to four words has its whole sequence as its only
 shingle; null counts as empty and has an empty fingerprint. Where neither of two texts keeps a hash, their likeness
-is 1 if they are equal and else 0. Equal texts have equal fingerprints.
+is 1 if they are equal and else 0. Equal texts have equal fingerprints. Rows with equal ids follow each other in the order of a hash
+of their text; null ids come first.
 """
 
 from __future__ import annotations
@@ -14,9 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import NULL_ID, ordered_buckets
+
 #: Kept part of the hash range: 1 / 2**FRACTION_BITS.
 FRACTION_BITS = 2
-ROWS_PER_BUCKET, FAN, MAX_BUCKETS = 1500, 32, 32**3
+#: Rows of a bucket, and the most buckets that a plan lists; beyond MAX_BUCKETS * ROWS_PER_BUCKET rows, buckets have more rows, which
+#: a window sorts with spilling and reads once.
+ROWS_PER_BUCKET, MAX_BUCKETS = 1500, 32**3
 
 
 def _words(text: Column) -> Column:
@@ -51,53 +56,43 @@ def containment(a: Column, b: Column, equal: Column) -> Column:
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))).otherwise(F.when(equal, 1.0).otherwise(0.0))
 
 
-def _bucket(df: DataFrame, key: str, rows_per_bucket: int) -> Column:
-    """Ascending bucket number of a whole-number key; about rows_per_bucket rows each. Null counts as least."""
-    rows = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    n = min(MAX_BUCKETS, max(1, -(-rows // rows_per_bucket)))
-    cuts: list[int] = []
-    if n > 1:
-        at = F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n)
-        cuts = sorted(set(df.agg(at.alias("c")).first()["c"] or []))
-    x = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    # the number of cuts below x, by descending through levels of FAN cuts each
-    levels = [cuts]
-    while len(levels[0]) > FAN:
-        levels.insert(0, levels[0][FAN - 1 :: FAN])
-    out = F.lit(0)
-    for level in levels:
-        here = F.array(*map(F.lit, level)).cast("array<bigint>") if level else F.array().cast("array<bigint>")
-        out = out * FAN + F.size(F.filter(F.slice(here, out * FAN + 1, FAN), lambda c: c < x))
-    return out
-
-
-def with_next(df: DataFrame, key: str, columns: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Adds next_<column> of the row that follows in ascending key (after the last one: of the first row).
-
-    Rows are dealt once, to range buckets of bounded size; a window finds the follower inside a bucket, and the few rows at
-    the end of a bucket take theirs from a join with the first row of the following bucket. Rows with equal keys
-    follow each other in the order of the hash of their columns.
+def merge_sketches(df: DataFrame, group: str, sketch: str = "sketch") -> DataFrame:
+    """group and sketch of the union of each group's texts. Hashes are made distinct before a group is put together."""
+    hashes = df.select(group, F.explode_outer(sketch).alias("h")).distinct()
+    return hashes.groupBy(group).agg(F.array_sort(F.collect_list("h")).alias(sketch))
+
+
+def _with_next(df: DataFrame, key: str, text: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """key, text and sketch, and next_text and next_sketch of the row that follows in ascending key (after the last one: of the first).
+
+    Texts are dealt once, to range buckets of bounded size, and sketched there once; a window finds the follower inside a bucket, and
+    the one row at the end of a bucket takes its from a join with the first row of the following bucket, found from keys and
+    then texts alone. A key with very many rows has several buckets.
     """
-    df = df.withColumn("_b", _bucket(df, key, rows_per_bucket)).withColumn("_k", F.struct(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("k"), F.xxhash64(*columns).alias("h")))
-    row = F.struct(*columns)
-    lead = df.withColumn("_next", F.lead(row).over(Window.partitionBy("_b").orderBy("_k")))
-    inner = lead.filter("_next IS NOT NULL")
-    ends = lead.filter("_next IS NULL").drop("_next")
-    used = sorted(r["_b"] for r in df.select("_b").distinct().collect())  # a number for each bucket
-    first = df.groupBy("_b").agg(F.min_by(row, "_k").alias("_next"))
-    before = F.map_from_arrays(F.array(*map(F.lit, used)), F.array(*map(F.lit, used[-1:] + used[:-1]))) if used else F.lit(None)
-    first = first.withColumn("_b", F.element_at(before, F.col("_b")) if used else F.col("_b"))
-    both = inner.unionByName(ends.join(first, "_b"))
-    return both.select(*[c for c in df.columns if c not in ("_b", "_k")], *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
+    df = df.select(key, text, F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_k"), F.xxhash64(text).alias("_h"))
+    bucket = ordered_buckets(df, key, F.col("_h"), rows_per_bucket, MAX_BUCKETS)[1]
+    df = df.withColumn("_b", bucket)
+    row = F.struct(F.col(text).alias("text"), F.col("sketch"))
+    dealt = with_sketch(df.repartition("_b"), text, "sketch")
+    lead = dealt.withColumn("_next", F.lead(row).over(Window.partitionBy("_b").orderBy("_k", "_h")))
+    least = df.groupBy("_b").agg(F.min("_k").alias("_k"))  # a row for each bucket, so MAX_BUCKETS at most
+    used = sorted(r["_b"] for r in least.collect())
+    first = df.join(F.broadcast(least), ["_b", "_k"]).groupBy("_b").agg(F.min_by(text, "_h").alias(text))
+    if used:
+        before = F.map_from_arrays(F.array(*map(F.lit, used)), F.array(*map(F.lit, used[-1:] + used[:-1])))
+        first = first.withColumn("_b", F.element_at(before, F.col("_b")))
+    both = lead.join(with_sketch(first, text, "sketch").select("_b", row.alias("_first")), "_b", "left")
+    both = both.withColumn("_next", F.coalesce("_next", "_first"))
+    return both.select(key, text, "sketch", F.col("_next.text").alias("next_text"), F.col("_next.sketch").alias("next_sketch"))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and kept_in_edited of every document.
 
-    The edited text replaces the last half of the characters by as many of the next document's first ones.
+    The edited text replaces the last half of the characters by as many of the next document's first ones. kept_in_edited is the
+    estimated part of a text's shingles that the edited text has.
     """
-    base = with_sketch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sketch")
-    base = with_next(base, "doc_id", ["text", "sketch"])
+    base = _with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     base = with_sketch(base.withColumn("edited", edited), "edited", "edited_sketch")
@@ -109,4 +104,5 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         digest(F.col("edited_sketch")).alias("edited_fingerprint"),
         likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch"), F.col("text") == F.col("next_text")).alias("near_next"),
+        containment(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("kept_in_edited"),
     )

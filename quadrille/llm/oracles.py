@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filters import MAX_BAD, RULES, STRENGTH, Z
+from .url_filters import MAX_BAD, RULES, STRENGTH, SURE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,9 +49,12 @@ h AS (SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k,
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2), x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 x1 AS (SELECT *, (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM x) AS m FROM x), x2 AS (SELECT suffix, (k + s * m) / (n + s) AS mean FROM (SELECT *, {_strength("x1")} AS s FROM x1)),
 d1 AS (SELECT d.*, x2.mean AS m FROM d JOIN x2 USING (suffix)), d2 AS (SELECT domain, (k + s * m) / (n + s) AS mean FROM (SELECT *, {_strength("d1")} AS s FROM d1)),
-h1 AS (SELECT h.*, d2.mean AS m FROM h JOIN d2 USING (domain)), h2 AS (SELECT host, n, s, (k + s * m) / (n + s) AS mean FROM (SELECT *, {_strength("h1")} AS s FROM h1)),
-r AS (SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (n + s + 1)) AS low FROM h2)
-SELECT page_id, host, path, {rule} AS rule, coalesce({says}, CASE WHEN low > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(low, 9) + 0.0 AS lower_bad FROM w JOIN r USING (host)"""
+h1 AS (SELECT h.*, d2.mean AS m FROM h JOIN d2 USING (domain)), h2 AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM (SELECT *, {_strength("h1")} AS s FROM h1)),
+t AS (SELECT host, CASE WHEN {MAX_BAD} > a / (a + b) THEN b ELSE a END AS p, CASE WHEN {MAX_BAD} > a / (a + b) THEN a ELSE b END AS q, {MAX_BAD} > a / (a + b) AS turn FROM h2),
+y AS (SELECT host, any_value(p) AS p, any_value(q) AS q, any_value(turn) AS turn, sum(exp(lgamma(p + q + i) - lgamma(p) - lgamma(q) - lgamma(p + 1 + i) + lgamma(p + 1) - ln(p) + (p + i) * ln(CASE WHEN turn THEN {1 - MAX_BAD} ELSE {MAX_BAD} END) + q * ln(CASE WHEN turn THEN {MAX_BAD} ELSE {1 - MAX_BAD} END))) AS v
+  FROM (SELECT t.*, unnest(generate_series(0, 3000)) AS i FROM t) GROUP BY host),
+r AS (SELECT host, CASE WHEN turn THEN v ELSE 1 - v END AS over FROM y)
+SELECT page_id, host, path, {rule} AS rule, coalesce({says}, CASE WHEN over >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(over, 6) + 0.0 AS p_bad FROM w JOIN r USING (host)"""
 
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_jaccard_join": OP6, "op10_url_filter": _op10()}

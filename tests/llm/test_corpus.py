@@ -1,13 +1,17 @@
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quadrille.llm import components, fingerprints, jaccard_join, lm_scoring, packing, token_files, tokens
 from tests.llm.helpers import shingles, words
@@ -91,6 +95,9 @@ def test_jaccard_join_edges(spark):
     kept = jaccard_join.keep_first(df.withColumn("node", df.doc_id)).collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 7, 8]
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
+    a, b = "a b c d e f g", "r s t u v w"
+    kept = jaccard_join.keep_first(spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3)], "doc_id long, text string, key int"))
+    assert sorted(map(tuple, kept.collect())) == [(3, a, 1), (5, b, 3)] and kept.columns == ["doc_id", "text", "key"]
 
 
 def test_components_of_paths(spark):
@@ -114,21 +121,94 @@ def test_scores_agree_with_brute_force(spark):
         assert r["n_known"] == sum(c[w] > 0 for w in t) and r["held_out"] == (d not in train) and r["score"] < 0
 
 
-def test_scores_of_all_groupings_agree(spark, monkeypatch):
+def brute_model(docs, held_block):
+    """Scores by dictionaries of n-grams: total counts, and weights from the deleted block alone."""
+    toks = [[*words(t), None] for _, t in docs]
+    train = [zlib.crc32(str(d).encode()) % 10 > 0 for d, _ in docs]
+    grams = lambda t: [(k, *(["<"] * 2 + t)[i + 3 - k : i + 3]) for i in range(len(t)) for k in (1, 2, 3)]
+
+    def count(which):
+        c = Counter(g for t, ok in zip(toks, which, strict=True) if ok for g in grams(t))
+        return c, sum(which)
+
+    return toks, train, grams, count(train), count([ok and not h for ok, h in zip(train, held_block, strict=True)])
+
+
+def test_estimates_and_held_out_counts_agree_with_dictionaries(spark, monkeypatch):
+    """All estimates before they are mixed: from all training documents, and without the deleted block."""
     rng = random.Random(6)
-    docs = [(k, " ".join(rng.choice(["red", "blue", "green", "the", "a"]) for _ in range(40))) for k in range(300)]
+    docs = [(k, " ".join(rng.choice(["red", "blue", "green", "the", "a"]) for _ in range(rng.randint(0, 30)))) for k in range(150)]
+    seen = {}
+
+    def keep(cells):
+        seen["cells"] = cells
+        return [np.concatenate([[0.0], np.full(lm_scoring.LEVELS - 1, w)]) for w in (0.5, 0.25, 0.5)]
+
+    monkeypatch.setattr(lm_scoring, "mixture_weights", keep)
+    monkeypatch.setattr(lm_scoring, "GROUP_CHARS", 400)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    one = {r["doc_id"]: r["base_score"] for r in lm_scoring.score_texts(df).collect()}
-    monkeypatch.setattr(lm_scoring, "GROUP_CHARS", 3000)
-    many = {r["doc_id"]: r["base_score"] for r in lm_scoring.score_texts(df).collect()}
-    assert all(abs(one[k] - many[k]) < 1e-9 for k in one)
-    assert lm_scoring.score_texts(df.limit(0)).count() == 0
+    for fan in (10, 2):
+        monkeypatch.setattr(lm_scoring, "FAN_BITS", fan)
+        got = {r["doc_id"]: r for r in lm_scoring.score_texts(df).collect()}
+        chars = sum(len(t) for _, t in docs) + len(docs)
+        groups = -(-chars // 400)
+        assert len(lm_scoring.level_bits(groups)) == (1 if fan == 10 else 2 if groups <= 16 else 3)
+        key = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups))
+        group = {r["doc_id"]: r["g"] for r in df.select("doc_id", key.alias("g")).collect()}
+        toks, train, grams, (full, n_docs), (kept, kept_docs) = brute_model(docs, [group[d] % 10 == 1 for d, _ in docs])
+        tokens = sum(c for g, c in full.items() if g[0] == 1)
+        distinct = sum(g[0] == 1 for g in full)
+
+        def context(c, n, t, i, k):
+            g = (["<"] * 2 + t)[i + 3 - k : i + 2]
+            return n if all(x == "<" for x in g) else c[(k - 1, *g)]
+
+        held_tokens = 0
+        for (d, _), t, ok in zip(docs, toks, train, strict=True):
+            score = 0.0
+            for i in range(len(t)):
+                g3 = grams(t)[3 * i : 3 * i + 3]
+                base = (full[g3[0]] + 0.1) / (tokens + 0.1 * (distinct + 1))
+                p = 0.5 * full[g3[0]] / tokens + 0.5 * base
+                for k, w in ((2, 0.25), (3, 0.5)):
+                    c = context(full, n_docs, t, i, k)
+                    p = w * full[g3[k - 1]] / c + (1 - w) * p if c else p
+                score += math.log10(p)
+            assert abs(score - got[d]["score"]) < 1e-6 * max(1, abs(score))
+            held_tokens += len(t) * (ok and group[d] % 10 == 1)
+        assert seen["cells"]["n"].sum() == held_tokens > 0
+        # the mean ratio of the kept word estimate to the smoothed one, over the deleted block
+        kept_tokens = sum(c for g, c in kept.items() if g[0] == 1)
+        want = 0.0
+        for (d, _), t, ok in zip(docs, toks, train, strict=True):
+            if ok and group[d] % 10 == 1:
+                want += sum((kept[(1, w)] / kept_tokens) / ((kept[(1, w)] + 0.1) / (kept_tokens + 0.1 * (distinct + 1))) for w in t)
+        assert abs(seen["cells"]["r2"].sum() - want) < 1e-6 * want
+
+
+def test_mixed_estimates_are_a_distribution():
+    """For one context, the mixed probabilities of all known words and the unknown one add up to 1."""
+    rng = np.random.default_rng(0)
+    v, n = 50, 400
+    one = rng.multinomial(n, rng.dirichlet(np.ones(v)))
+    base = np.append(one + 0.1, 0.1) / (n + 0.1 * (v + 1))
+    for context in (0, 3):
+        orders = [(np.full(v + 1, lm_scoring._level(np.array([context]))[0]), np.append(rng.multinomial(context, np.ones(v) / v), 0) / max(context, 1)) for _ in range(2)]
+        orders.append((np.ones(v + 1, int), np.append(one, 0) / n))
+        weights = [np.concatenate([[0.0], rng.random(lm_scoring.LEVELS - 1)]) for _ in range(3)]
+        assert abs(lm_scoring.interpolate(base, orders, weights).sum() - 1) < 1e-12
 
 
 def test_mixture_weights_prefer_what_predicts():
-    cells = pd.DataFrame({"cell": [3 * 4000 + 1, 3 * 4000 + 2], "n": [90.0, 10.0], "r2": [90.0 * 8, 0.0], "r1": [90.0, 10.0]})
+    """At level 3 the trigram predicts well, at level 5 never; levels without data take the order's mean; level 0 gets nothing."""
+    code = lambda l3, l2, q: (((l3 * 32 + q) * lm_scoring.LEVELS + l2) * 32 + 5) * 32 + 5
+    cells = pd.DataFrame({"cell": [code(3, 2, 8), code(5, 2, 0)], "n": [900.0, 100.0], "r0": [900.0 * 8, 0.0], "r1": [900.0, 100.0], "r2": [900.0, 100.0]})
     w = lm_scoring.mixture_weights(cells)
-    assert w[3, 0] > 0.8 and np.allclose(w.sum(axis=1), 1)
+    assert w[0][3] > 0.9 and w[0][5] < 0.1 and 0.5 < w[0][7] < 0.95 and w[0][0] == w[1][0] == 0
+
+
+def test_scores_of_empty_tables(spark):
+    assert lm_scoring.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -139,6 +219,24 @@ def test_shards_round_trip(ids):
     shard = token_files.write_shard(np.array([7, -1]), np.array([cut, len(ids) - cut]), ids)
     doc_ids, lengths, back = token_files.read_shard(shard)
     assert doc_ids.tolist() == [7, -1] and lengths.tolist() == [cut, len(ids) - cut] and (back == ids).all()
+    for a, b in ((0, 1), (cut, len(ids)), (cut // 2, cut), (130, 131), (5, 5)):
+        assert (token_files.read_ids(shard, a, b) == ids[a:b]).all()
+
+
+def test_an_id_with_most_rows_gets_several_buckets(spark, monkeypatch):
+    from quadrille.llm.common import ordered_buckets
+
+    rows = [(5 if k % 3 else k, f"t{k}") for k in range(3000)] + [(None, f"n{k}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    n, bucket = ordered_buckets(df, "doc_id", F.col("tie"), 100, 32**3)
+    got = df.withColumn("b", bucket).groupBy("b").count().collect()
+    assert n == 36 and max(r["count"] for r in got) < 260
+    keyed = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["tie"], r["b"]) for r in df.withColumn("b", bucket).collect()))
+    assert [b for *_, b in keyed] == sorted(b for *_, b in keyed)
+    monkeypatch.setattr(token_files, "ROWS_PER_BUCKET", 100)
+    back = token_files.read_token_table(token_files.write_token_table(df)).toPandas()
+    ids = {t: len(x) for (_, t), x in zip(rows, _library_ids([t for _, t in rows]), strict=True)}
+    assert len(back) == len(rows) and back["n_tokens"].sum() == sum(ids.values()) and sorted(back["start"]) == sorted(np.cumsum([0, *back.sort_values("start")["n_tokens"]])[:-1])
 
 
 def test_ids_agree_with_the_library():
@@ -196,6 +294,40 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def brute_sketch(text, bits=fingerprints.FRACTION_BITS):
+    signed = lambda x: x - (x >> 63 << 64)
+
+    def chain(numbers):
+        h = 42
+        for x in numbers:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return signed(h)
+
+    w = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in re.split("[ \\t\\n\\x0b\\f\\r]+", text.lower()) if x]
+    hashes = {chain(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {chain(w)} if w else set()
+    return {h for h in hashes if h < -(1 << 63) + (1 << 64 - bits)}
+
+
+def test_sketches_merge_and_contain(spark):
+    """A part of a text is contained in it however short; the sketch of a union is the union of sketches."""
+    rng = random.Random(5)
+    long = [f"q{rng.randrange(10**6)}" for _ in range(30_000)]
+    rows = [(1, "long", " ".join(long)), (1, "part", " ".join(long[500:900])), (2, "part", " ".join(long[:400])), (2, "other", " ".join(f"z{k}" for k in range(300))), (3, "none", "")]
+    df = fingerprints.with_sketch(spark.createDataFrame(rows, "g int, name string, text string"), "text", "sketch").cache()
+    got = {r["g"]: set(r["sketch"]) for r in fingerprints.merge_sketches(df, "g").collect()}
+    assert got == {g: set().union(*(brute_sketch(t) for h, _, t in rows if h == g)) for g in (1, 2, 3)}
+    a, b = (df.filter(f"name = '{n}' AND g = {g}").select(F.col("sketch").alias(n)) for n, g in (("long", 1), ("part", 1)))
+    both = a.crossJoin(b).select(fingerprints.containment(F.col("part"), F.col("long"), F.lit(False)).alias("c"), fingerprints.likeness(F.col("part"), F.col("long"), F.lit(False)).alias("l")).first()
+    assert both["c"] == 1 and both["l"] < 0.05
+
+
+def test_fingerprints_of_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 20)
+    rows = [(9, f"text number {k} of many that share one id") for k in range(300)] + [(k, f"row {k}") for k in (3, 40)]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 302 and sum(r["doc_id"] == 9 for r in got) == 300
+
+
 def test_fingerprints(spark):
     rng = random.Random(8)
     docs = [(k * 3 - 50, " ".join(rng.choice(["red", "blue", "Green", "x", "y", "z", "w"]) for _ in range(rng.choice([0, 1, 4, 5, 30, 400])))) for k in range(90)]
@@ -214,6 +346,18 @@ def test_fingerprints(spark):
     r = fingerprints.fingerprint_edits(spark.createDataFrame([(1, long), (2, half)], "doc_id long, text string")).collect()
     near = next(x["near_next"] for x in r if x["doc_id"] == 1)
     assert abs(near - 0.5) < 0.06
+    # sketches by the hash's own library; likeness and containment from sets
+    sets = [brute_sketch(t) for t in texts]
+    for k, (d, _) in enumerate(docs):
+        t, nxt = texts[k], texts[(k + 1) % len(docs)]
+        e = brute_sketch(t[: len(t) - len(t) // 2] + nxt[: len(t) // 2])
+        assert got[d]["fingerprint"] == "".join(f"{h & (2**64 - 1):016x}" if h < 0 else f"{h:x}" for h in sorted(sets[k]))
+        if sets[k] | e:
+            assert abs(got[d]["near_edited"] - len(sets[k] & e) / len(sets[k] | e)) < 1e-12
+        if sets[k] | sets[(k + 1) % len(docs)]:
+            assert abs(got[d]["near_next"] - len(sets[k] & sets[(k + 1) % len(docs)]) / len(sets[k] | sets[(k + 1) % len(docs)])) < 1e-12
+        if sets[k]:
+            assert abs(got[d]["kept_in_edited"] - len(sets[k] & e) / len(sets[k])) < 1e-12
     one = fingerprints.fingerprint_edits(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).first()
     assert one["near_next"] == 1
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
