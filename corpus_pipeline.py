@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those in none of the languages that the labelled rows teach."""
     tune(spark)
-    return language_id.keep_identified(docs, language_id.train(language_id.sample_labelled(docs)))
+    return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
