@@ -17,8 +17,7 @@ def _inputs(spark: SparkSession, a) -> tuple[dict[str, DataFrame], DataFrame, Da
     data = tables.load_data(spark, a.data_dir)
     elig = windows.first_windows(data["eligibility"], a.sample) if a.sample else data["eligibility"]
     bounds = elig.groupBy("window_id").agg(F.min("win_start").alias("win_start"), F.min("win_end").alias("win_end"))
-    source = a.crisis_source if a.crisis_source in (None, "nber") else tables.read_file(spark, a.crisis_source)
-    lab = labels.label_windows(bounds, source, a.crisis_threshold)
+    lab = labels.label_windows(bounds, a.crisis_source, a.crisis_threshold, a.vix_quantile, a.vix_agg)
     rows = windows.window_panel(data["returns"], elig, data["calendar"], a.window_days, a.step_days)
     return data, rows, bounds, lab
 
@@ -31,21 +30,23 @@ def analyze(spark: SparkSession, a) -> None:
     stats = spark.read.parquet(path)
     for name, df in (("headline_rates", aggregates.headline_rates(stats)), ("stat_hist", aggregates.stat_histograms(stats)), ("cell_summary", aggregates.cell_summary(stats)), ("scatter_subsample", aggregates.scatter_quota(stats))):
         tables.save_table(df, out, name)
+    if not a.no_null_stream:
+        tables.save_table(nulls.streamed_null_histogram(stats, rows, a.null_pairs_per_window, a.n_min, a.seed, a.theta_quantile), out, "classical_null_hist")
     if a.null:
-        null = nulls.classical_null(stats, rows, a.n_min, a.null_max_pairs, a.seed, a.theta_quantile)
-        tables.save_table(null, out, "classical_null_stats")
-        edges = aggregates.edges_of(aggregates.BINS["ctx"])
-        tables.save_table(aggregates.histogram(null.filter("valid"), "ctx", edges), out, "classical_null_hist")
+        null = spark.read.parquet(tables.save_table(nulls.classical_null(stats, rows, a.n_min, a.null_max_pairs, a.seed, a.theta_quantile), out, "classical_null_stats"))
+        tables.save_table(aggregates.null_overlay(stats, null), out, "ctx_overlay")
     if a.null_gate_stats:
         tables.save_table(nulls.null_gate_stats(stats, rows, a.gate_windows, a.gate_nodes, a.n_min, a.theta_quantile, a.seed), out, "classical_null_gate_stats")
 
 
 def sweep_stage(spark: SparkSession, a) -> None:
     _, rows, _, lab = _inputs(spark, a)
-    out = sweep.threshold_sweep(rows, lab, a.window_days, n_min=a.n_min, relaxed_n_min=a.relaxed_n_min)
-    if a.null:
-        swept = sweep.sweep_pairs(rows, a.window_days, sweep.RELAXED_QUANTILES, a.relaxed_n_min).join(F.broadcast(lab), "window_id")
-        out = out.join(nulls.sweep_null_rates(swept, rows, sweep.RELAXED_QUANTILES, a.relaxed_n_min, seed=a.seed), ["theta_q", "regime"], "left")
+    quantiles = tuple(float(q) for q in a.quantiles.split(",")) if a.quantiles else sweep.QUANTILES
+    relaxed = sweep.relaxed_of(quantiles)
+    out = sweep.threshold_sweep(rows, lab, a.window_days, quantiles, a.n_min, a.relaxed_n_min, relaxed)
+    if relaxed and not a.no_sweep_null:
+        swept = sweep.sweep_pairs(rows, a.window_days, relaxed, a.relaxed_n_min).join(F.broadcast(lab), "window_id")
+        out = out.join(nulls.sweep_null_rates(swept, rows, relaxed, a.relaxed_n_min, seed=a.seed), ["theta_q", "regime"], "left")
         floor = nulls.matched_floor(swept.filter("valid"), ["theta_q", "regime"], seed=a.seed).withColumnRenamed("floor", "cbd_rate_smallN_floor")
         out = out.join(floor, ["theta_q", "regime"], "left")
     tables.save_table(out, a.out or a.data_dir, "threshold_sweep")
@@ -80,6 +81,24 @@ def rebuild(spark: SparkSession, a) -> None:
     tables.save_table(windows.window_eligibility(data["membership"], data["trading_calendar"], a.window_days, a.step_days), a.out or a.data_dir, "window_eligibility", subdir=None)
 
 
+def extract(spark: SparkSession, a) -> None:
+    """Raw tables from a database: members of the span, the calendar, their returns and identifiers, and windows' eligibility."""
+    start, end = a.start, a.end
+    options = {"user": a.user, "password": a.password} if a.user else {}
+    members = tables.jdbc(spark, a.url, tables.membership_query(a.members_table, start, end), **options)
+    members = spark.read.parquet(tables.save_table(tables.conform(members, schemas.MEMBERSHIP), a.data_dir, "membership", None))
+    ids = [r["permno"] for r in members.select("permno").distinct().collect()]  # members of an index
+    returns = spark.read.parquet(tables.save_table(tables.read_returns(spark, a.url, a.returns_table, ids, start, end, options), a.data_dir, "daily_returns", None))
+    calendar = spark.read.parquet(tables.save_table(windows.trading_calendar(returns), a.data_dir, "trading_calendar", None))
+    if a.names_table:
+        tables.save_table(tables.identifiers(tables.jdbc(spark, a.url, f"SELECT * FROM {a.names_table}", **options), members), a.data_dir, "identifiers", None)
+    tables.save_table(windows.window_eligibility(members, calendar, a.window_days, a.step_days), a.data_dir, "window_eligibility")
+
+
+def list_stage(spark: SparkSession, a) -> None:
+    tables.list_tables(spark, a.data_dir).show(1000, truncate=False)
+
+
 def view(spark: SparkSession, a) -> None:
     df = tables.read_table(spark, a.data_dir, a.name)
     df.printSchema()
@@ -91,7 +110,7 @@ def csv(spark: SparkSession, a) -> None:
     tables.export_csv(tables.read_table(spark, a.data_dir, a.name), a.out or f"{a.data_dir}/{a.name}-csv", a.max_rows)
 
 
-STAGES = {"analyze": analyze, "sweep": sweep_stage, "reliability": reliability, "networks": networks, "rebuild": rebuild, "view": view, "csv": csv}
+STAGES = {"analyze": analyze, "sweep": sweep_stage, "reliability": reliability, "networks": networks, "rebuild": rebuild, "extract": extract, "list": list_stage, "view": view, "csv": csv}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -103,9 +122,11 @@ def parser() -> argparse.ArgumentParser:
         ("--crisis-source", str, None), ("--crisis-threshold", float, None), ("--theta-quantile", float, 0.5), ("--relaxed-n-min", int, 3), ("--null-max-pairs", int, 2000),
         ("--gate-windows", int, 6), ("--gate-nodes", int, 60), ("--seed", int, 0), ("--edge-quantile", float, 0.05), ("--abs-threshold", float, 2.0),
         ("--mrqap-nperm", int, 199), ("--mrqap-windows", int, 8), ("--n-rewire", int, 20), ("-n", int, 10), ("--max-rows", int, None),
+        ("--vix-quantile", float, 0.5), ("--vix-agg", str, "mean"), ("--null-pairs-per-window", int, 400), ("--quantiles", str, None), ("--url", str, None), ("--user", str, None), ("--password", str, None),
+        ("--start", str, "1990-01-01"), ("--end", str, "2025-12-31"), ("--members-table", str, "members"), ("--returns-table", str, "returns"), ("--names-table", str, None),
     ):
         p.add_argument(flag, type=kind, default=default)
-    for flag in ("--null", "--null-gate-stats", "--robustness"):
+    for flag in ("--null", "--null-gate-stats", "--robustness", "--no-null-stream", "--no-sweep-null"):
         p.add_argument(flag, action="store_true")
     return p
 

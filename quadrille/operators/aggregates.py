@@ -86,7 +86,7 @@ def density(hist: DataFrame, *by: str) -> DataFrame:
 
 def pair_sectors(stats: DataFrame, sectors: DataFrame, prefix: str = "within:") -> DataFrame:
     s = sectors.select("permno", "sector")
-    a, b = (F.broadcast(s.select(F.col("permno").alias(f"permno_{k}"), F.col("sector").alias(f"_{k}"))) for k in "ab")
+    a, b = (s.select(F.col("permno").alias(f"permno_{k}"), F.col("sector").alias(f"_{k}")) for k in "ab")
     df = stats.join(a, "permno_a", "left").join(b, "permno_b", "left")
     return df.withColumn("pair_sector", F.when(F.col("_a") == F.col("_b"), F.concat(F.lit(prefix), "_a")).otherwise("cross")).drop("_a", "_b")
 
@@ -115,7 +115,7 @@ def box_stats(df: DataFrame, value, *by: str) -> DataFrame:
     q = q.select(*by, "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     ok = F.col("v").between(F.col("q1") - reach, F.col("q3") + reach)
-    return rows.join(F.broadcast(q), list(by)).groupBy(*by, "n", "q1", "median", "q3").agg(F.min(F.when(ok, F.col("v"))).alias("low"), F.max(F.when(ok, F.col("v"))).alias("high"))
+    return rows.join(q, list(by)).groupBy(*by, "n", "q1", "median", "q3").agg(F.min(F.when(ok, F.col("v"))).alias("low"), F.max(F.when(ok, F.col("v"))).alias("high"))
 
 
 def absolute_return_boxes(panel: DataFrame, freq: str = "month") -> DataFrame:
@@ -222,6 +222,19 @@ def summed_histogram(hist: DataFrame, var: str) -> DataFrame:
     return hist.filter(F.col("var") == var).groupBy("bin_left", "bin_right").agg(F.sum("count").alias("count"))
 
 
+def null_overlay(stats: DataFrame, null: DataFrame, bins: int = 59, least: float = -2.0, most: float = 1.0) -> DataFrame:
+    """Densities of ctx of real and simulated valid pairs in the same bins, over the real ones' range (least to most at least)."""
+    real = valid_pairs(stats).filter("ctx IS NOT NULL").select(F.lit("empirical").alias("source"), F.col("ctx").alias("v"))
+    both = real.unionByName(valid_pairs(null).filter("ctx IS NOT NULL").select(F.lit("classical_null").alias("source"), F.col("ctx").alias("v")))
+    span = real.agg(F.least(F.min("v"), F.lit(least)).alias("lo"), F.greatest(F.max("v"), F.lit(most)).alias("hi"))  # one row
+    inside = both.crossJoin(F.broadcast(span)).filter("v BETWEEN lo AND hi")
+    at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))).cast("int")
+    counts = inside.groupBy("source", "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    whole = counts.groupBy("source").agg(F.sum("count").alias("n"))  # two rows
+    density = F.col("count") / (F.col("n") * ((F.col("hi") - F.col("lo")) / bins))
+    return counts.join(F.broadcast(whole), "source").select("source", "bin", "lo", "hi", "count", density.alias("density"))
+
+
 def coupling_amount(stats: DataFrame, bound: float = 2.0) -> DataFrame:
     """Mean share of a window's possible pairs at or above the absolute bound, by regime."""
     ok = valid_pairs(stats)

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import CELLS, pooled_weight
+from .draws import base, permutations, uniforms
 from .labels import tag_windows
-from .nulls import _rng
 from .pairs import valid_pairs
 from .sweep import guarded_corr
 
 KINDS = ("e00", "pooled", "s_odd")
 METRICS = ("modularity", "giant_frac", "avg_clustering")
+#: Statistics of permutations count as reached within this margin of the observed one.
+TIE = 1e-12
 _METRIC_SCHEMA = "n_nodes int, n_edges int, edge_density double, avg_clustering double, giant_frac double, modularity double, n_communities int"
 
 
@@ -279,13 +281,13 @@ def config_excess(stats: DataFrame, share: float = 0.05, n_rewire: int = 20, see
         real = pick(graph_metrics(len(nodes), edges))
         null = []
         for k in range(n_rewire):
-            g = rewired(len(nodes), edges, _rng(key[0], KINDS.index(key[1]), seed, k))
+            g = rewired(len(nodes), edges, np.random.default_rng(base("rewire", *key, seed, k)))
             if g is not None:
                 null.append(pick(graph_metrics(len(nodes), g)))
         row = []
         for m in METRICS:
             v = [x[m] for x in null if x[m] is not None]
-            mean = float(np.mean(v)) if len(v) > 1 else None
+            mean = float(np.mean(v)) if v else None
             sd = float(np.std(v, ddof=1)) if len(v) > 1 else None
             ex = real[m] - mean if mean is not None and real[m] is not None else None
             row += [real[m], mean, ex, ex / sd if ex is not None and sd else None]
@@ -295,16 +297,15 @@ def config_excess(stats: DataFrame, share: float = 0.05, n_rewire: int = 20, see
     return out.join(F.broadcast(_window_info(stats, episodes)), "window_id")
 
 
-def permutation_difference(a: np.ndarray, b: np.ndarray, n_perm: int, seed: int) -> tuple:
+def permutation_difference(a: np.ndarray, b: np.ndarray, n_perm: int, stream: int) -> tuple:
     """(difference of means, two-sided p, sizes); no p below 2 values a side."""
     a, b = a[np.isfinite(a)], b[np.isfinite(b)]
     if len(a) < 2 or len(b) < 2:
         return None, None, len(a), len(b)
     both, diff, ge = np.concatenate([a, b]), a.mean() - b.mean(), 0
-    rng = np.random.default_rng(seed)
     for k in range(0, n_perm, 2000):
-        x = rng.permuted(np.tile(both, (min(2000, n_perm - k), 1)), axis=1)
-        ge += int((np.abs(x[:, : len(a)].mean(axis=1) - x[:, len(a) :].mean(axis=1)) >= abs(diff) - 1e-15).sum())
+        x = both[permutations(stream, np.arange(k, min(n_perm, k + 2000)) * len(both), len(both))]
+        ge += int((np.abs(x[:, : len(a)].mean(axis=1) - x[:, len(a) :].mean(axis=1)) >= abs(diff) - TIE).sum())
     return float(diff), (1 + ge) / (n_perm + 1), len(a), len(b)
 
 
@@ -316,12 +317,13 @@ def window_inference(excess: DataFrame, kind: str = "e00", metrics=METRICS, suff
     rows = None
     for contrast, side, cond in sides:
         for m in metrics:
-            r = d.filter(cond).select(F.lit(contrast).alias("contrast"), F.lit(m).alias("metric"), F.lit(side).alias("side"), F.col(f"{m}{suffix}").cast("double").alias("v"))
+            r = d.filter(cond).select(F.lit(contrast).alias("contrast"), F.lit(m).alias("metric"), F.lit(side).alias("side"), "window_id", F.col(f"{m}{suffix}").cast("double").alias("v"))
             rows = r if rows is None else rows.unionByName(r)
 
     def run(key, f):
+        f = f.sort_values("window_id")
         a, b = (f.loc[f["side"] == k, "v"].to_numpy(float) for k in (1, 2))
-        diff, p, na, nb = permutation_difference(a, b, n_perm, seed)
+        diff, p, na, nb = permutation_difference(a, b, n_perm, base("diff", *key, seed))
         mean = lambda v: float(np.nanmean(v)) if np.isfinite(v).any() else None
         return pd.DataFrame([(key[0], key[1], kind, mean(a), mean(b), na, nb, diff, p)], columns=["contrast", "metric", "graph", "mean_group1", "mean_group2", "n_group1", "n_group2", "diff", "perm_p"])
 
@@ -339,7 +341,7 @@ def qap_pairs(stats: DataFrame, node_subsample: int | None = None) -> DataFrame:
         nodes = ok.select("window_id", F.explode(F.array("permno_a", "permno_b")).alias("p")).distinct()
         nodes = nodes.withColumn("r", F.row_number().over(Window.partitionBy("window_id").orderBy("p"))).filter(F.col("r") <= node_subsample)
         for k in "ab":
-            ok = ok.join(F.broadcast(nodes.select("window_id", F.col("p").alias(f"permno_{k}"))), ["window_id", f"permno_{k}"], "left_semi")
+            ok = ok.join(nodes.select("window_id", F.col("p").alias(f"permno_{k}")), ["window_id", f"permno_{k}"], "left_semi")
     return ok
 
 
@@ -364,7 +366,7 @@ def _corr(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.corrcoef(x, y)[0, 1]) if len(x) >= 3 and x.std() > 0 and y.std() > 0 else float("nan")
 
 
-def qap_correlation(m1: np.ndarray, m2: np.ndarray, n_perm: int, rng: np.random.Generator) -> tuple[float, float]:
+def qap_correlation(m1: np.ndarray, m2: np.ndarray, n_perm: int, stream: int) -> tuple[float, float]:
     """Correlation of two symmetric matrices over their common upper cells, and its p under relabelled nodes."""
     up = np.triu_indices(len(m1), 1)
     x = m1[up]
@@ -377,13 +379,12 @@ def qap_correlation(m1: np.ndarray, m2: np.ndarray, n_perm: int, rng: np.random.
     if not np.isfinite(seen):
         return seen, float("nan")
     ge = 1
-    for _ in range(n_perm):
-        p = rng.permutation(len(m1))
-        ge += abs(r(m2[np.ix_(p, p)][up])) >= abs(seen) - 1e-15
+    for p in permutations(stream, np.arange(n_perm) * len(m1), len(m1)):
+        ge += abs(r(m2[np.ix_(p, p)][up])) >= abs(seen) - TIE
     return seen, ge / (n_perm + 1)
 
 
-def mrqap(y: np.ndarray, xs: list[np.ndarray], n_perm: int, rng: np.random.Generator) -> tuple[np.ndarray, float, np.ndarray]:
+def mrqap(y: np.ndarray, xs: list[np.ndarray], n_perm: int, stream: int) -> tuple[np.ndarray, float, np.ndarray]:
     """(coefficients with the intercept first, R2, p of each): regression on matrices, y's nodes relabelled for p."""
     up = np.triu_indices(len(y), 1)
     x = np.column_stack([np.ones(len(up[0])), *[m[up] for m in xs]])
@@ -397,10 +398,9 @@ def mrqap(y: np.ndarray, xs: list[np.ndarray], n_perm: int, rng: np.random.Gener
         nan = np.full(x.shape[1], np.nan)
         return nan, float("nan"), nan
     ge, n = np.ones(x.shape[1]), 1
-    for _ in range(n_perm):
-        p = rng.permutation(len(y))
+    for p in permutations(stream, np.arange(n_perm) * len(y), len(y)):
         if (got := fit(y[np.ix_(p, p)][up])) is not None:
-            ge += np.abs(got[0]) >= np.abs(seen[0]) - 1e-15
+            ge += np.abs(got[0]) >= np.abs(seen[0]) - TIE
             n += 1
     return seen[0], seen[1], ge / n
 
@@ -425,11 +425,10 @@ def qap_hierarchy(stats: DataFrame, n_perm: int = 199, max_windows: int | None =
             m = np.full((len(nodes), len(nodes)), np.nan)
             m[i, j] = m[j, i] = f[k].to_numpy(float)
             mats[k] = m
-        rng = _rng(key[0], seed)
         out = []
         for a, b in (("pooled", "e00"), ("pooled", "s_odd"), ("e00", "s_odd")):
-            out += qap_correlation(mats[a], mats[b], n_perm, rng)
-        beta, r2, pv = mrqap(mats["s_odd"], [mats["pooled"], mats["e00"]], n_perm, rng)
+            out += qap_correlation(mats[a], mats[b], n_perm, base("qap", key[0], f"{a}_{b}", seed))
+        beta, r2, pv = mrqap(mats["s_odd"], [mats["pooled"], mats["e00"]], n_perm, base("qap", key[0], "gate", seed))
         row = [key[0], f["regime"].iloc[0], len(nodes), *[None if not np.isfinite(v) else float(v) for v in (*out, r2, beta[2], pv[2])]]
         return pd.DataFrame([row], columns=["window_id", "regime", "n_nodes", *[c.split()[0] for c in _QAP.split(", ")]])
 
@@ -450,7 +449,8 @@ def gate_summary(real: DataFrame, null: DataFrame, reliability: DataFrame | None
             if not len(v):
                 yield pd.DataFrame([(None, None, None, 0, "no baseline")], columns=["diff_real_minus_null", "diff_ci_lo", "diff_ci_hi", "n_gate_windows", "verdict"])
                 continue
-            boot = np.random.default_rng(seed).choice(v, (n_boot, len(v))).mean(axis=1)
+            chosen = np.floor(uniforms(base("boot", seed), np.arange(n_boot)[:, None] * len(v) + np.arange(len(v))) * len(v)).astype(int)
+            boot = v[chosen].mean(axis=1)
             lo, hi = np.percentile(boot, [2.5, 97.5])
             verdict = "artifact" if lo <= 0 <= hi or v.mean() >= 0 else "residual structure"
             yield pd.DataFrame([(v.mean(), lo, hi, len(v), verdict)], columns=["diff_real_minus_null", "diff_ci_lo", "diff_ci_hi", "n_gate_windows", "verdict"])
@@ -478,7 +478,8 @@ def half_jaccard(weights: DataFrame, share: float = 0.05) -> DataFrame:
     return edge_jaccard(*(top_edges(g[h].drop("n_common"), share) for h in "ab")).withColumnRenamed("jaccard", "jaccard_topq")
 
 
-def topology_reliability(weights: DataFrame, share: float = 0.05) -> DataFrame:
+def topology_reliability(weights: DataFrame, share: float = 0.05, metrics=METRICS) -> DataFrame:
+    """Overlap of both halves' selected edges, and each half's topology."""
     g = half_graphs(weights)
     out = half_jaccard(weights, share)
     n = g["a"].groupBy("window_id", "graph").agg(F.max("n_common").alias("n_common"))
@@ -486,31 +487,42 @@ def topology_reliability(weights: DataFrame, share: float = 0.05) -> DataFrame:
     for h in "ab":
         marked = _marked(g[h].drop("n_common"), share, None)
         m = marked.groupBy("window_id", "graph", "threshold").applyInPandas(_metrics_of, f"window_id int, graph string, threshold string, {_METRIC_SCHEMA}")
-        out = out.join(m.select("window_id", "graph", *[F.col(x).alias(f"{x}_{h}") for x in METRICS]), ["window_id", "graph"])
+        out = out.join(m.select("window_id", "graph", *[F.col(x).alias(f"{x}_{h}") for x in metrics]), ["window_id", "graph"])
     return out
 
 
-def reliability_checkpoint(topology: DataFrame, reliability: DataFrame) -> DataFrame:
+def reliability_checkpoint(topology: DataFrame, reliability: DataFrame, metrics=METRICS) -> DataFrame:
     """One row for each graph: mean overlap, half-to-half correlations of the metrics, mean corrected edge reliability, and whether it clears the bar."""
-    t = topology.groupBy("graph").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("jaccard_topq").alias("mean_jaccard_topq"), *[guarded_corr(f"{m}_a", f"{m}_b").alias(f"{m}_halfcorr") for m in METRICS])
+    t = topology.groupBy("graph").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("jaccard_topq").alias("mean_jaccard_topq"), *[guarded_corr(f"{m}_a", f"{m}_b").alias(f"{m}_halfcorr") for m in metrics])
     cols = {"s_odd": "reliability_sb", "e00": "reliability_sb_e00", "pooled": "reliability_sb_pooled"}
     sb = reliability.agg(*[F.avg(c).alias(k) for k, c in cols.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("graph"), F.col(k).alias("mean_edge_sb_r")) for k in cols])).alias("x")).select("x.*")
     out = t.join(F.broadcast(sb), "graph", "left")
-    clears = (F.coalesce("mean_edge_sb_r", F.lit(-1.0)) >= 0.3) | (F.coalesce("mean_jaccard_topq", F.lit(-1.0)) >= 0.2) | (F.coalesce("modularity_halfcorr", F.lit(-1.0)) >= 0.3)
+    clears = (F.coalesce("mean_edge_sb_r", F.lit(-1.0)) >= 0.3) | (F.coalesce("mean_jaccard_topq", F.lit(-1.0)) >= 0.2)
+    if "modularity" in metrics:
+        clears = clears | (F.coalesce("modularity_halfcorr", F.lit(-1.0)) >= 0.3)
     return out.withColumn("clears_bar", clears)
 
 
-def metrics_by_regime(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("graph", "regime").agg(*[F.avg(m).alias(m) for m in METRICS], F.avg("edge_density").alias("edge_density"))
+def metrics_by_regime(metrics: DataFrame, columns=METRICS) -> DataFrame:
+    return metrics.groupBy("graph", "regime").agg(*[F.avg(m).alias(m) for m in columns], F.avg("edge_density").alias("edge_density"))
 
 
-def metrics_by_type(metrics: DataFrame) -> DataFrame:
+def metrics_by_type(metrics: DataFrame, columns=METRICS) -> DataFrame:
     """Mean metrics of windows by each of their episodes' types."""
     m = metrics.withColumn("crisis_type", F.explode(F.split("crisis_types", ";")))
-    return m.groupBy("graph", "crisis_type").agg(F.count(F.lit(1)).alias("n_windows"), *[F.avg(x).alias(x) for x in METRICS])
+    return m.groupBy("graph", "crisis_type").agg(F.count(F.lit(1)).alias("n_windows"), *[F.avg(x).alias(x) for x in columns])
 
 
 def tier_summary(qap: DataFrame) -> DataFrame:
     """Mean and sample deviation over windows of the matrix correlations and the gate."""
     cols = ["r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd", "gate_r2_s_odd_on_pooled_e00"]
     return qap.agg(*[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.stddev_samp(c).alias(f"{c}_sd") for c in cols])
+
+
+def tier_histogram(qap: DataFrame, bins: int = 10) -> DataFrame:
+    """Each tier's matrix correlation over windows, in equal bins over its own range."""
+    cols = ["r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd"]
+    stacked = qap.select(F.explode(F.array(*[F.struct(F.lit(c).alias("tier"), F.col(c).alias("r")) for c in cols])).alias("x")).select("x.*").filter("r IS NOT NULL")
+    span = stacked.groupBy("tier").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))  # a row for each tier
+    at = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("r") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))).cast("int")
+    return stacked.join(F.broadcast(span), "tier").groupBy("tier", "lo", "hi", at.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -6,8 +6,10 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..schemas import SPANS, TAXONOMY, available
+from ..sources.tables import read_file
 
 # Recessions as (start, end).
 RECESSIONS = [("1990-07-01", "1991-03-31"), ("2001-03-01", "2001-11-30"), ("2007-12-01", "2009-06-30"), ("2020-02-01", "2020-04-30")]
@@ -24,6 +26,7 @@ EPISODES = [
     ("COVID-19", "2020-02-01", "2020-06-30", "mixed/financial", None),
     ("Russia-Ukraine food-energy", "2022-02-01", "2022-12-31", "food/energy", None),
 ]
+BUILT_IN = ("nber", "nber:builtin")
 AGGREGATES = {"mean": F.avg, "median": F.median, "max": F.max}
 
 
@@ -32,9 +35,14 @@ def recessions(spark: SparkSession) -> DataFrame:
 
 
 def taxonomy(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Named episodes, of a CSV file if given, with their place in the list."""
+    """Named episodes, of a CSV file if given, with their place in the list; none, with the same types, if the file is missing."""
     if path:
-        rows = spark.read.option("header", True).option("quote", '"').schema(TAXONOMY).csv(path)
+        try:
+            rows = spark.read.option("header", True).option("quote", '"').schema(TAXONOMY).csv(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = spark.createDataFrame([], TAXONOMY)
         return rows.withColumn("place", F.monotonically_increasing_id())
     rows = [(n, date.fromisoformat(a), date.fromisoformat(b), t, x, k) for k, (n, a, b, t, x) in enumerate(EPISODES)]
     return spark.createDataFrame(rows, f"{TAXONOMY}, place long")
@@ -67,9 +75,18 @@ def label_by_volatility(windows: DataFrame, vix: DataFrame, how: str = "mean", t
 
 
 def label_windows(windows: DataFrame, source: DataFrame | str | None = None, threshold: float | None = None, q: float = 0.5, how: str = "mean") -> DataFrame:
-    """By nothing (all calm), by built-in recessions (``nber``), or by a table with date and vix, or start and end."""
-    if isinstance(source, str) and source == "nber":
-        return label_by_spans(windows, recessions(windows.sparkSession))
+    """By nothing (all calm), by built-in recessions (``nber`` in any case), or by a table with date and vix, or start and end.
+
+    A table may be given by the path of its file. Windows are calm if there is no such file, or it has other columns.
+    """
+    if isinstance(source, str):
+        if source.lower() in BUILT_IN:
+            return label_by_spans(windows, recessions(windows.sparkSession))
+        try:
+            source = read_file(windows.sparkSession, source)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     if isinstance(source, DataFrame):
         if len(cols := available(source, "date", "vix")) == 2:
             return label_by_volatility(windows, source.select(F.col(cols[0]).cast("date").alias("date"), F.col(cols[1]).alias("vix")), how, threshold, q)

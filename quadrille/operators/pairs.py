@@ -54,13 +54,13 @@ def legs(rows: DataFrame, width: int = 60, q: float = 0.5, theta: DataFrame | No
     return d.groupBy("window_id", "permno").agg(*aggs)
 
 
-def _cells(width: int) -> dict[str, Column]:
-    """Counts and sums of the four cells from the masks of legs l and r."""
+def _cells(width: int, suffix: str = "") -> dict[str, Column]:
+    """Counts and sums of the four cells from the masks of legs l and r; suffix tells the masks of one of several thresholds."""
     out = {}
     for c in CELLS:
         n, sa, sb, sab = [], [], [], []
         for k in _words(width):
-            m = F.col(f"l.g{c[0]}_{k}").bitwiseAND(F.col(f"r.g{c[1]}_{k}"))
+            m = F.col(f"l.g{c[0]}_{k}{suffix}").bitwiseAND(F.col(f"r.g{c[1]}_{k}{suffix}"))
             up, vp = F.col(f"l.up_{k}"), F.col(f"r.up_{k}")
             count = F.bit_count(m)
             n.append(count)
@@ -72,9 +72,25 @@ def _cells(width: int) -> dict[str, Column]:
     return out
 
 
-def pair_cells(left: DataFrame, width: int = 60, blocks: int = 1) -> DataFrame:
+def legs_by_quantile(rows: DataFrame, width: int, quantiles) -> DataFrame:
+    """Legs with the masks of every quantile's threshold (g0_k_qi, g1_k_qi) and one set of signs; all from one shuffle."""
+    w = Window.partitionBy("window_id", "permno")
+    d = rows.filter("ret IS NOT NULL").withColumn("theta", F.percentile(F.abs("ret"), list(map(float, quantiles))).over(w))
+    aggs = []
+    for k in _words(width):
+        bit = F.when((F.col("ret") != 0) & (F.floor(F.col("t") / WORD) == k), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
+        flags = {f"up_{k}": F.col("ret") > 0}
+        for i in range(len(quantiles)):
+            large = F.abs("ret") >= F.get("theta", F.lit(i))
+            flags |= {f"g0_{k}_q{i}": large, f"g1_{k}_q{i}": ~large}
+        aggs += [F.coalesce(F.sum(F.when(cond, bit)), F.lit(0)).alias(name) for name, cond in flags.items()]
+    return d.groupBy("window_id", "permno").agg(*aggs)
+
+
+def pair_cells(left: DataFrame, width: int = 60, blocks: int = 1, quantiles=()) -> DataFrame:
     """All unordered pairs of legs in each window with N, E, a and b of the cells; pairs without joint days included.
 
+    With quantiles (of legs_by_quantile), each pair has a row for each, made behind the one join.
     blocks > 1 splits the pairs of a window over as many tasks: the left legs are dealt, the right ones repeated.
     """
     l, r, keys = left.alias("l"), left.alias("r"), [F.col("l.window_id") == F.col("r.window_id")]
@@ -83,10 +99,16 @@ def pair_cells(left: DataFrame, width: int = 60, blocks: int = 1) -> DataFrame:
         r = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("r")
         keys.append(F.col("l._k") == F.col("r._k"))
     pairs = l.join(r, reduce(lambda a, b: a & b, keys) & (F.col("l.permno") < F.col("r.permno")))
-    cells = _cells(width)
-    pairs = pairs.select(F.col("l.window_id").alias("window_id"), F.col("l.permno").alias("permno_a"), F.col("r.permno").alias("permno_b"), *[v.alias(k) for k, v in cells.items()])
+    names = [F.col("l.window_id").alias("window_id"), F.col("l.permno").alias("permno_a"), F.col("r.permno").alias("permno_b")]
+    if not quantiles:
+        return _means(pairs.select(*names, *[v.alias(k) for k, v in _cells(width).items()]))
+    each = [F.struct(F.lit(float(q)).alias("theta_q"), *[v.alias(k) for k, v in _cells(width, f"_q{i}").items()]) for i, q in enumerate(quantiles)]
+    return _means(pairs.select(*names, F.explode(F.array(*each)).alias("q")).select("window_id", "permno_a", "permno_b", "q.*"), "theta_q")
+
+
+def _means(pairs: DataFrame, *more: str) -> DataFrame:
     means = [F.try_divide(F.col(f"_{v}{c}").cast("double"), F.col(f"N{c}").cast("double")).alias(f"{v}{c}") for v in ("E", "a", "b") for c in CELLS]
-    return pairs.select("window_id", "permno_a", "permno_b", *means, *[f"N{c}" for c in CELLS])
+    return pairs.select("window_id", "permno_a", "permno_b", *more, *means, *[f"N{c}" for c in CELLS])
 
 
 def with_scores(pairs: DataFrame, n_min: int = 10) -> DataFrame:

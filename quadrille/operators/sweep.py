@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import CELLS, pooled_weight
-from .pairs import legs, pair_cells, thresholds, with_scores
+from .pairs import legs, legs_by_quantile, pair_cells, thresholds, with_scores
 
 # The swept quantiles and those where the relaxed floor applies.
 QUANTILES = (0.25, 0.40, 0.42, 0.45, 0.48, 0.50, 0.75, 0.90, 0.95)
 RELAXED_QUANTILES = (0.90, 0.95)
 
 
+def relaxed_of(quantiles) -> tuple[float, ...]:
+    return tuple(q for q in quantiles if q >= min(RELAXED_QUANTILES))
+
+
 def sweep_pairs(rows: DataFrame, width: int, quantiles=QUANTILES, n_min: int = 3) -> DataFrame:
-    """The pair table at every quantile, with theta_q; all thresholds come from one aggregation."""
-    theta = rows.filter("ret IS NOT NULL").groupBy("window_id", "permno").agg(F.percentile(F.abs("ret"), list(quantiles)).alias("t"))
-    each = []
-    for k, q in enumerate(quantiles):
-        t = theta.select("window_id", "permno", F.get("t", F.lit(k)).alias("theta"))
-        each.append(with_scores(pair_cells(legs(rows, width, theta=t), width), n_min).withColumn("theta_q", F.lit(float(q))))
-    return reduce(DataFrame.unionByName, each)
+    """The pair table at every quantile, with theta_q: one aggregation to legs and one pair join for all of them."""
+    return with_scores(pair_cells(legs_by_quantile(rows, width, quantiles), width, quantiles=quantiles), n_min)
 
 
 def threshold_sweep(rows: DataFrame, labels: DataFrame, width: int = 60, quantiles=QUANTILES, n_min: int = 10, relaxed_n_min: int = 3, relaxed_quantiles=RELAXED_QUANTILES) -> DataFrame:

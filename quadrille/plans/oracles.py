@@ -8,6 +8,7 @@ from ..operators.sweep import QUANTILES
 from .queries import N_MIN, N_MIN_LOW, STEP, WIDTH
 
 CELLS = ("00", "01", "10", "11")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def _panel(w: int = WIDTH) -> str:
@@ -151,7 +152,8 @@ g AS (SELECT window_id, permno_a, permno_b, regime, {", ".join(cols)} FROM pd GR
 SELECT window_id, permno_a, permno_b, regime, N00, N11, {_r("E00", "a00", "b00", "E11", "a11", "b11")}, round(E00 - E11, 9) + 0.0 AS dcmov, N00 >= {N_MIN} AND N11 >= {N_MIN} AS valid_diag FROM g"""
 
 
-def _fit() -> str:
+def _fit(source: str = "ok", n_min: int = N_MIN, q: float = 0.5, k: str = "") -> str:
+    """CTEs up to fit{k}: the generators of the source's pairs, not rounded."""
     scales = [f"coalesce(avg({m}) FILTER (WHERE {r} = {k}), avg({m})) AS scale_{leg}{k}" for leg, m, r in (("a", "ma", "x"), ("b", "mb", "y")) for k in (0, 1)]
     cells, out = [], []
     for c in CELLS:
@@ -160,13 +162,13 @@ def _fit() -> str:
         ma, mb = f"(2 * p{c} - 1)", f"(2 * q{c} - 1)"
         spread = f"((1 - {ma} * {ma}) * (1 - {mb} * {mb}))"
         rho = f"CASE WHEN k{c} >= 2 AND {spread} > 1e-12 THEN greatest(-1.0, least(1.0, (e{c} - {ma} * {mb}) / sqrt({spread}))) ELSE 0.0 END"
-        out += [f"round(CASE WHEN k{c} >= 2 THEN p{c} ELSE 0.5 END, 9) + 0.0 AS pa{c}", f"round(CASE WHEN k{c} >= 2 THEN q{c} ELSE 0.5 END, 9) + 0.0 AS pb{c}", f"round({rho}, 9) + 0.0 AS rho{c}"]
-    return f"""d AS (SELECT o.window_id, o.permno_a, o.permno_b, abs(l.ret) AS ma, abs(r.ret) AS mb, CAST(sign(l.ret) AS DOUBLE) AS a, CAST(sign(r.ret) AS DOUBLE) AS b FROM ok o
+        out += [f"CASE WHEN k{c} >= 2 THEN p{c} ELSE 0.5 END AS pa{c}", f"CASE WHEN k{c} >= 2 THEN q{c} ELSE 0.5 END AS pb{c}", f"{rho} AS rho{c}"]
+    return f"""d{k} AS (SELECT o.window_id, o.permno_a, o.permno_b, abs(l.ret) AS ma, abs(r.ret) AS mb, CAST(sign(l.ret) AS DOUBLE) AS a, CAST(sign(r.ret) AS DOUBLE) AS b FROM {source} o
   JOIN prow l ON l.window_id = o.window_id AND l.permno = o.permno_a AND l.ret <> 0 JOIN prow r ON r.window_id = o.window_id AND r.permno = o.permno_b AND r."date" = l."date" AND r.ret <> 0),
-t AS (SELECT window_id, permno_a, permno_b, count(*) AS n, quantile_cont(ma, 0.5) AS ta, quantile_cont(mb, 0.5) AS tb FROM d GROUP BY 1, 2, 3 HAVING count(*) >= {4 * N_MIN}),
-e AS (SELECT d.*, t.n, CAST(ma < ta AS INT) AS x, CAST(mb < tb AS INT) AS y FROM d JOIN t USING (window_id, permno_a, permno_b)),
-g AS (SELECT window_id, permno_a, permno_b, count(*) AS n_days, {", ".join(scales)}, {", ".join(cells)} FROM e GROUP BY 1, 2, 3)
-SELECT window_id, permno_a, permno_b, n_days, {_r("scale_a0", "scale_a1", "scale_b0", "scale_b1")}, {", ".join(out)} FROM g"""
+t{k} AS (SELECT window_id, permno_a, permno_b, count(*) AS n, quantile_cont(ma, {q}) AS ta, quantile_cont(mb, {q}) AS tb FROM d{k} GROUP BY 1, 2, 3 HAVING count(*) >= {4 * n_min}),
+e{k} AS (SELECT d.*, t.n, CAST(ma < ta AS INT) AS x, CAST(mb < tb AS INT) AS y FROM d{k} d JOIN t{k} t USING (window_id, permno_a, permno_b)),
+g{k} AS (SELECT window_id, permno_a, permno_b, count(*) AS n_days, {", ".join(scales)}, {", ".join(cells)} FROM e{k} GROUP BY 1, 2, 3),
+fit{k} AS (SELECT window_id, permno_a, permno_b, n_days, scale_a0, scale_a1, scale_b0, scale_b1, {", ".join(out)} FROM g{k})"""
 
 
 _W = f"""w AS (SELECT window_id, 'e00' AS graph, permno_a AS src, permno_b AS dst, E00 AS w FROM ok UNION ALL SELECT window_id, 'pooled', permno_a, permno_b, {_POOL} FROM ok UNION ALL SELECT window_id, 's_odd', permno_a, permno_b, s_odd FROM ok)"""
@@ -221,7 +223,7 @@ SELECT window_id, crisis_names, crisis_types FROM n JOIN ty USING (window_id)"""
         "stat_density": _with(low, f"{_hist()} SELECT var, regime, round((bin_left + bin_right) / 2, 9) + 0.0 AS center, round(count / nullif(sum(count) OVER (PARTITION BY var, regime) * (bin_right - bin_left), 0), 9) + 0.0 AS density FROM hist"),
         "ctx_overlay": _with(low, f"{_hist()} SELECT {_r('bin_left', 'bin_right')}, CAST(sum(count) AS BIGINT) AS count FROM hist WHERE var = 'ctx' GROUP BY hist.bin_left, hist.bin_right"),
         "score_distributions": _with(low, " UNION ALL ".join(f"SELECT '{v}' AS var, regime, CAST(least(49, coalesce(floor(({v} - lo) / nullif(hi - lo, 0) * 50), 0)) AS INT) AS bin, round(lo, 9) + 0.0 AS lo, round(hi, 9) + 0.0 AS hi, count(*) AS count FROM ok, (SELECT min({v}) AS lo, max({v}) AS hi FROM ok) WHERE {v} IS NOT NULL GROUP BY 2, 3, 4, 5" for v in ("s_odd", "delta", "ctx"))),
-        "coupling_amount": _with(low, "e AS (SELECT window_id, count(DISTINCT p) AS n FROM (SELECT window_id, permno_a AS p FROM ok UNION ALL SELECT window_id, permno_b FROM ok) GROUP BY 1), m AS (SELECT window_id, regime, count(*) FILTER (WHERE s_odd >= 1.5) AS m FROM ok GROUP BY 1, 2) SELECT regime, round(avg(coalesce(2.0 * m / nullif(n * (n - 1), 0), 0.0)), 9) + 0.0 AS edge_density, count(*) AS n_windows FROM m JOIN e USING (window_id) GROUP BY 1"),
+        "coupling_amount": _with(low, "e AS (SELECT window_id, count(DISTINCT p) AS n FROM (SELECT window_id, permno_a AS p FROM ok UNION ALL SELECT window_id, permno_b FROM ok) GROUP BY 1), m AS (SELECT window_id, regime, count(*) FILTER (WHERE s_odd >= 2) AS m FROM ok GROUP BY 1, 2) SELECT regime, round(avg(coalesce(2.0 * m / nullif(n * (n - 1), 0), 0.0)), 9) + 0.0 AS edge_density, count(*) AS n_windows FROM m JOIN e USING (window_id) GROUP BY 1"),
         "cell_summary": _with(low, f"SELECT regime, count(*) AS n_valid, {', '.join(f'round(avg(N{c}), 9) + 0.0 AS N{c}' for c in CELLS)} FROM ok GROUP BY 1"),
         "cell_count_boxes": _with(low, "cc AS (" + " UNION ALL ".join(f"SELECT regime, '{c}' AS cell, CAST(N{c} AS DOUBLE) AS k FROM ok" for c in CELLS) + "), " + _box("cc", "k", "regime, cell")),
         "sector_rates": _with(low, f"{_SECT.format(p=chr(39) + 'within:' + chr(39))} SELECT regime, pair_sector, count(*) AS n_pairs, round({_NAIVE}, 9) + 0.0 AS naive_rate, round({_CBD}, 9) + 0.0 AS cbd_rate FROM ps GROUP BY 1, 2"),
@@ -237,7 +239,7 @@ SELECT "date", round(ln(g / first_value(g) OVER (ORDER BY "date")), 6) + 0.0 AS
         "regime_table": _with(s, "SELECT window_id, min(win_start) AS win_start, min(regime) AS regime FROM stats GROUP BY 1"),
         "crisis_runs": _with(s, """r AS (SELECT window_id, min(win_start) AS ws, min(regime) AS regime FROM stats GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY window_id) AS k FROM r), c AS (SELECT *, k - row_number() OVER (ORDER BY window_id) AS run FROM i WHERE regime = 'crisis')
 SELECT min(window_id) AS first_window, max(window_id) AS last_window, min(ws) AS start, max(ws) AS "end", count(*) AS n FROM c GROUP BY run"""),
-        "scatter_quota": _with(low, f"q AS (SELECT greatest(1, CAST(floor(300.0 / count(DISTINCT window_id)) AS BIGINT)) AS quota FROM ok), r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY {_HASH}, permno_a, permno_b) AS k FROM ok) SELECT window_id, permno_a, permno_b, {_r('s_odd', 'delta', 'ctx')}, regime FROM r, q WHERE k <= quota"),
+        "scatter_quota": _with(low, f"q AS (SELECT greatest(1, CAST(floor(20000.0 / count(DISTINCT window_id)) AS BIGINT)) AS quota FROM ok), r AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY {_HASH}, permno_a, permno_b) AS k FROM ok) SELECT window_id, permno_a, permno_b, {_r('s_odd', 'delta', 'ctx')}, regime FROM r, q WHERE k <= quota"),
         "sample_pairs": _with(low, f"SELECT window_id, permno_a, permno_b, {_r('s_odd')} FROM (SELECT * FROM ok ORDER BY {_HASH}, window_id, permno_a, permno_b LIMIT 200)"),
         "group_sample": _with(low, f"SELECT regime, window_id, permno_a, permno_b, {_r('ctx')} FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5(concat_ws('|', regime, CAST(window_id AS VARCHAR), CAST(permno_a AS VARCHAR), CAST(permno_b AS VARCHAR), '0')), window_id, permno_a, permno_b) AS k FROM ok) WHERE k <= 40"),
         "pooled_weights": _with(s, f"SELECT window_id, permno_a, permno_b, round({_POOL}, 9) + 0.0 AS w_pooled FROM ok"),
@@ -247,7 +249,7 @@ SELECT min(window_id) AS first_window, max(window_id) AS last_window, min(ws) AS
         "vix_regime_full": _with(p, 'ref AS (SELECT quantile_cont(vix, 0.5) AS ref FROM vix) SELECT "date", CASE WHEN vix >= ref THEN 0 ELSE 1 END AS x FROM vix, ref'),
         "vix_regime_rolling": _with(p, 'SELECT "date", CASE WHEN vix >= quantile_cont(vix, 0.5) OVER (ORDER BY "date" ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) THEN 0 ELSE 1 END AS x FROM vix'),
         "exogenous_contrast": _with(s, _diag()),
-        "generator_fit": _with(s, _fit()),
+        "generator_fit": _with(s, f"""{_fit()} SELECT window_id, permno_a, permno_b, n_days, {_r(*[f"scale_{g}{k}" for g in "ab" for k in (0, 1)], *[f"{v}{c}" for v in ("pa", "pb", "rho") for c in CELLS])} FROM fit"""),
         "edge_weights": _with(s, f"{_W} SELECT window_id, graph, src, dst, {_r('w')} FROM w"),
         "top_edges": _with(s, f"{_W}, {_top(0.05)} SELECT window_id, graph, src, dst, {_r('w')} FROM top"),
         "abs_edges": _with(low, f"{_W} SELECT window_id, 's_odd_abs' AS graph, src, dst, {_r('w')} FROM w WHERE graph = 's_odd' AND w >= 2"),
@@ -268,6 +270,12 @@ size AS (SELECT window_id, graph, u, count(*) AS k FROM reach GROUP BY 1, 2, 3)
 SELECT window_id, graph, CAST(count(*) AS INT) AS n_nodes, round(CAST(max(k) AS DOUBLE) / count(*), 9) + 0.0 AS giant_frac FROM size GROUP BY 1, 2""",
         "qap_observed": _with(s, f"""z AS (SELECT window_id, {_POOL} AS p, E00 AS e, s_odd AS s FROM ok), c AS (SELECT window_id, count(*) AS n, {_corr("p", "e")} AS r_pooled_e00, {_corr("p", "s")} AS r_pooled_s_odd, {_corr("e", "s")} AS r_e00_s_odd FROM z GROUP BY 1)
 SELECT window_id, n, {_r("r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd")}, round(CASE WHEN 1 - r_pooled_e00 * r_pooled_e00 > 1e-12 THEN (r_pooled_s_odd * r_pooled_s_odd + r_e00_s_odd * r_e00_s_odd - 2 * r_pooled_s_odd * r_e00_s_odd * r_pooled_e00) / (1 - r_pooled_e00 * r_pooled_e00) END, 9) + 0.0 AS gate_r2 FROM c"""),
+        "table_list": " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_cols" for t in TABLES),
+        "table_head": _with(p, f'SELECT permno, "date", {_r("ret")} FROM (SELECT * FROM panel ORDER BY permno, "date" LIMIT 20)'),
+        "human_sizes": "SELECT n_nationkey, CASE " + " ".join(f"WHEN b < pow(1024, {k + 1}) THEN printf('%.1f {u}', b / pow(1024, {k}))" for k, u in enumerate(("B", "KB", "MB", "GB"))) + " ELSE printf('%.1f TB', b / pow(1024, 4)) END AS size FROM (SELECT n_nationkey, pow(5.0, n_nationkey) AS b FROM nation)",
+        "round_trip_parquet": _with(p, "SELECT window_id, win_start, win_end, permno FROM elig JOIN bounds USING (window_id)"),
+        "round_trip_csv": _with(p, "SELECT window_id, win_start, win_end, permno FROM elig JOIN bounds USING (window_id)"),
+        "returns_renamed": _with(p, f'SELECT permno, "date", {_r("ret")}, CAST(permno AS DOUBLE) AS prc, CAST(NULL AS DOUBLE) AS vol FROM panel'),
         "table_summary": _with(p, 'SELECT count(*) AS n_rows, min("date") AS first_date, max("date") AS last_date, 3 AS n_cols FROM panel'),
     }
     return out

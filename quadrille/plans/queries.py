@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.scores import pooled_weight
 from ..operators import aggregates, exogenous, graphs, labels, nulls, pairs, sweep, windows
-from ..session import prepare, stored
+from ..session import prepare, shared_dir, stored
 from ..sources import tables, testdata
 
 WIDTH, STEP, N_MIN, N_MIN_LOW, Q = 60, 21, 10, 3, 0.5
+#: Quantiles at which simulated pairs of this panel have cells enough.
+SWEEP_NULL = (0.70, 0.75)
 
 
 class Panel:
@@ -93,6 +97,32 @@ def _on(f: Callable[[Panel], DataFrame], **options) -> Callable[[SparkSession, s
 _LOW = {"n_min": N_MIN_LOW}
 
 
+#: What SQL can check of a graph's topology: all but its greedy communities.
+TOPOLOGY = ("giant_frac", "avg_clustering")
+
+
+def _topology(p: Panel) -> DataFrame:
+    return _networks(p).drop("modularity", "n_communities")
+
+
+def _half_topology(p: Panel) -> DataFrame:
+    return graphs.topology_reliability(p.halves, metrics=TOPOLOGY)
+
+
+def _round_trip(p: Panel, kind: str) -> DataFrame:
+    """Eligibility written and read again, by window as Parquet, with a header and a schema as CSV."""
+    folder = f"{shared_dir(p.spark)}/quadrille/trip-{uuid.uuid4().hex}"
+    df = p.eligibility.withColumn("WIN_END", F.col("win_end").cast("string")) if kind == "csv" else p.eligibility
+    tables.save_table(df, folder, "window_eligibility", "processed", ["window_id"] if kind == "parquet" else None, kind)
+    return tables.conform(tables.read_table(p.spark, folder, "window_eligibility"), schemas.ELIGIBILITY)
+
+
+def _foreign_returns(p: Panel) -> DataFrame:
+    """Returns under other names, prices with signs, numbers as text."""
+    r = p.returns
+    return r.select(F.col("permno").cast("string").alias("PERMNO"), F.col("date").cast("timestamp").alias("DlyCalDt"), F.col("ret").cast("string").alias("DLYRET"), (-F.col("permno")).alias("dlyprc"), F.lit("n/a").alias("dlyvol"))
+
+
 def _networks(p: Panel) -> DataFrame:
     return graphs.network_metrics(p.stats, bound=2.0, episodes=p.episodes)
 
@@ -116,9 +146,12 @@ def _gate(p: Panel) -> DataFrame:
     return graphs.gate_summary(real, null, _reliability(p))
 
 
-def _sweep_null(p: Panel) -> DataFrame:
-    swept = sweep.sweep_pairs(p.rows, p.width, sweep.RELAXED_QUANTILES, N_MIN_LOW).join(F.broadcast(p.labels), "window_id")
-    return nulls.sweep_null_rates(swept, p.rows, sweep.RELAXED_QUANTILES, N_MIN_LOW)
+def _sweep_null(quantiles=sweep.RELAXED_QUANTILES) -> Callable[[Panel], DataFrame]:
+    def rates(p: Panel) -> DataFrame:
+        swept = sweep.sweep_pairs(p.rows, p.width, quantiles, N_MIN_LOW).join(F.broadcast(p.labels), "window_id")
+        return nulls.sweep_null_rates(p.kept(swept, "swept"), p.rows, quantiles, N_MIN_LOW)
+
+    return rates
 
 
 def _labels(**kw) -> Callable[[Panel], DataFrame]:
@@ -166,7 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stat_density": _on(lambda p: aggregates.density(aggregates.stat_histograms(p.stats), "regime"), **_LOW),
     "ctx_overlay": _on(lambda p: aggregates.summed_histogram(aggregates.stat_histograms(p.stats), "ctx"), **_LOW),
     "score_distributions": _on(lambda p: aggregates.score_distributions(p.stats), **_LOW),
-    "coupling_amount": _on(lambda p: aggregates.coupling_amount(p.stats, 1.5), **_LOW),
+    "coupling_amount": _on(lambda p: aggregates.coupling_amount(p.stats), **_LOW),
     "cell_summary": _on(lambda p: aggregates.cell_summary(p.stats), **_LOW),
     "cell_count_boxes": _on(lambda p: aggregates.cell_count_boxes(p.stats), **_LOW),
     "sector_rates": _on(lambda p: aggregates.sector_rates(p.stats, p.sectors), **_LOW),
@@ -195,12 +228,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # nulls
     "classical_null": _on(lambda p: nulls.classical_null(p.stats, p.rows)),
     "classical_null_hist": _on(lambda p: aggregates.histogram(nulls.classical_null(p.stats, p.rows).filter("valid"), "ctx", aggregates.edges_of(aggregates.BINS["ctx"]))),
+    "streamed_null_hist": _on(lambda p: nulls.streamed_null_histogram(p.stats, p.rows, 40)),
+    "ctx_null_overlay": _on(lambda p: aggregates.null_overlay(p.stats, p.kept(nulls.classical_null(p.stats, p.rows), "null"))),
     "placebo": _on(lambda p: nulls.permutation_placebo(p.stats, p.rows, n_perm=2)),
     "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows)),
     "small_sample_null": _on(lambda p: nulls.small_sample_null(p.spark, [5, 10, 20, 50, 100])),
     "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n)) for n in (3, 5, 10)], "n_min int, floor double")),
     "matched_floor": _on(lambda p: nulls.matched_floor(pairs.valid_pairs(p.stats), ["regime"]), **_LOW),
-    "sweep_null_rates": _on(_sweep_null),
+    "sweep_null_rates": _on(_sweep_null()),
+    "sweep_null_rates_q70": _on(_sweep_null(SWEEP_NULL)),
     "null_gate_stats": _on(lambda p: nulls.null_gate_stats(p.stats, p.rows)),
     # graphs
     "edge_weights": _on(lambda p: p.weights),
@@ -212,6 +248,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_communities": _on(lambda p: graphs.graph_communities(p.stats)),
     "partition_modularity": _on(lambda p: graphs.partition_modularity(p.top.filter("graph = 's_odd'"), graphs.nodes_of(p.weights.filter("graph = 's_odd'")).withColumn("community", (F.col("node") / 10).cast("int")))),
     "edge_jaccard": _on(_jaccard),
+    "network_topology": _on(_topology),
+    "topology_by_regime": _on(lambda p: graphs.metrics_by_regime(_topology(p), TOPOLOGY)),
+    "topology_by_type": _on(lambda p: graphs.metrics_by_type(_topology(p), TOPOLOGY)),
+    "topology_over_time": _on(lambda p: _topology(p).select("graph", "win_start", *TOPOLOGY).orderBy("graph", "win_start")),
+    "topology_inference": _on(lambda p: graphs.window_inference(_topology(p), metrics=TOPOLOGY, suffix="")),
+    "half_topology": _on(_half_topology),
+    "half_topology_checkpoint": _on(lambda p: graphs.reliability_checkpoint(_half_topology(p), _reliability(p), TOPOLOGY)),
     "network_metrics": _on(_networks),
     "metrics_by_regime": _on(lambda p: graphs.metrics_by_regime(_networks(p))),
     "metrics_over_time": _on(lambda p: _networks(p).orderBy("graph", "win_start")),
@@ -220,10 +263,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_inference": _on(lambda p: graphs.window_inference(_config(p))),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
     "qap_permutation": _on(lambda p: _qap(p.stats)),
+    "qap_first_windows": _on(lambda p: graphs.qap_hierarchy(p.stats, n_perm=0, max_windows=8, min_nodes=5, node_subsample=12).select("window_id", "regime", "n_nodes", "r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd", "gate_r2_s_odd_on_pooled_e00", "gate_coef_e00")),
+    "tier_histogram": _on(lambda p: graphs.tier_histogram(p.kept(_qap(p.stats), "qap"))),
     "tier_summary": _on(lambda p: graphs.tier_summary(_qap(p.stats))),
     "gate_summary": _on(_gate),
     "topology_reliability": _on(lambda p: graphs.topology_reliability(p.halves)),
     "reliability_checkpoint": _on(lambda p: graphs.reliability_checkpoint(graphs.topology_reliability(p.halves), _reliability(p))),
     # viewer
     "table_summary": _on(lambda p: tables.describe(p.returns)),
+    "table_list": lambda spark, sf_dir: tables.list_tables(prepare(spark), sf_dir).select("name", "n_rows", "n_cols"),
+    "table_head": _on(lambda p: p.returns.orderBy("permno", "date").limit(20)),
+    "human_sizes": lambda spark, sf_dir: prepare(spark).read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", tables.human_bytes_column(F.pow(F.lit(5.0), F.col("n_nationkey"))).alias("size")),
+    # files
+    "round_trip_parquet": _on(lambda p: _round_trip(p, "parquet")),
+    "round_trip_csv": _on(lambda p: _round_trip(p, "csv")),
+    "returns_renamed": _on(lambda p: tables.clean_returns(_foreign_returns(p))),
 }

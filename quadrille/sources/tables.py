@@ -12,7 +12,9 @@ from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
 
+# Known names of the columns of daily returns, the preferred one first.
 RETURN_COLUMNS = ("ret", "dlyret")
+ALIASES = {"date": ("date", "dlycaldt", "caldt"), "prc": ("prc", "dlyprc"), "vol": ("vol", "dlyvol"), "shrout": ("shrout", "dlyshrout")}
 BATCH = 400
 
 
@@ -48,13 +50,28 @@ def read_optional(spark: SparkSession, data_dir: str, name: str, schema: str | N
 
 
 def save_table(df: DataFrame, data_dir: str, name: str, subdir: str | None = "processed", by: list[str] | None = None, kind: str = "parquet") -> str:
-    """Writes a table over its older version, as shards by column values if ``by`` is given; returns its path."""
+    """Writes a table over its older version, as shards by column values if ``by`` is given; returns its path.
+
+    A table whose types Parquet cannot hold (calendar intervals, say) is written as CSV instead, as text where need be.
+    """
     path = "/".join(x for x in (data_dir, subdir, f"{name}.{kind}") if x)
+    try:
+        _write(df, path, by, kind)
+    except AnalysisException as e:
+        if kind == "csv" or "UNSUPPORTED" not in str(e):
+            raise
+        kept = {"string", "boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp"}
+        plain = df.select(*[F.col(f.name) if f.dataType.typeName() in kept else F.col(f.name).cast("string").alias(f.name) for f in df.schema.fields])
+        path = path.removesuffix(kind) + "csv"
+        _write(plain, path, by, "csv")
+    return path
+
+
+def _write(df: DataFrame, path: str, by: list[str] | None, kind: str) -> None:
     writer = df.write.mode("overwrite")
     if by:
         writer = writer.partitionBy(*by)
     (writer.option("header", True).csv if kind == "csv" else writer.parquet)(path)
-    return path
 
 
 def conform(df: DataFrame, schema: str) -> DataFrame:
@@ -91,8 +108,8 @@ def table_columns(spark: SparkSession, url: str, table: str, **options: str) ->
 
 
 def membership_query(table: str, start: str, end: str) -> str:
-    """Spells that overlap the closed span."""
-    return f"SELECT permno, mbrstartdt, mbrenddt FROM {table} WHERE mbrenddt >= DATE '{start}' AND mbrstartdt <= DATE '{end}'"
+    """Spells that overlap the closed span; dates are plain literals, which databases cast alike."""
+    return f"SELECT permno, mbrstartdt, mbrenddt FROM {table} WHERE mbrenddt >= '{start}' AND mbrstartdt <= '{end}'"
 
 
 def overlapping_members(membership: DataFrame, start: str, end: str) -> DataFrame:
@@ -100,39 +117,51 @@ def overlapping_members(membership: DataFrame, start: str, end: str) -> DataFram
 
 
 def return_column(columns) -> str:
-    """The first known name of the return column that is present, else the last known one."""
+    """The first known name of the return column that is present, else the first known one."""
+    return _first(columns, RETURN_COLUMNS) or RETURN_COLUMNS[0]
+
+
+def _first(columns, names) -> str | None:
     present = {c.lower() for c in columns}
-    return next((c for c in RETURN_COLUMNS if c in present), RETURN_COLUMNS[-1])
+    return next((c for c in names if c in present), None)
 
 
-def returns_predicates(permnos: list[int], start: str, end: str, batch: int = BATCH) -> list[str]:
+def returns_predicates(permnos: list[int], start: str, end: str, batch: int = BATCH, date_col: str = "date") -> list[str]:
     """One WHERE clause, hence one partition of the read, for each batch of ids."""
     ids = sorted(set(permnos))
-    return [f"permno IN ({', '.join(map(str, ids[k : k + batch]))}) AND date BETWEEN DATE '{start}' AND DATE '{end}'" for k in range(0, len(ids), batch)]
+    return [f"permno IN ({', '.join(map(str, ids[k : k + batch]))}) AND {date_col} BETWEEN '{start}' AND '{end}'" for k in range(0, len(ids), batch)]
 
 
 def read_returns(spark: SparkSession, url: str, table: str, permnos: list[int], start: str, end: str, properties: dict | None = None) -> DataFrame:
-    df = spark.read.jdbc(url, table, predicates=returns_predicates(permnos, start, end), properties=properties or {})
-    return clean_returns(df)
+    """Daily returns of the given ids in the closed span, in batches of ids; columns as clean_returns gives them."""
+    options = properties or {}
+    columns = table_columns(spark, url, table, **options)
+    date_col = _first(columns, ALIASES["date"]) or "date"
+    if not permnos:
+        return clean_returns(jdbc(spark, url, f"SELECT * FROM {table} WHERE 1 = 0", **options))
+    return clean_returns(spark.read.jdbc(url, table, predicates=returns_predicates(permnos, start, end, date_col=date_col), properties=options))
 
 
 def clean_returns(df: DataFrame) -> DataFrame:
-    """permno, date, ret and what there is of prc, vol, shrout: cast, prices made positive."""
+    """permno, date, ret and what there is of prc, vol, shrout, by any of their known names: cast, prices made positive, in order."""
     by_lower = {c.lower(): c for c in df.columns}
-    ret = by_lower.get(return_column(df.columns))
-    out = [df[by_lower["permno"]].cast("int").alias("permno"), df[by_lower["date"]].cast("date").alias("date")]
-    if ret:
-        out.append(F.nanvl(df[ret].try_cast("double"), F.lit(None).cast("double")).alias("ret"))
-    out += [(F.abs(df[by_lower[c]].try_cast("double")) if c == "prc" else df[by_lower[c]].try_cast("double")).alias(c) for c in ("prc", "vol", "shrout") if c in by_lower]
-    return df.select(*out)
+    number = lambda c: F.nanvl(df[c].try_cast("double"), F.lit(None).cast("double"))
+    out = [df[by_lower["permno"]].cast("int").alias("permno"), df[by_lower[_first(by_lower, ALIASES["date"]) or "date"]].cast("date").alias("date")]
+    if ret := by_lower.get(return_column(df.columns)):
+        out.append(number(ret).alias("ret"))
+    for name in ("prc", "vol", "shrout"):
+        if found := _first(by_lower, ALIASES[name]):
+            value = number(by_lower[found])
+            out.append((F.abs(value) if name == "prc" else value).alias(name))
+    return df.select(*out).orderBy("permno", "date")
 
 
 IDENTIFIERS = ("permno", "permco", "ticker", "securitynm", "issuernm", "primaryexch", "sharetype", "securitytype")
 
 
 def identifiers(names: DataFrame, members: DataFrame) -> DataFrame:
-    """Distinct rows of the known identifier columns, for members only."""
-    return names.select(schemas.available(names, *IDENTIFIERS)).distinct().join(members.select("permno").distinct(), "permno", "left_semi")
+    """Distinct rows of the known identifier columns, by lower-case names, for members only."""
+    return names.select(*[F.col(c).alias(c.lower()) for c in schemas.available(names, *IDENTIFIERS)]).distinct().join(members.select("permno").distinct(), "permno", "left_semi")
 
 
 # Viewer
@@ -145,6 +174,20 @@ def describe(df: DataFrame, date_col: str | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), *span).withColumn("n_cols", F.lit(len(df.columns)).cast("long"))
 
 
+def list_tables(spark: SparkSession, data_dir: str) -> DataFrame:
+    """name, bytes, size (as text), n_rows and n_cols of every Parquet table of a folder; rows are counted in the files' footers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.endswith(".parquet"):
+            df = spark.read.parquet(f"{data_dir}/{name}")
+            n = files.getContentSummary(status.getPath()).getLength()
+            found.append((name.removesuffix(".parquet"), n, human_bytes(n), df.count(), len(df.columns)))
+    return spark.createDataFrame(sorted(found), "name string, bytes long, size string, n_rows long, n_cols long")
+
+
 def export_csv(df: DataFrame, path: str, max_rows: int | None = None, sheet_rows: int = 1_048_576, cap: int = 100_000) -> int:
     """Writes a CSV; a table of more rows than a sheet holds is cut to cap rows. Returns the limit that held, or -1."""
     limit = max_rows if max_rows is not None else cap if df.limit(sheet_rows + 1).count() > sheet_rows else -1
@@ -158,3 +201,11 @@ def human_bytes(n: float) -> str:
             return f"{n:.1f} {unit}"
         n /= 1024
     return f"{n:.1f} TB"
+
+
+def human_bytes_column(n):
+    """The same text from a column of numbers."""
+    out = F.format_string("%.1f TB", n / 1024.0**4)
+    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
+        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+    return out

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quadrille.functions import scores
-from quadrille.operators import aggregates, exogenous, graphs, labels, nulls, pairs, sweep, windows
+from quadrille.operators import aggregates, blocks, draws, exogenous, graphs, labels, nulls, pairs, sweep, windows
 
 START = date(2020, 1, 1)
 
@@ -115,11 +115,16 @@ def test_windows_and_eligibility(spark):
     assert windows.hopping_windows(cal, 200, 21).count() == 0
 
 
-def test_labels(spark):
+def test_labels(spark, tmp_path):
     w = spark.createDataFrame([(0, date(2005, 1, 1), date(2005, 3, 31)), (1, date(2008, 9, 1), date(2008, 11, 30)), (2, date(2013, 1, 1), date(2013, 3, 31))], "window_id int, win_start date, win_end date")
     kind = lambda df: [r["regime"] for r in df.orderBy("window_id").collect()]
     assert kind(labels.label_windows(w)) == ["calm"] * 3 and kind(labels.label_windows(w, "other")) == ["calm"] * 3
-    assert kind(labels.label_windows(w, "nber")) == ["calm", "crisis", "calm"]
+    for built_in in ("nber", "NBER", "nber:builtin"):
+        assert kind(labels.label_windows(w, built_in)) == ["calm", "crisis", "calm"]
+    spark.createDataFrame([("2013-03-31", "2014-01-01")], "start string, end string").write.option("header", True).csv(str(tmp_path / "spans.csv"))
+    assert kind(labels.label_windows(w, str(tmp_path / "spans.csv"))) == ["calm", "calm", "crisis"]
+    none = labels.taxonomy(spark, str(tmp_path / "missing.csv"))
+    assert none.count() == 0 and none.columns == labels.taxonomy(spark).columns and labels.tag_windows(w, none).filter("crisis_types = 'none'").count() == 3
     days = [date(2005, 1, 1) + timedelta(d) for d in range(0, 3100, 3)]
     vix = spark.createDataFrame([(d, "45" if d.year == 2008 else "15") for d in days] + [(date(2013, 1, 2), "bad")], "Date date, VIX string")
     for kw in ({}, {"threshold": 30.0}, {"how": "median"}, {"how": "max"}):
@@ -167,9 +172,47 @@ def test_nulls(spark):
 def test_simulator_recovers_a_contextual_box():
     c = 0.8
     fit = {f"scale_{leg}{k}": 1.0 + k for leg in "ab" for k in (0, 1)} | {f"p{leg}{x}": 0.5 for leg in "ab" for x in scores.CELLS} | {f"rho{x}": -c if x == "11" else c for x in scores.CELLS}
-    ra, rb = nulls.simulate_returns(fit, 20_000, np.random.default_rng(1))
-    *_, s, d, k, ok = nulls.pair_stats(ra, rb, 10)
-    assert ok and d < 0.1 and abs(s - 4 * c) < 0.15 and abs(k - (4 * c - 2)) < 0.15
+    ra, rb = nulls.simulate_returns({k: np.array([v, v]) for k, v in fit.items()}, np.array([20_000, 15_000]), np.array([1, 77]))
+    assert np.isnan(ra[1, 15_000:]).all() and np.isfinite(ra[1, :15_000]).all()
+    got = nulls.pair_stats(ra, rb, 10)
+    for i in range(2):
+        assert got["valid"][i] and got["delta"][i] < 0.12 and abs(got["s_odd"][i] - 4 * c) < 0.15 and abs(got["ctx"][i] - (4 * c - 2)) < 0.2
+
+
+def test_draws_are_even_and_independent():
+    """Numbers of a stream, of neighbouring streams and of neighbouring counters."""
+    u = draws.uniforms(draws.base("a", 1), np.arange(200_000))
+    assert abs(u.mean() - 0.5) < 0.003 and abs(np.corrcoef(u[:-1], u[1:])[0, 1]) < 0.01
+    assert np.abs(np.histogram(u, 100, (0, 1))[0] / 2000 - 1).max() < 0.12
+    first = draws.uniforms(np.array([draws.base("a", k) for k in range(20_000)]), 0)
+    assert abs(first.mean() - 0.5) < 0.01 and abs(np.corrcoef(first[:-1], first[1:])[0, 1]) < 0.03
+    orders = draws.permutations(draws.base("p"), np.arange(30_000) * 3, 3)
+    assert np.abs(np.unique(orders, axis=0, return_counts=True)[1] / 5000 - 1).max() < 0.06
+
+
+def test_keyed_bases_agree_with_columns(spark):
+    got = spark.range(3).select("id", draws.base_column(F.lit("x"), "id", F.lit(0)).alias("b")).collect()
+    assert all(r["b"] == draws.base("x", r["id"], 0) for r in got)
+
+
+def test_blocks_do_not_change_results(spark, monkeypatch):
+    rows, bounds = set_up(spark, make_panel(spark, 7, 60, 3, gaps=True), 60)
+    stats = pairs.pair_window_stats(rows, bounds, 60, 3).persist()
+    key = lambda df: sorted(map(str, df.collect()))
+    many = key(exogenous.generator_fit(stats, rows, 3)), key(nulls.max_stat_null(stats, rows, 20))
+    monkeypatch.setattr(blocks, "BLOCKS", 1)
+    assert many == (key(exogenous.generator_fit(stats, rows, 3)), key(nulls.max_stat_null(stats, rows, 20)))
+    monkeypatch.setattr(nulls, "PERMUTED", 1)
+    assert many[1] == key(nulls.max_stat_null(stats, rows, 20))
+    assert nulls.classical_null(stats.limit(0), rows, 3).count() == nulls.classical_null(stats, rows.limit(0), 3).count() == 0
+
+
+def test_one_replica_gives_a_mean(spark):
+    rows, bounds = set_up(spark, make_panel(spark, 9, 60, 3), 60)
+    stats = pairs.pair_window_stats(rows, bounds, 60, 2)
+    ex = graphs.config_excess(stats, 0.3, 1).collect()
+    assert ex and all(r["giant_frac_null_mean"] is None or (r["giant_frac_excess"] is not None and r["giant_frac_z"] is None) for r in ex)
+    assert any(r["giant_frac_null_mean"] is not None for r in ex)
 
 
 def test_exogenous_regime(spark):
