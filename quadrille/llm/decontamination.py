@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import encode, mix64, pieces, shingle_hashes, shingle_sets, texts_of, word_hashes
+from .common import encode, mix64, pieces, releasing, shingle_hashes, shingle_sets, texts_of, word_hashes
 
 CONTAINMENT = 0.75
 DIRECT = 16
@@ -176,7 +176,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     columns = [batch.column(0).take(pa.array(texts)), pa.array([index.ids[k] for k in items], item_type), pa.array(sizes, pa.int64()), pa.array(shared_n, pa.int64()), pa.array(share)]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        parts.append(narrow.mapInArrow(run, schema))
+        parts.append(narrow.mapInArrow(releasing(run), schema))
     if not parts:
         return docs.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)
@@ -193,5 +193,5 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> D
                 clean[[t for t, _, _ in shared.value.search(texts_of(batch, text_col))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(releasing(run), docs.schema)
     return docs

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import texts_of, with_columns
+from .common import releasing, texts_of, with_columns
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea select object".split())
@@ -357,6 +357,7 @@ def _template(r: random.Random) -> str:
 def fit(spark: SparkSession) -> Model:
     """The model for generated pages, fitted in one task."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             if len(batch):
@@ -370,6 +371,7 @@ def extract_text(df: DataFrame, model: Model | None = None, id_col: str = "page_
     shared = df.sparkSession.sparkContext.broadcast(model or fit(df.sparkSession))
     narrow = df.select(df[id_col].alias("id"), df[url_col].alias("u"), df[html_col].alias("h"))
 
+    @releasing
     def run(batches):
         for batch in batches:
             texts = [shared.value.extract(h) for h in texts_of(batch, "h")]

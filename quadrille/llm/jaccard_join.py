@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, mix64, shingle_sets, stored, texts_of, with_columns
+from .common import discard, fresh, mix64, releasing, releasing_group, shingle_sets, stored, texts_of, with_columns
 from .components import Forest, connected_components
 
 #: Links need 100 * intersection >= 75 * union.
 PERCENT = 75
 #: A shingle is frequent if more sets than this have it. Part of the hash order in which they are counted.
 HINT_COUNT, HINT_MAX, HINT_PART = 10, 1_000_000, 0.7
-BUCKET_SHINGLES, DIRECT_PAIRS = 2_000_000, 1024
+BUCKET_SHINGLES, DIRECT_PAIRS = 1_000_000, 1024
 #: Up to so many candidate sets (16 bytes each) are found among the texts by broadcast, more by shuffle.
 BROADCAST_SETS = 1_000_000
 PIVOTS, CHUNK, CHUNK_BYTES = 24, 512, 8_000_000
@@ -163,6 +163,7 @@ def _key():
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, key, n and node of every document."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             got = [(len(s), set_node(s)) for _, s in shingle_sets(texts_of(batch))]
@@ -183,6 +184,7 @@ def _frequent(docs: DataFrame, shingles: int) -> tuple[np.ndarray, float]:
     bounds = np.array([int(HINT_PART * 2**40) * k // parts for k in range(parts)], np.uint64)
     low = np.uint64(2**32 - 1)  # a part is narrower than 32 bits, so these tell its ranks apart
 
+    @releasing
     def spread(batches):
         for batch in batches:
             got = [u[u < limit] >> np.uint64(24) for u in (ranks(s) for _, s in shingle_sets(dict.fromkeys(texts_of(batch))))]
@@ -190,6 +192,7 @@ def _frequent(docs: DataFrame, shingles: int) -> tuple[np.ndarray, float]:
             cut = np.searchsorted(u, bounds[1:])
             yield pa.record_batch({"p": pa.array(range(parts), pa.int32()), "u": pa.array([x.tobytes() for x in np.split((u & low).astype(np.uint32), cut)], pa.binary())})
 
+    @releasing_group
     def count(key, f):
         u = np.frombuffer(b"".join(f["u"]), np.uint32).astype(np.uint64)
         u, c = np.unique(bounds[key[0]] + ((u - bounds[key[0]]) & low), return_counts=True)
@@ -211,6 +214,7 @@ def _member(s: np.ndarray, table: np.ndarray) -> np.ndarray:
 def _entries(docs: DataFrame, frequent, hot_share: float, buckets: int) -> DataFrame:
     """bucket and packed entries (signature, node, kind), one row for each bucket and batch."""
 
+    @releasing
     def run(batches):
         for batch in batches:
             sig, node, kind = [], [], []
@@ -244,7 +248,8 @@ def _entries(docs: DataFrame, frequent, hot_share: float, buckets: int) -> DataF
     return docs.select("text").mapInArrow(run, "bucket int, sig binary, node binary, count binary, kind binary")
 
 
-def _meet(f: pd.DataFrame) -> pd.DataFrame:
+@releasing_group
+def _meet(key, f):
     """One bucket: pairs to verify (kind 0) and a spanning forest of the clusters (kind 1)."""
     raw = np.zeros((sum(map(len, f["sig"])) // SIG_BYTES, 8), np.uint8)
     raw[:, :SIG_BYTES] = np.frombuffer(b"".join(f["sig"]), np.uint8).reshape(-1, SIG_BYTES)
@@ -296,12 +301,14 @@ def _near(x: np.ndarray, y: np.ndarray) -> bool:
     return int(np.abs(x - y).sum()) <= differences(int(x.sum()), int(y.sum()))
 
 
+@releasing
 def _possible(frames):
     for f in frames:
         ok = [_near(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)) for x, y in zip(f["ka"], f["kb"], strict=True)]
         yield f.loc[ok, ["a", "b"]]
 
 
+@releasing
 def _verify(frames):
     for f in frames:
         ok = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(f["sa"], f["sb"], strict=True)]
@@ -359,6 +366,7 @@ def _against(members: DataFrame, refs: DataFrame, sets: DataFrame) -> DataFrame:
     cols = ["cid", "c", "r", "node"]
     both = m.select(*cols, F.lit(0).alias("role")).unionByName(q.select(*cols, F.lit(1).alias("role")))
 
+    @releasing_group
     def run(key, f):
         return _block_links(f) if f["role"].nunique() == 2 else pd.DataFrame({"a": [], "b": []}).astype("int64")
 
@@ -381,7 +389,8 @@ def _resolve_clusters(edges: DataFrame, sets: DataFrame) -> DataFrame:
     main = placed.groupBy("cid", "label").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"))
     main = main.groupBy("cid").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("size").alias("size"))
     rest = _salted(placed).join(_all_salts(main), ["cid", "salt"]).filter("label != main").select(members.columns)
-    return first.union(_against(members, stored(rest, "rest"), sets))
+    # stored, as what follows is Python again: one worker for each task is enough then
+    return first.union(stored(_against(members, stored(rest, "rest"), sets), "links"))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -401,6 +410,7 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
     wanted = stored(rows.groupBy("node").agg(F.min("key").alias("key")).join(nodes, "node"), "wanted")
 
+    @releasing
     def load(batches):
         for batch in batches:
             nodes = batch.column(0).to_pylist()

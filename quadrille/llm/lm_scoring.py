@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, fold, mix64, stored, word_hashes
+from .common import encode, fold, mix64, releasing, releasing_group, stored, word_hashes
 
 HELD_OUT, ADD, LEVELS, EM_ROUNDS = 10, 0.1, 24, 40
 ORDER = 3
@@ -44,6 +44,7 @@ _ANSWER = "blk long, pre long, totals binary, kept binary, tokens long, distinct
 def _packed(docs: DataFrame, groups: int) -> DataFrame:
     """group and a compressed batch of its documents."""
 
+    @releasing
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
@@ -333,21 +334,21 @@ def score_texts(docs: DataFrame) -> DataFrame:
     groups = max(HELD_OUT, -(-((size["chars"] or 0) + size["rows"]) // GROUP_CHARS))
     bits = level_bits(groups)
     packed = _packed(docs, groups)
-    asked = [packed.groupBy("group").applyInPandas(_requests(bits), _REQUEST)]
+    asked = [packed.groupBy("group").applyInPandas(releasing_group(_requests(bits)), _REQUEST)]
     for level in range(1, len(bits)):
         asked[-1] = stored(asked[-1], f"asked{level}")
-        asked.append(asked[-1].groupBy("up", "pre").applyInPandas(_raise(bits, level), _REQUEST))
-    answers = stored(asked[-1].groupBy("up", "pre").applyInPandas(_top(len(bits) == 1), _ANSWER), "answers")
+        asked.append(asked[-1].groupBy("up", "pre").applyInPandas(releasing_group(_raise(bits, level)), _REQUEST))
+    answers = stored(asked[-1].groupBy("up", "pre").applyInPandas(releasing_group(_top(len(bits) == 1)), _ANSWER), "answers")
     found = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "distinct", "kept_tokens")]).first().asDict()
     for level in range(len(bits) - 1, 0, -1):
         # a bucket's answers come from the parts of its own part of the hash range
         up = answers.withColumn("of", F.shiftright("pre", bits[level]))
-        down = asked[level - 1].groupBy("up", "pre").cogroup(up.groupBy("blk", "of")).applyInPandas(_lower(level == 1), _ANSWER)
+        down = asked[level - 1].groupBy("up", "pre").cogroup(up.groupBy("blk", "of")).applyInPandas(releasing_group(_lower(level == 1)), _ANSWER)
         answers = stored(down, "answers")
     totals = answers.select("blk", "pre", "totals")
     held = answers.filter(F.pmod("blk", F.lit(HELD_OUT)) == 1).select("blk", "pre", "kept")
-    cells = packed.filter(F.pmod("group", F.lit(HELD_OUT)) == 1).groupBy("group").cogroup(held.groupBy("blk")).applyInPandas(_cells(found, bits), "cell long, n double, " + ", ".join(f"r{k} double" for k in range(ORDER)))
+    cells = packed.filter(F.pmod("group", F.lit(HELD_OUT)) == 1).groupBy("group").cogroup(held.groupBy("blk")).applyInPandas(releasing_group(_cells(found, bits)), "cell long, n double, " + ", ".join(f"r{k} double" for k in range(ORDER)))
     counted = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", *(f"r{k}" for k in range(ORDER)))]).orderBy("cell")
     weights = mixture_weights(counted.toPandas())
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("group").cogroup(totals.groupBy("blk")).applyInPandas(_scored(found, weights, bits), schema)
+    return packed.groupBy("group").cogroup(totals.groupBy("blk")).applyInPandas(releasing_group(_scored(found, weights, bits)), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts_of
+from .common import releasing, releasing_group, stored, texts_of
 from .tokens import END_ID, encoder, in_runs
 
 CAPACITY, PARTITION_PIECES = 1024, 16_384
@@ -78,6 +78,7 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     """doc_id, piece, start, length and ids_crc32 of every piece of every document."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
+    @releasing
     def run(batches):
         for batch in batches:
             texts = texts_of(batch)
@@ -100,6 +101,7 @@ def token_pieces(df: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
 def _packer(turn: int, last: bool, capacity: int):
     """Packs one partition and says which of its bins are final."""
 
+    @releasing_group
     def one(key, f):
         f = f.sort_by([("length", "descending"), ("uid", "ascending")]).drop_columns("part")
         where, offset, fill = best_fit_decreasing(sizes := f["length"].to_numpy(), capacity)

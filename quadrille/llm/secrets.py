@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automata import Dfa
-from .common import pieces, texts_of, with_columns
+from .common import pieces, releasing, texts_of, with_columns
 
 _KEY = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 #: (kind, pattern, pattern of the matches that count, letters in either case). The first three are the base kinds, in the
@@ -88,6 +88,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: the id, counts of the base kinds, base_sha256 and all spans."""
     scanner, kind = Scanner(rules), df.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches):
         for batch in batches:
             rows = []
@@ -111,6 +112,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", count_col: str | None
     """
     scanner = Scanner(rules)
 
+    @releasing
     def run(batches):
         for batch in batches:
             texts, changed = texts_of(batch, text_col), []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ordered_buckets, stored, texts_of
+from .common import ordered_buckets, releasing, stored, texts_of
 from .tokens import END_ID, encoder, in_runs
 
 BLOCK, PERCENTILE, SHARD_IDS = 128, 90, 1_000_000
@@ -157,6 +157,7 @@ def write_token_table(df: DataFrame, vocabulary: str | None = None, end: int = E
     dealt = narrow.select(part.alias("part"), "doc_id", "tie", "text").repartitionById(buckets, "part")
     ordered = dealt.sortWithinPartitions("part", "doc_id", "tie").drop("tie")
 
+    @releasing
     def run(batches):
         now, before, size = None, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -202,6 +203,7 @@ def read_token_table(shards: DataFrame) -> DataFrame:
         starts[r["part"]] = at
         at += r["n"]
 
+    @releasing
     def run(batches):
         for batch in batches:
             for part, before, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -16,7 +16,7 @@ import unicodedata
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
 END_ID = 2
 _CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same cut for texts of Latin-1 without control characters, where the classes can be spelled out.
@@ -152,7 +152,7 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     return Encoder(vocabulary)
 
 
-def in_runs(texts, limit: int = 1_000_000):
+def in_runs(texts, limit: int = 500_000):
     """Positions (from, to) of runs of texts with about limit characters."""
     a, size = 0, 0
     for i, t in enumerate(texts):
