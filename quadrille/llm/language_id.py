@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, mix64, texts_of, with_columns
+from .common import fold, mix64, releasing, texts_of, with_columns
 
 PER_LANGUAGE, WINDOW, SAMPLE_TEXTS, LEAST_TEXTS = 250, 2500, 16_000, 8
 #: N-grams are hashed to so many bits; to fewer with over 32 languages, so that the weights stay as many.
@@ -39,7 +39,7 @@ SEQUENCE, ROUNDS, BLOCK = 40, 30, 48
 WORD_SEEN, LEAST_EVIDENCE = 0.75, 0.5
 SHORT_LETTERS, SHORT_EVIDENCE = 40, 1 / 3
 UNKNOWN = "und"
-PIECE_CHARS = 600_000
+PIECE_CHARS = 300_000
 _M = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 _BOW, _EOW = 0x110000, 0x110001
 
@@ -80,7 +80,7 @@ class Words:
         edge = np.flatnonzero(flag[1:] != flag[:-1])
         s, e = edge[0::2], edge[1::2]
         low = lower[cp]
-        up, down = _powers(1 << max(20, int(len(cp) + 1).bit_length()))
+        up, down = _powers(1 << max(19, int(len(cp) + 1).bit_length()))
         c = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _M[0] * up[: len(cp)], out=c[1:])
         h = mix64((c[e] - c[s]) * down[s] + (e - s).astype(np.uint64) * _M[1])
@@ -150,11 +150,11 @@ class Words:
 
 def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Exact label marginals of chains. scores: (words, K) log potentials; first: bounds of the chains."""
-    return forward_backward(scores, first, trans)[0]
+    return forward_backward(scores, first, trans, pairs=False)[0]
 
 
-def forward_backward(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(label marginals of every word, expected number of transitions from each label to each other one), both exact.
+def forward_backward(scores: np.ndarray, first: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(label marginals of every word, with pairs also the expected number of transitions between labels), both exact.
 
     A chain's probability is in proportion to exp of its words' scores and of trans for each pair of neighbours.
     """
@@ -194,7 +194,8 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -
         now = bfirst[1:][blocks > r] - 1 - r
         x = np.einsum("ijk,ik->ij", M[place[now + 1]], b[place[now + 1]])
         b[place[now]] = x / x.sum(axis=1, keepdims=True)
-    alpha, beta = np.empty((len(scores), K)), np.empty((len(scores), K))  # beta: with the word's own potential
+    alpha = np.empty((len(scores), K))
+    beta = np.empty((len(scores), K)) if pairs else None  # with the word's own potential
     for t, k in enumerate(active):
         x = a[:k] @ T
         if t == 0:
@@ -202,20 +203,25 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -
         a[:k] = x * e[start[:k] + t]
         a[:k] /= a[:k].sum(axis=1, keepdims=True)
         alpha[start[:k] + t] = a[:k]
-    out = alpha.copy()
+    out = alpha.copy() if pairs else alpha
     for t in range(len(active) - 1, -1, -1):
         k = active[t]
         w = start[:k] + t
         out[w] *= b[:k]
-        beta[w] = b[:k] * e[w]
-        b[:k] = beta[w] @ T.T
+        x = b[:k] * e[w]
+        if pairs:
+            beta[w] = x
+        b[:k] = x @ T.T
         b[:k] /= b[:k].sum(axis=1, keepdims=True)
+    out /= out.sum(axis=1, keepdims=True)
+    if not pairs:
+        return out, None
     inner = np.ones(len(scores), bool)
     inner[first[:-1][length > 0]] = False
     right = np.flatnonzero(inner)
     left = alpha[right - 1]
     z = ((left @ T) * beta[right]).sum(axis=1, keepdims=True)
-    return out / out.sum(axis=1, keepdims=True), T * ((left / z).T @ beta[right])
+    return out, T * ((left / z).T @ beta[right])
 
 
 class Model:
@@ -393,6 +399,7 @@ def sample_labelled(df: DataFrame, id_col="doc_id", text_col="text", lang_col="l
 def fit(df: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> Model:
     """The model for the labelled rows of a table; one task fits it on the bounded sample."""
 
+    @releasing
     def run(batches):
         rows = sorted((lang, k, t) for b in batches for lang, t, k in zip(*(c.to_pylist() for c in b.columns), strict=True))
         yield pa.record_batch({"model": pa.array([pickle.dumps(train([(lang, t) for lang, _, t in rows]))], pa.binary())})
@@ -407,6 +414,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)
     narrow = df.select(df[id_col].alias("id"), (fold(id_col, 4) == 2).alias("held_out"), df[text_col].alias("text"))
 
+    @releasing
     def run(batches):
         for batch in batches:
             names, scores = shared.value.predict(texts_of(batch))
@@ -423,6 +431,7 @@ def label_words(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches):
         for batch in batches:
             model = shared.value
@@ -451,6 +460,7 @@ def keep_identified(df: DataFrame, model: Model, min_score: float | None = None,
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches):
         for batch in batches:
             names, scores, learned = shared.value.judge(texts_of(batch, text_col), evidence=True)
