@@ -57,4 +57,21 @@ r AS (SELECT host, CASE WHEN turn THEN v ELSE 1 - v END AS over FROM y)
 SELECT page_id, host, path, {rule} AS rule, coalesce({says}, CASE WHEN over >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(over, 6) + 0.0 AS p_bad FROM w JOIN r USING (host)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_jaccard_join": OP6, "op10_url_filter": _op10()}
+_TAB = """tab AS (SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM (SELECT unnest(range(256)) AS n)))"""
+#: crc32 of the id as text, by its table tab.t.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+LM_BASE = f"""WITH {_TAB}, f AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 10 = 0 AS held_out, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, tab),
+k AS (SELECT r, held_out, unnest(list_append(w, ' ')) AS tok FROM f), c AS (SELECT tok, count(*) AS c FROM k WHERE NOT held_out GROUP BY 1), n AS (SELECT coalesce(CAST(sum(c) AS BIGINT), 0) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))) AS b FROM n, k LEFT JOIN c USING (tok) GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(b, 6) AS base_score FROM f JOIN s USING (r), n"""
+
+_ASSIGN = """(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS = f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda v: length(v) >= 6)) AS n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex FROM documents"""
+
+EDITED = """SELECT doc_id, length(x) AS n_chars, sha256(substr(x, 1, length(x) - length(x) // 2) || substr(y, 1, length(x) // 2)) AS edited_sha256
+FROM (SELECT doc_id, x, coalesce(lead(x) OVER (ORDER BY doc_id), first_value(x) OVER (ORDER BY doc_id)) AS y FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_jaccard_join": OP6, "op10_url_filter": _op10(), "lm_base_scores": LM_BASE, "secret_counts": SECRETS, "edited_digests": EDITED}

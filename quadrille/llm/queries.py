@@ -1,4 +1,7 @@
-"""One query for each corpus operator, over whole tables, and the SQL that gives the same rows where SQL can."""
+"""One query for each corpus operator, over whole tables, and the SQL that gives the same rows where SQL can.
+
+Three more queries return those columns of an operator that SQL can express, so that they can be compared.
+"""
 
 from __future__ import annotations
 
@@ -73,6 +76,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lower_bad").withColumn("p_bad", F.round("p_bad", 6) + F.lit(0.0))
 
 
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can check."""
+    out = op3_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    return out.withColumn("base_score", F.round("base_score", 6))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can check."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def edited_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can check."""
+    return op8_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_crf": op1_language_crf,
     "op2_decontamination": op2_decontamination,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit": op9_best_fit,
     "op10_url_filter": op10_url_filter,
+    "lm_base_scores": lm_base_scores,
+    "secret_counts": secret_counts,
+    "edited_digests": edited_digests,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

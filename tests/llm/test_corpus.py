@@ -363,9 +363,55 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_learned(sample, texts):
+    """Which texts are like the sample's languages, by sets of 4-grams of their words with end marks."""
+    low = lambda c: c.lower() if len(c.lower()) == 1 else c
+
+    def found(text):
+        out, word = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha():
+                word += low(c)
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    def grams(word):
+        w = f"<{word}>"
+        return [w[i : i + 4] for i in range(max(1, len(w) - 3))]
+
+    seen = {}
+    for lang, text in sample:
+        seen.setdefault(lang, set()).update(g for w in found(text) for g in grams(w))
+    out = []
+    for text in texts:
+        ws = found(text)
+        share = [max(sum(g in s for g in grams(w)) for s in seen.values()) / len(grams(w)) for w in ws]
+        letters = sum(map(len, ws))
+        known = sum(len(w) for w, x in zip(ws, share, strict=True) if x >= 0.75)
+        weighed = sum(len(w) * x for w, x in zip(ws, share, strict=True))
+        out.append(letters > 0 and (weighed >= letters / 3 - 1e-6 if letters < 40 else known >= 0.5 * letters - 1e-6))
+    return out
+
+
+def check_packed(rows, texts):
+    """Pieces carry all ids of all documents, sequences are gapless and hold 1024 ids at most."""
+    ids = dict(zip(texts, _library_ids(list(texts.values())), strict=True))
+    at = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    assert max(at.values()) <= 1024 and sum(at.values()) == sum(map(len, ids.values()))
+    return len(at)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
+    from quadrille.llm import language_id
+
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     start = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -373,10 +419,16 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, d).persist()
         if name == "pack":
-            assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == set(before)
+            sequences = check_packed(out.collect(), before)
+            sizes = np.array([len(x) for x in _library_ids(list(before.values()))])
+            rest = sizes[sizes % 1024 > 0] % 1024
+            assert sequences <= 1.02 * ((sizes // 1024).sum() + packing.lower_bound(rest))
             continue
         assert out.schema.simpleString() == docs.schema.simpleString()
         before = {r["doc_id"]: r["text"] for r in out.collect()}
+        if name == "language":
+            sample = [(r["lang"], r["text"]) for r in language_id.sample_labelled(docs).collect()]
+            assert set(before) == {k for (k, t), ok in zip(start.items(), brute_learned(sample, start.values()), strict=True) if ok}
         if name == "near_duplicates":
             want = brute_components(list(held.items()))
             assert set(before) == {k for k, v in want.items() if k == v}
