@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, shared_dir, ship, stored
+from ..session import discard, shared_dir, ship, stored  # noqa: F401
 
 SHINGLE_WORDS = 5
 #: Bytes of text that are hashed at once (a longer single text is a piece of its own).

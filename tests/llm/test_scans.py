@@ -342,3 +342,13 @@ def test_queries_on_the_small_tables(spark, sf):
         blocks = (" ".join(h.unescape(re.sub("<(?:b|/b|br)>", " ", x)).split()) for x in re.split("</?(?:h1|p)>", inner))
         assert text == "\n\n".join(b for b in blocks if b)
     assert QUERIES["op10_url_filter"](spark, d).count() == len(pages)
+
+
+def test_every_language_is_learned():
+    """More languages than there are letters of the alphabet to tell them by: all of them are predicted."""
+    rng = random.Random(4)
+    stems = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(280)]
+    say = lambda k, n: " ".join(rng.choice(stems[k]) for _ in range(n))
+    model = language_id.train([(f"l{k:03}", say(k, 12)) for k in range(280) for _ in range(4)])
+    names, _ = model.predict([say(k, 8) for k in range(280)])
+    assert len(model.labels) == 280 and sum(n == f"l{k:03}" for k, n in enumerate(names)) > 270
