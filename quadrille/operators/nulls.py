@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import CELLS, pair_arrays
 from .aggregates import BINS, edges_of, group_sample, histogram, sample_pairs
 from .blocks import PAIR_KEYS, masked_quantile, on_pairs
-from .draws import base, base_column, permutations, uniforms
+from .draws import base, base_column, uniforms
 from .exogenous import fit_pairs
 from .pairs import valid_pairs
 

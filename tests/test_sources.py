@@ -61,7 +61,7 @@ def test_listing(spark, tmp_path):
 
 def test_extraction_from_a_database(spark, tmp_path):
     """The whole extraction against an embedded database, reached by JDBC."""
-    url = "jdbc:derby:memory:crsp;create=true"
+    url = "jdbc:derby:memory:market;create=true"
     days = [date(2000, 1, 3) + timedelta(d) for d in range(200)]
     put = lambda df, name: df.toDF(*map(str.upper, df.columns)).write.jdbc(url, name, "overwrite")
     put(spark.createDataFrame([(1, days[0], days[-1]), (2, days[50], days[-1]), (3, date(1980, 1, 1), date(1980, 5, 1))], "permno int, mbrstartdt date, mbrenddt date"), "members")

@@ -1,7 +1,6 @@
 """Registered queries do the operators' whole job."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from quadrille.plans import queries
 
