@@ -297,6 +297,18 @@ def config_excess(stats: DataFrame, share: float = 0.05, n_rewire: int = 20, see
     return out.join(F.broadcast(_window_info(stats, episodes)), "window_id")
 
 
+def rewired_degrees(stats: DataFrame, share: float = 0.05, seed: int = 0) -> DataFrame:
+    """window_id, graph, node, degree in one rewiring of each graph (in the graph itself, where it has too few swaps)."""
+
+    def run(key, f):
+        nodes, edges = _numbered(f)
+        new = rewired(len(nodes), edges, np.random.default_rng(base("rewire", *key, seed, 0))) or edges
+        degree = np.bincount([v for i, j, _ in new for v in (i, j)], minlength=len(nodes)).astype(int)
+        return pd.DataFrame({"window_id": key[0], "graph": key[1], "node": nodes, "degree": degree})
+
+    return _marked(edge_weights(stats), share, None).groupBy("window_id", "graph").applyInPandas(run, "window_id int, graph string, node int, degree int")
+
+
 def permutation_difference(a: np.ndarray, b: np.ndarray, n_perm: int, stream: int) -> tuple:
     """(difference of means, two-sided p, sizes); no p below 2 values a side."""
     a, b = a[np.isfinite(a)], b[np.isfinite(b)]

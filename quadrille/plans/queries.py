@@ -14,6 +14,7 @@ from ..functions.scores import pooled_weight
 from ..operators import aggregates, exogenous, graphs, labels, nulls, pairs, sweep, windows
 from ..session import prepare, shared_dir, stored
 from ..sources import tables, testdata
+from ..streaming import panel
 
 WIDTH, STEP, N_MIN, N_MIN_LOW, Q = 60, 21, 10, 3, 0.5
 #: Quantiles at which simulated pairs of this panel have cells enough.
@@ -117,6 +118,12 @@ def _round_trip(p: Panel, kind: str) -> DataFrame:
     return tables.conform(tables.read_table(p.spark, folder, "window_eligibility"), schemas.ELIGIBILITY)
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = f"{shared_dir(prepare(spark))}/quadrille/stream-{uuid.uuid4().hex}"
+    out = panel.finished_totals(spark, f"{sf_dir}/events.parquet", store, late="2 days", every="1 day")
+    return out.withColumn("total", F.round("total", 4) + F.lit(0.0))
+
+
 def _foreign_returns(p: Panel) -> DataFrame:
     """Returns under other names, prices with signs, numbers as text."""
     r = p.returns
@@ -259,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metrics_by_regime": _on(lambda p: graphs.metrics_by_regime(_networks(p))),
     "metrics_over_time": _on(lambda p: _networks(p).orderBy("graph", "win_start")),
     "metrics_by_type": _on(lambda p: graphs.metrics_by_type(_networks(p))),
+    "rewired_degrees": _on(lambda p: graphs.rewired_degrees(p.stats)),
     "config_excess": _on(_config),
     "window_inference": _on(lambda p: graphs.window_inference(_config(p))),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
@@ -274,7 +282,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_list": lambda spark, sf_dir: tables.list_tables(prepare(spark), sf_dir).select("name", "n_rows", "n_cols"),
     "table_head": _on(lambda p: p.returns.orderBy("permno", "date").limit(20)),
     "human_sizes": lambda spark, sf_dir: prepare(spark).read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", tables.human_bytes_column(F.pow(F.lit(5.0), F.col("n_nationkey"))).alias("size")),
-    # files
+    # streams and files
+    "streamed_totals": _streamed,
     "round_trip_parquet": _on(lambda p: _round_trip(p, "parquet")),
     "round_trip_csv": _on(lambda p: _round_trip(p, "csv")),
     "returns_renamed": _on(lambda p: tables.clean_returns(_foreign_returns(p))),

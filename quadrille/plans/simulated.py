@@ -203,6 +203,7 @@ SELECT (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap) AS real_gate_r2, (SELECT r
   (SELECT round(avg(reliability_sb), 9) + 0.0 FROM rel) AS reliability_sb, round(d, 9) + 0.0 AS diff_real_minus_null, round(lo, 9) + 0.0 AS diff_ci_lo, round(hi, 9) + 0.0 AS diff_ci_hi, CAST(n AS INT) AS n_gate_windows, CASE WHEN (lo <= 0 AND hi >= 0) OR d >= 0 THEN 'artifact' ELSE 'residual structure' END AS verdict FROM gm, gq"""
     fair_many = _fair(_runs("small", [5, 10, 20, 50, 100], 2000), "n, sim")
     return {
+        "streamed_totals": "SELECT user_id AS key, CAST(date_trunc('day', ts) AS DATE) AS period, round(sum(CAST(value AS DOUBLE)), 4) + 0.0 AS total, count(*) AS n FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
         "classical_null": with_(_null(), _NULL_OUT),
         "classical_null_hist": with_(_null(), hist),
         "streamed_null_hist": with_(f"pick AS (SELECT * EXCLUDE (place) FROM {sample} WHERE place <= 40), {_null('pick')}", hist),
@@ -232,6 +233,7 @@ SELECT (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap) AS real_gate_r2, (SELECT r
             f"SELECT tier, {_r('lo', 'hi')}, CAST(least(9, coalesce(floor((r - lo) / nullif(hi - lo, 0) * 10), 0)) AS INT) AS bin, count(*) AS count FROM ti JOIN sp USING (tier) GROUP BY 1, sp.lo, sp.hi, 4",
         ),
         "gate_summary": with_(f"{qap_null}, {_HALVES.strip()}", f", {boot}"),
+        "rewired_degrees": with_(f"{_W}, {_top(0.05)}, {_NODES}, d AS (SELECT window_id, graph, v AS node, count(*) AS k FROM (SELECT window_id, graph, src AS v FROM top UNION ALL SELECT window_id, graph, dst FROM top) GROUP BY 1, 2, 3)", "SELECT window_id, graph, node, CAST(coalesce(k, 0) AS INT) AS degree FROM nodes LEFT JOIN d USING (window_id, graph, node)"),
         "network_topology": reach(top, f"SELECT window_id, graph, threshold, n_nodes, n_edges, {_r('edge_density', 'avg_clustering', 'giant_frac')}, win_start, regime, crisis_names, crisis_types FROM topo"),
         "topology_over_time": reach(top, f"SELECT graph, win_start, {_r(*TOPOLOGY)} FROM topo"),
         "topology_by_regime": reach(top, f"SELECT graph, regime, {', '.join(f'round(avg({m}), 9) + 0.0 AS {m}' for m in (*TOPOLOGY, 'edge_density'))} FROM topo GROUP BY 1, 2"),

@@ -6,7 +6,7 @@ allowed up to a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,15 @@ def streaming_totals(events: DataFrame, time_col: str = "ts", key_col: str = "us
     return g.select("key", F.col("w.start").cast("date").alias("period"), "total", "n")
 
 
+def finished_totals(spark: SparkSession, path: str, store: str, **options) -> DataFrame:
+    """Runs the totals over the events that are there now, as a stream, and returns those of periods that the watermark has closed."""
+    pattern = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file will do as well as a folder
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    run = streaming_totals(events, **options).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True)
+    run.start(f"{store}/totals").awaitTermination()
+    return spark.read.schema("key long, period date, total double, n long").parquet(f"{store}/totals")
+
+
 def returns_from_totals(totals: DataFrame) -> DataFrame:
     """permno, date, ret from finished periods (a batch table that a stream has written)."""
     from pyspark.sql import Window
