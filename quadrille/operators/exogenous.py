@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import CELLS
 from .blocks import PAIR_KEYS, masked_mean, masked_quantile, on_pairs
-from .pairs import WORD, valid_pairs
+from .pairs import WORD, day_masks, valid_pairs
 
 _KEYS = "window_id int, permno_a int, permno_b int"
 FIT = ", ".join([f"scale_{leg}{k} double" for leg in "ab" for k in (0, 1)] + [f"{v}{c} double" for v in ("pa", "pb", "rho") for c in CELLS])
@@ -28,15 +28,6 @@ def volatility_regime(vix: DataFrame, rolling: int | None = None) -> DataFrame:
     return v.select("date", F.when(F.col("vix") >= F.col("ref"), 0).otherwise(1).alias("x"))
 
 
-def _masks(df: DataFrame, width: int, flags: dict, *by: str) -> DataFrame:
-    """Bit masks, in words of WORD days, of the days (t) on which each flag holds."""
-    aggs = []
-    for k in range(-(-width // WORD)):
-        bit = F.when(F.floor(F.col("t") / WORD) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
-        aggs += [F.coalesce(F.sum(F.when(cond, bit)), F.lit(0)).alias(f"{name}_{k}") for name, cond in flags.items()]
-    return df.groupBy(*by).agg(*aggs)
-
-
 def exogenous_contrast(stats: DataFrame, rows: DataFrame, regime: DataFrame, n_min: int = 10, width: int = 60) -> DataFrame:
     """Diagonal cells of valid pairs under the shared regime; pairs without a joint day are left out.
 
@@ -44,9 +35,9 @@ def exogenous_contrast(stats: DataFrame, rows: DataFrame, regime: DataFrame, n_m
     each), so their masks are broadcast.
     """
     pairs = valid_pairs(stats).select(*PAIR_KEYS, "regime")
-    legs = _masks(rows.filter("ret IS NOT NULL"), width, {"day": F.lit(True), "use": F.col("ret") != 0, "up": F.col("ret") > 0}, "window_id", "permno")
+    legs = day_masks(rows.filter("ret IS NOT NULL"), width, {"day": F.lit(True), "use": F.col("ret") != 0, "up": F.col("ret") > 0}, "window_id", "permno")
     days = rows.select("window_id", "t", "date").distinct().join(F.broadcast(regime), "date")
-    shared = _masks(days, width, {"z0": F.col("x") == 0, "z1": F.col("x") == 1}, "window_id")
+    shared = day_masks(days, width, {"z0": F.col("x") == 0, "z1": F.col("x") == 1}, "window_id")
     words = range(-(-width // WORD))
     for k in "ab":
         side = legs.select("window_id", F.col("permno").alias(f"permno_{k}"), *[F.col(f"{v}_{i}").alias(f"{v}{k}_{i}") for v in ("day", "use", "up") for i in words])

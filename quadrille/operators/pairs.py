@@ -54,13 +54,17 @@ def legs(rows: DataFrame, width: int = 60, q: float = 0.5, theta: DataFrame | No
     return d.groupBy("window_id", "permno").agg(*aggs)
 
 
-def _cells(width: int, suffix: str = "") -> dict[str, Column]:
-    """Counts and sums of the four cells from the masks of legs l and r; suffix tells the masks of one of several thresholds."""
+def _cells(width: int, suffix: str = "", days: str | None = None) -> dict[str, Column]:
+    """Counts and sums of the four cells from the masks of legs l and r; suffix tells the masks of one of several thresholds.
+
+    days names masks that restrict what counts.
+    """
     out = {}
     for c in CELLS:
         n, sa, sb, sab = [], [], [], []
         for k in _words(width):
             m = F.col(f"l.g{c[0]}_{k}{suffix}").bitwiseAND(F.col(f"r.g{c[1]}_{k}{suffix}"))
+            m = m.bitwiseAND(F.col(f"{days}_{k}")) if days else m
             up, vp = F.col(f"l.up_{k}"), F.col(f"r.up_{k}")
             count = F.bit_count(m)
             n.append(count)
@@ -111,6 +115,25 @@ def _means(pairs: DataFrame, *more: str) -> DataFrame:
     return pairs.select("window_id", "permno_a", "permno_b", *more, *means, *[f"N{c}" for c in CELLS])
 
 
+def day_masks(days: DataFrame, width: int, flags: dict[str, Column], *by: str) -> DataFrame:
+    """Bit masks, in words of WORD days, of the days (t) on which each flag holds."""
+    aggs = []
+    for k in _words(width):
+        bit = F.when(F.floor(F.col("t") / WORD) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
+        aggs += [F.coalesce(F.sum(F.when(cond, bit)), F.lit(0)).alias(f"{name}_{k}") for name, cond in flags.items()]
+    return days.groupBy(*by).agg(*aggs)
+
+
+def cells_of_parts(left: DataFrame, masks: DataFrame, width: int, parts: dict[str, str | None]) -> DataFrame:
+    """All pairs with a struct of cells for each part: those of the days in a mask of the window, or all (None). One pair join.
+
+    masks has a row for each window, so it is broadcast.
+    """
+    pairs = left.alias("l").join(left.alias("r"), (F.col("l.window_id") == F.col("r.window_id")) & (F.col("l.permno") < F.col("r.permno"))).join(F.broadcast(masks.withColumnRenamed("window_id", "w")), F.col("l.window_id") == F.col("w"))
+    structs = [F.struct(*[v.alias(k) for k, v in _cells(width, days=days).items()]).alias(part) for part, days in parts.items()]
+    return pairs.select(F.col("l.window_id").alias("window_id"), F.col("l.permno").alias("permno_a"), F.col("r.permno").alias("permno_b"), *structs)
+
+
 def with_scores(pairs: DataFrame, n_min: int = 10) -> DataFrame:
     """Adds s_odd, delta, ctx and valid; scores of pairs that are not valid are null."""
     e, a, b = ([F.col(f"{v}{c}") for c in CELLS] for v in ("E", "a", "b"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import CELLS, pooled_weight
-from .pairs import legs, legs_by_quantile, pair_cells, thresholds, with_scores
+from ..functions.scores import CELLS, pooled_weight, s_odd
+from .pairs import cells_of_parts, day_masks, legs, legs_by_quantile, pair_cells, with_scores
 
 # The swept quantiles and those where the relaxed floor applies.
 QUANTILES = (0.25, 0.40, 0.42, 0.45, 0.48, 0.50, 0.75, 0.90, 0.95)
@@ -47,29 +47,28 @@ def split_half_weights(rows: DataFrame, width: int = 60, n_min: int = 10, q: flo
     """window_id, pair, half and the three weights of pairs that are valid in the whole window and in both halves.
 
     Halves are the odd and even days among those with any return; thresholds are the whole window's. Windows with
-    fewer than 8 such days or 3 members, or 3 valid pairs, or 3 common pairs, have no rows.
+    fewer than 8 such days or 3 members, or 3 valid pairs, or 3 common pairs, have no rows. Whole and halves are masks of the same
+    legs: one aggregation and one pair join.
     """
     seen = rows.filter("ret IS NOT NULL")
     days = seen.select("window_id", "t").distinct()
     days = days.withColumn("odd", (F.row_number().over(Window.partitionBy("window_id").orderBy("t")) - 1) % 2)
     size = days.groupBy("window_id").agg(F.count(F.lit(1)).alias("d")).join(seen.groupBy("window_id").agg(F.countDistinct("permno").alias("m")), "window_id")
     good = size.filter("d >= 8 AND m >= 3").select("window_id")
-    seen = seen.join(F.broadcast(good), "window_id", "left_semi").join(days, ["window_id", "t"])
-    theta = thresholds(seen, q)
-    keys = ["window_id", "permno_a", "permno_b"]
-    full = with_scores(pair_cells(legs(seen, width, theta=theta), width), n_min).filter("valid").select(keys)
-    enough = full.groupBy("window_id").count().filter("count >= 3").select("window_id")
-    halves = None
-    for name, k in (("a", 0), ("b", 1)):
-        h = with_scores(pair_cells(legs(seen, width, theta=theta, days=F.col("odd") == k), width), half_min_cell).filter("valid")
-        e, n = [F.col(f"E{c}") for c in CELLS], [F.col(f"N{c}") for c in CELLS]
-        h = h.select(*keys, F.lit(name).alias("half"), F.col("s_odd").alias("w_s_odd"), F.col("E00").alias("w_e00"), pooled_weight(e, n).alias("w_pooled"))
-        halves = h if halves is None else halves.unionByName(h)
-    halves = halves.join(full, keys, "left_semi").join(F.broadcast(enough), "window_id", "left_semi")
-    both = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    halves = halves.withColumn("both", both).filter("both = 2").drop("both")
-    common = F.count(F.lit(1)).over(Window.partitionBy("window_id"))
-    return halves.withColumn("k", common).filter("k >= 6").drop("k")
+    seen = seen.join(F.broadcast(good), "window_id", "left_semi")
+    masks = day_masks(days, width, {"a": F.col("odd") == 0, "b": F.col("odd") == 1}, "window_id")
+    pairs = cells_of_parts(legs(seen, width, q), masks, width, {"whole": None, "in_a": "a", "in_b": "b"})
+    least = lambda part: F.least(*[F.col(f"{part}.N{c}") for c in CELLS])
+    full = F.count(F.lit(1)).over(Window.partitionBy("window_id"))
+    pairs = pairs.filter(least("whole") >= n_min).withColumn("full", full).filter(F.col("full") >= 3)
+    pairs = pairs.filter((least("in_a") >= half_min_cell) & (least("in_b") >= half_min_cell)).withColumn("common", full).filter(F.col("common") >= 3)
+
+    def weights(part: str, half: str):
+        n = [F.col(f"{part}.N{c}") for c in CELLS]
+        e = [F.try_divide(F.col(f"{part}._E{c}").cast("double"), k.cast("double")) for c, k in zip(CELLS, n, strict=True)]
+        return F.struct(F.lit(half).alias("half"), s_odd(e).alias("w_s_odd"), e[0].alias("w_e00"), pooled_weight(e, n).alias("w_pooled"))
+
+    return pairs.select("window_id", "permno_a", "permno_b", F.explode(F.array(weights("in_a", "a"), weights("in_b", "b"))).alias("h")).select("window_id", "permno_a", "permno_b", "h.*")
 
 
 def guarded_corr(x: str, y: str, least: int = 3):
