@@ -41,3 +41,23 @@ def test_texts_of_unlearned_languages_go(spark):
         bad = [say(6, n) for n in (2, 30, 400)] + [noise(n) for n in (2, 30, 400)] + ["слово и дело " * n for n in (1, 40)] + ["", "12 ?!"]
         df = spark.createDataFrame([*((k, t) for k, t in enumerate(good)), *((-1 - k, t) for k, t in enumerate(bad))], "doc_id long, text string")
         assert {r["doc_id"] for r in language_id.keep_identified(df, model).collect()} == set(range(len(good)))
+
+
+def test_recall_of_every_size():
+    """Items of every size class in long texts, whole and with a fifth of their shingles missing."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(20_000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 21, 30, 70, 150, 300, 600):
+        items, texts = [" ".join(words(n)) for _ in range(50)], []
+        for k, item in enumerate(items):
+            w = item.split()
+            if n >= 24 and k % 2:
+                w = w[: int((n - 4) * 0.8) + 4]
+            base = words(1500) if n >= 5 else []
+            at = rng.randrange(len(base) + 1)
+            base[at:at] = w
+            texts.append(" ".join(base))
+        found = {(t, i) for t, i, _ in decontamination.Index(list(range(50)), items).search(texts)}
+        need = [(k, k) for k in range(50) if len(shingles(items[k]) & shingles(texts[k])) >= 0.75 * len(shingles(items[k]))]
+        assert len(need) >= 45 and found >= set(need), n
