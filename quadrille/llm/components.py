@@ -65,9 +65,13 @@ def _stars(batches):
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Every edge u -> v with the least of u and all its neighbours."""
+    """Every edge u -> v with the least of u and all its neighbours.
+
+    The least ones are dealt anew, so that both sides of the join come straight from a shuffle: adaptive execution can then split
+    the partition of a centre with very many edges.
+    """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    return edges.join(least.repartition("u"), "u")
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
