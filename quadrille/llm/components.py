@@ -75,7 +75,12 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return stored(edges.mapInArrow(_stars, "u long, v long"), "edges")
+    """The stars of every task, dealt anew by their outer nodes.
+
+    A large star is made by one task. Read back as one file it would be one map output, which adaptive execution cannot split when
+    the join by centre brings it to one partition. A task gives a node once for each piece, so no outer node is hot.
+    """
+    return stored(edges.mapInArrow(_stars, "u long, v long").repartition("u"), "edges")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
