@@ -3,7 +3,8 @@
 Every round first contracts the edges that lie in one task, in pieces of bounded size, to stars around their least node; so
 components that are shallow or lie together need one round. The steps between are equi-joins and partially aggregated minima
 on narrow rows, and every round is written to the shared folder. Rounds end when all that is left are stars: every node
-has one edge, and no centre has one of its own. Their number grows with the logarithm of the longest path.
+has one edge, and no centre has one of its own. Their number grows with the logarithm of the longest path. The edges of a hub, a
+node with very many, are never gathered in one task.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from .common import discard, stored
 
 #: Edges that a task contracts at once.
 PIECE_EDGES = 200_000
+#: Nodes with more than CROWD edges are hubs. The bound grows with the edges, so that there are never more than HUBS of them.
+CROWD, HUBS = 1000, 50_000
 
 
 class Forest:
@@ -64,14 +67,16 @@ def _stars(batches):
         yield star(us, vs)
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, crowd: int) -> DataFrame:
     """Every edge u -> v with the least of u and all its neighbours.
 
-    The least ones are dealt anew, so that both sides of the join come straight from a shuffle: adaptive execution can then split
-    the partition of a centre with very many edges.
+    A node with more than crowd edges sends its least one to all tasks, so its edges stay where they are; there are few such nodes.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least.repartition("u"), "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = F.broadcast(least.filter(F.col("n") > crowd).select("u", "m"))
+    at_hubs = edges.join(hubs, "u")
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= crowd).select("u", "m"), "u")
+    return at_hubs.select("u", "v", "m").union(others.select("u", "v", "m"))
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -86,9 +91,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         open_nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 OR (up = 1 AND centre = 1)")
         if open_nodes.isEmpty():
             break
+        crowd = max(CROWD, 2 * e.count() // HUBS)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        small = _least(large)
+        large = _least(both, crowd).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = _least(large, crowd)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         before, e = e, _contracted(small.filter("u != v"))
         discard(before)
