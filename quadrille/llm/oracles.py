@@ -74,4 +74,21 @@ EDITED = """SELECT doc_id, length(x) AS n_chars, sha256(substr(x, 1, length(x) -
 FROM (SELECT doc_id, x, coalesce(lead(x) OVER (ORDER BY doc_id), first_value(x) OVER (ORDER BY doc_id)) AS y FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2, "op6_jaccard_join": OP6, "op10_url_filter": _op10(), "lm_base_scores": LM_BASE, "secret_counts": SECRETS, "edited_digests": EDITED}
+def _op11() -> str:
+    byte = "flatten(list_transform(string_split(key, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(ch) - 64 AS BIGINT)] END))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+    runs = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')"
+    return f"""WITH RECURSIVE {_TAB}, r AS (SELECT doc_id, unnest({runs}) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS key FROM r WHERE length(w) >= 5 GROUP BY 1, 2), h AS (SELECT w, n, {crc} AS h FROM c, tab),
+x AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM x WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.cut UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.cut),
+q AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN q USING (word)),
+g AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, max_by(root, step) AS root FROM g GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN e USING (word)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling_variants": _op11(), "op2_decontamination": OP2, "op6_jaccard_join": OP6, "op10_url_filter": _op10(), "lm_base_scores": LM_BASE, "secret_counts": SECRETS, "edited_digests": EDITED}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, simhash_join, token_files, url_filters
+from . import decontamination, fingerprints, html_extract, jaccard_join, language_id, lm_scoring, packing, secrets, simhash_join, spelling, token_files, url_filters
 from .common import tables, tune
 from .oracles import ORACLE_SQL
 
@@ -76,6 +76,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lower_bad").withColumn("p_bad", F.round("p_bad", 6) + F.lit(0.0))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    (docs,) = tables(sf_dir, spark, "documents")
+    return spelling.spelling_groups(docs)
+
+
 def op12_simhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     (docs,) = tables(sf_dir, spark, "documents")
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_best_fit": op9_best_fit,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_simhash_join": op12_simhash_join,
     "lm_base_scores": lm_base_scores,
     "secret_counts": secret_counts,
