@@ -10,15 +10,19 @@ def _week(c: str):
     return F.date_trunc("week", F.col(c)).cast("date")
 
 
-def brand_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """permno, date (week), rev; sums are in whole cents, so they do not depend on the order."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", _week("l_shipdate").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+def weekly_revenue(items: DataFrame, parts: DataFrame) -> DataFrame:
+    """permno (a brand's number), date (week), rev; sums are in whole cents, so they do not depend on the order."""
+    items = items.select("l_partkey", _week("l_shipdate").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     items = items.groupBy("l_partkey", "date").agg(F.sum("cents").alias("cents"))
-    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int").alias("permno"))
+    brands = parts.select("p_partkey", F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int").alias("permno"))
     joined = items.join(brands, items.l_partkey == brands.p_partkey)
     return joined.groupBy("permno", "date").agg((F.sum("cents") / 100.0).alias("rev"))
 
 
+def brand_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly_revenue(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/part.parquet"))
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """permno, date, ret: change of revenue against the brand's week before; null for its first."""
     w = Window.partitionBy("permno").orderBy("date")
