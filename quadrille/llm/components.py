@@ -19,6 +19,8 @@ from .common import discard, stored
 PIECE_EDGES = 200_000
 #: Nodes with more than CROWD edges are hubs. The bound grows with the edges, so that there are never more than HUBS of them.
 CROWD, HUBS = 1000, 50_000
+#: Tasks that contract edges after the first round, at least.
+TASKS = 16
 
 
 class Forest:
@@ -67,19 +69,26 @@ def _stars(batches):
         yield star(us, vs)
 
 
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """u -> v once for each of the given pairs of columns, from one pass."""
+    return edges.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))).alias("e")).select("e.*")
+
+
 def _least(edges: DataFrame, crowd: int) -> DataFrame:
-    """Every edge u -> v with the least of u and all its neighbours.
+    """Every edge u -> v with the least of u and all its neighbours (m).
 
-    A node with more than crowd edges sends its least one to all tasks, so its edges stay where they are; there are few such nodes.
+    A hub, which has more than crowd edges, sends its least node to all tasks, and its edges are spread by their other end.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    hubs = F.broadcast(least.filter(F.col("n") > crowd).select("u", "m"))
-    at_hubs = edges.join(hubs, "u")
-    others = edges.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("n") <= crowd).select("u", "m"), "u")
-    return at_hubs.select("u", "v", "m").union(others.select("u", "v", "m"))
+    hubs = least.filter(F.col("n") > crowd).select("u", F.col("m").alias("sent"))
+    others = least.filter(F.col("n") <= crowd).select("u", "m", F.lit(0).cast("long").alias("s"))
+    edges = edges.join(F.broadcast(hubs), "u", "left").withColumn("s", F.when(F.col("sent").isNull(), 0).otherwise(F.xxhash64("v")))
+    return edges.join(others, ["u", "s"], "left").select("u", "v", F.coalesce("sent", "m").alias("m"))
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
+def _contracted(edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    if tasks:  # few edges need few tasks
+        edges = edges.coalesce(tasks)
     return stored(edges.mapInArrow(_stars, "u long, v long"), "edges")
 
 
@@ -87,16 +96,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node, label of every node with an edge to another one; label is the least node of its component."""
     e = _contracted(edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")))
     while True:
-        roles = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("centre")).union(e.select("v", F.lit(0), F.lit(1)))
-        open_nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).filter("up > 1 OR (up = 1 AND centre = 1)")
-        if open_nodes.isEmpty():
+        # the same edge may have come from two tasks, so different centres are counted, not edges
+        ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
+        nodes = e.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.min("x.to").alias("low"), F.max("x.to").alias("high"), F.count("x.to").alias("up"), F.count(F.lit(1)).alias("n"))
+        now = nodes.agg(F.count_if(F.expr("low < high OR (up > 0 AND up < n)")).alias("open"), F.sum("up").alias("edges")).first()
+        if not now["open"]:
             break
-        crowd = max(CROWD, 2 * e.count() // HUBS)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, crowd).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        small = _least(large, crowd)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        before, e = e, _contracted(small.filter("u != v"))
+        crowd, tasks = max(CROWD, 2 * now["edges"] // HUBS), max(TASKS, now["edges"] // PIECE_EDGES)
+        large = _least(_pairs(e, ("u", "v"), ("v", "u")), crowd).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = _pairs(_least(large, crowd), ("v", "m"), ("u", "m")).filter("u != v")
+        before, e = e, _contracted(small, tasks)
         discard(before)
-    labels = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return _pairs(e, ("u", "v"), ("v", "v")).select(F.col("u").alias("node"), F.col("v").alias("label")).distinct()
