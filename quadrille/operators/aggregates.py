@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import CELLS, corrected, naive
 from .pairs import valid_pairs
+from .selection import bottom_k, exact_quantile
 
 # Least edge, greatest edge and number of bins of each score.
 BINS = {"s_odd": (0.0, 4.0, 80), "delta": (0.0, 2.0, 40), "ctx": (-4.0, 2.0, 120)}
@@ -132,8 +133,9 @@ def cell_count_boxes(stats: DataFrame) -> DataFrame:
 def return_histogram(panel: DataFrame, bins: int = 80, trim: float = 0.999) -> DataFrame:
     """Equal-width histogram of |ret| below its trimming quantile, with the trimmed median as threshold."""
     r = panel.filter("ret IS NOT NULL").select(F.abs("ret").alias("v"))
-    kept = r.crossJoin(F.broadcast(r.agg(F.percentile("v", trim).alias("bar")))).filter("v < bar").select("v")
-    span = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", 0.5).alias("theta"))
+    kept = r.filter(F.col("v") < exact_quantile(r, F.col("v"), trim)) if trim < 1 and not r.isEmpty() else r
+    theta = F.lit(exact_quantile(kept, F.col("v"), 0.5)).cast("double")
+    span = kept.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("theta", theta)
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), width)), F.lit(0))).cast("int")
     return kept.crossJoin(F.broadcast(span)).withColumn("bin", b).groupBy("bin", "theta").agg(F.count(F.lit(1)).alias("count"))
@@ -193,8 +195,7 @@ def scatter_quota(stats: DataFrame, cap: int = 20_000, seed: int = 0) -> DataFra
 
 def group_sample(df: DataFrame, cap: int, by: list[str], keys: tuple[str, ...] = PAIR_KEYS, seed: int = 0) -> DataFrame:
     """At most cap rows of each group, each subset as likely as any other."""
-    w = Window.partitionBy(*by).orderBy(_hash(*by, *keys, seed=seed), *keys)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
+    return bottom_k(df, cap, by, _hash(*by, *keys, seed=seed), *keys)
 
 
 def violation_rates(stats: DataFrame) -> DataFrame:

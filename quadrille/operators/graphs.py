@@ -417,6 +417,80 @@ def mrqap(y: np.ndarray, xs: list[np.ndarray], n_perm: int, stream: int) -> tupl
     return seen[0], seen[1], ge / n
 
 
+PREDICTORS = ("pooled", "e00")
+
+
+def _masked_corr(a: np.ndarray, b: np.ndarray, ok: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Correlation of each row's values where ok; NaN where a side does not vary."""
+    a, b = (np.where(ok, v, 0.0) for v in (a, b))
+    a, b = (np.where(ok, v - (v.sum(axis=1) / n)[:, None], 0.0) for v in (a, b))
+    saa, sbb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((saa / n > 1e-18) & (sbb / n > 1e-18), (a * b).sum(axis=1) / np.sqrt(saa * sbb), np.nan)
+
+
+def _pivotal_t(y: np.ndarray, e: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """t of e in the regression of y on e and x (rows of values): from the correlation of y and e given x. NaN below 4 common cells."""
+    ok = np.isfinite(y) & np.isfinite(e) & np.isfinite(x)
+    n = np.maximum(ok.sum(axis=1), 1)
+    ye, yx, ex = (_masked_corr(a, b, ok, n) for a, b in ((y, e), (y, x), (e, x)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rest = (1 - yx * yx) * (1 - ex * ex)
+        r = np.where(rest > 1e-18, (ye - yx * ex) / np.sqrt(rest), np.nan)
+        return np.where((n > 3) & (np.abs(r) < 1 - 1e-12), r * np.sqrt(np.maximum(n - 3, 0) / (1 - r * r)), np.nan)
+
+
+def partialled(y: np.ndarray, x: np.ndarray, other: np.ndarray, n_perm: int, stream: int) -> tuple[float, float, float]:
+    """(coefficient, t, p) of x in the regression of matrix y on x and other, by double semi-partialling.
+
+    x is replaced by its residual on the other regressor over the upper triangle; that matrix has its nodes relabelled, and the t of its
+    coefficient, with the other regressor in the model, is compared with the observed one. Relabellings without a t do not count.
+    """
+    up = np.triu_indices(len(y), 1)
+    ok = np.isfinite(y[up]) & np.isfinite(x[up]) & np.isfinite(other[up])
+    residual = np.full(len(up[0]), np.nan)
+    if ok.sum() > 3:
+        residual[ok] = x[up][ok] - (design := np.column_stack([np.ones(ok.sum()), other[up][ok]])) @ _ols(x[up][ok], design)[0]
+    e = np.full(y.shape, np.nan)
+    e[up] = residual
+    e.T[up] = residual
+    t = _pivotal_t(y[up][None], residual[None], other[up][None])[0]
+    if not np.isfinite(t):
+        return float("nan"), float("nan"), float("nan")
+    beta = float((y[up][ok] * residual[ok]).sum() / (residual[ok] ** 2).sum())
+    ge = n = 1
+    step = max(1, 2_000_000 // len(up[0]))
+    for k in range(0, n_perm, step):
+        p = permutations(stream, np.arange(k, min(n_perm, k + step)) * len(y), len(y))
+        got = _pivotal_t(y[up][None], e[p[:, up[0]], p[:, up[1]]], other[up][None])
+        n += int(np.isfinite(got).sum())
+        ge += int((np.abs(got) >= abs(t) - 1e-9 * max(1.0, abs(t))).sum())
+    return beta, float(t), ge / n
+
+
+def qap_partialled(stats: DataFrame, n_perm: int = 199, min_nodes: int = 20, seed: int = 0, node_subsample: int | None = None) -> DataFrame:
+    """window_id, regime, predictor, n_nodes, coef, t, p: s_odd on the pooled and e00 weights by double semi-partialling.
+
+    Every window of enough members; a window and predictor is a task. Null where the pairs do not determine the coefficient.
+    """
+    p = qap_pairs(stats, node_subsample)
+    size = p.select("window_id", F.explode(F.array("permno_a", "permno_b")).alias("v")).groupBy("window_id").agg(F.countDistinct("v").alias("n_nodes")).filter(F.col("n_nodes") >= min_nodes)
+    p = p.join(F.broadcast(size), "window_id").withColumn("predictor", F.explode(F.array(*map(F.lit, PREDICTORS))))
+
+    def run(key, f):
+        window, name = key
+        nodes = np.unique(f[["permno_a", "permno_b"]].to_numpy())
+        i, j = (np.searchsorted(nodes, f[c]) for c in ("permno_a", "permno_b"))
+        mats = {k: np.full((len(nodes), len(nodes)), np.nan) for k in ("s_odd", *PREDICTORS)}
+        for k, m in mats.items():
+            m[i, j] = m[j, i] = f[k].to_numpy(float)
+        other = next(k for k in PREDICTORS if k != name)
+        got = partialled(mats["s_odd"], mats[name], mats[other], n_perm, base("dsp", window, name, seed))
+        return pd.DataFrame([(window, f["regime"].iloc[0], name, len(nodes), *[v if np.isfinite(v) else None for v in got])], columns=["window_id", "regime", "predictor", "n_nodes", "coef", "t", "p"])
+
+    return p.groupBy("window_id", "predictor").applyInPandas(run, "window_id int, regime string, predictor string, n_nodes int, coef double, t double, p double")
+
+
 _QAP = "r_pooled_e00 double, p_pooled_e00 double, r_pooled_s_odd double, p_pooled_s_odd double, r_e00_s_odd double, p_e00_s_odd double, gate_r2_s_odd_on_pooled_e00 double, gate_coef_e00 double, gate_p_e00 double"
 
 

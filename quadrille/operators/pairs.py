@@ -15,6 +15,8 @@ from ..functions import scores
 from ..functions.scores import CELLS
 
 WORD = 60
+#: Members of a tile: a task of the pair join makes the pairs of two tiles, whatever the window's size.
+TILE = 256
 
 
 def thresholds(rows: DataFrame, q: float = 0.5) -> DataFrame:
@@ -35,7 +37,7 @@ def with_regimes(rows: DataFrame, q: float = 0.5, theta: DataFrame | None = None
     return rows.withColumn("x", F.when(F.abs("ret") >= F.col("theta"), 0).otherwise(1))
 
 
-def _words(width: int) -> range:
+def words(width: int) -> range:
     return range(-(-width // WORD))
 
 
@@ -44,10 +46,14 @@ def legs(rows: DataFrame, width: int = 60, q: float = 0.5, theta: DataFrame | No
 
     Every member with a return in the window has a leg, if only an empty one.
     """
-    d = with_regimes(rows, q, theta)
+    return leg_masks(with_regimes(rows, q, theta), width, days)
+
+
+def leg_masks(d: DataFrame, width: int = 60, days: Column | None = None) -> DataFrame:
+    """Legs from days that have a regime x, wherever that comes from."""
     usable = (F.col("ret") != 0) & (days if days is not None else F.lit(True))
     aggs = []
-    for k in _words(width):
+    for k in words(width):
         bit = F.when(usable & (F.floor(F.col("t") / WORD) == k), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
         for name, cond in ((f"g0_{k}", F.col("x") == 0), (f"g1_{k}", F.col("x") == 1), (f"up_{k}", F.col("ret") > 0)):
             aggs.append(F.coalesce(F.sum(F.when(cond, bit)), F.lit(0)).alias(name))
@@ -62,7 +68,7 @@ def _cells(width: int, suffix: str = "", days: str | None = None) -> dict[str, C
     out = {}
     for c in CELLS:
         n, sa, sb, sab = [], [], [], []
-        for k in _words(width):
+        for k in words(width):
             m = F.col(f"l.g{c[0]}_{k}{suffix}").bitwiseAND(F.col(f"r.g{c[1]}_{k}{suffix}"))
             m = m.bitwiseAND(F.col(f"{days}_{k}")) if days else m
             up, vp = F.col(f"l.up_{k}"), F.col(f"r.up_{k}")
@@ -81,7 +87,7 @@ def legs_by_quantile(rows: DataFrame, width: int, quantiles) -> DataFrame:
     w = Window.partitionBy("window_id", "permno")
     d = rows.filter("ret IS NOT NULL").withColumn("theta", F.percentile(F.abs("ret"), list(map(float, quantiles))).over(w))
     aggs = []
-    for k in _words(width):
+    for k in words(width):
         bit = F.when((F.col("ret") != 0) & (F.floor(F.col("t") / WORD) == k), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
         flags = {f"up_{k}": F.col("ret") > 0}
         for i in range(len(quantiles)):
@@ -91,18 +97,28 @@ def legs_by_quantile(rows: DataFrame, width: int, quantiles) -> DataFrame:
     return d.groupBy("window_id", "permno").agg(*aggs)
 
 
-def pair_cells(left: DataFrame, width: int = 60, blocks: int = 1, quantiles=()) -> DataFrame:
+def legs_by_window(legs: DataFrame) -> DataFrame:
+    """All unordered pairs of a window's legs, as l and r with l.permno < r.permno.
+
+    A window's members are cut, in order, into tiles of TILE, as many as their measured number needs. Tiles i <= j meet in a task of
+    their own: a leg goes there once for each tile of its window, and no task makes more than TILE * TILE pairs of one key, however many
+    members a window has.
+    """
+    window = Window.partitionBy("window_id")
+    place, tiles = F.row_number().over(window.orderBy("permno")) - 1, F.ceil(F.count(F.lit(1)).over(window) / TILE)
+    dealt = legs.withColumn("tile", F.floor(place / TILE).cast("int")).withColumn("tiles", tiles.cast("int"))
+    l = dealt.withColumn("other", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1))).alias("l")
+    r = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tile")))).alias("r")
+    met = (F.col("l.window_id") == F.col("r.window_id")) & (F.col("l.tile") == F.col("r.other")) & (F.col("l.other") == F.col("r.tile"))
+    return l.join(r, met & (F.col("l.permno") < F.col("r.permno")))
+
+
+def pair_cells(left: DataFrame, width: int = 60, quantiles=()) -> DataFrame:
     """All unordered pairs of legs in each window with N, E, a and b of the cells; pairs without joint days included.
 
     With quantiles (of legs_by_quantile), each pair has a row for each, made behind the one join.
-    blocks > 1 splits the pairs of a window over as many tasks: the left legs are dealt, the right ones repeated.
     """
-    l, r, keys = left.alias("l"), left.alias("r"), [F.col("l.window_id") == F.col("r.window_id")]
-    if blocks > 1:
-        l = left.withColumn("_k", F.pmod("permno", F.lit(blocks))).alias("l")
-        r = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("r")
-        keys.append(F.col("l._k") == F.col("r._k"))
-    pairs = l.join(r, reduce(lambda a, b: a & b, keys) & (F.col("l.permno") < F.col("r.permno")))
+    pairs = legs_by_window(left)
     names = [F.col("l.window_id").alias("window_id"), F.col("l.permno").alias("permno_a"), F.col("r.permno").alias("permno_b")]
     if not quantiles:
         return _means(pairs.select(*names, *[v.alias(k) for k, v in _cells(width).items()]))
@@ -115,13 +131,13 @@ def _means(pairs: DataFrame, *more: str) -> DataFrame:
     return pairs.select("window_id", "permno_a", "permno_b", *more, *means, *[f"N{c}" for c in CELLS])
 
 
-def day_masks(days: DataFrame, width: int, flags: dict[str, Column], *by: str) -> DataFrame:
-    """Bit masks, in words of WORD days, of the days (t) on which each flag holds."""
+def day_masks(days: DataFrame, width: int, flags: dict[str, Column], *by: str, more=()) -> DataFrame:
+    """Bit masks, in words of WORD days, of the days (t) on which each flag holds; with more aggregates, if given."""
     aggs = []
-    for k in _words(width):
+    for k in words(width):
         bit = F.when(F.floor(F.col("t") / WORD) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") - k * WORD).cast("int")))
         aggs += [F.coalesce(F.sum(F.when(cond, bit)), F.lit(0)).alias(f"{name}_{k}") for name, cond in flags.items()]
-    return days.groupBy(*by).agg(*aggs)
+    return days.groupBy(*by).agg(*aggs, *more)
 
 
 def cells_of_parts(left: DataFrame, masks: DataFrame, width: int, parts: dict[str, str | None]) -> DataFrame:
@@ -129,7 +145,7 @@ def cells_of_parts(left: DataFrame, masks: DataFrame, width: int, parts: dict[st
 
     masks has a row for each window, so it is broadcast.
     """
-    pairs = left.alias("l").join(left.alias("r"), (F.col("l.window_id") == F.col("r.window_id")) & (F.col("l.permno") < F.col("r.permno"))).join(F.broadcast(masks.withColumnRenamed("window_id", "w")), F.col("l.window_id") == F.col("w"))
+    pairs = legs_by_window(left).join(F.broadcast(masks.withColumnRenamed("window_id", "w")), F.col("l.window_id") == F.col("w"))
     structs = [F.struct(*[v.alias(k) for k, v in _cells(width, days=days).items()]).alias(part) for part, days in parts.items()]
     return pairs.select(F.col("l.window_id").alias("window_id"), F.col("l.permno").alias("permno_a"), F.col("r.permno").alias("permno_b"), *structs)
 
@@ -143,9 +159,9 @@ def with_scores(pairs: DataFrame, n_min: int = 10) -> DataFrame:
     return pairs.withColumn("ctx", scores.ctx(F.col("s_odd"), F.col("delta")))
 
 
-def pair_window_stats(rows: DataFrame, windows: DataFrame, width: int = 60, n_min: int = 10, q: float = 0.5, labels: DataFrame | None = None, theta: DataFrame | None = None, days: Column | None = None, blocks: int = 1) -> DataFrame:
+def pair_window_stats(rows: DataFrame, windows: DataFrame, width: int = 60, n_min: int = 10, q: float = 0.5, labels: DataFrame | None = None, theta: DataFrame | None = None, days: Column | None = None) -> DataFrame:
     """The pair table: bounds, cells, scores, valid and regime (``calm`` where no label is given)."""
-    out = with_scores(pair_cells(legs(rows, width, q, theta, days), width, blocks), n_min)
+    out = with_scores(pair_cells(legs(rows, width, q, theta, days), width), n_min)
     out = out.join(F.broadcast(windows), "window_id")
     if labels is None:
         out = out.withColumn("regime", F.lit("calm"))

@@ -140,16 +140,20 @@ rr AS (SELECT window_id, count(*) AS n_pairs, {", ".join(f"{_corr(f'{v}_a', f'{v
 SELECT window_id, win_start, n_pairs, {", ".join(f"round(r_{v}, 9) + 0.0 AS reliability_halfsplit{s}, round(2 * r_{v} / nullif(1 + r_{v}, 0), 9) + 0.0 AS reliability_sb{s}" for v, s in (("s_odd", ""), ("e00", "_e00"), ("pooled", "_pooled")))} FROM rr JOIN bounds USING (window_id)"""
 
 
-def _diag() -> str:
+_BY_VIX = """ref AS (SELECT quantile_cont(vix, 0.5) AS ref FROM vix), exo AS (SELECT "date", CASE WHEN vix >= ref THEN 0 ELSE 1 END AS x FROM vix, ref)"""
+
+
+def _diag(exo: str = _BY_VIX, n_min: int = N_MIN) -> str:
+    """Diagonal cells of the valid pairs under a regime of days, exo ("date", x)."""
     cols = []
     for k, c in ((0, "00"), (1, "11")):
         f = f"FILTER (WHERE a <> 0 AND b <> 0 AND x = {k})"
         cols += [f"count(*) {f} AS N{c}", f"avg(a * b) {f} AS E{c}", f"avg(a) {f} AS a{c}", f"avg(b) {f} AS b{c}"]
-    return f"""ref AS (SELECT quantile_cont(vix, 0.5) AS ref FROM vix), exo AS (SELECT "date", CASE WHEN vix >= ref THEN 0 ELSE 1 END AS x FROM vix, ref),
+    return f"""{exo},
 pd AS (SELECT o.window_id, o.permno_a, o.permno_b, o.regime, CAST(sign(l.ret) AS DOUBLE) AS a, CAST(sign(r.ret) AS DOUBLE) AS b, e.x FROM ok o JOIN prow l ON l.window_id = o.window_id AND l.permno = o.permno_a AND l.ret IS NOT NULL
   JOIN prow r ON r.window_id = o.window_id AND r.permno = o.permno_b AND r."date" = l."date" AND r.ret IS NOT NULL LEFT JOIN exo e ON e."date" = l."date"),
 g AS (SELECT window_id, permno_a, permno_b, regime, {", ".join(cols)} FROM pd GROUP BY 1, 2, 3, 4)
-SELECT window_id, permno_a, permno_b, regime, N00, N11, {_r("E00", "a00", "b00", "E11", "a11", "b11")}, round(E00 - E11, 9) + 0.0 AS dcmov, N00 >= {N_MIN} AND N11 >= {N_MIN} AS valid_diag FROM g"""
+SELECT window_id, permno_a, permno_b, regime, N00, N11, {_r("E00", "a00", "b00", "E11", "a11", "b11")}, round(E00 - E11, 9) + 0.0 AS dcmov, N00 >= {n_min} AND N11 >= {n_min} AS valid_diag FROM g"""
 
 
 def _fit(source: str = "ok", n_min: int = N_MIN, q: float = 0.5, k: str = "") -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.scores import pooled_weight
-from ..operators import aggregates, exogenous, graphs, labels, nulls, pairs, sweep, windows
+from ..operators import aggregates, contexts, exogenous, graphs, labels, nulls, pairs, screening, sweep, windows
 from ..session import prepare, shared_dir, stored
 from ..sources import tables, testdata
 from ..streaming import panel
@@ -161,6 +161,13 @@ def _sweep_null(quantiles=sweep.RELAXED_QUANTILES) -> Callable[[Panel], DataFram
     return rates
 
 
+def _weighted(p: Panel) -> DataFrame:
+    """A week is thin if its volume is under half the mean one of all brands."""
+    volumes = p.kept(testdata.volumes(p.spark, p.sf_dir), "volumes")
+    bar = volumes.agg((F.avg("vol") / 2).alias("bar")).first()["bar"] or 0.0
+    return screening.weighted_pair_stats(p.rows, screening.trading_weights(volumes, bar), p.width, p.n_min)
+
+
 def _labels(**kw) -> Callable[[Panel], DataFrame]:
     return lambda p: labels.label_by_volatility(p.windows, p.vix, **kw)
 
@@ -232,10 +239,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vix_regime_rolling": _on(lambda p: exogenous.volatility_regime(p.vix, 20)),
     "exogenous_contrast": _on(lambda p: exogenous.exogenous_contrast(p.stats, p.rows, exogenous.volatility_regime(p.vix))),
     "generator_fit": _on(lambda p: exogenous.generator_fit(p.stats, p.rows)),
+    # regimes known beforehand, and who counts less
+    "lagged_volatility": _on(lambda p: contexts.lagged_volatility(p.returns)),
+    "lagged_pair_stats": _on(lambda p: contexts.lagged_pair_stats(p.rows, p.returns, p.width, p.n_min), **_LOW),
+    "announcement_days": _on(lambda p: contexts.rolled_events(testdata.announcements(p.spark, p.sf_dir), p.calendar)),
+    "announcement_contrast": _on(lambda p: exogenous.exogenous_contrast(p.stats, p.rows, contexts.event_regime(p.calendar, testdata.announcements(p.spark, p.sf_dir)), N_MIN_LOW)),
+    "announcement_contrast_around": _on(lambda p: exogenous.exogenous_contrast(p.stats, p.rows, contexts.event_regime(p.calendar, testdata.announcements(p.spark, p.sf_dir), 1, 1), N_MIN_LOW)),
+    "weighted_pair_stats": _on(_weighted, **_LOW),
+    "one_class_per_firm": _on(lambda p: screening.one_class_per_firm(p.eligibility, testdata.identifier_spells(p.returns), testdata.volumes(p.spark, p.sf_dir), p.calendar, p.width, STEP)),
     # nulls
     "classical_null": _on(lambda p: nulls.classical_null(p.stats, p.rows)),
     "classical_null_hist": _on(lambda p: aggregates.histogram(nulls.classical_null(p.stats, p.rows).filter("valid"), "ctx", aggregates.edges_of(aggregates.BINS["ctx"]))),
-    "streamed_null_hist": _on(lambda p: nulls.streamed_null_histogram(p.stats, p.rows, 40)),
+    "streamed_null_hist": _on(lambda p: nulls.streamed_null_histogram(p.stats, p.rows)),
     "ctx_null_overlay": _on(lambda p: aggregates.null_overlay(p.stats, p.kept(nulls.classical_null(p.stats, p.rows), "null"))),
     "placebo": _on(lambda p: nulls.permutation_placebo(p.stats, p.rows, n_perm=2)),
     "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows)),
@@ -271,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "window_inference": _on(lambda p: graphs.window_inference(_config(p))),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
     "qap_permutation": _on(lambda p: _qap(p.stats)),
+    "qap_partialled": _on(lambda p: graphs.qap_partialled(p.stats, min_nodes=5)),
     "qap_first_windows": _on(lambda p: graphs.qap_hierarchy(p.stats, n_perm=0, max_windows=8, min_nodes=5, node_subsample=12).select("window_id", "regime", "n_nodes", "r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd", "gate_r2_s_odd_on_pooled_e00", "gate_coef_e00")),
     "tier_histogram": _on(lambda p: graphs.tier_histogram(p.kept(_qap(p.stats), "qap"))),
     "tier_summary": _on(lambda p: graphs.tier_summary(_qap(p.stats))),

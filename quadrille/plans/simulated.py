@@ -206,7 +206,7 @@ SELECT (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap) AS real_gate_r2, (SELECT r
         "streamed_totals": "SELECT user_id AS key, CAST(date_trunc('day', ts) AS DATE) AS period, round(sum(CAST(value AS DOUBLE)), 4) + 0.0 AS total, count(*) AS n FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
         "classical_null": with_(_null(), _NULL_OUT),
         "classical_null_hist": with_(_null(), hist),
-        "streamed_null_hist": with_(f"pick AS (SELECT * EXCLUDE (place) FROM {sample} WHERE place <= 40), {_null('pick')}", hist),
+        "streamed_null_hist": with_(f"pick AS (SELECT * EXCLUDE (place) FROM {sample} WHERE place <= 400), {_null('pick')}", hist),
         "null_gate_stats": with_(f"{six}, {_null('pick')}", _NULL_OUT),
         "ctx_null_overlay": with_(
             f"{_null()}, v AS (SELECT 'empirical' AS source, ctx AS v FROM ok WHERE ctx IS NOT NULL UNION ALL SELECT 'classical_null', ctx FROM nul WHERE valid AND ctx IS NOT NULL), sp AS (SELECT least(min(v), -2.0) AS lo, greatest(max(v), 1.0) AS hi FROM v WHERE source = 'empirical'), c AS (SELECT source, lo, hi, CAST(least(58, floor((v - lo) / ((hi - lo) / 59))) AS INT) AS bin, count(*) AS k FROM v, sp WHERE v BETWEEN lo AND hi GROUP BY 1, 2, 3, 4)",

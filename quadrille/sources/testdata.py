@@ -53,3 +53,27 @@ def sectors(panel: DataFrame) -> DataFrame:
 def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, spindx: revenue of all brands."""
     return brand_revenue(spark, sf_dir).groupBy("date").agg((F.sum(F.round(F.col("rev") * 100).cast("long")) / 100.0).alias("spindx"))
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """permno (brand), date (week), vol: units sold."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", _week("l_shipdate").alias("date"), F.col("l_quantity").cast("long").alias("vol"))
+    items = items.groupBy("l_partkey", "date").agg(F.sum("vol").alias("vol"))
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int").alias("permno"))
+    return items.join(brands, items.l_partkey == brands.p_partkey).groupBy("permno", "date").agg(F.sum("vol").alias("vol"))
+
+
+def identifier_spells(panel: DataFrame) -> DataFrame:
+    """permno, permco, start, end: three brands to a company; every fourth one goes over to the next, with spells that overlap."""
+    span = panel.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    base = panel.select("permno").distinct().crossJoin(F.broadcast(span)).withColumn("permco", F.floor(F.col("permno") / 3).cast("int"))
+    first = base.filter("permno % 10 <> 0").select("permno", "permco", F.col("lo").alias("start"), F.when(F.col("permno") % 4 == 0, F.date_add("lo", 900)).alias("end"))
+    second = base.filter("permno % 10 <> 0 AND permno % 4 = 0").select("permno", F.col("permco") + 1, F.date_add("lo", 800), "hi")
+    return first.union(second)
+
+
+def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, name: first and last day of each month on which there were orders; many are no first day of a week, when the panel trades."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderdate").cast("date").alias("day"))
+    months = days.groupBy(F.date_trunc("month", "day").alias("month")).agg(F.min("day").alias("opening"), F.max("day").alias("closing"))
+    return months.select(F.explode(F.array(*(F.struct(F.col(c).alias("date"), F.lit(c).alias("name")) for c in ("opening", "closing")))).alias("e")).select("e.*")

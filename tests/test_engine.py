@@ -60,11 +60,12 @@ def loop_stats(rows, q, n_min):
 
 
 @pytest.mark.parametrize("q", [0.5, 0.75])
-def test_pairs_agree_with_loops(spark, q):
+def test_pairs_agree_with_loops(spark, q, monkeypatch):
     rows, bounds = set_up(spark, make_panel(spark, 5, 91, 3, gaps=True), 70)
     want = loop_stats(rows.collect(), q, 5)
-    for blocks in (1, 3):
-        got = {(r["window_id"], r["permno_a"], r["permno_b"]): r for r in pairs.pair_window_stats(rows, bounds, 70, 5, q, blocks=blocks).collect()}
+    for tile in (256, 2, 1):
+        monkeypatch.setattr(pairs, "TILE", tile)
+        got = {(r["window_id"], r["permno_a"], r["permno_b"]): r for r in pairs.pair_window_stats(rows, bounds, 70, 5, q).collect()}
         assert got.keys() == want.keys()
         for k, (n, s) in want.items():
             r = got[k]
