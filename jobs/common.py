@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -49,11 +50,19 @@ def counted(df: DataFrame, what: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
+def rows_of(seen: Observation) -> int:
+    """What was counted; none if Spark found the table empty beforehand, and left the count out with it."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 def overwrite_partitions(df: DataFrame, path: str, *by: str) -> int:
     """Writes partitions over those of the same values, leaves all others; the number of rows."""
     df, seen = counted(df, "rows")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    return seen.get["n"]
+    return rows_of(seen)
 
 
 def new_folder(spark: SparkSession, job: str) -> str:

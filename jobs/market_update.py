@@ -75,12 +75,12 @@ def run(spark: SparkSession, tables_dir: str, out: str, config: dict) -> dict:
         items = items.filter(F.col("l_shipdate") >= F.date_sub(F.lit(since), 7).cast(items.schema["l_shipdate"].dataType))
     items, seen = common.counted(items, "facts")
     weekly = stored(testdata.weekly_revenue(items, spark.read.parquet(f"{tables_dir}/part.parquet")), "weekly")
-    log.info("read %d facts from %s on", seen.get["n"], since or "the first week")
+    log.info("read %d facts from %s on", common.rows_of(seen), since or "the first week")
     panel = weekly_changes(weekly)
     panel = stored(panel.filter(F.col("date") >= F.lit(since)) if since else panel, "changes")
     calendar = stored(windows.trading_calendar(panel), "weeks")
     bounds = windows.hopping_windows(calendar, width, step)
-    done = {"facts": seen.get["n"], "first_window": first, "windows": bounds.count(), "pairs": 0}
+    done = {"facts": common.rows_of(seen), "first_window": first, "windows": bounds.count(), "pairs": 0}
     if done["windows"]:
         rows = window_rows(panel, calendar, width, step, config["least_presence"])
         stats = pairs.pair_window_stats(rows, bounds, width, config["n_min"], config["theta_quantile"], labels.label_windows(bounds, config["regimes"] or None))

@@ -48,7 +48,7 @@ def take_new(spark: SparkSession, path: str, out: str, block: int, files_per_bat
     def write(batch: DataFrame, number: int) -> None:
         batch, seen = common.counted(batch, "documents")
         block_volumes(batch, block).coalesce(1).write.mode("overwrite").parquet(f"{out}/volumes/batch={number}")
-        taken.append(seen.get["n"])
+        taken.append(common.rows_of(seen))
         log.info("batch %d: read %d documents", number, taken[-1])
 
     files = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file will do as well as a folder

@@ -24,6 +24,8 @@ KINDS = ("e00", "pooled", "s_odd")
 METRICS = ("modularity", "giant_frac", "avg_clustering")
 #: Statistics of permutations count as reached within this margin of the observed one.
 TIE = 1e-12
+#: Decimal places at which gains of modularity are compared, so that equal ones are equal however they were summed.
+PLACES = 12
 _METRIC_SCHEMA = "n_nodes int, n_edges int, edge_density double, avg_clustering double, giant_frac double, modularity double, n_communities int"
 
 
@@ -126,8 +128,8 @@ def modularity(edges: list[tuple[int, int, float]], community: list[int]) -> flo
 def greedy_communities(n: int, edges: list[tuple[int, int, float]]) -> list[int]:
     """Communities by merging, again and again, the linked pair that raises weighted modularity most.
 
-    Each pair's gain sits in a heap with the versions of both sides; stale entries are skipped. Ties go to
-    the lower numbers. Merging stops when no gain is positive.
+    Each pair's gain sits in a heap with the versions of both sides; stale entries are skipped. Gains are compared at ``PLACES``
+    places, ties go to the lower numbers. Merging stops when no gain is positive.
     """
     m = sum(w for *_, w in edges)
     community = list(range(n))
@@ -141,15 +143,15 @@ def greedy_communities(n: int, edges: list[tuple[int, int, float]]) -> list[int]
         degree[i] += w
         degree[j] += w
     version = [0] * n
-    gain = lambda a, b: links[a][b] / m - degree[a] * degree[b] / (2 * m * m)
-    heap = [(-gain(a, b), a, b, 0, 0) for a in range(n) for b in links[a] if a < b]
+    loss = lambda a, b: round(degree[a] * degree[b] / (2 * m * m) - links[a][b] / m, PLACES)
+    heap = [(loss(a, b), a, b, 0, 0) for a in range(n) for b in links[a] if a < b]
     heapq.heapify(heap)
     members = [[i] for i in range(n)]
     while heap:
         g, a, b, va, vb = heapq.heappop(heap)
         if version[a] != va or version[b] != vb:
             continue
-        if g >= -1e-15:
+        if g >= 0:
             break
         for c, w in links[b].items():
             del links[c][b]
@@ -162,7 +164,7 @@ def greedy_communities(n: int, edges: list[tuple[int, int, float]]) -> list[int]
         version[b] = -1
         for c in links[a]:
             x, y = min(a, c), max(a, c)
-            heapq.heappush(heap, (-gain(a, c), x, y, version[x], version[y]))
+            heapq.heappush(heap, (loss(a, c), x, y, version[x], version[y]))
     for c, nodes in enumerate(members):
         if version[c] >= 0:
             for i in nodes:
@@ -189,10 +191,11 @@ def graph_metrics(n: int, edges: list[tuple[int, int, float]]) -> tuple:
     return (n, m, dens, float(np.mean(local)), giant / n, q if np.isfinite(q) else None, len(set(community)))
 
 
-def rewired(n: int, edges: list[tuple[int, int, float]], rng: np.random.Generator) -> list[tuple[int, int, float]] | None:
+def rewired(n: int, edges: list[tuple[int, int, float]], stream: int) -> list[tuple[int, int, float]] | None:
     """As many degree-preserving double swaps as edges, in ten times as many tries; None if they do not suffice.
 
-    Swapped edges have weight 1, as they stand for no measured pair.
+    A try takes three numbers of the stream: two edges, and which ends of the second one swap. Swapped edges have weight 1, as they stand
+    for no measured pair.
     """
     e = [(i, j) for i, j, _ in edges]
     weight = {frozenset(x): w for x, (_, _, w) in zip(e, edges, strict=True)}
@@ -200,12 +203,12 @@ def rewired(n: int, edges: list[tuple[int, int, float]], rng: np.random.Generato
     if n < 4 or len(e) < 2:
         return None
     done = 0
-    for _ in range(10 * len(e)):
+    for first, second, turn in uniforms(stream, np.arange(30 * len(e))).reshape(-1, 3):
         if done == len(e):
             break
-        x, y = rng.integers(0, len(e), 2)
+        x, y = int(first * len(e)), int(second * len(e))
         (a, b), (c, d) = e[x], e[y]
-        if rng.random() < 0.5:
+        if turn < 0.5:
             c, d = d, c
         if x == y or len({a, b, c, d}) < 4 or frozenset((a, d)) in present or frozenset((c, b)) in present:
             continue
@@ -217,7 +220,7 @@ def rewired(n: int, edges: list[tuple[int, int, float]], rng: np.random.Generato
 
 
 def _numbered(f: pd.DataFrame) -> tuple[list, list[tuple[int, int, float]]]:
-    """Nodes in order and selected edges by number; rows without an edge carry nodes only."""
+    """Nodes in order and selected edges by number; rows that are not selected carry nodes only."""
     nodes = sorted(set(f["src"]) | set(f["dst"]))
     at = {v: k for k, v in enumerate(nodes)}
     chosen = f[f["selected"]].sort_values(["src", "dst"])
@@ -225,13 +228,17 @@ def _numbered(f: pd.DataFrame) -> tuple[list, list[tuple[int, int, float]]]:
 
 
 def _marked(weights: DataFrame, share: float, bound: float | None) -> DataFrame:
-    """All weighted pairs of every graph with a flag on the selected ones, and the rule as text."""
-    key = ["window_id", "graph", "src", "dst"]
-    top = weights.join(top_edges(weights, share).select(*key, F.lit(True).alias("selected")), key, "left").withColumn("threshold", F.lit(f"top-{share:.0%}"))
+    """The selected edges of every graph, a row for each member besides (so that lone ones are seen), and the rule as text."""
+
+    def graph(edges: DataFrame, nodes: DataFrame, rule: str) -> DataFrame:
+        lone = nodes.select("window_id", "graph", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("w"), F.lit(False).alias("selected"))
+        return edges.select("window_id", "graph", "src", "dst", "w", F.lit(True).alias("selected")).union(lone).withColumn("threshold", F.lit(rule))
+
+    nodes = nodes_of(weights)
+    out = graph(top_edges(weights, share), nodes, f"top-{share:.0%}")
     if bound is not None:
-        s = weights.filter("graph = 's_odd'").withColumn("graph", F.lit("s_odd_abs"))
-        top = top.unionByName(s.withColumn("selected", F.col("w") >= bound).withColumn("threshold", F.lit(f">={bound:g}")))
-    return top.withColumn("selected", F.coalesce("selected", F.lit(False)))
+        out = out.union(graph(absolute_edges(weights, bound), nodes.filter("graph = 's_odd'").withColumn("graph", F.lit("s_odd_abs")), f">={bound:g}"))
+    return out
 
 
 def _metrics_of(key, f):
@@ -281,7 +288,7 @@ def config_excess(stats: DataFrame, share: float = 0.05, n_rewire: int = 20, see
         real = pick(graph_metrics(len(nodes), edges))
         null = []
         for k in range(n_rewire):
-            g = rewired(len(nodes), edges, np.random.default_rng(base("rewire", *key, seed, k)))
+            g = rewired(len(nodes), edges, base("rewire", *key, seed, k))
             if g is not None:
                 null.append(pick(graph_metrics(len(nodes), g)))
         row = []
@@ -302,13 +309,25 @@ def rewired_degrees(stats: DataFrame, share: float = 0.05, seed: int = 0) -> Dat
 
     def run(key, f):
         nodes, edges = _numbered(f)
-        new = rewired(len(nodes), edges, np.random.default_rng(base("rewire", *key, seed, 0))) or edges
+        new = rewired(len(nodes), edges, base("rewire", *key, seed, 0)) or edges
         degree = np.bincount([v for i, j, _ in new for v in (i, j)], minlength=len(nodes)).astype(int)
         return pd.DataFrame({"window_id": key[0], "graph": key[1], "node": nodes, "degree": degree})
 
     return _marked(edge_weights(stats), share, None).groupBy("window_id", "graph").applyInPandas(run, "window_id int, graph string, node int, degree int")
 
 
+def rewired_edges(stats: DataFrame, share: float = 0.05, seed: int = 0) -> DataFrame:
+    """window_id, graph, src, dst, w of one rewiring of each graph that has swaps enough."""
+
+    def run(key, f):
+        nodes, edges = _numbered(f)
+        new = rewired(len(nodes), edges, base("rewire", *key, seed, 0)) or []
+        ends = [(*sorted((nodes[i], nodes[j])), w) for i, j, w in new]
+        return pd.DataFrame([(*key, *e) for e in ends], columns=["window_id", "graph", "src", "dst", "w"])
+
+    return _marked(edge_weights(stats), share, None).groupBy("window_id", "graph").applyInPandas(run, "window_id int, graph string, src int, dst int, w double")
+
+
 def permutation_difference(a: np.ndarray, b: np.ndarray, n_perm: int, stream: int) -> tuple:
     """(difference of means, two-sided p, sizes); no p below 2 values a side."""
     a, b = a[np.isfinite(a)], b[np.isfinite(b)]

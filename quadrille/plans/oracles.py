@@ -275,6 +275,7 @@ SELECT window_id, graph, CAST(count(*) AS INT) AS n_nodes, round(CAST(max(k) AS
         "qap_observed": _with(s, f"""z AS (SELECT window_id, {_POOL} AS p, E00 AS e, s_odd AS s FROM ok), c AS (SELECT window_id, count(*) AS n, {_corr("p", "e")} AS r_pooled_e00, {_corr("p", "s")} AS r_pooled_s_odd, {_corr("e", "s")} AS r_e00_s_odd FROM z GROUP BY 1)
 SELECT window_id, n, {_r("r_pooled_e00", "r_pooled_s_odd", "r_e00_s_odd")}, round(CASE WHEN 1 - r_pooled_e00 * r_pooled_e00 > 1e-12 THEN (r_pooled_s_odd * r_pooled_s_odd + r_e00_s_odd * r_e00_s_odd - 2 * r_pooled_s_odd * r_e00_s_odd * r_pooled_e00) / (1 - r_pooled_e00 * r_pooled_e00) END, 9) + 0.0 AS gate_r2 FROM c"""),
         "table_list": " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_cols" for t in TABLES),
+        "table_spans": " UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS \"column\", min({c}) AS first_time, max({c}) AS last_time FROM {t}" for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate"))),
         "table_head": _with(p, f'SELECT permno, "date", {_r("ret")} FROM (SELECT * FROM panel ORDER BY permno, "date" LIMIT 20)'),
         "human_sizes": "SELECT n_nationkey, CASE " + " ".join(f"WHEN b < pow(1024, {k + 1}) THEN printf('%.1f {u}', b / pow(1024, {k}))" for k, u in enumerate(("B", "KB", "MB", "GB"))) + " ELSE printf('%.1f TB', b / pow(1024, 4)) END AS size FROM (SELECT n_nationkey, pow(5.0, n_nationkey) AS b FROM nation)",
         "round_trip_parquet": _with(p, "SELECT window_id, win_start, win_end, permno FROM elig JOIN bounds USING (window_id)"),

@@ -13,8 +13,8 @@ from .. import schemas
 from ..functions.scores import pooled_weight
 from ..operators import aggregates, contexts, exogenous, graphs, labels, nulls, pairs, screening, sweep, windows
 from ..session import prepare, shared_dir, stored
-from ..sources import tables, testdata
-from ..streaming import panel
+from ..sources import footers, tables, testdata
+from ..streaming import legs, panel
 
 WIDTH, STEP, N_MIN, N_MIN_LOW, Q = 60, 21, 10, 3, 0.5
 #: Quantiles at which simulated pairs of this panel have cells enough.
@@ -124,6 +124,12 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("total", F.round("total", 4) + F.lit(0.0))
 
 
+def _streamed_pairs(p: Panel) -> DataFrame:
+    """The panel's returns as a stream, with the windows that a watermark of 14 days has closed at its end."""
+    store = f"{shared_dir(p.spark)}/quadrille/stream-{uuid.uuid4().hex}"
+    return legs.finished_pairs(p.spark, p.returns._stored_at, store, p.calendar, p.eligibility, p.width, STEP, p.n_min, p.q)
+
+
 def _foreign_returns(p: Panel) -> DataFrame:
     """Returns under other names, prices with signs, numbers as text."""
     r = p.returns
@@ -282,6 +288,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metrics_over_time": _on(lambda p: _networks(p).orderBy("graph", "win_start")),
     "metrics_by_type": _on(lambda p: graphs.metrics_by_type(_networks(p))),
     "rewired_degrees": _on(lambda p: graphs.rewired_degrees(p.stats)),
+    "rewired_edges": _on(lambda p: graphs.rewired_edges(p.stats)),
     "config_excess": _on(_config),
     "window_inference": _on(lambda p: graphs.window_inference(_config(p))),
     "qap_observed": _on(lambda p: graphs.qap_observed(p.stats)),
@@ -296,10 +303,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # viewer
     "table_summary": _on(lambda p: tables.describe(p.returns)),
     "table_list": lambda spark, sf_dir: tables.list_tables(prepare(spark), sf_dir).select("name", "n_rows", "n_cols"),
+    "table_spans": lambda spark, sf_dir: footers.table_spans(prepare(spark), sf_dir),
     "table_head": _on(lambda p: p.returns.orderBy("permno", "date").limit(20)),
     "human_sizes": lambda spark, sf_dir: prepare(spark).read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", tables.human_bytes_column(F.pow(F.lit(5.0), F.col("n_nationkey"))).alias("size")),
     # streams and files
     "streamed_totals": _streamed,
+    "streamed_pair_stats": _on(_streamed_pairs, **_LOW),
     "round_trip_parquet": _on(lambda p: _round_trip(p, "parquet")),
     "round_trip_csv": _on(lambda p: _round_trip(p, "csv")),
     "returns_renamed": _on(lambda p: tables.clean_returns(_foreign_returns(p))),

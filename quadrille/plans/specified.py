@@ -91,6 +91,7 @@ ORACLE_SQL: dict[str, str] = {
     "announcement_days": f'WITH {_panel()}, {_ROLLED} SELECT "date", count(*) AS n_events FROM rolled WHERE "date" IS NOT NULL GROUP BY 1',
     "announcement_contrast": _announced(0),
     "announcement_contrast_around": _announced(1),
+    "streamed_pair_stats": f'WITH {_pairs(n_min=N_MIN_LOW)} SELECT s.window_id, permno_a, permno_b, {_VALUES} FROM scored s JOIN bounds b ON b.window_id = s.window_id WHERE win_end + 1 <= (SELECT max("date") FROM panel WHERE ret IS NOT NULL) - 14',
     "weighted_pair_stats": _weighted(),
     "one_class_per_firm": _classes(),
     "qap_partialled": _partialled(),
