@@ -16,11 +16,13 @@ same way: what one task holds is of the size of a group at every size of the inp
 histogram of bounded size. N-grams are told apart by ``BODY_BITS`` of hash and the bits of the bucket.
 
 Null counts as the empty text, which is an end token. Without training tokens all counts are 0. Repeated rows
-are scored (and counted) one by one. Null ids form a fold of their own (that of the empty string) and stay null.
+are counted one by one and each gets its score; those of one id and text share a group, where they are one row with a number. Null ids form a fold of their own (that of the empty string) and stay null.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,6 +43,23 @@ _REQUEST = "up long, pre long, blk long, grams binary, counts binary, held binar
 _ANSWER = "blk long, pre long, totals binary, kept binary, tokens long, distinct long, kept_tokens long"
 
 
+def _joined(times: Counter) -> bytes:
+    """Documents (id, flags, text) and how often each occurs, as bytes."""
+    ids, flags, texts = zip(*times, strict=True)
+    numbers = [np.array(x, np.int64).tobytes() for x in ([len(times)], ids, [len(t) for t in texts], list(times.values()))]
+    return b"".join([*numbers, bytes(flags), *texts])
+
+
+def _documents(data: bytes) -> Counter:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ids, size, times = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
+    flags, ends = data[8 + 24 * n : 8 + 25 * n], 8 + 25 * n + np.cumsum(size)
+    out: Counter = Counter()
+    for i, flag, a, b, k in zip(ids.tolist(), flags, (ends - size).tolist(), ends.tolist(), times.tolist(), strict=True):
+        out[i, flag, data[a:b]] += k
+    return out
+
+
 def _packed(docs: DataFrame, groups: int) -> DataFrame:
     """group and a compressed batch of its documents."""
 
@@ -57,32 +76,26 @@ def _packed(docs: DataFrame, groups: int) -> DataFrame:
             at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             rows = []
             for a, b in zip(at, [*at[1:], len(group)], strict=True):
-                size = np.array([len(t) for t in texts[a:b]], np.int64)
-                data = np.array([b - a], np.int64).tobytes() + ids[a:b].tobytes() + size.tobytes() + flags[a:b].tobytes() + b"".join(texts[a:b])
-                rows.append(press.compress(data))
+                times = Counter(zip(ids[a:b].tolist(), flags[a:b].tolist(), texts[a:b], strict=True))
+                rows.append(press.compress(_joined(times)))
             yield pa.record_batch({"group": pa.array(group[at], pa.int64()), "docs": pa.array(rows, pa.binary())})
 
-    key = F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return narrow.select("*", key.alias("group"), (fold() == 0).alias("held")).mapInArrow(run, "group long, docs binary")
 
 
 class Group:
-    """The tokens of a group's documents and their distinct n-grams, as numbers of total + BODY_BITS bits and two of the order."""
+    """The tokens of a group's distinct documents, how often each occurs, and their distinct n-grams, as numbers of total + BODY_BITS bits and two of the order."""
 
     def __init__(self, blobs, total_bits: int):
-        ids, flags, texts = [], [], []
+        times: Counter = Counter()
         for blob in blobs:
-            data = zstandard.ZstdDecompressor().decompress(blob)
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            ids.append(np.frombuffer(data, np.int64, n, 8))
-            size = np.frombuffer(data, np.int64, n, 8 + 8 * n)
-            flags.append(np.frombuffer(data, np.uint8, n, 8 + 16 * n))
-            ends = 8 + 17 * n + np.cumsum(size)
-            texts += [data[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
-        flags = np.concatenate(flags)
-        self.ids, self.held, self.no_id = np.concatenate(ids), (flags & 1).astype(bool), (flags & 2).astype(bool)
-        words, first = word_hashes(texts)
+            times.update(_documents(zstandard.ZstdDecompressor().decompress(blob)))
+        ids, flags, texts = zip(*times, strict=True)
+        self.ids, self.times = np.array(ids, np.int64), np.array(list(times.values()), np.int64)
+        self.held, self.no_id = ((np.array(flags, np.uint8) & bit).astype(bool) for bit in (1, 2))
+        words, first = word_hashes(list(texts))
         n = np.diff(first)
         self.first = np.concatenate([[0], np.cumsum(n + 1)])
         token = np.empty(self.first[-1], np.uint64)
@@ -107,8 +120,9 @@ class Group:
 
     def counts(self) -> np.ndarray:
         ok = ~self.held[self.doc]
-        out = sum(np.bincount(x[ok], minlength=len(self.grams)) for x in self.of)
-        out[0] = (~self.held).sum()
+        times = self.times[self.doc[ok]].astype(float)  # sums stay whole numbers
+        out = sum(np.bincount(x[ok], times, len(self.grams)) for x in self.of).astype(np.int64)
+        out[0] = self.times[~self.held].sum()
         return out
 
     def contexts(self, k: int) -> np.ndarray:
@@ -270,8 +284,9 @@ def _cells(sums: dict, bits: list[int]):
             cell = cell * 32 + q
             ratios.append(r)
         cell, back = np.unique(cell, return_inverse=True)
-        out = {"cell": cell, "n": np.bincount(back, minlength=len(cell)).astype(float)}
-        return pd.DataFrame(out | {f"r{k}": np.bincount(back, r, len(cell)) for k, r in enumerate(ratios)})
+        times = g.times[g.doc[ok]].astype(float)
+        out = {"cell": cell, "n": np.bincount(back, times, len(cell))}
+        return pd.DataFrame(out | {f"r{k}": np.bincount(back, r * times, len(cell)) for k, r in enumerate(ratios)})
 
     return run
 
@@ -323,7 +338,8 @@ def _scored(sums: dict, weights: list[np.ndarray], bits: list[int]):
         n = len(g.ids)
         known = np.bincount(g.doc, total[g.of[0]] > 0, n).astype(np.int64)
         scores = [np.bincount(g.doc, np.log10(p), n) for p in (base, interpolate(base, orders, weights))]
-        return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(g.ids.copy(), g.no_id), "held_out": g.held, "n_tokens": np.diff(g.first), "n_known": known, "train_tokens": int(sums["tokens"]), "base_score": scores[0], "score": scores[1]})
+        out = pd.DataFrame({"doc_id": pd.arrays.IntegerArray(g.ids.copy(), g.no_id), "held_out": g.held, "n_tokens": np.diff(g.first), "n_known": known, "train_tokens": int(sums["tokens"]), "base_score": scores[0], "score": scores[1]})
+        return out.loc[np.repeat(np.arange(n), g.times)] if (g.times > 1).any() else out
 
     return run
 
