@@ -54,13 +54,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the one set on the context.
 
-    Only where neither is set, as in tests, a folder in the warehouse is taken, which is shared as well.
+    Only a local master, as in tests, may have neither: a folder in the warehouse is taken then. A cluster has to name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not path and current.isDefined():
         path = current.get()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(path)

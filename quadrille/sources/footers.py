@@ -61,12 +61,15 @@ def _spans(footer) -> Iterator[tuple]:
     """(column, least, largest) of columns of dates or times that have statistics in every row group with rows."""
     import datetime as dt
 
+    time = lambda v: v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
     for c in range(footer.num_columns):
+        column = footer.schema.column(c)
+        if column.logical_type.type not in ("DATE", "TIMESTAMP"):  # 96-bit times have no statistics
+            continue
         stats = [footer.row_group(g).column(c).statistics for g in range(footer.num_row_groups) if footer.row_group(g).num_rows]
         known = [s for s in stats if s is not None and s.has_min_max]
-        if known and all(s is not None and (s.has_min_max or s.null_count == s.num_values + s.null_count) for s in stats) and isinstance(known[0].min, dt.date):
-            time = lambda v: v if isinstance(v, dt.datetime) else dt.datetime(v.year, v.month, v.day)
-            yield footer.schema.column(c).path, time(min(s.min for s in known)), time(max(s.max for s in known))
+        if known and all(s is not None and (s.has_min_max or s.num_values == 0) for s in stats):
+            yield column.path, time(min(s.min for s in known)), time(max(s.max for s in known))
 
 
 class Footers(DataSource):
