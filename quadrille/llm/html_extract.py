@@ -65,6 +65,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     stack: list[tuple[str, int]] = [("#page", 0)]  # open block-level elements with their nodes
     places: dict[str, list[int]] = {}  # of the open elements of every name in the stack
     run: list[str] = []
+    unclosed: set[str] = set()  # names without an end tag from here on
     links, at, n = 0, 0, len(page)
 
     def end_block():
@@ -119,10 +120,13 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if name in RAW:
             # a slash at the end closes none of them but svg
             if not (name == "svg" and m[3].endswith("/")):
-                if e := _RAW_END[name].search(page, at):
+                e = None if name in unclosed else _RAW_END[name].search(page, at)
+                if e:
                     at = e.end()
                 elif name in ENDLESS:
                     at = n
+                else:  # nor is there one behind any later position
+                    unclosed.add(name)
             continue
         if name in BLOCK:
             end_block()

@@ -439,7 +439,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, labels = link_components(docs)
     placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = placed.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("first"))
-    out = placed.join(first, "label", "left")
+    out = placed.join(stored(first, "first"), "label", "left")  # read back, so that a large component's rows can be split
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
