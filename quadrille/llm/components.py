@@ -19,8 +19,6 @@ from .common import discard, stored
 PIECE_EDGES = 200_000
 #: Nodes with more than CROWD edges are hubs. The bound grows with the edges, so that there are never more than HUBS of them.
 CROWD, HUBS = 1000, 50_000
-#: Tasks that contract edges after the first round, at least.
-TASKS = 16
 
 
 class Forest:
@@ -86,9 +84,7 @@ def _least(edges: DataFrame, crowd: int) -> DataFrame:
     return edges.join(others, ["u", "s"], "left").select("u", "v", F.coalesce("sent", "m").alias("m"))
 
 
-def _contracted(edges: DataFrame, tasks: int | None = None) -> DataFrame:
-    if tasks:  # few edges need few tasks
-        edges = edges.coalesce(tasks)
+def _contracted(edges: DataFrame) -> DataFrame:
     return stored(edges.mapInArrow(_stars, "u long, v long"), "edges")
 
 
@@ -102,9 +98,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now = nodes.agg(F.count_if(F.expr("low < high OR (up > 0 AND up < n)")).alias("open"), F.sum("up").alias("edges")).first()
         if not now["open"]:
             break
-        crowd, tasks = max(CROWD, 2 * now["edges"] // HUBS), max(TASKS, now["edges"] // PIECE_EDGES)
+        crowd = max(CROWD, 2 * now["edges"] // HUBS)
         large = _least(_pairs(e, ("u", "v"), ("v", "u")), crowd).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         small = _pairs(_least(large, crowd), ("v", "m"), ("u", "m")).filter("u != v")
-        before, e = e, _contracted(small, tasks)
+        before, e = e, _contracted(small)
         discard(before)
     return _pairs(e, ("u", "v"), ("v", "v")).select(F.col("u").alias("node"), F.col("v").alias("label")).distinct()
