@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scores import pooled_weight
 from ..operators import aggregates, contexts, exogenous, graphs, labels, nulls, pairs, screening, sweep, windows
-from ..session import prepare, shared_dir, stored
+from ..session import prepare, scratch, stored
 from ..sources import footers, tables, testdata
 from ..streaming import legs, panel
 
@@ -112,21 +111,21 @@ def _half_topology(p: Panel) -> DataFrame:
 
 def _round_trip(p: Panel, kind: str) -> DataFrame:
     """Eligibility written and read again, by window as Parquet, with a header and a schema as CSV."""
-    folder = f"{shared_dir(p.spark)}/quadrille/trip-{uuid.uuid4().hex}"
+    folder = scratch(p.spark, "trip")
     df = p.eligibility.withColumn("WIN_END", F.col("win_end").cast("string")) if kind == "csv" else p.eligibility
     tables.save_table(df, folder, "window_eligibility", "processed", ["window_id"] if kind == "parquet" else None, kind)
     return tables.conform(tables.read_table(p.spark, folder, "window_eligibility"), schemas.ELIGIBILITY)
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = f"{shared_dir(prepare(spark))}/quadrille/stream-{uuid.uuid4().hex}"
+    store = scratch(prepare(spark), "stream")
     out = panel.finished_totals(spark, f"{sf_dir}/events.parquet", store, late="2 days", every="1 day")
     return out.withColumn("total", F.round("total", 4) + F.lit(0.0))
 
 
 def _streamed_pairs(p: Panel) -> DataFrame:
     """The panel's returns as a stream, with the windows that a watermark of 14 days has closed at its end."""
-    store = f"{shared_dir(p.spark)}/quadrille/stream-{uuid.uuid4().hex}"
+    store = scratch(p.spark, "stream")
     return legs.finished_pairs(p.spark, p.returns._stored_at, store, p.calendar, p.eligibility, p.width, STEP, p.n_min, p.q)
 
 

@@ -69,6 +69,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes with the application."""
+    path = f"{shared_dir(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors.
 
