@@ -61,18 +61,65 @@ def reliability(spark: SparkSession, a) -> None:
     tables.save_table(graphs.reliability_checkpoint(topo, rel), out, "reliability_checkpoint")
 
 
+def _given(spark: SparkSession, a, path: str | None, name: str, optional: bool = False) -> DataFrame | None:
+    """The table at a path that was given, else the folder's own; a path that was given must be there."""
+    if path:
+        return tables.read_file(spark, path)
+    try:
+        return tables.read_table(spark, a.data_dir, name, processed_first=True)
+    except FileNotFoundError:
+        if optional:
+            return None
+        raise
+
+
 def networks(spark: SparkSession, a) -> None:
     out = a.out or a.data_dir
-    stats = tables.read_table(spark, a.data_dir, "pair_window_stats", processed_first=True)
+    stats = _given(spark, a, a.stats_file, "pair_window_stats")
     episodes = labels.taxonomy(spark)
     tables.save_table(graphs.network_metrics(stats, a.edge_quantile, a.abs_threshold, episodes), out, "network_metrics")
-    real = spark.read.parquet(tables.save_table(graphs.qap_hierarchy(stats, a.mrqap_nperm, a.mrqap_windows or None, seed=a.seed, node_subsample=a.gate_nodes or None), out, "network_qap"))
-    if (null := tables.read_optional(spark, a.data_dir, "classical_null_gate_stats")) is not None:
-        gate = graphs.qap_hierarchy(null, a.mrqap_nperm, a.mrqap_windows or None, seed=a.seed, node_subsample=a.gate_nodes or None)
-        tables.save_table(graphs.gate_summary(real, gate, tables.read_optional(spark, a.data_dir, "s_odd_reliability"), seed=a.seed), out, "network_gate_summary")
     if a.robustness:
         excess = spark.read.parquet(tables.save_table(graphs.config_excess(stats, a.edge_quantile, a.n_rewire, a.seed, episodes), out, "network_metrics_excess"))
         tables.save_table(graphs.window_inference(excess, seed=a.seed), out, "window_level_inference")
+    if a.no_mrqap:
+        return
+    if a.partialled:
+        tables.save_table(graphs.qap_partialled(stats, a.mrqap_nperm, seed=a.seed, node_subsample=a.gate_nodes or None), out, "network_qap_partialled")
+    real = spark.read.parquet(tables.save_table(graphs.qap_hierarchy(stats, a.mrqap_nperm, a.mrqap_windows or None, seed=a.seed, node_subsample=a.gate_nodes or None), out, "network_qap"))
+    if (null := _given(spark, a, a.null_stats_file, "classical_null_gate_stats", optional=True)) is not None:
+        gate = graphs.qap_hierarchy(null, a.mrqap_nperm, a.mrqap_windows or None, seed=a.seed, node_subsample=a.gate_nodes or None)
+        tables.save_table(graphs.gate_summary(real, gate, _given(spark, a, a.reliability_file, "s_odd_reliability", optional=True), seed=a.seed), out, "network_gate_summary")
+
+
+def figures(spark: SparkSession, a) -> None:
+    """The data behind each figure whose tables are there, one table a figure, under ``figures`` of the output folder."""
+    stats = _given(spark, a, a.stats_file, "pair_window_stats")
+    null = _given(spark, a, a.null_file, "classical_null_stats", optional=True)
+    read = lambda name: tables.read_optional(spark, a.data_dir, name)
+    elig, ret, cal, swept, sectors = (read(n) for n in ("window_eligibility", "daily_returns", "trading_calendar", "threshold_sweep", "sectors"))
+    out = {
+        "cell_counts": lambda: aggregates.cell_count_boxes(stats),
+        "statistic_distributions": lambda: aggregates.score_distributions(stats),
+        "violation_rates": lambda: aggregates.violation_rates(stats),
+        "sodd_vs_delta": lambda: aggregates.sample_pairs(stats, a.max_points, a.seed).select("s_odd", "delta", "ctx", "regime"),
+        "crisis_runs": lambda: aggregates.crisis_runs(aggregates.regime_table(stats)),
+        "coupling_amount": lambda: aggregates.coupling_amount(stats, a.abs_threshold),
+    }
+    if elig is not None:
+        out["eligible_constituents"] = lambda: aggregates.eligible_over_time(elig, aggregates.regime_table(stats).select("window_id", "regime"))
+    if ret is not None:
+        ret = tables.conform(ret, schemas.RETURNS)
+        out |= {"coverage_missingness": lambda: aggregates.coverage_by_year(ret), "return_distributions": lambda: aggregates.return_histogram(ret), "absolute_returns": lambda: aggregates.absolute_return_boxes(ret, "month")}
+    if ret is not None and elig is not None and cal is not None:
+        out["threshold_over_time"] = lambda: aggregates.threshold_band(pairs.thresholds(windows.window_panel(ret, elig, cal, a.window_days, a.step_days), a.theta_quantile))
+    if null is not None:
+        out["ctx_overlay"] = lambda: aggregates.null_overlay(stats, null)
+    if swept is not None:
+        out["threshold_sweep"] = lambda: swept
+    if sectors is not None:
+        out["sector_violation_rates"] = lambda: aggregates.sector_rates_sorted(stats, sectors)
+    for name, table in out.items():
+        tables.save_table(table(), a.out or a.data_dir, name, "figures")
 
 
 def rebuild(spark: SparkSession, a) -> None:
@@ -107,10 +154,10 @@ def view(spark: SparkSession, a) -> None:
 
 
 def csv(spark: SparkSession, a) -> None:
-    tables.export_csv(tables.read_table(spark, a.data_dir, a.name), a.out or f"{a.data_dir}/{a.name}-csv", a.max_rows)
+    tables.export_csv(tables.read_table(spark, a.data_dir, a.name), a.out or f"{a.data_dir}/{a.name}-csv", -1 if a.force and a.max_rows is None else a.max_rows)
 
 
-STAGES = {"analyze": analyze, "sweep": sweep_stage, "reliability": reliability, "networks": networks, "rebuild": rebuild, "extract": extract, "list": list_stage, "view": view, "csv": csv}
+STAGES = {"analyze": analyze, "sweep": sweep_stage, "reliability": reliability, "networks": networks, "figures": figures, "rebuild": rebuild, "extract": extract, "list": list_stage, "view": view, "csv": csv}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -124,9 +171,10 @@ def parser() -> argparse.ArgumentParser:
         ("--mrqap-nperm", int, 199), ("--mrqap-windows", int, 8), ("--n-rewire", int, 20), ("-n", int, 10), ("--max-rows", int, None),
         ("--vix-quantile", float, 0.5), ("--vix-agg", str, "mean"), ("--null-pairs-per-window", int, 400), ("--quantiles", str, None), ("--url", str, None), ("--user", str, None), ("--password", str, None),
         ("--start", str, "1990-01-01"), ("--end", str, "2025-12-31"), ("--members-table", str, "members"), ("--returns-table", str, "returns"), ("--names-table", str, None),
+        ("--stats-file", str, None), ("--null-stats-file", str, None), ("--reliability-file", str, None), ("--null-file", str, None), ("--max-points", int, 20_000),
     ):
         p.add_argument(flag, type=kind, default=default)
-    for flag in ("--null", "--null-gate-stats", "--robustness", "--no-null-stream", "--no-sweep-null"):
+    for flag in ("--null", "--null-gate-stats", "--robustness", "--no-null-stream", "--no-sweep-null", "--no-mrqap", "--partialled", "--force"):
         p.add_argument(flag, action="store_true")
     return p
 

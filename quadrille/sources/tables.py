@@ -182,7 +182,13 @@ def list_tables(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, max_rows: int | None = None, sheet_rows: int = 1_048_576, cap: int = 100_000) -> int:
-    """Writes a CSV; a table of more rows than a sheet holds is cut to cap rows. Returns the limit that held, or -1."""
+    """Writes a CSV; a table of more rows than a sheet holds is cut to cap rows. Returns the limit that held, or -1.
+
+    max_rows of -1 asks for all rows, which are then written by as many tasks as there are.
+    """
+    if max_rows == -1:
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return -1
     limit = max_rows if max_rows is not None else cap if df.limit(sheet_rows + 1).count() > sheet_rows else -1
     (df if limit < 0 else df.limit(limit)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return limit

@@ -2,6 +2,7 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quadrille import cli, schemas
 from quadrille.sources import tables, testdata
@@ -105,3 +106,15 @@ def test_command_line(spark, tmp_path):
     assert 0 < tables.read_table(spark, d, "classical_null_stats").count() <= 50
     assert tables.read_table(spark, d, "classical_null_hist").count() == 120
     assert {r["theta_q"] for r in tables.read_table(spark, d, "threshold_sweep").collect()} == {0.5, 0.9}
+    for args in (["networks", "--no-mrqap", "--stats-file", f"{d}/processed/pair_window_stats.parquet", "--out", f"{d}/plain"], ["networks", "--mrqap-nperm", "3", "--gate-nodes", "0", "--partialled", "--null-stats-file", f"{d}/processed/classical_null_stats.parquet", "--out", f"{d}/gate"], ["figures", "--max-points", "30"], ["csv", "headline_rates", "--force", "--out", f"{d}/rates"]):
+        a = cli.parser().parse_args([*args, "--data-dir", d])
+        cli.STAGES[a.stage](spark, a)
+    assert tables.read_optional(spark, f"{d}/plain", "network_qap") is None and tables.read_table(spark, f"{d}/plain", "network_metrics").count() > 0
+    assert tables.read_table(spark, f"{d}/gate", "network_gate_summary").count() == 1 and "predictor" in tables.read_table(spark, f"{d}/gate", "network_qap_partialled").columns
+    figures = {r["name"] for r in tables.list_tables(spark, f"{d}/figures").collect()}
+    assert {"ctx_overlay", "threshold_over_time", "eligible_constituents", "return_distributions", "sodd_vs_delta", "threshold_sweep"} <= figures and "sector_violation_rates" not in figures
+    assert spark.read.parquet(f"{d}/figures/sodd_vs_delta.parquet").count() <= 30
+    assert spark.read.option("header", True).csv(f"{d}/rates").count() == tables.read_table(spark, d, "headline_rates").count()
+    with pytest.raises(AnalysisException):
+        a = cli.parser().parse_args(["networks", "--stats-file", f"{d}/nowhere.parquet", "--data-dir", d])
+        cli.STAGES[a.stage](spark, a)
