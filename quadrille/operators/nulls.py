@@ -167,8 +167,13 @@ def _fair_runs(n: int, n_sims: int, seed: int, tag: str) -> tuple[np.ndarray, np
     return np.concatenate(s), np.concatenate(c)
 
 
-def small_sample_null(spark: SparkSession, n_values: list[int], n_sims: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean, 95 % quantile and share above 2 of s_odd for fair signs, N in each cell."""
+def cell_sizes(pairs: DataFrame) -> DataFrame:
+    """N: the sizes that the smallest cell of these pairs has, each once."""
+    return pairs.select(F.least(*[F.col(f"N{c}") for c in CELLS]).cast("int").alias("N")).filter("N > 0").distinct()
+
+
+def small_sample_null(sizes: DataFrame, n_sims: int = 2000, seed: int = 0) -> DataFrame:
+    """Mean, 95 % quantile and share above 2 of s_odd for fair signs, for each size N of all four cells."""
 
     def run(frames):
         for f in frames:
@@ -178,8 +183,17 @@ def small_sample_null(spark: SparkSession, n_values: list[int], n_sims: int = 20
                 rows.append((n, s.mean(), np.quantile(s, 0.95), s.mean() - 2, (s > 2 + 1e-9).mean()))
             yield pd.DataFrame(rows, columns=["N", "s_odd_mean", "s_odd_q95", "ctx_mean", "frac_sodd_gt2"])
 
-    df = spark.createDataFrame([(int(n),) for n in n_values], "N int")
-    return df.mapInPandas(run, "N int, s_odd_mean double, s_odd_q95 double, ctx_mean double, frac_sodd_gt2 double")
+    return sizes.select("N").mapInPandas(run, "N int, s_odd_mean double, s_odd_q95 double, ctx_mean double, frac_sodd_gt2 double")
+
+
+def finite_n_floors(sizes: DataFrame, n_sims: int = 8000, seed: int = 0) -> DataFrame:
+    """n_min, floor: share of ctx > 0 for fair signs, for each size N of all four cells."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(n, finite_n_floor(n, n_sims, seed)) for n in f["N"].tolist()], columns=["n_min", "floor"])
+
+    return sizes.select("N").mapInPandas(run, "n_min int, floor double")
 
 
 def finite_n_floor(n_min: int, n_sims: int = 8000, seed: int = 0) -> float:

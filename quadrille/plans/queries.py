@@ -259,8 +259,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ctx_null_overlay": _on(lambda p: aggregates.null_overlay(p.stats, p.kept(nulls.classical_null(p.stats, p.rows), "null"))),
     "placebo": _on(lambda p: nulls.permutation_placebo(p.stats, p.rows, n_perm=2)),
     "max_stat_null": _on(lambda p: nulls.max_stat_null(p.stats, p.rows)),
-    "small_sample_null": _on(lambda p: nulls.small_sample_null(p.spark, [5, 10, 20, 50, 100])),
-    "finite_n_floor": _on(lambda p: p.spark.createDataFrame([(n, nulls.finite_n_floor(n)) for n in (3, 5, 10)], "n_min int, floor double")),
+    "small_sample_null": _on(lambda p: nulls.small_sample_null(nulls.cell_sizes(pairs.valid_pairs(p.stats))), **_LOW),
+    "finite_n_floor": _on(lambda p: nulls.finite_n_floors(nulls.cell_sizes(pairs.valid_pairs(p.stats))), **_LOW),
     "matched_floor": _on(lambda p: nulls.matched_floor(pairs.valid_pairs(p.stats), ["regime"]), **_LOW),
     "sweep_null_rates": _on(_sweep_null()),
     "sweep_null_rates_q70": _on(_sweep_null(SWEEP_NULL)),

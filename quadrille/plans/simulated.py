@@ -83,8 +83,12 @@ def _fair(source: str, keys: str) -> str:
   FROM (SELECT *, CASE {ends} END AS cell FROM {_draws(f"(SELECT *, unnest(generate_series(0, N00 + N01 + N10 + N11 - 1)) AS day FROM {source})", "base", "first + day")}))''', keys)})''', 1)})"""
 
 
-def _runs(tag: str, sizes: list[int], sims: int) -> str:
-    return f"""(SELECT n, sim, {_base(f"'{tag}'", "n", "0")} AS base, sim * 4 * n AS first, n AS N00, n AS N01, n AS N10, n AS N11 FROM (SELECT unnest({sizes}) AS n), (SELECT unnest(generate_series(0, {sims - 1})) AS sim))"""
+#: Sizes of the smallest cell of the valid pairs.
+_SIZES = f"(SELECT DISTINCT CAST(least({', '.join(f'N{c}' for c in CELLS)}) AS INT) AS n FROM ok)"
+
+
+def _runs(tag: str, sims: int) -> str:
+    return f"""(SELECT n, sim, {_base(f"'{tag}'", "n", "0")} AS base, sim * 4 * n AS first, n AS N00, n AS N01, n AS N10, n AS N11 FROM {_SIZES}, (SELECT unnest(generate_series(0, {sims - 1})) AS sim))"""
 
 
 def _topology() -> str:
@@ -201,7 +205,7 @@ gb AS (SELECT b, avg(l[CAST(floor(u * n) AS BIGINT) + 1]) AS m FROM {_draws(f"(S
 gq AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM gb), gm AS (SELECT avg(d) AS d, count(*) AS n FROM gd), {rel.strip()}
 SELECT (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap) AS real_gate_r2, (SELECT round(avg(r_e00_s_odd), 9) + 0.0 FROM qap) AS r_e00_s_odd_real, (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap_n) AS null_gate_r2, (SELECT round(avg(r_e00_s_odd), 9) + 0.0 FROM qap_n) AS r_e00_s_odd_null,
   (SELECT round(avg(reliability_sb), 9) + 0.0 FROM rel) AS reliability_sb, round(d, 9) + 0.0 AS diff_real_minus_null, round(lo, 9) + 0.0 AS diff_ci_lo, round(hi, 9) + 0.0 AS diff_ci_hi, CAST(n AS INT) AS n_gate_windows, CASE WHEN (lo <= 0 AND hi >= 0) OR d >= 0 THEN 'artifact' ELSE 'residual structure' END AS verdict FROM gm, gq"""
-    fair_many = _fair(_runs("small", [5, 10, 20, 50, 100], 2000), "n, sim")
+    fair_many = _fair(_runs("small", 2000), "n, sim")
     return {
         "streamed_totals": "SELECT user_id AS key, CAST(date_trunc('day', ts) AS DATE) AS period, round(sum(CAST(value AS DOUBLE)), 4) + 0.0 AS total, count(*) AS n FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY",
         "classical_null": with_(_null(), _NULL_OUT),
@@ -217,8 +221,8 @@ SELECT (SELECT round(avg({_GATE}), 9) + 0.0 FROM qap) AS real_gate_r2, (SELECT r
             f"{_permuted(200)}, ps AS ({_score(f'({_cell_sums("shuf", f"{PAIR}, perm")})', 1)}), best AS (SELECT window_id, perm, max(s - d - 2) AS m FROM ps GROUP BY 1, 2 HAVING max(s - d - 2) IS NOT NULL), bar AS (SELECT window_id, quantile_cont(m, 0.95) AS ctx_threshold FROM best GROUP BY 1), ob AS (SELECT window_id, count(*) AS n_pairs, max(ctx) AS max_observed FROM ok GROUP BY 1)",
             f"SELECT window_id, n_pairs, {_r('ctx_threshold', 'max_observed')} FROM ob JOIN bar USING (window_id)",
         ),
-        "small_sample_null": f"SELECT CAST(n AS INT) AS N, round(avg(s), 9) + 0.0 AS s_odd_mean, round(quantile_cont(s, 0.95), 9) + 0.0 AS s_odd_q95, round(avg(s) - 2, 9) + 0.0 AS ctx_mean, round(avg(CASE WHEN s > 2 + 1e-9 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS frac_sodd_gt2 FROM {fair_many} GROUP BY n",
-        "finite_n_floor": f"SELECT n AS n_min, round(avg(CASE WHEN s - d - 2 > 1e-9 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS floor FROM {_fair(_runs('floor', [3, 5, 10], 8000), 'n, sim')} GROUP BY n",
+        "small_sample_null": f"WITH {low} SELECT CAST(n AS INT) AS N, round(avg(s), 9) + 0.0 AS s_odd_mean, round(quantile_cont(s, 0.95), 9) + 0.0 AS s_odd_q95, round(avg(s) - 2, 9) + 0.0 AS ctx_mean, round(avg(CASE WHEN s > 2 + 1e-9 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS frac_sodd_gt2 FROM {fair_many} GROUP BY n",
+        "finite_n_floor": f"WITH {low} SELECT n AS n_min, round(avg(CASE WHEN s - d - 2 > 1e-9 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS floor FROM {_fair(_runs('floor', 8000), 'n, sim')} GROUP BY n",
         "matched_floor": f"WITH {low}, pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY regime ORDER BY md5(concat_ws('|', regime, CAST(window_id AS VARCHAR), CAST(permno_a AS VARCHAR), CAST(permno_b AS VARCHAR), '0')), window_id, permno_a, permno_b) AS place FROM ok) WHERE place <= 5000), src AS (SELECT regime, {PAIR}, {_base("'matched'", 'window_id', 'permno_a', 'permno_b', '0')} AS base, 0 AS first, {', '.join(f'greatest(1, N{c}) AS N{c}' for c in CELLS)} FROM pick) SELECT regime, round(avg(CASE WHEN s - d - 2 > 1e-9 THEN 1.0 ELSE 0.0 END), 9) + 0.0 AS floor FROM {_fair('src', f'regime, {PAIR}')} GROUP BY regime",
         "sweep_null_rates": _sweep_null(RELAXED_QUANTILES),
         "sweep_null_rates_q70": _sweep_null(SWEEP_NULL),

@@ -165,7 +165,7 @@ def test_nulls(spark):
     assert all([r[f"N{c}"] for c in scores.CELLS] == kept[r["permno_a"], r["permno_b"]] for r in p.collect()) and p.count() == 2 * len(kept)
     m = nulls.max_stat_null(stats, rows, 40).collect()
     assert len(m) == 1 and m[0]["n_pairs"] == len(kept)
-    s = {r["N"]: r["s_odd_mean"] for r in nulls.small_sample_null(spark, [10, 200], 500).collect()}
+    s = {r["N"]: r["s_odd_mean"] for r in nulls.small_sample_null(spark.createDataFrame([(10,), (200,)], "N int"), 500).collect()}
     assert s[10] > s[200]
     assert 0 <= nulls.finite_n_floor(3, 500) <= 1 and nulls.matched_floor(stats.filter("valid"), ["regime"]).count() == 1
 
