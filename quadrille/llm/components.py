@@ -85,14 +85,15 @@ def _least(edges: DataFrame, crowd: int) -> DataFrame:
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
-    return stored(edges.mapInArrow(_stars, "u long, v long"), "edges")
+    """Stars of all tasks. A component that lies in many tasks has the same edges in each of them; they are kept once."""
+    return stored(edges.mapInArrow(_stars, "u long, v long").distinct(), "edges")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label of every node with an edge to another one; label is the least node of its component."""
     e = _contracted(edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")))
     while True:
-        # the same edge may have come from two tasks, so different centres are counted, not edges
+        # edges are distinct, so a node with two of them has two centres
         ends = F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("to")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
         nodes = e.select(F.explode(ends).alias("x")).groupBy("x.node").agg(F.min("x.to").alias("low"), F.max("x.to").alias("high"), F.count("x.to").alias("up"), F.count(F.lit(1)).alias("n"))
         now = nodes.agg(F.count_if(F.expr("low < high OR (up > 0 AND up < n)")).alias("open"), F.sum("up").alias("edges")).first()

@@ -106,6 +106,23 @@ def test_components_of_paths(spark):
     assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100}
 
 
+def test_a_group_in_many_tasks_has_its_edges_once(spark, monkeypatch):
+    """A group of which every task holds edges, beside a path that needs more rounds: edges do not grow with the tasks."""
+    group = spark.range(0, 16 * 300, 1, 16).selectExpr("id % 300 + 1000 AS a", "999L AS b")
+    path = spark.range(0, 40, 1, 8).selectExpr("id AS a", "id + 1 AS b")
+    seen, old = [], components._contracted
+
+    def counted(edges):
+        out = old(edges)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "_contracted", counted)
+    got = {r["node"]: r["label"] for r in components.connected_components(group.union(path)).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 999 for k in range(999, 1300)}
+    assert len(seen) > 1 and max(seen) <= 300 + 40
+
+
 def test_scores_agree_with_brute_force(spark):
     rng = random.Random(4)
     docs = [(k, " ".join(rng.choice("AaBbCcdefgh") for _ in range(rng.randint(0, 60)))) for k in range(200)] + [(900, None), (901, "")]
